@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, secret_scan, url_filter
+from . import chat_format, exact_dedup, pii, secret_scan, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op9_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op8_content_sort, op9_url_digests)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op4_pii_deobfuscation, op5_simhash_pivots, op8_content_sort, op9_url_digests)}
 ORACLE_SQL = {"op8_content_sort": exact_dedup.ORACLE, "op9_url_digests": url_filter.ORACLE}
