@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, pieces, pii, quality, secret_scan, simhash, url_filter
+from . import chat_format, exact_dedup, lm_score, pieces, pii, quality, secret_scan, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op4_pii_deobfuscation, op5_simhash_pivots, op6_kneser_ney_bands, op8_content_sort, op9_url_digests, op10_streaming_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op4_pii_deobfuscation, op5_simhash_pivots, op6_kneser_ney_bands, op7_deleted_interpolation, op8_content_sort, op9_url_digests, op10_streaming_viterbi)}
 ORACLE_SQL = {"op8_content_sort": exact_dedup.ORACLE, "op9_url_digests": url_filter.ORACLE}
