@@ -26,6 +26,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 #: A match of the plain pattern can begin only where a run of digits does; so this has the same matches in linear time.
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_IP_RUN = re.compile(r"[0-9][0-9.]{6,}")  # a match is inside such a run
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -54,9 +55,10 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def detect(text: str) -> list[Span]:
     out: list[Span] = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    for m in _IP.finditer(text):
-        if all(len(p := g.lstrip("0")) < 4 and int(p or 0) <= 255 for g in m.groups()):
-            out.append(("ip", *m.span()))
+    for run in _IP_RUN.finditer(text):
+        for m in _IP.finditer(text, *run.span()):
+            if all(len(p := g.lstrip("0")) < 4 and int(p or 0) <= 255 for g in m.groups()):
+                out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -82,12 +84,12 @@ def _homoglyphs() -> dict[int, str]:
     # Cyrillic, then Greek letters, with the Latin letters that they look like; then dots, at signs, dashes and spaces.
     table |= dict(zip(map(ord, "АВЕЅІЈКМНОРСТХаеорсухіјѕ"), "ABESIJKMHOPCTXaeopcyxijs"))
     table |= dict(zip(map(ord, "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ"), "ABEZHIKMNOPTYXovp"))
-    table |= dict(zip(map(ord, "․。｡﹒﹫‐‑‒–—    "), "....@-----    "))
+    table |= dict(zip(map(ord, "\u2024\u3002\uff61\ufe52\ufe6b\u2010\u2011\u2012\u2013\u2014\u00a0\u2007\u2009\u202f"), "....@-----    "))
     return table
 
 
 HOMOGLYPHS = _homoglyphs()
-_MAPPED = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + "]")
+_FOREIGN = re.compile("[\u00a0\u0250-\U0010ffff]")  # of the characters mapped, none is outside
 #: Spelled digits of the languages of the corpus: English, German, French, Spanish.
 DIGITS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -98,13 +100,20 @@ DIGITS = {
 _D = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?i)(?<![^\W_]){_D}(?:(?:[ \-]|\sdot\s){_D})*(?![^\W_])")
 _ONE = re.compile(rf"(?i){_D}")
-_AT = r"\s?(?:\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<\s?at\s?>)\s?|\sat\s"
+_AT = r"\s?(?:\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<\s?at\s?>|@)\s?"
 _DOT = r"\s?(?:\[\s?(?:dot|\.)\s?\]|\(\s?(?:dot|\.)\s?\)|\{\s?dot\s?\}|<\s?dot\s?>)\s?|\sdot\s"
-#: Bare words count only together: name at host dot top.
-_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>{_AT}|\s?@\s?)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+")
-_MAIL_AT, _DOTS = re.compile(rf"(?i){_AT}|\s?@\s?"), re.compile(rf"(?i){_DOT}")
+_NAME, _HOST = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+#: A marked `at` takes any dots; the bare word counts only together with a disguised dot: name at host dot top.
+_MAILS = (re.compile(rf"(?i){_NAME}(?P<at>{_AT}){_HOST}(?:(?:{_DOT}|\.){_HOST})+"), re.compile(rf"(?i){_NAME}(?P<at>\sat\s){_HOST}(?:\.{_HOST})*(?:{_DOT})(?:{_HOST})(?:(?:{_DOT}|\.){_HOST})*"))
+_DOTS = re.compile(rf"(?i){_DOT}")
+_AT_CORES = (re.compile(r"(?i)[\[({<]\s?at\s?[\])}>]|@"), re.compile(r"(?i)\sat\s"))
 _NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])(?:{_DOT})(?=[0-9])")
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus\s(?=[0-9])")
+#: What a text with a disguise has; others are not searched.
+_AT_SIGNS = ("at]", "at )", "at)", "at ]", "at}", "at }", "at>", "at >", " @", "@ ", "@\n", "\n@")
+_DOT_SIGNS = (" dot ", "\ndot ", " dot\n", "\ndot\n", "dot]", "dot)", "dot}", "dot>", "[dot", "(dot", "{dot", "<dot", "[.", "(.", "[ .", "( .")
+_DIGIT_WORDS = frozenset(w.encode() for w in DIGITS)
+_NOT_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 class Rewritten:
@@ -139,19 +148,31 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
 
 def rewrite(text: str) -> Rewritten | None:
     """None if there is nothing to rewrite."""
-    plain = text.translate(HOMOGLYPHS) if not text.isascii() and _MAPPED.search(text) else text
+    plain = text.translate(HOMOGLYPHS) if not text.isascii() and _FOREIGN.search(text) else text
     low = plain.lower()
-    if plain == text and "dot" not in low and "at" not in low and not _SPELLED.search(plain):
+    spelled = not _DIGIT_WORDS.isdisjoint(low.encode("utf-8", "surrogatepass").translate(_NOT_LETTERS).split())
+    dots = any(x in low for x in _DOT_SIGNS)
+    mails = dots and ("@" in low or "at" in low) or any(x in low for x in _AT_SIGNS)
+    if not (spelled or dots or mails or "plus" in low or plain != text):
         return None
     r = Rewritten(plain)
-    r.replace([p for m in _SPELLED.finditer(r.text) if len(_ONE.findall(m[0])) > 1 or _near_number(r.text, m) for p in _spelled(m)])
-    r.replace([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
-    r.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(r.text)])
-    mail: list[tuple[int, int, str]] = []
-    for m in _MAIL.finditer(r.text):
-        mail.append((*m.span("at"), "@"))
-        mail += [(d.start(), d.end(), ".") for d in _DOTS.finditer(r.text, m.end("at"), m.end())]
-    r.replace(mail)
+    if spelled:
+        r.replace([p for m in _SPELLED.finditer(r.text) if len(_ONE.findall(m[0])) > 1 or _near_number(r.text, m) for p in _spelled(m)])
+    if dots:
+        r.replace([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
+    r.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(r.text)] if "plus" in low else [])
+    for pattern, core in zip(_MAILS, _AT_CORES) if mails else ():
+        mail: list[tuple[int, int, str]] = []
+        last = 0
+        for at in core.finditer(r.text):
+            start = at.start() - (at.start() > last and r.text[at.start() - 1].isspace())
+            while start > last and r.text[start - 1] in _LOCAL:
+                start -= 1
+            if m := pattern.match(r.text, start):
+                mail.append((*m.span("at"), "@"))
+                mail += [(d.start(), d.end(), ".") for d in _DOTS.finditer(r.text, m.end("at"), m.end())]
+                last = m.end()
+        r.replace(mail)
     return r if r.text != text else None
 
 
