@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
+#: Rows whose ids are Python numbers at a time.
+SLICE = 250
 #: Segments that a process remembers; those up to SHORT characters are searched at once, longer ones in chunks of LONG.
-MEMO, SHORT, LONG = 400_000, 64, 512
+MEMO, SHORT, LONG = 250_000, 64, 512
 
 
 def model_file() -> str:
@@ -184,11 +187,11 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1000):  # a slice's ids at a time
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 ids = [of.encode(t) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter((x for row in ids for x in row), np.int32, ends[-1])
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, flat), part.column("text_sha256")], ["doc_id", "ids", "text_sha256"])
 
     text = text_or_empty(text_col)
@@ -202,11 +205,15 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for b in batches:
-            text = [of.decode(row or ()) for row in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_ids", "ids_sha256", "text_sha256")), pa.array(text, pa.string())], ["doc_id", "n_ids", "ids_sha256", "text_sha256", "text"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                ids = part.column("ids")
+                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+                text = [of.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_ids", "ids_sha256", "text_sha256")), pa.array(text, pa.string())], ["doc_id", "n_ids", "ids_sha256", "text_sha256", "text"])
 
     ids = F.coalesce("ids", F.array().cast("array<int>"))
-    told = encoded.select("doc_id", "ids", F.size(ids).cast("long").alias("n_ids"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), "text_sha256")
+    told = encoded.select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_ids"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), "text_sha256")
     return told.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, text_sha256 string, text string")
 
 
