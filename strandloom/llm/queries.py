@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, lm_score, pieces, pii, quality, secret_scan, simhash, url_filter
+from . import chat_format, exact_dedup, lm_score, mixing, pieces, pii, quality, secret_scan, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op4_pii_deobfuscation, op5_simhash_pivots, op6_kneser_ney_bands, op7_deleted_interpolation, op8_content_sort, op9_url_digests, op10_streaming_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op3_soft_mixing, op4_pii_deobfuscation, op5_simhash_pivots, op6_kneser_ney_bands, op7_deleted_interpolation, op8_content_sort, op9_url_digests, op10_streaming_viterbi)}
 ORACLE_SQL = {"op8_content_sort": exact_dedup.ORACLE, "op9_url_digests": url_filter.ORACLE}
