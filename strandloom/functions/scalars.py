@@ -50,7 +50,7 @@ def diff_positions(a: Column, b: Column) -> Column:
 def single_difference(a: Column, b: Column) -> Column:
     """struct(index, ref, alt) if the strings differ in exactly one ACGT letter, else null."""
     d = diff_positions(a, b)
-    i = d[0]
+    i = F.get(d, F.lit(0))
     ref, alt = F.substring(a, i + 1, F.lit(1)), F.substring(b, i + 1, F.lit(1))
     return F.when((F.size(d) == 1) & ref.isin(*BASES) & alt.isin(*BASES), F.struct(i.alias("index"), ref.alias("ref"), alt.alias("alt")))
 

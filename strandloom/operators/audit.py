@@ -82,7 +82,7 @@ def candidate_rules() -> list[Rule]:
         Rule("mut_centre", F.substring("mut", 50, 2) != "CG"),
         Rule("protected_pair", c("offset").isin(0, 1)),
         Rule("one_change", F.size(change) != 1),
-        Rule("change_at_index", change[0] != i),
+        Rule("change_at_index", F.get(change, F.lit(0)) != i),
         Rule("ref_at_index", F.substring("wt", (i + 1).cast("int"), F.lit(1)) != c("ref")),
         Rule("alt_at_index", F.substring("mut", (i + 1).cast("int"), F.lit(1)) != c("alt")),
         Rule("rc_involution", S.reverse_complement(S.reverse_complement(c("mut"))) != c("mut")),

@@ -46,8 +46,8 @@ def model_visible(df: DataFrame, width: int, uid: str = "uid") -> DataFrame:
     d = S.diff_positions(w, m)
     c = width // 2 - 1
     marked = df.withColumns({"d_": d, "w_": w, "m_": m, "nth_": F.row_number().over(Window.partitionBy(uid).orderBy("wt", "mut"))})
-    reason = first_reason([("outside_crop", F.size("d_") == 0), ("invalid_change", (F.size("d_") != 1) | F.col("d_")[0].isin(c, c + 1)), ("duplicate", F.col("nth_") > 1)])
-    at = F.col("d_")[0]
+    reason = first_reason([("outside_crop", F.size("d_") == 0), ("invalid_change", (F.size("d_") != 1) | F.get("d_", F.lit(0)).isin(c, c + 1)), ("duplicate", F.col("nth_") > 1)])
+    at = F.get("d_", F.lit(0))
     return marked.withColumns({"reason": reason, "index": at, "crop_ref": F.substring("w_", at + 1, F.lit(1)), "crop_alt": F.substring("m_", at + 1, F.lit(1))}).drop("d_", "w_", "m_", "nth_")
 
 

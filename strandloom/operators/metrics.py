@@ -91,7 +91,7 @@ def curve(df: DataFrame, y: str = "y", score: str = "score", keys: tuple[str, ..
 def average_precision(df: DataFrame, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """Tie-grouped: the precision at each distinct score, weighted by its positives."""
     c = curve(df, y, score, keys)
-    return c.groupBy(*keys).agg((F.sum(F.col("positives") * F.col("precision")) / F.sum("positives")).alias("average_precision"))
+    return c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("positives") * F.col("precision")), F.sum("positives")).alias("average_precision"))
 
 
 def ordered_average_precision(df: DataFrame, tie: str, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -103,8 +103,9 @@ def ordered_average_precision(df: DataFrame, tie: str, y: str = "y", score: str
 
 def guarded_corr(a: Column, b: Column) -> Column:
     """Pearson; null under three pairs or without spread."""
-    ok = (F.count(F.when(a.isNotNull() & b.isNotNull(), 1)) >= 3) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return F.when(ok, F.corr(a, b))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.when(F.count(a) >= 3, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -195,7 +196,7 @@ def top_enrichment(df: DataFrame, fractions: tuple[float, ...], tie: str, y: str
     f = F.explode(F.array(*map(F.lit, fractions))).alias("fraction")
     top = placed.select("*", f).filter(F.col("k_") <= F.greatest(F.lit(1), F.ceil(F.col("fraction") * F.col("n_"))))
     share = F.avg(F.col(y).cast("double"))
-    return top.groupBy("fraction").agg(F.count(F.lit(1)).alias("n_top"), share.alias("positive_fraction"), (share / F.max("base_")).alias("enrichment"))
+    return top.groupBy("fraction").agg(F.count(F.lit(1)).alias("n_top"), share.alias("positive_fraction"), F.try_divide(share, F.max("base_")).alias("enrichment"))
 
 
 def leave_one_out(df: DataFrame, cluster: str, a: str, b: str) -> DataFrame:
@@ -206,7 +207,7 @@ def leave_one_out(df: DataFrame, cluster: str, a: str, b: str) -> DataFrame:
     whole = df.agg(*(s.alias(f"t_{i}") for i, s in enumerate(sums)))
 
     def r(n, x, y, xx, yy, xy):
-        return (n * xy - x * y) / F.sqrt((n * xx - x * x) * (n * yy - y * y))
+        return F.try_divide(n * xy - x * y, F.sqrt((n * xx - x * x) * (n * yy - y * y)))
 
     names = ("n", "x", "y", "xx", "yy", "xy")
     j = per.crossJoin(F.broadcast(whole))

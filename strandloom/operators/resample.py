@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
+from .metrics import guarded_corr
 from .ranks import average_rank
 
 
@@ -102,7 +103,7 @@ def sign_flip_p(df: DataFrame, cluster: str, effect: str, slope: str, replicates
     grid = df.select(cluster, effect, slope).withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     odd = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(cluster).cast("string")) % 2 == 1
     flipped = grid.withColumn("e_", F.when((F.col("replicate") >= 0) & odd, -F.col(effect)).otherwise(F.col(effect)))
-    rho = flipped.select("replicate", average_rank(F.col("e_"), ["replicate"]).alias("x"), average_rank(F.col(slope), ["replicate"]).alias("y")).groupBy("replicate").agg(F.round(F.corr("x", "y"), 12).alias("r"))
+    rho = flipped.select("replicate", average_rank(F.col("e_"), ["replicate"]).alias("x"), average_rank(F.col(slope), ["replicate"]).alias("y")).groupBy("replicate").agg(F.round(guarded_corr(F.col("x"), F.col("y")), 12).alias("r"))
     observed = F.max(F.when(F.col("replicate") < 0, F.col("r")))
     both = rho.crossJoin(F.broadcast(rho.agg(observed.alias("o"))))
     exceed = F.count(F.when((F.col("replicate") >= 0) & (F.abs("r") >= F.abs("o")), 1))

@@ -47,7 +47,7 @@ def gtf(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.size(f) >= 9))
     # a field without a space, or empty, is no attribute
-    fields = F.filter(F.transform(F.split(f[8], ";"), F.trim), lambda x: F.instr(x, " ") > 0)
+    fields = F.filter(F.transform(F.split(f[8], ";"), lambda x: F.trim(x)), lambda x: F.instr(x, " ") > 0)
     pairs = F.transform(fields, lambda x: F.struct(F.substring_index(x, " ", 1).alias("k"), F.regexp_replace(F.trim(F.substring(x, F.instr(x, " ") + 1, F.length(x))), '^"+|"+$', "").alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     attributes = F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])))
@@ -102,7 +102,7 @@ class _FastaReader(DataSourceReader):
 
 def genome_slices(genome: DataFrame, wanted: DataFrame, chunk: int, low: str = "low", high: str = "high", key: str = "chr") -> DataFrame:
     """wanted with `seq` of [low, high), from chunk rows: the few chunks that a slice touches are joined by number and cut. Null beyond the contig."""
-    ids = F.explode(F.sequence(F.floor(F.col(low) / chunk), F.floor((F.col(high) - 1) / chunk))).alias("chunk_id")
+    ids = F.explode(F.sequence(F.floor(F.col("a_") / chunk), F.floor((F.col("z_") - 1) / chunk))).alias("chunk_id")
     asked = wanted.select(F.col(key).alias("k_"), F.col(low).alias("a_"), F.col(high).alias("z_")).distinct().filter("z_ > a_ and a_ >= 0")
     hit = asked.select("*", ids).join(genome.select(F.col("chrom").alias("k_"), "chunk_id", "start", "seq"), ["k_", "chunk_id"])
     part = F.substring("seq", (F.greatest(F.col("a_"), F.col("start")) - F.col("start") + 1).cast("int"), (F.least(F.col("z_"), F.col("start") + chunk) - F.greatest(F.col("a_"), F.col("start"))).cast("int"))
@@ -120,8 +120,7 @@ def variant_hits(hits: DataFrame) -> DataFrame:
 
 def spdi_variants(records: DataFrame, accessions: DataFrame) -> DataFrame:
     """(record_id, chr, pos1, ref, alt) of records (record_id, variation_set[].canonical_spdi); accessions: (accession, chr). Single bases alone."""
-    s = F.split(F.explode("variation_set.canonical_spdi"), ":")
-    parts = records.select("record_id", s.alias("s")).filter(F.size("s") == 4)
+    parts = records.select("record_id", F.explode("variation_set.canonical_spdi").alias("spdi")).select("record_id", F.split("spdi", ":").alias("s")).filter(F.size("s") == 4)
     rows = parts.select("record_id", F.col("s")[0].alias("accession"), (F.col("s")[1].try_cast("long") + 1).alias("pos1"), F.col("s")[2].alias("ref"), F.col("s")[3].alias("alt"))
     ok = rows.filter(F.col("ref").isin(*S.BASES) & F.col("alt").isin(*S.BASES) & (F.col("ref") != F.col("alt")) & F.col("pos1").isNotNull())
     return ok.join(accessions, "accession").select("record_id", "chr", "pos1", "ref", "alt").distinct()
@@ -130,7 +129,7 @@ def spdi_variants(records: DataFrame, accessions: DataFrame) -> DataFrame:
 def placements(records: DataFrame, accessions: DataFrame) -> DataFrame:
     """(rsid, chr, pos1, ref, alt) of records (rsid, placements[] of (seq_id, is_ptlp, refseq_chromosome, alleles[] of (position, deleted, inserted)))."""
     p = records.select("rsid", F.explode("placements").alias("p")).filter(F.coalesce("p.is_ptlp", F.lit(False)) | F.coalesce("p.refseq_chromosome", F.lit(False)))
-    ref = F.filter("p.alleles", lambda a: a["deleted"] == a["inserted"])[0]
+    ref = F.get(F.filter("p.alleles", lambda a: a["deleted"] == a["inserted"]), F.lit(0))
     rows = p.select("rsid", F.col("p.seq_id").alias("accession"), ref["inserted"].alias("ref"), F.explode("p.alleles").alias("a")).select("rsid", "accession", "ref", (F.col("a.position") + 1).alias("pos1"), F.col("a.inserted").alias("alt"), F.col("a.deleted").alias("deleted"))
     ok = rows.filter((F.col("alt") != F.col("deleted")) & F.col("ref").isin(*S.BASES) & F.col("alt").isin(*S.BASES))
     return ok.join(accessions, "accession").select("rsid", "chr", "pos1", "ref", "alt").distinct()
