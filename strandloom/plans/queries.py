@@ -840,4 +840,104 @@ def fusion_model(d: Derived) -> DataFrame:
     return rounded(scored.groupBy("split").agg(*(F.avg(F.abs(S.m_to_beta(F.col(f"m_{m}")) - F.col("beta"))).alias(f"mae_{m}") for m in ("context", "sequence", "fusion")), F.count(F.lit(1)).alias("n")))
 
 
+# Comparisons and reports -----------------------------------------------------------
+
+_ENSEMBLES = ", e AS (SELECT part_key, model, avg(pred) - min(truth) AS x FROM predictions GROUP BY 1, 2), w AS (SELECT part_key, max(CASE WHEN model = 'sequence' THEN x END) AS a, max(CASE WHEN model = 'fusion' THEN x END) AS b FROM e GROUP BY 1)"
+
+
+def _ensembles(d: Derived) -> DataFrame:
+    e = d.predictions.groupBy("part_key", "model").agg((F.avg("pred") - F.min("truth")).alias("x")).filter("model <> 'context'")
+    of = lambda m: F.round(F.max(F.when(F.col("model") == m, F.col("x"))) + NUDGE, 6)
+    return e.groupBy("part_key").agg(of("sequence").alias("a"), of("fusion").alias("b"))
+
+
+@query(
+    with_tables("predictions")
+    + _ENSEMBLES
+    + """, v AS (SELECT part_key, round(a, 6) AS a, round(b, 6) AS b FROM w), k AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::double AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::double AS rb,
+rank() OVER (ORDER BY abs(a)) + (count(*) OVER (PARTITION BY abs(a)) - 1) / 2.0::double AS qa, rank() OVER (ORDER BY abs(b)) + (count(*) OVER (PARTITION BY abs(b)) - 1) / 2.0::double AS qb FROM v)
+SELECT count(*) AS n, round(corr(ra, rb), 6) AS signed_rho, round(corr(qa, qb), 6) AS absolute_rho, round(avg(CASE WHEN sign(a) = sign(b) THEN 1.0::double ELSE 0 END), 6) AS sign_agreement, round(avg(abs(qa - qb)), 6) AS mean_rank_change, round(max(abs(qa - qb)), 6) AS max_rank_change FROM k"""
+)
+def model_comparison(d: Derived) -> DataFrame:
+    t = _ensembles(d)
+    for column, by, name in (("a", F.col("a"), "ra"), ("b", F.col("b"), "rb"), ("a", F.abs("a"), "qa"), ("b", F.abs("b"), "qb")):
+        t = ranks.global_average_rank(t.withColumn("by_", by), "by_", name).drop("by_")
+    change = F.abs(F.col("qa") - F.col("qb"))
+    return rounded(t.agg(F.count(F.lit(1)).alias("n"), metrics.guarded_corr(F.col("ra"), F.col("rb")).alias("signed_rho"), metrics.guarded_corr(F.col("qa"), F.col("qb")).alias("absolute_rho"), metrics.concordance(F.col("a"), F.col("b"))[0].alias("sign_agreement"), F.avg(change).alias("mean_rank_change"), F.max(change).alias("max_rank_change")))
+
+
+@query(
+    with_tables("predictions")
+    + """, k AS (SELECT part_key, seed || '-' || model AS run, rank() OVER (PARTITION BY seed, model ORDER BY abs(pred - truth) DESC) AS r, pred - truth AS x FROM predictions), c AS (SELECT part_key, count(*) AS n_runs, round(avg(r), 6) AS mean_rank, round(avg(CASE WHEN r <= 20 THEN 1.0::double ELSE 0 END), 6) AS top20_frequency, round(avg(x), 6) AS mean_effect FROM k GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY mean_rank, part_key) AS consensus_rank FROM c ORDER BY mean_rank, part_key LIMIT 100"""
+)
+def run_consensus(d: Derived) -> DataFrame:
+    """The report's hundred candidates with the best mean rank over all runs."""
+    x = F.col("pred") - F.col("truth")
+    k = d.predictions.select("part_key", x.alias("x"), F.rank().over(Window.partitionBy("seed", "model").orderBy(F.abs(x).desc())).alias("r"))
+    c = rounded(k.groupBy("part_key").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("r").alias("mean_rank"), F.avg((F.col("r") <= 20).cast("double")).alias("top20_frequency"), F.avg("x").alias("mean_effect")))
+    best = c.orderBy("mean_rank", "part_key").limit(100)
+    return best.withColumn("consensus_rank", F.row_number().over(Window.orderBy("mean_rank", "part_key")))
+
+
+@query(
+    _CAND
+    + """, b AS (SELECT CASE WHEN distance <= 12 THEN '0-12' WHEN distance <= 25 THEN '13-25' ELSE '26-50' END AS bin, cpg_effect, delta FROM cand) SELECT bin, cpg_effect, count(*) AS n, round(avg(abs(delta)), 6) AS mean_abs, round(median(abs(delta)), 6) AS median_abs, round(avg(CASE WHEN delta > 0 THEN 1.0::double ELSE 0 END), 6) AS positive_fraction FROM b GROUP BY 1, 2"""
+)
+def response_by_distance(d: Derived) -> DataFrame:
+    b = F.when(F.col("distance") <= 12, "0-12").when(F.col("distance") <= 25, "13-25").otherwise("26-50")
+    return rounded(_candidates(d).groupBy(b.alias("bin"), "cpg_effect").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("delta")).alias("mean_abs"), F.median(F.abs("delta")).alias("median_abs"), F.avg((F.col("delta") > 0).cast("double")).alias("positive_fraction")))
+
+
+@query(
+    with_tables("leads")
+    + """, k AS (SELECT lead_id, round(100.0::double * (rank() OVER (ORDER BY effect) + (count(*) OVER (PARTITION BY effect) - 1) / 2.0::double - 1) / (count(*) OVER () - 1), 6) AS x, round(100.0::double * (rank() OVER (ORDER BY slope) + (count(*) OVER (PARTITION BY slope) - 1) / 2.0::double - 1) / (count(*) OVER () - 1), 6) AS y, sign(effect) = sign(slope) AS concordant, effect, slope FROM leads)
+SELECT lead_id, x, y, concordant, round((SELECT coalesce((max(CASE WHEN effect < 0 THEN x END) + min(CASE WHEN effect > 0 THEN x END)) / 2, 50) FROM k), 6) AS x_zero, round((SELECT coalesce((max(CASE WHEN slope < 0 THEN y END) + min(CASE WHEN slope > 0 THEN y END)) / 2, 50) FROM k), 6) AS y_zero FROM k"""
+)
+def rank_scatter(d: Derived) -> DataFrame:
+    n = d.leads.agg(F.count(F.lit(1)).alias("n_"))
+    t = ranks.global_average_rank(ranks.global_average_rank(d.leads.select("lead_id", "effect", "slope"), "effect", "rx_"), "slope", "ry_").crossJoin(F.broadcast(n))
+    t = t.withColumns({k: r6(ranks.percentile_rank(F.col(f"r{k}_"), F.col("n_"))) for k in "xy"})
+    zero = t.agg(r6(ranks.zero_boundary(F.col("effect"), F.col("x"))).alias("x_zero"), r6(ranks.zero_boundary(F.col("slope"), F.col("y"))).alias("y_zero"))
+    return t.crossJoin(F.broadcast(zero)).select("lead_id", "x", "y", (F.signum("effect") == F.signum("slope")).alias("concordant"), "x_zero", "y_zero")
+
+
+@query(
+    with_tables("variants", "loci")
+    + """, p AS (SELECT DISTINCT v.chr, v.pos1, v.ref, v.alt, v.variant_id % 5 = 0 AS marked FROM variants v), n AS (SELECT chr, count(DISTINCT probe_id) AS n_loci FROM loci GROUP BY 1) SELECT chr, count(*) AS n_screened, count(*) FILTER (marked) AS n_marked, min(pos1) AS first_pos, max(pos1) AS last_pos, min(n_loci) AS n_loci FROM p LEFT JOIN n USING (chr) GROUP BY 1"""
+)
+def screened_pool(d: Derived) -> DataFrame:
+    p = d.variants.select("chr", "pos1", "ref", "alt", (F.col("variant_id") % 5 == 0).alias("marked")).distinct()
+    n = d.loci.groupBy("chr").agg(F.countDistinct("probe_id").alias("n_loci"))
+    s = p.groupBy("chr").agg(F.count(F.lit(1)).alias("n_screened"), F.count(F.when(F.col("marked"), 1)).alias("n_marked"), F.min("pos1").alias("first_pos"), F.max("pos1").alias("last_pos"))
+    return s.join(n, "chr", "left").select("chr", "n_screened", "n_marked", "first_pos", "last_pos", "n_loci")
+
+
+@query(
+    with_tables("leads", "loci")
+    + """, x AS (SELECT lead_id, qval, 'chr' || (1 + lead_id % 22) AS vchr, lead_id % 1200 - 600 AS off, l.chr AS lchr, l.probe_id FROM leads LEFT JOIN loci l ON l.part_key = lead_id % (SELECT count(*) FROM part)),
+r AS (SELECT CASE WHEN probe_id IS NULL THEN 'no_locus' WHEN vchr <> lchr THEN 'other_chromosome' WHEN NOT off BETWEEN -499 AND 500 THEN 'outside_window' WHEN off IN (0, 1) THEN 'protected' WHEN qval >= 0.05 AND qval < 0.5 THEN 'unclear_association' ELSE 'kept' END AS reason FROM x) SELECT reason, count(*) AS n FROM r GROUP BY 1"""
+)
+def lead_eligibility(d: Derived) -> DataFrame:
+    n = d.table("part").agg(F.count(F.lit(1)).alias("n_"))
+    k = F.col("lead_id")
+    ids = d.leads.crossJoin(F.broadcast(n)).select("lead_id", "qval", (k % F.col("n_")).alias("part_key"), F.concat(F.lit("chr"), 1 + k % 22, F.lit("_"), 700 + k % 1200, F.lit("_A_G_b38")).alias("variant"))
+    x = ids.join(d.loci.select("part_key", "probe_id", F.col("chr").alias("lchr")), "part_key", "left").withColumn("v", S.variant_id_fields(F.col("variant")))
+    off = F.col("v.pos1") - 1300
+    reasons = [("no_locus", F.col("probe_id").isNull()), ("other_chromosome", F.col("v.chr") != F.col("lchr")), ("outside_window", ~off.between(-499, 500)), ("protected", off.isin(0, 1)), ("unclear_association", S.q_class(F.col("qval")).isNull())]
+    return cohort.funnel(x.withColumn("reason", cohort.first_reason(reasons)))
+
+
+@query(
+    _CAND
+    + """, tt AS (SELECT uid, delta, distance, cpg_effect, sbs6 FROM cand ORDER BY abs(delta) DESC, uid LIMIT 5) SELECT tt.uid, c.uid AS c_uid, c.delta AS c_delta FROM tt JOIN cand c ON c.uid <> tt.uid AND c.cpg_effect = tt.cpg_effect AND c.sbs6 = tt.sbs6 AND abs(c.distance - tt.distance) <= 100"""
+)
+def top_target_comparators(d: Derived) -> DataFrame:
+    """The report's five largest effects with all their comparators in one tier."""
+    c = _candidates(d)
+    top = ranks.top_k(c, 5, F.abs("delta"), "uid").select("uid", F.lit(0).alias("k"))
+    tier = (matching.TIERS[3],)
+    return matching.comparators(c, top, most=2**31 - 1, tiers=tier)
+
+
 FLAGSHIP = "locus_split_summary"
