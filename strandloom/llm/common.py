@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Regular expression of the white space that separates words, and of words.
-SPACE = r"[\x20\x09-\x0D]+"
-
+from ..operators.settling import settle
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        sc.setCheckpointDir(folder)
-    return folder
+__all__ = ["SPACE", "settle", "squeeze", "text_or_empty", "words_of"]
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Regular expression of the white space that separates words, and of words.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_or_empty(name: str) -> Column:
