@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
+from .ranks import running
 from .settling import settle
 
 
@@ -87,7 +88,7 @@ def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers:
     own = pairs.groupBy("uid").agg(n.alias("n"), F.avg("c_delta").alias("mean"), F.stddev_samp("c_delta").alias("sd"), (100.0 * (less + 0.5 * tied) / n).alias("percentile"), ((1.0 + F.count(F.when(a >= o, 1))) / (n + 1.0)).alias("tail"))
     total = candidates.agg(F.count(F.lit(1)).alias("t_"), F.sum("delta").alias("s_"), F.sum(F.col("delta") * F.col("delta")).alias("q_"))
     cells = candidates.groupBy(F.abs("delta").alias("a_")).agg(F.count(F.lit(1)).alias("c_"))
-    below = cells.select("a_", "c_", F.coalesce(F.sum("c_").over(Window.orderBy("a_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("l_"))
+    below = running(cells, [F.col("a_")], {"r_": F.col("c_")}).select("a_", "c_", (F.col("r_") - F.col("c_")).alias("l_"))
     rest = candidates.join(chosen.filter(F.col("k") == len(tiers)), "uid").select("uid", "delta", F.abs("delta").alias("a_")).join(below, "a_").crossJoin(F.broadcast(total))
     m = F.col("t_") - 1
     mean = (F.col("s_") - F.col("delta")) / m
@@ -177,7 +178,6 @@ def optimal_matching(edges: DataFrame, unmatched: float = 100.0) -> DataFrame:
 
 def pair_rows(matched: DataFrame) -> DataFrame:
     """Two rows for each pair: (match_set_id, lead_id, y)."""
-    w = Window.orderBy("p")
-    ids = matched.withColumn("match_set_id", F.concat(F.lit("match_"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")))
+    ids = running(matched, [F.col("p")], {"k_": F.lit(1)}).withColumn("match_set_id", F.concat(F.lit("match_"), F.lpad(F.col("k_").cast("string"), 4, "0")))
     both = F.explode(F.array(F.struct(F.col("p").alias("lead_id"), F.lit(1).alias("y")), F.struct(F.col("q").alias("lead_id"), F.lit(0).alias("y")))).alias("x")
     return ids.select("match_set_id", both).select("match_set_id", "x.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .ranks import average_rank, global_average_rank
+from .ranks import average_rank, global_average_rank, running
 
 
 def probe_medians(normals: DataFrame, probe: str = "part_key") -> DataFrame:
@@ -81,11 +81,16 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", keys: tuple[str, ...]
 def curve(df: DataFrame, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """ROC and precision-recall points at each distinct score, from the highest down."""
     per = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(y).cast("long").alias("p_"), F.count(F.lit(1)).alias("n_"))
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    tp, n = F.sum("p_").over(down), F.sum("n_").over(down)
-    pos, total = F.sum("p_").over(whole), F.sum("n_").over(whole)
-    return per.select(*keys, score, F.col("p_").alias("positives"), tp.alias("tp"), (n - tp).alias("fp"), F.when(pos > 0, tp / pos).alias("tpr"), F.when(total > pos, (n - tp) / (total - pos)).alias("fpr"), (tp / n).alias("precision"))
+    down = F.col(score).desc()
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
+        run = per.withColumns({"tp_": F.sum("p_").over(w), "k_": F.sum("n_").over(w)})
+    else:
+        run = running(per, [down], {"tp_": F.col("p_"), "k_": F.col("n_")})
+    total = per.groupBy(*keys).agg(F.sum("p_").alias("pos_"), F.sum("n_").alias("all_"))
+    run = run.join(total, list(keys)) if keys else run.crossJoin(F.broadcast(total))
+    tp, n, pos = F.col("tp_"), F.col("k_"), F.col("pos_")
+    return run.select(*keys, score, F.col("p_").alias("positives"), tp.alias("tp"), (n - tp).alias("fp"), F.when(pos > 0, tp / pos).alias("tpr"), F.when(F.col("all_") > pos, (n - tp) / (F.col("all_") - pos)).alias("fpr"), (tp / n).alias("precision"))
 
 
 def average_precision(df: DataFrame, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -96,8 +101,12 @@ def average_precision(df: DataFrame, y: str = "y", score: str = "score", keys: t
 
 def ordered_average_precision(df: DataFrame, tie: str, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """Tie-ordered: the mean over positives of the precision at their place."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), tie)
-    placed = df.select(*keys, y, F.row_number().over(w).alias("k_"), F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp_"))
+    order = [F.col(score).desc(), F.col(tie)]
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        placed = df.select(*keys, y, F.row_number().over(w).alias("k_"), F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp_"))
+    else:
+        placed = running(df.select(y, score, tie), order, {"k_": F.lit(1), "tp_": F.col(y)})
     return placed.groupBy(*keys).agg(F.avg(F.when(F.col(y) == 1, F.col("tp_") / F.col("k_"))).alias("average_precision"))
 
 
@@ -192,7 +201,7 @@ def set_wins(df: DataFrame, set_col: str, y: str = "y", score: str = "score") ->
 def top_enrichment(df: DataFrame, fractions: tuple[float, ...], tie: str, y: str = "y", score: str = "score") -> DataFrame:
     """(fraction, n_top, positive_fraction, enrichment) of the highest scores."""
     total = df.agg(F.count(F.lit(1)).alias("n_"), F.avg(F.col(y).cast("double")).alias("base_"))
-    placed = df.select(y, F.row_number().over(Window.orderBy(F.col(score).desc(), tie)).alias("k_")).crossJoin(F.broadcast(total))
+    placed = running(df.select(y, score, tie), [F.col(score).desc(), F.col(tie)], {"k_": F.lit(1)}).crossJoin(F.broadcast(total))
     f = F.explode(F.array(*map(F.lit, fractions))).alias("fraction")
     top = placed.select("*", f).filter(F.col("k_") <= F.greatest(F.lit(1), F.ceil(F.col("fraction") * F.col("n_"))))
     share = F.avg(F.col(y).cast("double"))

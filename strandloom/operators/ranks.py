@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settling import settle
+
 
 def average_rank(by: Column, keys: list[str] | None = None) -> Column:
     """Rank with ties at their mean, within keys."""
@@ -12,13 +14,27 @@ def average_rank(by: Column, keys: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(by)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, by)) - 1) / 2.0
 
 
+def running(df: DataFrame, by: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with inclusive running sums over the whole table in an order without ties.
+
+    The table is range-partitioned and written once with its partition's number; sums
+    run inside partitions and start from the totals of those before, one row each.
+    """
+    own = {f"{k}_own_": c for k, c in sums.items()}
+    ranged = settle(df.withColumns(own).repartitionByRange(*by).withColumn("range_", F.spark_partition_id()))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range_").agg(*(F.sum(c).alias(c) for c in own))
+    starts = totals.select("range_", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}start_") for c in own))
+    inside = Window.partitionBy("range_").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.join(F.broadcast(starts), "range_").withColumns({k: F.col(f"{k}_own_start_") + F.sum(f"{k}_own_").over(inside) for k in sums})
+    return run.drop("range_", *own, *(f"{c}start_" for c in own))
+
+
 def global_average_rank(df: DataFrame, by: str, out: str = "rank") -> DataFrame:
-    """As average_rank over the whole table, without sorting it in one task: distinct values are counted, ranges of them summed."""
-    counts = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n_")).repartitionByRange(by).withColumn("p_", F.spark_partition_id())
-    inside = Window.partitionBy("p_").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.groupBy("p_").agg(F.sum("n_").alias("t_")).withColumn("before_", F.coalesce(F.sum("t_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = counts.withColumn("i_", F.coalesce(F.sum("n_").over(inside), F.lit(0))).join(F.broadcast(below.select("p_", "before_")), "p_")
-    return df.join(ranked.select(by, (F.col("before_") + F.col("i_") + (F.col("n_") + 1) / 2.0).alias(out)), by, "left")
+    """As average_rank over the whole table, without sorting it in one task: distinct values are counted and summed in order."""
+    counts = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    ranked = running(counts, [F.col(by)], {"r_": F.col("n_")})
+    return df.join(ranked.select(by, (F.col("r_") - (F.col("n_") - 1) / 2.0).alias(out)), by, "left")
 
 
 def percentile_rank(rank: Column, n: Column, convention: str = "from_zero") -> Column:
@@ -26,12 +42,12 @@ def percentile_rank(rank: Column, n: Column, convention: str = "from_zero") -> C
     return F.when(n == 1, 50.0).otherwise(100.0 * (rank - 1) / (n - 1)) if convention == "from_zero" else 100.0 * rank / n
 
 
-def quartile_strata(x: Column, labels=("Q1", "Q2", "Q3", "Q4")) -> Column:
-    """Right-closed quartiles of the percentile rank among values that are there; others are Missing."""
-    ranked = Window.partitionBy(x.isNull()).orderBy(x)
-    n = F.count(F.lit(1)).over(Window.partitionBy(x.isNull()))
-    share = (F.rank().over(ranked) + (F.count(F.lit(1)).over(Window.partitionBy(x)) - 1) / 2.0) / n
-    return F.when(x.isNull(), "Missing").when(share <= 0.25, labels[0]).when(share <= 0.5, labels[1]).when(share <= 0.75, labels[2]).otherwise(labels[3])
+def quartile_strata(df: DataFrame, x: str, out: str = "stratum", labels=("Q1", "Q2", "Q3", "Q4")) -> DataFrame:
+    """df with right-closed quartiles of the percentile rank among values that are there; others are Missing."""
+    n = df.agg(F.count(x).alias("n_"))
+    share = F.col("rank_") / F.col("n_")
+    label = F.when(F.col(x).isNull(), "Missing").when(share <= 0.25, labels[0]).when(share <= 0.5, labels[1]).when(share <= 0.75, labels[2]).otherwise(labels[3])
+    return global_average_rank(df, x, "rank_").crossJoin(F.broadcast(n)).withColumn(out, label).drop("rank_", "n_")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

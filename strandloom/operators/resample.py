@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
 from .metrics import guarded_corr
-from .ranks import average_rank
+from .ranks import average_rank, global_average_rank
 
 
 def numbered(df: DataFrame, block: str) -> DataFrame:
@@ -113,7 +113,8 @@ def sign_flip_p(df: DataFrame, cluster: str, effect: str, slope: str, replicates
 def within_set_permutation_p(df: DataFrame, set_col: str, id_col: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
     """(observed, exceed, p) of the AUC by |score| when one row of each set, by hash, is the positive."""
     w = Window.partitionBy(set_col)
-    rows = df.select(set_col, id_col, y, average_rank(F.abs(score)).alias("r_")).withColumn("i_", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
+    ranked = global_average_rank(df.withColumn("a_", F.abs(score)), "a_", "r_")
+    rows = ranked.select(set_col, id_col, y, "r_").withColumn("i_", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
     total = rows.agg(F.count(F.lit(1)).alias("t_"), F.countDistinct(set_col).alias("k_"), F.sum(F.when(F.col(y) == 1, F.col("r_"))).alias("o_"), F.sum(y).alias("p_"))
     grid = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     pick = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(set_col).cast("string")) % F.col("n_")

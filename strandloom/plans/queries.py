@@ -116,7 +116,7 @@ SELECT probe_id, CASE WHEN v IS NULL THEN 'Missing' WHEN p <= 0.25 THEN 'Q1' WHE
 def signal_quartiles(d: Derived) -> DataFrame:
     w = d.loci.select("probe_id", "chr", (F.col("pos") - 2000).alias("start"), (F.col("pos") + 2000).alias("end"))
     x = intervals.interval_mean(w, d.signals, id_col="probe_id")
-    return x.select("probe_id", ranks.quartile_strata(F.col("mean")).alias("stratum"))
+    return ranks.quartile_strata(x, "mean").select("probe_id", "stratum")
 
 
 @query(
