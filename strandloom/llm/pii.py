@@ -81,9 +81,9 @@ def _homoglyphs() -> dict[int, str]:
     for c in range(0x80, 0x11000):
         if (d := unicodedata.decimal(chr(c), None)) is not None:
             table[c] = str(d)
-    # Cyrillic, then Greek letters, with the Latin letters that they look like; then dots, at signs, dashes and spaces.
-    table |= dict(zip(map(ord, "АВЕЅІЈКМНОРСТХаеорсухіјѕ"), "ABESIJKMHOPCTXaeopcyxijs"))
-    table |= dict(zip(map(ord, "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ"), "ABEZHIKMNOPTYXovp"))
+    # Cyrillic, then Greek and phonetic letters, with the Latin letters that they look like; then dots, at signs, dashes and spaces.
+    table |= dict(zip(map(ord, "АВЕЅІЈКМНОРСТХаеорсухіјѕһӏԁԛԝ"), "ABESIJKMHOPCTXaeopcyxijshldqw"))
+    table |= dict(zip(map(ord, "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυɑɡ"), "ABEZHIKMNOPTYXaivopuag"))
     table |= dict(zip(map(ord, "\u2024\u3002\uff61\ufe52\ufe6b\u2010\u2011\u2012\u2013\u2014\u00a0\u2007\u2009\u202f"), "....@-----    "))
     return table
 
@@ -108,6 +108,7 @@ _MAILS = (re.compile(rf"(?i){_NAME}(?P<at>{_AT}){_HOST}(?:(?:{_DOT}|\.){_HOST})+
 _DOTS = re.compile(rf"(?i){_DOT}")
 _AT_CORES = (re.compile(r"(?i)[\[({<]\s?at\s?[\])}>]|@"), re.compile(r"(?i)\sat\s"))
 _NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])(?:{_DOT})(?=[0-9])")
+_DOT_END = re.compile(rf"(?i)(?:{_DOT})\Z")
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus\s(?=[0-9])")
 #: What a text with a disguise has; others are not searched.
 _AT_SIGNS = ("at]", "at )", "at)", "at ]", "at}", "at }", "at>", "at >", " @", "@ ", "@\n", "\n@")
@@ -173,9 +174,31 @@ def rewrite(text: str) -> Rewritten | None:
                 mail += [(d.start(), d.end(), ".") for d in _DOTS.finditer(r.text, m.end("at"), m.end())]
                 last = m.end()
         r.replace(mail)
+    if dots and "@" in r.text:
+        r.replace(_name_dots(r.text))
     return r if r.text != text else None
 
 
+def _name_dots(text: str) -> list[tuple[int, int, str]]:
+    """Disguised dots between the parts of the name before each `@`, from right to left."""
+    out: list[tuple[int, int, str]] = []
+    last = 0
+    for at in re.finditer("@", text):
+        start, found = at.start(), []
+        while True:
+            while start > last and text[start - 1] in _LOCAL:
+                start -= 1
+            low = max(last, start - 12)
+            dot = _DOT_END.search(text[low:start])
+            if start == at.start() or not dot or low + dot.start() <= last or text[low + dot.start() - 1] not in _LOCAL:
+                break
+            found.append((low + dot.start(), start, "."))
+            start = low + dot.start()
+        out += reversed(found)
+        last = at.end()
+    return out
+
+
 def _near_number(text: str, m: re.Match) -> bool:
     """A single spelled digit counts only between digits, one separator away."""
     a, b = m.span()

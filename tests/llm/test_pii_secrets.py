@@ -95,3 +95,10 @@ def test_secret_digest(spark):
     rows = {r.doc_id: r for r in secret_scan.scan_documents(docs).collect()}
     assert rows[1].spans == "assign:2:17,hex:18:50" and rows[1].base_sha256 == hashlib.sha256(rows[1].spans.encode()).hexdigest()
     assert (rows[2].n_assign, rows[2].spans) == (0, "")
+
+
+def test_names_with_dots_and_hostile_runs():
+    text = "reach jane dot doe at example dot com"
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == ["jane dot doe at example dot com"]
+    for hostile in ("word dot " * 20000 + "x@y.z", "one dot " * 20000, "a@ dot " * 20000, "plus 1" * 20000):
+        pii.find(hostile)
