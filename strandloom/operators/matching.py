@@ -53,19 +53,31 @@ def tier_counts(candidates: DataFrame, tiers: tuple[Tier, ...] = TIERS) -> DataF
 
 
 def choose_tiers(candidates: DataFrame, least: int = 20, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """(uid, k): the first tier with `least` comparators, else that of all rows (k = number of tiers)."""
-    first = tier_counts(candidates, tiers).filter(F.col("n") >= least).groupBy("uid").agg(F.min("k").alias("k"))
-    return candidates.select("uid").join(first, "uid", "left").select("uid", F.coalesce("k", F.lit(len(tiers))).alias("k"))
+    """(uid, k, n): the first tier with `least` comparators and their number, else that of all rows (k = number of tiers, n null)."""
+    first = tier_counts(candidates, tiers).filter(F.col("n") >= least).groupBy("uid").agg(F.min(F.struct("k", "n")).alias("f_"))
+    return candidates.select("uid").join(first, "uid", "left").select("uid", F.coalesce("f_.k", F.lit(len(tiers))).alias("k"), F.col("f_.n").alias("n"))
 
 
 def comparators(candidates: DataFrame, chosen: DataFrame, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """(uid, c_uid, c_delta): the pairs of the chosen tiers, at most `most` of a target by the order of a hash. Targets of the last tier, which is all rows, have none here."""
+    """(uid, c_uid, c_delta): the pairs of the chosen tiers, at most `most` of a target by the order of a hash. Targets of the last tier, which is all rows, have none here.
+
+    A target with n comparators, over twice `most`, meets one of 2**level hash buckets
+    of them, which holds two to four times `most` on average; so pairs grow with the
+    targets, not with the square of a group.
+    """
     parts = []
+    bucket = lambda uid, level: F.pmod(hash32(F.lit("bucket"), F.col(uid).cast("string")), F.pow(F.lit(2.0), level).cast("long"))
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / (2.0 * most)))).cast("int") if "n" in chosen.columns else F.lit(0)
     for k, t in enumerate(tiers):
         width = t.within + 1
-        target = candidates.join(chosen.filter(F.col("k") == k), "uid").select("uid", "distance", *t.same).withColumn("bin_", F.explode(F.sequence(F.floor(F.col("distance") / width) - 1, F.floor(F.col("distance") / width) + 1)))
-        other = candidates.select(F.col("uid").alias("c_uid"), F.col("distance").alias("c_distance"), F.col("delta").alias("c_delta"), *t.same).withColumn("bin_", F.floor(F.col("c_distance") / width))
-        pairs = target.join(other, [*t.same, "bin_"]).filter((F.col("uid") != F.col("c_uid")) & (F.abs(F.col("distance") - F.col("c_distance")) <= t.within))
+        at = F.floor(F.col("distance") / width)
+        target = candidates.join(chosen.filter(F.col("k") == k).select("uid", level.alias("level_")), "uid").select("uid", "distance", *t.same, "level_")
+        target = target.withColumn("bucket_", bucket("uid", F.col("level_")))
+        levels = target.select(*t.same, "level_").distinct()
+        other = candidates.join(levels, list(t.same)).select(F.col("uid").alias("c_uid"), F.col("distance").alias("c_distance"), F.col("delta").alias("c_delta"), *t.same, "level_", at.alias("bin_"))
+        other = other.withColumn("bucket_", bucket("c_uid", F.col("level_")))
+        pairs = target.withColumn("bin_", F.explode(F.sequence(at - 1, at + 1))).join(other, [*t.same, "level_", "bucket_", "bin_"])
+        pairs = pairs.filter((F.col("uid") != F.col("c_uid")) & (F.abs(F.col("distance") - F.col("c_distance")) <= t.within))
         parts.append(pairs.select("uid", "c_uid", "c_delta"))
     out = parts[0]
     for p in parts[1:]:
@@ -77,7 +89,7 @@ def comparators(candidates: DataFrame, chosen: DataFrame, most: int = 1000, tier
 def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
     """(uid, tier, n, below_least, mean, sd, percentile, tail) of candidates (uid, delta, distance and the tiers' fields).
 
-    Targets without a tier of their own are held against all other rows by sums and
+    n counts the comparators used. Targets without a tier of their own are held against all other rows by sums and
     ranks of the whole table, so their pairs are never made.
     """
     candidates = settle(candidates)
@@ -98,7 +110,7 @@ def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers:
         F.when(m > 0, 100.0 * (F.col("l_") + 0.5 * (F.col("c_") - 1)) / m).alias("percentile"), F.when(m > 0, (1.0 + m - F.col("l_")) / (m + 1.0)).alias("tail"),
     )
     names = F.array(*(F.lit(t.name) for t in tiers), F.lit(ALL))
-    return chosen.select("uid", names[F.col("k")].alias("tier")).join(own.unionByName(whole), "uid", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("below_least", F.col("n") < least)
+    return chosen.select("uid", F.get(names, F.col("k")).alias("tier")).join(own.unionByName(whole), "uid", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("below_least", F.col("n") < least)
 
 
 # Optimal matching ------------------------------------------------------------

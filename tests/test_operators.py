@@ -164,6 +164,18 @@ def test_background_against_plain_loops(spark):
         assert g.percentile == pytest.approx(100 * ((a < abs(t.delta)).sum() + 0.5 * (a == abs(t.delta)).sum()) / len(c)) and g.tail == pytest.approx((1 + (a >= abs(t.delta)).sum()) / (len(c) + 1))
 
 
+def test_capped_comparators(spark):
+    rows = [(i, "a", "x", "p", "t", "created", i % 20, i / 1000) for i in range(400)]
+    c = spark.createDataFrame(rows, "uid long, gene string, sbs96 string, sbs6 string, titv string, cpg_effect string, distance long, delta double")
+    chosen = matching.choose_tiers(c)
+    got = matching.comparators(c, chosen, most=20).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.uid, set()).add(r.c_uid)
+    assert len(by) == 400 and all(len(v) == 20 and u not in v for u, v in by.items())
+    assert len({tuple(sorted(v)) for v in by.values()}) > 100  # each target has its own choice
+
+
 def test_one_block_has_no_interval(spark):
     df = spark.createDataFrame([("s", "b1", 1.0), ("s", "b1", 2.0)], "stratum string, block string, g double")
     row = resample.stratum_bootstrap(df, "stratum", "block", "g", 20).first()
