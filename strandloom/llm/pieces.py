@@ -10,6 +10,7 @@ bounded memo.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -24,7 +25,7 @@ from .common import text_or_empty
 #: Rows whose ids are Python numbers at a time.
 SLICE = 250
 #: Segments that a process remembers; those up to SHORT characters are searched at once, longer ones in chunks of LONG.
-MEMO, SHORT, LONG = 250_000, 64, 512
+MEMO, SHORT, LONG = 150_000, 64, 512
 
 
 def model_file() -> str:
@@ -199,7 +200,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, text, text_sha256) from what encode returns; text is decoded from the ids. Null ids give an empty text."""
+    """(doc_id, n_ids, text_sha256, text) from what encode returns; text is decoded from the ids. Null ids give an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces or Pieces.load(model_file()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +211,32 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
                 ids = part.column("ids")
                 ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
                 text = [of.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_ids", "ids_sha256", "text_sha256")), pa.array(text, pa.string())], ["doc_id", "n_ids", "ids_sha256", "text_sha256", "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_ids", "text_sha256")), pa.array(text, pa.string())], ["doc_id", "n_ids", "text_sha256", "text"])
 
     ids = F.coalesce("ids", F.array().cast("array<int>"))
-    told = encoded.select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_ids"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), "text_sha256")
-    return told.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, text_sha256 string, text string")
+    told = encoded.select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_ids"), "text_sha256")
+    return told.mapInArrow(run, "doc_id long, n_ids long, text_sha256 string, text string")
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, decoded_chars, round_trip): encoded, decoded again, and compared by hash with the source."""
-    pieces = Pieces.load(model_file())
-    back = decode(encode(docs, pieces), pieces)
-    return back.select("doc_id", "n_ids", "ids_sha256", F.char_length("text").cast("long").alias("decoded_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+def round_trip(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_ids, ids_sha256, decoded_chars, round_trip): each text encoded, decoded again and compared with its source, in one pass.
+
+    ids_sha256 is of the ids as little-endian 32-bit numbers. Rows as in encode.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(pieces or Pieces.load(model_file()))
+    names = ["doc_id", "n_ids", "ids_sha256", "decoded_chars", "round_trip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for b in batches:
+            rows = []
+            for at in range(0, b.num_rows, SLICE):
+                for text in b.column("text").slice(at, SLICE).to_pylist():
+                    ids = of.encode(text)
+                    back = of.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), len(back), back == text))
+            columns = zip(*rows) if rows else ([], [], [], [])
+            types = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, decoded_chars long, round_trip boolean")

@@ -60,3 +60,14 @@ def test_rows(spark):
     assert len(rows) == 4 and all(r.round_trip for r in rows)
     assert {r.n_ids for r in rows if r.doc_id == 2} == {0}
     assert pieces.round_trip(docs.limit(0)).count() == 0
+
+
+def test_ids_as_a_table_decode_to_the_texts(spark, sf_dir, vocabulary):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    source = {r.doc_id: r.text for r in docs.collect()}
+    encoded = pieces.encode(docs, vocabulary)
+    assert {r.doc_id: list(r.ids) for r in encoded.collect()} == {d: vocabulary.encode(t) for d, t in source.items()}
+    back = pieces.decode(encoded, vocabulary).collect()
+    assert {r.doc_id: r.text for r in back} == source and all(r.n_ids == len(vocabulary.encode(source[r.doc_id])) for r in back)
+    hashes = {r.doc_id: (r.n_ids, r.decoded_chars, r.round_trip) for r in pieces.round_trip(docs, vocabulary).collect()}
+    assert hashes == {d: (len(vocabulary.encode(t)), len(t), True) for d, t in source.items()}
