@@ -131,3 +131,12 @@ def count_contract(tables: dict[str, DataFrame], wanted: dict[str, int]) -> Data
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """df, failing at the first row where ok does not hold."""
     return df.filter(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def check_splits(val: list[str], test: list[str], known: list[str] = S.CHROMOSOMES) -> None:
+    """Fails unless both splits have chromosomes, all known, none in both, and some are left to train on."""
+    v, t, k = set(val), set(test), set(known)
+    if not v or not t:
+        raise ValueError("a split without chromosomes")
+    if v & t or (v | t) - k or not k - v - t:
+        raise ValueError(f"splits overlap, name unknown chromosomes or leave none: {sorted(v & t)}, {sorted((v | t) - k)}")

@@ -133,3 +133,12 @@ def motif_scan(seqs: DataFrame, motifs: DataFrame, id_col: str, ref: str, alt: s
 
     both = best(ref, "ref_score").join(best(alt, "alt_score"), [id_col, "motif"])
     return both.withColumn("delta", F.col("alt_score") - F.col("ref_score")).filter(F.abs("delta") > least)
+
+
+def published(rows: DataFrame, links: DataFrame, id_col: str = "record_id", url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(rows with publication_ids, audit): rows with a linked publication or a URL; audit counts both kinds and those without."""
+    ids = links.groupBy(id_col).agg(F.array_sort(F.collect_set("publication_id")).alias("publication_ids"))
+    marked = rows.join(ids, id_col, "left").withColumn("publication_ids", F.coalesce("publication_ids", F.array().cast("array<string>")))
+    has_ids, has_url = F.size("publication_ids") > 0, F.coalesce(F.trim(url) != "", F.lit(False))
+    evidence = F.when(has_ids, "publication").when(has_url, "url").otherwise("none")
+    return marked.filter(has_ids | has_url), marked.groupBy(evidence.alias("evidence")).agg(F.count(F.lit(1)).alias("n"))

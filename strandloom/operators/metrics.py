@@ -245,3 +245,9 @@ def histogram(df: DataFrame, x: str, low: float, high: float, n: int, keys: tupl
 def density_grid(df: DataFrame, x: str, y: str, low: float, high: float, n: int) -> DataFrame:
     cell = lambda c, name: F.least(F.floor((F.col(c) - low) / ((high - low) / n)), F.lit(n - 1)).cast("int").alias(name)
     return df.filter(F.col(x).between(low, high) & F.col(y).between(low, high)).groupBy(cell(x, "x_bin"), cell(y, "y_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gain_panel(intervals: DataFrame, order: list[str], stratum: str = "stratum", gain: str = "gain") -> DataFrame:
+    """(place, stratum, change, low, high): gains as changes of the error, so signs and ends of the intervals swap; strata in a given order, others drop."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(stratum))
+    return intervals.select(place.alias("place"), stratum, (-F.col(gain)).alias("change"), (-F.col("high")).alias("low"), (-F.col("low")).alias("high")).filter("place > 0")

@@ -201,3 +201,31 @@ def test_rc_view_swaps(spark):
     df = spark.createDataFrame([("ACC", 1, 2)], "seq string, left int, right int")
     assert tuple(cohort.rc_view(df, "seq", [("left", "right")]).first()) == ("GGT", 2, 1)
     assert {tuple(r) for r in cohort.rc_view(cohort.rc_view(df, "seq", [("left", "right")]), "seq", [("left", "right")]).collect()} == {("ACC", 1, 2)}
+
+
+def test_splits_publications_and_panel(spark):
+    audit.check_splits(["chr10", "chr11"], ["chr8", "chr9"])
+    for val, test in (([], ["chr8"]), (["chr8"], ["chr8"]), (["chr99"], ["chr8"])):
+        with pytest.raises(ValueError):
+            audit.check_splits(val, test)
+    rows = spark.createDataFrame([("a", None), ("b", "http://x"), ("c", " "), ("d", "http://y")], "record_id string, url string")
+    links = spark.createDataFrame([("a", "2"), ("a", "1"), ("d", "3")], "record_id string, publication_id string")
+    kept, counts = cohort.published(rows, links)
+    assert {r.record_id: r.publication_ids for r in kept.collect()} == {"a": ["1", "2"], "b": [], "d": ["3"]}
+    assert {tuple(r) for r in counts.collect()} == {("publication", 2), ("url", 1), ("none", 1)}
+    panel = metrics.gain_panel(spark.createDataFrame([("x", 1.0, 0.5, 2.0), ("z", 1.0, 1.0, 1.0)], "stratum string, gain double, low double, high double"), ["y", "x"])
+    assert [tuple(r) for r in panel.collect()] == [(2, "x", -1.0, -2.0, -0.5)]
+
+
+def test_semi_join_counts_points_once(spark):
+    pts = spark.createDataFrame([("c", 5), ("c", 50)], "chr string, pos long")
+    iv = spark.createDataFrame([("c", 1, 9), ("c", 4, 6)], "chr string, start long, end long")
+    assert [r.pos for r in intervals.containing(pts, iv, how="left_semi").collect()] == [5]
+
+
+def test_best_seed(spark):
+    rng = random.Random(1)
+    rows = [("".join(rng.choices("ACGT", k=20)), rng.random(), rng.uniform(-3, 3)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "seq string, a double, m_value double")
+    seed, model = ml.best_seed(df, df, ["a"], [1, 2])
+    assert seed in (1, 2) and 0 <= ml.fusion_share(model) <= 1
