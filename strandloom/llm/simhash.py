@@ -24,18 +24,32 @@ from pyspark.sql import functions as F
 from .common import settle, text_or_empty, words_of
 from .graph import components
 
+#: Minima of a text's shingles, BANDS of them times ROWS; texts that agree in all rows of a band are compared.
+BANDS, ROWS = 20, 4
+_FLIP, _TIMES = np.random.default_rng(20240301).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
+#: Texts of a band's bucket that are all compared with each other; in larger buckets each meets NEXT others after it, in an order of each band's own.
+BUCKET, NEXT = 32, 2
+
 PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, 16, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the runs of `shingle` words, or of a shorter text as a whole; repeated ones stay."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     hash_of = xxhash.xxh64_intdigest
-    h = np.fromiter((hash_of(whole[a:z], 42) for a, z in zip(starts, ends[len(words) - n :])), np.uint64, n)
+    return np.fromiter((hash_of(whole[a:z], 42) for a, z in zip(starts, ends[len(words) - n :])), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 15):
         ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -153,3 +167,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return sig.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A hash of each band of the minima of a set of hashes."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 2048):
+        least = np.minimum(least, ((h[i : i + 2048, None] ^ _FLIP) * _TIMES).min(axis=0))
+    out = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15) + (out >> np.uint64(29))
+    return out
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id), one row for each row of docs: groups joined by pairs of texts whose sets of shingles have the Jaccard similarity or more.
+
+    Pairs that share a band of minima are compared exactly, so no link is wrong. A pair
+    of similarity s shares none of the bands with a probability of (1 - s^ROWS)^BANDS:
+    2.7e-5 at 0.8. In buckets of more than BUCKET different texts a pair may also
+    be left out, which matters only where no chain of others links it. component_id is
+    a group's smallest identifier, nulls last; it may be of any type that has an order. Texts
+    without words are alike. Repeated rows and null identifiers stay; an empty table gives an empty one.
+    """
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
+            keys = np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), np.uint64, len(b)).view(np.int64)
+            yield pd.DataFrame({"text_hash": b["text_hash"], "key": keys, "bands": [bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets]})
+
+    signed = settle(rows.select("text", "text_hash").mapInPandas(sign, "text_hash long, key long, bands array<long>").dropDuplicates(["text_hash"]))
+    once = signed.groupBy("key").agg(F.min_by("bands", "text_hash").alias("bands"), F.min("text_hash").alias("text_hash"))
+    dealt = once.select("key", F.posexplode("bands").alias("band", "bucket"))
+    bucket = Window.partitionBy("band", "bucket")
+    after = F.collect_list("key").over(bucket.orderBy(F.xxhash64("key", "band"), "key").rowsBetween(1, BUCKET - 1))
+    met = dealt.select("key", after.alias("after"), F.count(F.lit(1)).over(bucket).alias("n")).filter("n > 1")
+    near = met.select("key", F.explode(F.when(F.col("n") <= BUCKET, F.col("after")).otherwise(F.slice("after", 1, NEXT))).alias("other"))
+    pairs = settle(near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(once.select("key", "text_hash"), "key")
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "hashes": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b["text"]]})
+
+    texts = rows.select("text", "text_hash").join(wanted, "text_hash").dropDuplicates(["text_hash"])
+    sets = settle(texts.select("key", "text").mapInPandas(sets_of, "key long, hashes binary"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["x"], b["y"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.loc[np.array(keep, bool), ["a", "b"]]
+
+    sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    roots = components(sided.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+    rooted = signed.select("text_hash", "key").join(roots, F.col("key") == F.col("node"), "left").select("text_hash", F.coalesce("root", "key").alias("root"))
+    placed = settle(rows.select(id_col, "text_hash").join(rooted, "text_hash").select(id_col, "root"))
+    least = placed.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"))).alias("least"))
+    return placed.join(least, "root").select(id_col, F.col("least.id").alias("component_id"))
