@@ -177,6 +177,17 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def _ids(of: Pieces, texts: pa.Array) -> pa.ListArray:
+    ids = [of.encode(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]))
+
+
+def _texts(of: Pieces, ids: pa.ListArray) -> list[str]:
+    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return [of.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])]
+
+
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, text_sha256), one row for each row of docs.
 
@@ -190,10 +201,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                ids = [of.encode(t) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, flat), part.column("text_sha256")], ["doc_id", "ids", "text_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _ids(of, part.column("text")), part.column("text_sha256")], ["doc_id", "ids", "text_sha256"])
 
     text = text_or_empty(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256")).mapInArrow(run, "doc_id long, ids array<int>, text_sha256 string")
@@ -208,10 +216,7 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                ids = part.column("ids")
-                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-                text = [of.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_ids", "text_sha256")), pa.array(text, pa.string())], ["doc_id", "n_ids", "text_sha256", "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_ids", "text_sha256")), pa.array(_texts(of, part.column("ids")), pa.string())], ["doc_id", "n_ids", "text_sha256", "text"])
 
     ids = F.coalesce("ids", F.array().cast("array<int>"))
     told = encoded.select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_ids"), "text_sha256")
@@ -219,24 +224,26 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, decoded_chars, round_trip): each text encoded, decoded again and compared with its source, in one pass.
+    """(doc_id, ids array<int>, n_ids, ids_sha256, decoded_chars, round_trip): each text's ids, decoded again and compared with the text.
 
-    ids_sha256 is of the ids as little-endian 32-bit numbers. Rows as in encode.
+    In one pass, by the functions of encode and decode. ids_sha256 is of the ids as
+    little-endian 32-bit numbers. Rows as in encode.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces or Pieces.load(model_file()))
-    names = ["doc_id", "n_ids", "ids_sha256", "decoded_chars", "round_trip"]
+    schema = "doc_id long, ids array<int>, n_ids long, ids_sha256 string, decoded_chars long, round_trip boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for b in batches:
-            rows = []
             for at in range(0, b.num_rows, SLICE):
-                for text in b.column("text").slice(at, SLICE).to_pylist():
-                    ids = of.encode(text)
-                    back = of.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), len(back), back == text))
-            columns = zip(*rows) if rows else ([], [], [], [])
-            types = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, decoded_chars long, round_trip boolean")
+                part = b.slice(at, SLICE)
+                ids = _ids(of, part.column("text"))
+                back = _texts(of, ids)
+                ends, raw = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+                digests = [hashlib.sha256(raw[a:z].tobytes()).hexdigest() for a, z in zip(ends, ends[1:])]
+                same = [x == y for x, y in zip(back, part.column("text").to_pylist())]
+                columns = [pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), pa.array(map(len, back), pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *columns], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
