@@ -1,14 +1,15 @@
 """Mixing sources to target weights by soft membership.
 
 A softmax classifier, trained on labelled documents, gives each document a posterior
-over domains. Projected-gradient least squares then finds document rates r >= 0 whose
-expected domain token totals sum(r t p) match the targets. The rates follow from the
-gradients so far alone, so no task keeps state: each round sends the few numbers of all
-rounds before and sums one vector of domain totals.
+over domains. Least squares then finds document rates r >= 0 whose expected domain
+token totals sum(r t p) match the targets, of these the nearest to 1. The rates are one
+projected step along multipliers of the domains, which Newton's method finds from a
+few sums over the documents in each round.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import settle, text_or_empty, words_of
 
 FEATURES = 1024
+#: Weight of the rates' distance from 1 against the targets'; step lengths of a round.
+WEAK, HALVINGS = 1e-6, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,18 +48,46 @@ class Softmax:
         return z / z.sum(axis=-1, keepdims=True)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, domains: int, rounds: int = 300, penalty: float = 1e-4) -> Softmax:
-        """Accelerated gradient descent; the features have unit length, so 1 bounds the curvature. Without rows: the same share for all."""
-        w, b = np.zeros((FEATURES, domains)), np.zeros(domains)
+    def fit(cls, x: np.ndarray, y: np.ndarray, domains: int, tolerance: float = 1e-6, penalty: float = 1e-5, rounds: int = 5000) -> Softmax:
+        """The least penalised loss by L-BFGS, until no element of the gradient exceeds `tolerance`; an error if it isn't reached. Without rows: the same share for all."""
         if not len(y):
-            return cls(w, b)
-        one = np.eye(domains)[y]
-        vw, vb = w, b
-        for k in range(rounds):
-            g = (cls(vw, vb).posterior(x) - one) / len(y)
-            nw, nb = vw - (x.T @ g + penalty * vw), vb - g.sum(axis=0)
-            vw, vb, w, b = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b), nw, nb
-        return cls(w.astype(np.float32), b.astype(np.float32))
+            return cls(np.zeros((FEATURES, domains)), np.zeros(domains))
+        rows = np.arange(len(y))
+
+        def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+            w, b = v[:-domains].reshape(-1, domains), v[-domains:]
+            z = x @ w.astype(np.float32) + b
+            z -= z.max(axis=1, keepdims=True)
+            norm = np.log(np.exp(z).sum(axis=1, keepdims=True))
+            g = np.exp(z - norm)
+            g[rows, y] -= 1
+            g /= len(y)
+            value = float((norm[:, 0] - z[rows, y]).mean()) + penalty / 2 * float((w * w).sum())
+            return value, np.concatenate([(x.T @ g.astype(np.float32) + penalty * w).reshape(-1), g.sum(axis=0)]).astype(np.float64)
+
+        v = np.zeros((FEATURES + 1) * domains)
+        f, g = loss(v)
+        past: list[tuple[np.ndarray, np.ndarray]] = []
+        for _ in range(rounds):
+            if np.abs(g).max() <= tolerance:
+                return cls(v[:-domains].reshape(-1, domains).astype(np.float32), v[-domains:].astype(np.float32))
+            q, shares = g.copy(), []
+            for s, t in reversed(past):
+                shares.append(s @ q / (s @ t))
+                q -= shares[-1] * t
+            q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1.0
+            for (s, t), share in zip(past, reversed(shares)):
+                q += (share - t @ q / (s @ t)) * s
+            step = 1.0
+            while True:
+                new, (f_new, g_new) = v - step * q, loss(v - step * q)
+                if f_new <= f - 1e-4 * step * float(g @ q) + 1e-9 or step < 1e-6:
+                    break
+                step /= 2
+            s, t = new - v, g_new - g
+            past = [*past[-19:], (s, t)] if s @ t > 1e-14 else []
+            v, f, g = new, f_new, g_new
+        raise RuntimeError(f"the classifier's gradient is still {np.abs(g).max():.1e} after {rounds} rounds")
 
 
 def domain_of() -> F.Column:
@@ -110,54 +141,68 @@ def replay(tokens: np.ndarray, p: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 
 def fit_rates(weighed: DataFrame, targets: np.ndarray, rounds: int = 80, close: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, totals): the steps that `replay` takes, and the expected domain totals reached.
-
-    Accelerated projected gradient from r = 1 on the squares of (A r - targets), each
-    over its target, with A's columns t p and rates measured in units of sqrt(t), so that
-    a token of a long document weighs as much as one of a short document. The step is 1
-    over the largest eigenvalue of the scaled A A', a small matrix that Spark sums. It
-    ends when totals are within `close` of the targets' sum, or after `rounds`.
+    """(steps, totals): the one step that `replay` takes, and the expected domain totals reached.
+
+    Least squares of (A r - targets), each over its target, with A's columns t p, plus
+    WEAK times the squares of (r - 1), each times t. Its solution is one projected step
+    from r = 1: max(0, 1 - p m) for a multiplier m of each domain. Newton's method finds
+    m, whose gradient and curvature are sums of a few numbers over the documents; a job
+    tries HALVINGS lengths of a step at once. It ends when the gradient's sum is within
+    a hundredth of `close` of the targets' sum; more than `rounds` are an error. Totals
+    differ from targets only where no rates reach them.
     """
-    d = len(targets)
-    names = [F.col("p")[i] for i in range(d)]
-    gram = weighed.agg(*(F.coalesce(F.sum(F.col("n_tokens") * a * b), F.lit(0.0)) for a in names for b in names)).first()
-    scale = 1 / np.maximum(targets, max(1.0, 1e-3 * targets.sum()))
-    top = float(np.linalg.eigvalsh(np.array(gram, np.float64).reshape(d, d) * np.sqrt(np.outer(scale, scale))).max())
-    steps = np.zeros((0, d))
-
-    def totals(steps: np.ndarray) -> np.ndarray:
+    d, size = len(targets), max(1.0, float(targets.sum()))
+    ease = WEAK * np.maximum(targets, max(1.0, 1e-3 * targets.sum()))
+    names = ["k int", "half double", *(f"f{i} double" for i in range(d)), *(f"h{i} double" for i in range(d * d))]
+
+    def sums(some: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 t = b["n_tokens"].to_numpy(np.float64)
                 p = np.stack(b["p"].to_list()) if len(b) else np.zeros((0, d))
-                yield pd.DataFrame(replay(t, p, steps) @ (t[:, None] * p), columns=[f"c{i}" for i in range(d)]).assign(k=[0, 1])
-
-        got = weighed.mapInPandas(run, ", ".join(f"c{i} double" for i in range(d)) + ", k int").groupBy("k").agg(*(F.sum(f"c{i}") for i in range(d))).collect()
-        out = np.zeros((2, d))
-        for row in got:
-            out[row[0]] = row[1:]
-        return out
-
-    now = totals(steps)
-    for _ in range(rounds if top > 0 else 0):
-        if np.abs(now[0] - targets).sum() <= close * max(1.0, targets.sum()):
-            break
-        steps = np.vstack([steps, (now[1] - targets) * scale / top])
-        now = totals(steps)
-    return steps, now[0]
-
-
-def mix(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.15, 0.02, 0.8, 0.03), tokens: float | None = None, most: int = 8192) -> DataFrame:
-    """(doc_id, n_tokens, p, rate), one row for each row of docs (doc_id, text).
+                out = []
+                for k, m in enumerate(some):
+                    r = np.maximum(0, 1 - p @ m)
+                    tp = (t * (r > 0))[:, None] * p
+                    out.append([k, t @ (r * r) / 2, *(r @ (t[:, None] * p)), *(tp.T @ p).reshape(-1)])
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in names])
+
+        rows = weighed.mapInPandas(run, ", ".join(names)).groupBy("k").agg(*(F.sum(c.split()[0]) for c in names[1:])).collect()
+        got = {row[0]: np.array(row[1:], np.float64) for row in rows}
+        empty = np.zeros(1 + d + d * d)
+        return [(float(g[0]), g[1 : d + 1], g[d + 1 :].reshape(d, d)) for g in (got.get(k, empty) for k in range(len(some)))]
+
+    def state(m: np.ndarray, s: tuple) -> tuple[float, np.ndarray]:
+        return s[0] + float(targets @ m) + float((ease * m * m).sum()) / 2, ease * m - s[1] + targets
+
+    m = np.zeros(d)
+    now = sums(m[None])[0]
+    for _ in range(rounds):
+        value, slope = state(m, now)
+        if np.abs(slope).sum() <= close / 100 * size:
+            return m[None], now[1]
+        toward = np.linalg.solve(now[2] + np.diag(ease), slope)
+        some = m - 0.5 ** np.arange(HALVINGS)[:, None] * toward
+        tried = [(*state(x, s), x, s) for x, s in zip(some, sums(some))]
+        least = min(v for v, *_ in tried)
+        _, _, m, now = min((c for c in tried if c[0] <= least + 1e-12 * abs(least)), key=lambda c: np.abs(c[1]).sum())
+    raise RuntimeError(f"the rates' gradient is still {np.abs(state(m, now)[1]).sum() / size:.1e} of the targets after {rounds} rounds")
+
+
+def mix(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.15, 0.02, 0.8, 0.03), tokens: float | None = None, most: int = 8192, key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, p, rate), one row for each row of docs (doc_id, text); doc_id is the column `key`.
 
     `shares` of the domains of the total of `tokens` (by default that of docs) are the
     targets. Null text counts as empty, has no tokens and keeps rate 1. Repeated rows
     stay, each with its rate; a table without labels gives equal posteriors; an empty
     one gives an empty one; other columns are not read.
     """
-    weighed = settle(posteriors(docs, train(docs, labels, most)))
+    weighed = settle(posteriors(docs.select(F.col(key).alias("doc_id"), "text"), train(docs, labels, most)))
     total = weighed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] if tokens is None else tokens
-    steps, _ = fit_rates(weighed, np.array(shares) / sum(shares) * float(total))
+    targets = np.array(shares) / sum(shares) * float(total)
+    steps, reached = fit_rates(weighed, targets)
+    if np.abs(reached - targets).sum() > 1e-4 * max(1.0, targets.sum()):
+        warnings.warn(f"no rates reach the targets {targets.tolist()}; the nearest totals are {reached.tolist()}", stacklevel=2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,8 +218,12 @@ def copies(rate: F.Column, doc_id: F.Column) -> F.Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def resample(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs, each as often as its rate says; identifiers that docs repeats have one rate, their largest. Null identifiers stay once."""
-    rates = mixed.filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate_"))
-    n = F.coalesce(copies(F.col("rate_"), F.col("doc_id")), F.lit(1))
-    return docs.join(rates, "doc_id", "left").withColumn("copy_", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+def resample(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of docs, each as often as its rate says; keys that docs repeat have one rate, their largest. Null keys stay once.
+
+    The draw is by identifier; of a row without one, by its text and key.
+    """
+    rates = mixed.filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("rate").alias("rate_"))
+    drawn = F.col("doc_id") if key == "doc_id" else F.coalesce(F.col("doc_id"), F.xxhash64("text", key))
+    n = F.coalesce(copies(F.col("rate_"), drawn), F.lit(1))
+    return docs.join(rates, key, "left").withColumn("copy_", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
