@@ -27,3 +27,10 @@ def test_each_row_has_its_rate(spark):
     docs = spark.createDataFrame([(1, "x", 10), (1, "y", 11), (None, "z", 12)], "doc_id long, text string, row_ long")
     rates = spark.createDataFrame([(10, 3.0), (11, 0.0), (12, 2.0)], "doc_id long, rate double")
     assert sorted(r.text for r in mixing.resample(docs, rates, key="row_").collect()) == ["x", "x", "x", "z", "z"]
+
+
+def test_a_table_in_files_is_not_copied(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = corpus_pipeline._numbered(docs)
+    assert sorted(rows.inputFiles()) == sorted(docs.inputFiles())
+    assert rows.select("row_").distinct().count() == docs.count()
