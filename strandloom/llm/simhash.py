@@ -1,36 +1,46 @@
 """SimHash near-duplicates with pivot distance tables.
 
 A fingerprint's coordinates are its Hamming distances to reference fingerprints
-(pivots). By the triangle inequality two fingerprints within r differ by r at most in
-every coordinate, so a pair with a larger difference is discarded unseen; survivors are
-verified. Coordinates of random fingerprints lie close together, so they can't deal out
-the work alone: fingerprints meet where `blocks - r` of `blocks` bit blocks are equal
-(which r differing bits can't prevent) and the first pivot's cells are the same or next
-to each other. Only distinct fingerprints meet, and a task returns a spanning forest of
-its links, not the pairs.
+(pivots), computed once for each distinct fingerprint and kept in a table. By the
+triangle inequality two fingerprints within r differ by r at most in every coordinate,
+so a pair with a larger difference is discarded unseen; survivors are verified.
+Coordinates of random fingerprints lie close together, so they can't deal out the work
+alone: fingerprints meet where `blocks - r` of `blocks` bit blocks are equal (which r
+differing bits can't prevent) and the first pivot's cells are the same or next to each
+other. A task returns a spanning forest of its links, not the pairs.
+
+`similar_documents` finds texts by the Jaccard similarity of their shingles. Such pairs
+differ in many bits, so wide fingerprints are compared where they agree in sampled
+bits, in as many samples as a bound of missed pairs asks for, and survivors are
+verified by their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, text_or_empty, words_of
 from .graph import components
 
-#: Minima of a text's shingles, BANDS of them times ROWS; texts that agree in all rows of a band are compared.
-BANDS, ROWS = 20, 4
-_FLIP, _TIMES = np.random.default_rng(20240301).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
-#: Texts of a band's bucket that are all compared with each other; in larger buckets each meets NEXT others after it, in an order of each band's own.
-BUCKET, NEXT = 32, 2
-
 PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, 16, dtype=np.uint64)
+#: Words of a wide fingerprint, and the bits in which those of similar texts may differ: 39 +- 6 at a similarity of 0.8.
+WIDE, BOUND = 4, 56
+#: Rows from which on a bucket is crowded; its texts get fingerprints of FINE words, which may differ in FINE_BOUND bits: 155 +- 12 at 0.8.
+CROWD, FINE, FINE_BOUND = 64, 16, 190
+#: Rows of a crowded bucket that a task compares with as many others.
+GROUP = 8192
+_TIE = np.random.default_rng(20240301).integers(0, 2, 64 * FINE).astype(bool)
+_ODD = np.random.default_rng(20240302).integers(0, 2**63, (2, FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Wanted texts up to this number (4 MB of hashes) are looked up without shuffling the others.
+FEW = 1 << 18
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -74,62 +84,104 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(bits, blocks - radius)]
 
 
-def _forest(fp: np.ndarray, guest: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links in one cell. Guests come from the cell before and don't meet each other here."""
-    coordinates = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    order = np.argsort(coordinates[:, 0], kind="stable")
-    fp, guest, c = fp[order], guest[order], coordinates[order]
+def coordinates(fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
+
+
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, c binary): the coordinates of each fingerprint, one byte for each pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"fp": b["fp"], "c": [x.tobytes() for x in coordinates(b["fp"].to_numpy().view(np.uint64))]})
+
+    return fps.select("fp").mapInPandas(run, "fp long, c binary")
+
+
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give the ends of all edges one label, that of the smallest position."""
+    while len(i):
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            return
+        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _balls(fp: np.ndarray, label: np.ndarray, radius: int) -> None:
+    """Labels of a crowded cell: fingerprints within half the radius of a centre are linked without a comparison of pairs.
+
+    Another one can be linked to such a ball only within one and a half radii of its
+    centre; of these, those with another label are compared with the ball.
+    """
+    free = np.ones(len(fp), bool)
+    while free.any():
+        centre = int(np.argmax(free))
+        d = np.bitwise_count(fp ^ fp[centre])
+        ball = np.flatnonzero(d <= radius // 2)
+        free[ball] = False
+        _join(label, np.full(len(ball), centre), ball)
+        near = np.flatnonzero((d <= radius + radius // 2) & (label != label[centre]))
+        for at in range(0, len(near), 1024):
+            x = near[at : at + 1024]
+            i, j = np.nonzero(np.bitwise_count(fp[x][:, None] ^ fp[ball][None, :]) <= radius)
+            _join(label, x[i], ball[j])
+
+
+def _forest(fp: np.ndarray, guest: np.ndarray, radius: int, c: np.ndarray | None = None, crowded: int = 4096) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links in one cell; c: the coordinates. Guests come from the cell before and don't meet each other here."""
+    c = coordinates(fp) if c is None else c
+    order = np.argsort(c[:, 0], kind="stable")
+    fp, guest, c = fp[order], guest[order], c[order].astype(np.int8)
     label = np.arange(len(fp))
-    for at in range(0, len(fp), 256):
-        rows = slice(at, min(at + 256, len(fp)))
-        high = int(np.searchsorted(c[:, 0], c[rows.stop - 1, 0] + radius, "right"))
-        near = np.abs(c[rows, None, 1] - c[None, at:high, 1]) <= radius
-        near &= np.abs(c[rows, None, 0] - c[None, at:high, 0]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + at
-        keep = (i < j) & ~(guest[i] & guest[j])
-        i, j = i[keep], j[keep]
-        for k in range(2, len(PIVOTS)):
-            keep = np.abs(c[i, k] - c[j, k]) <= radius
+    if len(fp) > crowded:
+        _balls(fp, label, radius)
+    else:
+        for at in range(0, len(fp), 256):
+            rows = slice(at, min(at + 256, len(fp)))
+            high = int(np.searchsorted(c[:, 0], c[rows.stop - 1, 0] + radius, "right"))
+            near = np.abs(c[rows, None, 1] - c[None, at:high, 1]) <= radius
+            near &= np.abs(c[rows, None, 0] - c[None, at:high, 0]) <= radius
+            i, j = np.nonzero(near)
+            i, j = i + at, j + at
+            keep = (i < j) & ~(guest[i] & guest[j])
             i, j = i[keep], j[keep]
-        keep = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-        i, j = i[keep], j[keep]
-        while len(i):
-            a, b = label[i], label[j]
-            differ = a != b
-            if not differ.any():
-                break
-            low, high_label = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
-            np.minimum.at(label, high_label, low)
-            while (label[label] != label).any():
-                label = label[label]
+            for k in range(2, c.shape[1]):
+                keep = np.abs(c[i, k] - c[j, k]) <= radius
+                i, j = i[keep], j[keep]
+            keep = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+            _join(label, i[keep], j[keep])
     far = np.flatnonzero(label != np.arange(len(fp)))
     return list(zip(fp[far].view(np.int64).tolist(), fp[label[far]].view(np.int64).tolist()))
 
 
-def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, n: int, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that join all of fps (distinct column fp; n rows) within `radius`, directly or by others.
 
-    More rows get more, smaller blocks: a matter of cost alone, any number finds all.
+    `blocks` is a number above the radius; any finds all links. More, smaller blocks
+    make more copies of a row and smaller cells; the default goes by n.
     """
-    blocks = radius + (1 if n < 2**22 else 2 if n < 2**28 else 3 if n < 2**34 else 4)
+    blocks = blocks or radius + (1 if n < 2**22 else 2 if n < 2**28 else 3 if n < 2**34 else 4)
+    table = settle(pivot_table(fps))
     signed = [m - 2**64 if m >= 2**63 else m for m in block_masks(blocks, radius)]
-    first = int(PIVOTS[0]) - (2**64 if PIVOTS[0] >= 2**63 else 0)
-    cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(first))) / (radius + 1)).cast("int")
+    cell = F.floor(F.conv(F.hex(F.substring("c", 1, 1)), 16, 10).cast("int") / (radius + 1)).cast("int")
     meet = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)))).alias("k")
     side = F.explode(F.array(F.struct(cell.alias("cell"), F.lit(False).alias("guest")), F.struct((cell + 1).alias("cell"), F.lit(True).alias("guest")))).alias("s")
-    dealt = fps.select("fp", side).select("fp", "s.*", meet).select("fp", "cell", "guest", "k.*").repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell")
+    dealt = table.select("fp", "c", side).select("fp", "c", "s.*", meet).select("fp", "c", "cell", "guest", "k.*").repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
 
         def edges(b: pd.DataFrame) -> pd.DataFrame:
-            t, key, cell_, fp, guest = (b[c].to_numpy() for c in ("t", "key", "cell", "fp", "guest"))
+            t, key, cell_, fp, guest = (b[x].to_numpy() for x in ("t", "key", "cell", "fp", "guest"))
+            c = np.frombuffer(b"".join(b["c"]), np.uint8).reshape(len(b), -1)
             cuts = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(cell_) != 0)) + 1
             out: list[tuple[int, int]] = []
             for a, z in zip([0, *cuts], [*cuts, len(b)]):
                 if z - a > 1 and not guest[a:z].all():
-                    out += _forest(fp[a:z].view(np.uint64), guest[a:z], radius)
+                    out += _forest(fp[a:z].view(np.uint64), guest[a:z], radius, c[a:z])
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         for b in batches:
@@ -152,7 +204,7 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs.
 
     Null text counts as empty and has fingerprint zero, which links like any other.
@@ -162,60 +214,182 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sig = settle(fingerprints(docs, id_col, text_col, shingle))
     fps = settle(sig.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(fps.select("fp"), fps.count(), radius))
+    roots = components(links(fps.select("fp"), n := fps.count(), radius, blocks))
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
-    return sig.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint may have any number of rows: where the distinct ones are few, none is shuffled; else Spark splits it
+    return sig.join(F.broadcast(of) if n <= FEW else of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_fingerprint(h: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """Words whose bits are the majorities of the bits of so many hashes of each shingle; ties go by a fixed pattern."""
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, len(h), 1 << 12):
+        x = h[i : i + (1 << 12), None]
+        x = (x ^ (x >> np.uint64(29))) * _ODD[None, 0, :words]
+        x = (x ^ (x >> np.uint64(32))) * _ODD[None, 1, :words]
+        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits((2 * ones > len(h)) | ((2 * ones == len(h)) & _TIE[: 64 * words]), bitorder="little").view(np.uint64)
+
+
+def sampling(n: int, similarity: float, missed: float) -> tuple[int, int]:
+    """(bits of a sample, samples) for n fingerprints: buckets of about 32, and samples until a pair of the similarity meets in none with a probability of `missed`."""
+    bits = max(8, math.ceil(math.log2(max(2, n))) - 5)
+    same = (1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi) ** bits
+    return bits, math.ceil(math.log(missed) / math.log(1 - same)) if same < 1 else 1
+
+
+def _masks(bits: int, samples: int) -> np.ndarray:
+    """The sampled bits, in WIDE words."""
+    rng = np.random.default_rng(20240303)
+    return np.array([np.packbits(np.isin(np.arange(64 * WIDE), rng.permutation(64 * WIDE)[:bits]), bitorder="little").view(np.uint64) for _ in range(samples)])
+
+
+def _dealt(once: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(t, bucket, key, root, w0, ...): each fingerprint in its bucket of each sample."""
+    samples, wide = len(masks), [f"w{k}" for k in range(WIDE)]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                w = part[wide].to_numpy(np.int64).view(np.uint64)
+                bucket = np.zeros((samples, len(part)), np.uint64)
+                for k in range(WIDE):
+                    bucket = (bucket ^ (bucket >> np.uint64(29)) ^ (w[None, :, k] & masks[:, None, k])) * _ODD[0, k]
+                out = {"t": np.repeat(np.arange(samples, dtype=np.int16), len(part)), "bucket": bucket.reshape(-1).view(np.int64)}
+                yield pd.DataFrame(out | {c: np.tile(part[c].to_numpy(), samples) for c in ("key", "root", *wide)})
+
+    columns = ", ".join(f"{c} long" for c in ("bucket", "key", "root", *wide))
+    return once.select("key", "root", *wide).mapInPandas(run, f"t short, {columns}")
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A hash of each band of the minima of a set of hashes."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(h), 2048):
-        least = np.minimum(least, ((h[i : i + 2048, None] ^ _FLIP) * _TIMES).min(axis=0))
-    out = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15) + (out >> np.uint64(29))
-    return out
 
+def _neighbours(dealt: DataFrame) -> DataFrame:
+    """Pairs (a, b, d) next to each other in a bucket in the order of fingerprints, within BOUND; a crowded bucket may go through many tasks.
+
+    Rows with d = -1 name the crowded buckets: t, bucket.
+    """
+    order = ["t", "bucket", "w0", "key"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, length = None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            joined = b if last is None else pd.concat([last, b])
+            last = b.iloc[-1:]
+            t, bucket, key = (joined[c].to_numpy() for c in ("t", "bucket", "key"))
+            w = joined[[f"w{k}" for k in range(WIDE)]].to_numpy(np.int64).view(np.uint64)
+            d = np.bitwise_count(w[1:] ^ w[:-1]).sum(axis=1, dtype=np.int32)
+            same = (t[1:] == t[:-1]) & (bucket[1:] == bucket[:-1])
+            at = np.flatnonzero(same & (key[1:] != key[:-1]) & (d <= BOUND))
+            x, y = key[at], key[at + 1]
+            first = np.concatenate([[0], np.flatnonzero(~same) + 1])
+            run_length = np.diff(np.append(first, len(joined)))
+            run_length[0] += max(0, length - 1)
+            length = int(run_length[-1])
+            crowded = first[run_length >= CROWD]
+            yield pd.DataFrame({"a": np.concatenate([np.minimum(x, y), t[crowded]]), "b": np.concatenate([np.maximum(x, y), bucket[crowded]]), "d": np.concatenate([d[at], np.full(len(crowded), -1)]).astype(np.int32)})
+
+    return dealt.drop("root").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long, d int").distinct()
+
+
+def _across(dealt: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket that isn't crowded, within BOUND, that have different roots."""
+    rest = dealt.join(crowded, ["t", "bucket"], "left_anti")
+    x, y = (rest.select("t", "bucket", *(F.col(c).alias(f"{c}_{side}") for c in dealt.columns[2:])) for side in "xy")
+    d = sum(F.bit_count(F.col(f"w{k}_x").bitwiseXOR(F.col(f"w{k}_y"))) for k in range(WIDE))
+    met = x.join(y, ["t", "bucket"]).filter((F.col("root_x") < F.col("root_y")) & (d <= BOUND))
+    return met.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+
+
+def _across_crowded(members: DataFrame, fine: DataFrame, masks: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of a crowded bucket (t, bucket, key, root) that have different roots, within both bounds in fine (key, words).
+
+    Only the first sample in which a pair agrees tells of it. A bucket is dealt into groups of about GROUP rows, and each two groups meet in a task.
+    """
+    sizes = members.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("key"), F.col("n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    dealt = members.join(sizes, ["t", "bucket"]).join(fine, "key").select("t", "bucket", "key", "root", "words", own.alias("own"), other)
+    cells = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "root")
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        w = np.frombuffer(b"".join(part["words"]), np.uint64).reshape(len(part), FINE)
+        key, root, own = (part[c].to_numpy() for c in ("key", "root", "own"))
+        one_group = part["i"].iloc[0] == part["j"].iloc[0]
+        found = []
+        for at in range(0, len(part), 64):
+            rows = slice(at, at + 64)
+            meet = np.flatnonzero(root > root[at])  # rows are in the order of their roots
+            d = np.bitwise_count(w[rows, None, 0] ^ w[None, meet, 0]).astype(np.int16)
+            for k in range(1, FINE):
+                d += np.bitwise_count(w[rows, None, k] ^ w[None, meet, k])
+            i, j = np.nonzero((d <= FINE_BOUND) & (root[rows, None] < root[None, meet]) & (one_group | (own[rows, None] != own[None, meet])))
+            i, j = at + i, meet[j]
+            differ = w[i, :WIDE] ^ w[j, :WIDE]
+            keep = np.bitwise_count(differ).sum(axis=1) <= BOUND
+            for mask in masks[: part["t"].iloc[0]]:
+                keep &= (differ & mask).any(axis=1)
+            found.append(np.stack([key[i[keep]], key[j[keep]]], axis=1))
+        ends = np.concatenate(found)
+        return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            for _, part in b.groupby(["t", "bucket", "i", "j"], sort=False):
+                if held and tuple(held[0].iloc[0][["t", "bucket", "i", "j"]]) != tuple(part.iloc[0][["t", "bucket", "i", "j"]]):
+                    yield pairs(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield pairs(pd.concat(held))
+
+    return cells.mapInPandas(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, missed: float = 1e-3) -> DataFrame:
     """(id_col, component_id), one row for each row of docs: groups joined by pairs of texts whose sets of shingles have the Jaccard similarity or more.
 
-    Pairs that share a band of minima are compared exactly, so no link is wrong. A pair
-    of similarity s shares none of the bands with a probability of (1 - s^ROWS)^BANDS:
-    2.7e-5 at 0.8. In buckets of more than BUCKET different texts a pair may also
-    be left out, which matters only where no chain of others links it. component_id is
-    a group's smallest identifier, nulls last; it may be of any type that has an order. Texts
-    without words are alike. Repeated rows and null identifiers stay; an empty table gives an empty one.
+    Wide fingerprints are compared in the buckets of sampled bits; what is within BOUND
+    is verified by the shingles, so no link is wrong. A pair of the similarity, in
+    sets of equal size, meets in no bucket with a probability of `missed`, and has more than BOUND
+    different bits with 3e-3 (at 0.8). First each text's nearest neighbour in the
+    order of a bucket is tried; what that joins needs no more pairs, and of the rest all
+    pairs of a bucket are, those of crowded buckets by finer fingerprints. component_id is a group's smallest identifier, nulls last; it may
+    be of any type that has an order. Texts without words are alike. Repeated rows
+    and null identifiers stay; an empty table gives an empty one; other columns are not read.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    wide = [f"w{k}" for k in range(WIDE)]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
             keys = np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"text_hash": b["text_hash"], "key": keys, "bands": [bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets]})
-
-    signed = settle(rows.select("text", "text_hash").mapInPandas(sign, "text_hash long, key long, bands array<long>").dropDuplicates(["text_hash"]))
-    once = signed.groupBy("key").agg(F.min_by("bands", "text_hash").alias("bands"), F.min("text_hash").alias("text_hash"))
-    dealt = once.select("key", F.posexplode("bands").alias("band", "bucket"))
-    bucket = Window.partitionBy("band", "bucket")
-    after = F.collect_list("key").over(bucket.orderBy(F.xxhash64("key", "band"), "key").rowsBetween(1, BUCKET - 1))
-    met = dealt.select("key", after.alias("after"), F.count(F.lit(1)).over(bucket).alias("n")).filter("n > 1")
-    near = met.select("key", F.explode(F.when(F.col("n") <= BUCKET, F.col("after")).otherwise(F.slice("after", 1, NEXT))).alias("other"))
-    pairs = settle(near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(once.select("key", "text_hash"), "key")
+            w = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(len(b), WIDE).view(np.int64)
+            yield pd.DataFrame({"text_hash": b["text_hash"], "key": keys} | {c: w[:, k] for k, c in enumerate(wide)})
+
+    signed = settle(rows.select("text", "text_hash").mapInPandas(sign, "text_hash long, key long, " + ", ".join(f"{c} long" for c in wide)).dropDuplicates(["text_hash"]))
+    once = settle(signed.groupBy("key").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in wide)))
+    masks = _masks(*sampling(once.count(), similarity, missed))
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """(key, text): a text of each of the keys."""
+        wanted = settle(keys.join(once.select("key", "text_hash"), "key"))
+        return rows.select("text", "text_hash").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "text_hash").dropDuplicates(["text_hash"]).select("key", "text")
+
+    def fine_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "words": [wide_fingerprint(np.unique(shingle_hashes(t, shingle)), FINE).tobytes() for t in b["text"]]})
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "hashes": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b["text"]]})
 
-    texts = rows.select("text", "text_hash").join(wanted, "text_hash").dropDuplicates(["text_hash"])
-    sets = settle(texts.select("key", "text").mapInPandas(sets_of, "key long, hashes binary"))
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
@@ -225,9 +399,39 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.loc[np.array(keep, bool), ["a", "b"]]
 
-    sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    roots = components(sided.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
-    rooted = signed.select("text_hash", "key").join(roots, F.col("key") == F.col("node"), "left").select("text_hash", F.coalesce("root", "key").alias("root"))
-    placed = settle(rows.select(id_col, "text_hash").join(rooted, "text_hash").select(id_col, "root"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those that are similar."""
+        pairs = settle(pairs.select("a", "b"))
+        sets = settle(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()).mapInPandas(sets_of, "key long, hashes binary"))
+        sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+        return settle(sided.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+
+    def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose ends have different roots."""
+        ends = pairs
+        for end in "ab":
+            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        return ends.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+    def rooted(of: DataFrame, roots: DataFrame) -> DataFrame:
+        return of.join(roots, F.col("key") == F.col("node"), "left").select(*of.columns, F.coalesce("root", "key").alias("root"))
+
+    own = once.withColumn("root", F.col("key"))
+    found = settle(_neighbours(_dealt(own, masks)))
+    near, crowded = found.filter("d >= 0"), settle(found.filter("d < 0").select(F.col("a").cast("short").alias("t"), F.col("b").alias("bucket")).distinct())
+    best = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")).unionByName(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
+    edges = verified(best.distinct())
+    roots = settle(components(edges))
+    edges = edges.unionByName(verified(crossing(near, roots)))
+    roots = settle(components(edges))
+    dealt = _dealt(rooted(once, roots), masks)
+    pairs = _across(dealt, crowded)
+    if not crowded.isEmpty():
+        members = settle(dealt.join(crowded, ["t", "bucket"]).select("t", "bucket", "key", "root"))
+        fine = settle(texts_of(members.select("key").distinct()).mapInPandas(fine_words, "key long, words binary"))
+        pairs = pairs.unionByName(_across_crowded(members, fine, masks)).distinct()
+    edges = edges.unionByName(verified(pairs))
+    roots = settle(components(edges))
+    placed = settle(rows.select(id_col, "text_hash").join(rooted(signed.select("text_hash", "key"), roots).drop("key"), "text_hash").select(id_col, "root"))
     least = placed.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"))).alias("least"))
     return placed.join(least, "root").select(id_col, F.col("least.id").alias("component_id"))

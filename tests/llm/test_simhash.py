@@ -82,3 +82,18 @@ def test_documents_against_brute_force(spark, sf_dir):
 def test_forest_of_guests():
     fp = np.array([0, 1, 3], np.uint64)
     assert len(simhash._forest(fp, np.array([True, True, False]), 4)) == 2
+
+
+def test_crowded_cells_lose_nothing():
+    rng = np.random.default_rng(5)
+    for radius in (4, 5):
+        fp = np.zeros(0, np.uint64)
+        while len(fp) < 500:
+            v = rng.integers(0, 2**64, dtype=np.uint64)
+            flips = np.left_shift(np.uint64(1), rng.integers(0, 64, (60, 5), dtype=np.uint64))
+            fp = np.unique(np.concatenate([fp, v ^ np.bitwise_xor.reduce(flips[:, : int(rng.integers(1, 6))], axis=1)]))
+        label, other = np.arange(len(fp)), np.arange(len(fp))
+        simhash._balls(fp, label, radius)
+        i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
+        simhash._join(other, i, j)
+        assert (label == other).all()
