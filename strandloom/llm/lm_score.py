@@ -3,203 +3,231 @@
 Maximum-likelihood bigrams, unigrams and a uniform share are mixed with weights that
 depend on the bucket of the context's frequency; expectation-maximisation learns the
 weights on the counts of a held-out fold of the training documents, against estimates
-from the others. Contexts below `1 / CONTEXTS` of the training tokens are bucket 0,
-which has no bigrams; so there are at most CONTEXTS others, at any size of the corpus.
+from the others. Every word is a context, whatever its frequency.
 
-No text meets the whole vocabulary. Documents form blocks of neighbouring identifiers;
-a block asks for the counts of its distinct words and bigrams, the requests meet by word,
-and what other blocks had a share in comes back to the block, where texts are scored.
+No task meets the whole vocabulary. Texts become blocks of numbered tokens. A block asks
+for the counts of its distinct words, then of its distinct bigrams: sorted arrays of
+their hashes, cut into ranges of hashes (shards). A shard adds up the requests of all
+blocks and answers with arrays of the same order, from which the block scores its texts.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, text_or_empty, words_of
 
-CONTEXTS = 1024
-BINS = 1 << 14
-END = b""  # the token after the last word; no word is empty
-START = 0  # the context before the first word
+END = b""  # the token after the last word, and the context before the first; no word is empty
 STEPS = 8  # of a probability's binary logarithm in the histogram that the weights are learned from
 HELD_OUT, DEV = 1, 0
+#: Characters of a block's texts, if it has more than one; keys that a shard adds up, on average.
+BLOCK_CHARS, SHARD_KEYS = 1 << 22, 1 << 20
+_TIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
+BLOCKS = "block long, n_main long, n_dev long, n_texts int, ids binary, empty_ids binary, folds binary, sizes binary, tokens binary, words binary"
+REQUEST = "shard long, block long, keys binary, main binary, dev binary, told binary"
+#: kind ANSWER: counts in the order of a block's request; SUMS: of a shard, two numbers or a histogram.
+ANSWERS = "kind int, block long, shard long, main binary, dev binary"
+ANSWER, SUMS = 0, 1
 
-def folds(docs: DataFrame, id_col: str, text_col: str, block_docs: int) -> DataFrame:
-    """(doc_id, text, fold, block)."""
+
+def folds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, fold)."""
     doc_id = F.col(id_col).cast("long")
-    block = F.coalesce(F.floor(doc_id / block_docs), -1 - F.pmod(F.xxhash64(text_col), F.lit(1024)))
     fold = F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
-    return docs.select(doc_id.alias("doc_id"), text_or_empty(text_col).alias("text"), fold.alias("fold"), block.cast("long").alias("block"))
+    return docs.select(doc_id.alias("doc_id"), text_or_empty(text_col).alias("text"), fold.alias("fold"))
 
 
-def frequent_contexts(rows: DataFrame) -> tuple[list[tuple[bytes, int, int]], tuple[int, int]]:
-    """([(word, main count, dev count)], (main tokens, dev tokens)): words with 1/CONTEXTS of the training tokens.
+def token_blocks(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of BLOCKS from (doc_id, text, fold): tokens as numbers of the block's own, and the hash of each number's word. 0 is END."""
 
-    Such a word's hash bin has that share too: bins are counted first, then the words in
-    the few bins that have it. At most CONTEXTS rows reach the driver.
-    """
+    def block(number: int, ids: list, texts: list[str], fold: list[int]) -> tuple:
+        own: defaultdict[bytes, int] = defaultdict()
+        own.default_factory = own.__len__
+        number_of, end = own.__getitem__, own[END]
+        sizes, tokens = np.zeros(len(texts), np.int32), []
+        for i, t in enumerate(texts):
+            words = words_of(t)
+            sizes[i] = len(words) + 1
+            tokens.append(np.fromiter(map(number_of, words), np.int32, len(words)))
+            tokens.append(np.array([end], np.int32))
+        folds = np.array(fold, np.uint8)
+        empty = np.array([pd.isna(x) for x in ids])
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), np.uint64, len(own))
+        return (
+            number, int(sizes[folds > HELD_OUT].sum()), int(sizes[folds == DEV].sum()), len(texts),
+            np.array([0 if e else x for x, e in zip(ids, empty)], np.int64).tobytes(), empty.tobytes(), folds.tobytes(), sizes.tobytes(),
+            zstandard.compress(np.concatenate(tokens).tobytes(), 1), hashes.tobytes(),
+        )
 
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n = np.zeros((2, BINS + 1), np.int64)
-            for text, fold in zip(b["text"], b["fold"]):
-                if fold != HELD_OUT:
-                    words = words_of(text)
-                    at = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BINS
-                    n[int(fold == DEV)] += np.bincount(at, minlength=BINS + 1)
-                    n[int(fold == DEV), BINS] += len(words) + 1
-            at = np.flatnonzero(n.sum(axis=0))
-            yield pd.DataFrame({"bin": at, "main": n[0, at], "dev": n[1, at]})
-
-    binned = rows.select("text", "fold").mapInPandas(bins, "bin long, main long, dev long").groupBy("bin").agg(F.sum("main").alias("main"), F.sum("dev").alias("dev")).toPandas()
-    totals = binned[binned["bin"] == BINS]
-    if totals.empty:
-        return [], (0, 0)
-    tokens = (int(totals["main"].iloc[0]), int(totals["dev"].iloc[0]))
-    least = sum(tokens) / CONTEXTS
-    heavy = frozenset(binned["bin"][(binned["main"] + binned["dev"] >= least) & (binned["bin"] < BINS)].tolist())
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
+        ids, texts, fold, size = [], [], [], 0
         for b in batches:
-            n = (Counter(), Counter())
-            for text, fold in zip(b["text"], b["fold"]):
-                if fold != HELD_OUT:
-                    n[int(fold == DEV)].update(words_of(text))
-            own = [w for w in n[0].keys() | n[1].keys() if zlib.crc32(w) % BINS in heavy]
-            yield pd.DataFrame({"word": own, "main": [n[0][w] for w in own], "dev": [n[1][w] for w in own]})
+            for i, t, f in zip(b["doc_id"].astype("Int64"), b["text"], b["fold"]):
+                if texts and size + len(t) > block_chars:
+                    yield pd.DataFrame([block(number, ids, texts, fold)], columns=names)
+                    number, ids, texts, fold, size = number + 1, [], [], [], 0
+                ids.append(i)
+                texts.append(t)
+                fold.append(f)
+                size += len(t)
+        if texts:
+            yield pd.DataFrame([block(number, ids, texts, fold)], columns=names)
 
-    found = rows.select("text", "fold").mapInPandas(words, "word binary, main long, dev long").groupBy("word").agg(F.sum("main").alias("main"), F.sum("dev").alias("dev"))
-    frequent = found.filter(F.col("main") + F.col("dev") >= least).orderBy(F.desc(F.col("main") + F.col("dev")), "word").collect()
-    return [(bytes(r.word), r.main, r.dev) for r in frequent], tokens
+    return rows.select("doc_id", "text", "fold").mapInPandas(run, BLOCKS)
 
 
 class Block:
-    """Tokens of a block's documents as numbers, with their distinct words and bigrams."""
+    """A row of BLOCKS, opened."""
+
+    def __init__(self, row):
+        self.number = int(row.block)
+        self.sizes = np.frombuffer(row.sizes, np.int32).astype(np.int64)
+        self.folds = np.frombuffer(row.folds, np.uint8)
+        self.fold = np.repeat(self.folds, self.sizes)
+        self.cur = np.frombuffer(zstandard.decompress(row.tokens), np.int32).astype(np.int64)
+        self.prev = np.concatenate([[0], self.cur[:-1]])  # a text's first token follows the END before it
+        self.words = np.frombuffer(row.words, np.uint64)
+
+    def word_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes in order, main, dev)."""
+        order = np.argsort(self.words)
+        main, dev = (np.bincount(self.cur[m], minlength=len(self.words)) for m in (self.fold > HELD_OUT, self.fold == DEV))
+        return self.words[order], main[order], dev[order]
+
+    def by_word(self, answers: np.ndarray) -> np.ndarray:
+        """An answer in the order of the block's numbers."""
+        out = np.zeros(len(self.words), np.int64)
+        out[np.argsort(self.words)] = answers
+        return out
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes in order, place of each token's bigram among them, numbers of the first and of the second words)."""
+        codes, at = np.unique(self.prev * len(self.words) + self.cur, return_inverse=True)
+        first, second = np.divmod(codes, len(self.words))
+        x = self.words[first] * _TIMES[0]
+        hashes = (x ^ (x >> np.uint64(31)) ^ self.words[second]) * _TIMES[1]
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return hashes[order], place[at], first[order], second[order]
+
+
+def sharded(block: int, keys: np.ndarray, main: np.ndarray, dev: np.ndarray, told: np.ndarray, bits: int) -> pd.DataFrame:
+    """Rows of REQUEST: the block's keys, in order, cut by their first bits."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]])
+    part = lambda x, kind: [x[a:z].astype(kind).tobytes() for a, z in zip(cuts, cuts[1:])]
+    return pd.DataFrame({"shard": shard[cuts[:-1]], "block": block, "keys": part(keys, np.uint64), "main": part(main, np.int32), "dev": part(dev, np.int32), "told": part(told, np.int64)})
+
+
+def _sum_up(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each requested key among the distinct ones, their main, their dev, what was told of them: its maximum)."""
+    keys, main, dev, told = (np.frombuffer(b"".join(part[c]), kind) for c, kind in (("keys", np.uint64), ("main", np.int32), ("dev", np.int32), ("told", np.int64)))
+    unique, at = np.unique(keys, return_inverse=True)
+    most = np.zeros(len(unique), np.int64)
+    if told.any():
+        np.maximum.at(most, at[told > 0], told[told > 0])
+    return at, np.bincount(at, main, len(unique)).astype(np.int64), np.bincount(at, dev, len(unique)).astype(np.int64), most
+
+
+def _answers(part: pd.DataFrame, at: np.ndarray, main: np.ndarray, dev: np.ndarray | None) -> pd.DataFrame:
+    ends = np.cumsum([0, *(len(k) // 8 for k in part["keys"])])
+    own = lambda x: [x[at[a:z]].tobytes() for a, z in zip(ends, ends[1:])] if x is not None else None
+    return pd.DataFrame({"kind": ANSWER, "block": part["block"], "shard": part["shard"], "main": own(main), "dev": own(dev)})
+
+
+def count_words(blocks: DataFrame, bits: int) -> DataFrame:
+    """Rows of ANSWERS: main and dev counts of each block's words. SUMS: the number of words with main and with training tokens."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                keys, main, dev = Block(row).word_counts()
+                yield sharded(row.block, keys, main, dev, np.zeros(len(keys)), bits)
 
-    def __init__(self, texts: list[str], fold: np.ndarray, contexts: dict[bytes, int]):
-        ids: defaultdict[bytes, int] = defaultdict()
-        ids.default_factory = ids.__len__
-        number, end = ids.__getitem__, ids[END]
-        cur, size = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words = words_of(t)
-            size[i] = len(words) + 1
-            cur.append(np.fromiter(map(number, words), np.int64, len(words)))
-            cur.append(np.array([end]))
-        self.size, self.starts = size, np.cumsum(size) - size
-        self.cur = np.concatenate(cur) if cur else np.zeros(0, np.int64)
-        self.fold = np.repeat(fold, size)
-        self.keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids)).view(np.int64)
-        of = np.fromiter((contexts.get(w, -1) for w in ids), np.int64, len(ids))
-        prev = np.concatenate([[0], self.cur[:-1]]) if len(self.cur) else self.cur
-        self.ctx = of[prev]
-        self.ctx[self.starts] = START
-        self.has = self.ctx >= 0
-        self.bigrams, self.at = np.unique(self.ctx[self.has] * len(ids) + self.cur[self.has], return_inverse=True)
-
-    def counts(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the distinct words and of the distinct bigrams, in tokens under the mask."""
-        return np.bincount(self.cur[mask], minlength=len(self.keys)), np.bincount(self.at[mask[self.has]], minlength=len(self.bigrams))
-
-    def requests(self, block: int) -> pd.DataFrame:
-        (m1, m2), (h1, h2) = self.counts(self.fold > HELD_OUT), self.counts(self.fold == DEV)
-        ctx, word = np.divmod(self.bigrams, len(self.keys))
-        return pd.DataFrame(
-            {
-                "block": block,
-                "key": np.concatenate([self.keys, self.keys[word]]),
-                "ctx": np.concatenate([np.full(len(self.keys), -1), ctx]).astype(np.int32),
-                "main": np.concatenate([m1, m2]).astype(np.int32),
-                "dev": np.concatenate([h1, h2]).astype(np.int32),
-            }
-        )
-
-
-def request_counts(rows: DataFrame, contexts: dict[bytes, int]) -> DataFrame:
-    """(block, key, ctx, main, dev): each block's distinct words (ctx -1) and bigrams, with its own counts."""
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        at, main, dev, _ = _sum_up(part)
+        words = np.array([(main > 0).sum(), (main + dev > 0).sum()], np.int64)
+        sums = pd.DataFrame({"kind": SUMS, "block": -1, "shard": part["shard"].iloc[:1], "main": [words.tobytes()], "dev": None})
+        return pd.concat([_answers(part, at, main, dev), sums])
+
+    return blocks.mapInPandas(ask, REQUEST).groupBy("shard").applyInPandas(add, ANSWERS)
+
+
+def words_in(words: DataFrame) -> tuple[int, int]:
+    """The number of words with main tokens and with training tokens, of all shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, part in b.groupby("block"):
-                yield Block(part["text"].tolist(), part["fold"].to_numpy(), contexts).requests(block)
+            yield pd.DataFrame(np.frombuffer(b"".join(b["main"]), np.int64).reshape(-1, 2), columns=["main", "train"])
 
-    return rows.select("text", "fold", "block").mapInPandas(run, "block long, key long, ctx int, main int, dev int")
+    sums = words.filter(F.col("kind") == SUMS).select("main").mapInPandas(run, "main long, train long").agg(F.sum("main"), F.sum("train")).first()
+    return int(sums[0] or 0), int(sums[1] or 0)
 
 
-ANSWER = "kind int, block long, key long, ctx int, n long"
-SHARED, WEIGHT, WORDS = 0, 1, 2
+def level(p: np.ndarray) -> np.ndarray:
+    """A probability's step in the histogram, 0 for none."""
+    return np.where(p > 0, 1 + np.clip(np.round(-STEPS * np.log2(np.maximum(p, 1e-18))), 0, 510), 0).astype(np.int64)
 
 
-def answer_counts(requests: DataFrame, context_main: list[int], main_tokens: int, buckets: np.ndarray) -> DataFrame:
-    """Rows of ANSWER, by kind: SHARED, training counts for each block of a word or bigram that several batches asked for;
-    WEIGHT, a histogram (bucket in ctx, both probabilities' bins in key) of dev tokens; WORDS, the number of words with main (ctx 0) and training (ctx 1) tokens.
+def bucket_of(context: np.ndarray) -> np.ndarray:
+    """0 for a context that was not seen, else one more than the whole binary logarithm of its frequency."""
+    return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64)
 
-    A task holds the requests for one word or bigram, one for each block at most.
-    """
-    per = np.array(context_main or [0], np.float64)
 
-    def level(p: np.ndarray) -> np.ndarray:
-        return np.where(p > 0, 1 + np.clip(np.round(-STEPS * np.log2(np.maximum(p, 1e-18))), 0, 510), 0).astype(np.int64)
+def _opened(block: pd.DataFrame, answers: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray]:
+    """(block, main and dev counts of its words)."""
+    own, told = Block(next(block.itertuples())), answers.sort_values("shard")
+    return own, *(own.by_word(np.frombuffer(b"".join(told[c]), np.int64)) for c in ("main", "dev"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        last_word, histogram, words = (0, 0), Counter(), [0, 0]
-        names = ["block", "key", "ctx", "main", "dev"]
-
-        def groups(b: pd.DataFrame) -> pd.DataFrame:
-            nonlocal last_word
-            block, key, ctx, main, dev = (b[c].to_numpy(np.int64) for c in names)
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(ctx) != 0)]))
-            times = np.diff(np.append(first, len(b)))
-            m, h = np.add.reduceat(main, first), np.add.reduceat(dev, first)
-            single = ctx[first] < 0
-            # the word of each bigram: the last word row at or before it
-            w = np.maximum.accumulate(np.where(single, np.arange(len(first)), -1))
-            m_word = np.where(w >= 0, m[w], last_word[1])
-            if single.any():
-                j = np.flatnonzero(single)[-1]
-                last_word = (int(key[first[j]]), int(m[j]))
-            words[0] += int((m[single] > 0).sum())
-            words[1] += int((m[single] + h[single] > 0).sum())
-            p1 = level(m_word / max(1, main_tokens))
-            p2 = np.where(single, 0, level(m / np.maximum(per[np.maximum(ctx[first], 0)], 1)))
-            bucket = np.where(single, 0, buckets[np.maximum(ctx[first], 0)])
-            seen = h > 0
-            code = bucket[seen] << 20 | p1[seen] << 10 | p2[seen]
-            u, inverse = np.unique(code, return_inverse=True)
-            for c, n in zip(u.tolist(), np.bincount(inverse, weights=h[seen], minlength=len(u)).tolist()):
-                histogram[c] += int(n)
-            many = np.repeat(times > 1, times)
-            return pd.DataFrame({"kind": SHARED, "block": block[many], "key": key[many], "ctx": ctx[many].astype(np.int32), "n": np.repeat(m + h, times)[many]})
 
+def count_bigrams(blocks: DataFrame, words: DataFrame, bits: int, main_tokens: int) -> DataFrame:
+    """Rows of ANSWERS: training counts of each block's bigrams. SUMS: dev tokens by bucket and both probabilities' levels (packed in main; the numbers in dev)."""
+
+    def ask(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        own, main, _ = _opened(block, answers)
+        keys, at, first, second = own.bigrams()
+        n_main, n_dev = (np.bincount(at[m], minlength=len(keys)) for m in (own.fold > HELD_OUT, own.fold == DEV))
+        told = np.where(n_dev > 0, main[first] << 10 | level(main[second] / max(1, main_tokens)), 0)
+        return sharded(own.number, keys, n_main, n_dev, told, bits)
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        at, main, dev, told = _sum_up(part)
+        context, p1 = told >> 10, told & 1023
+        p2 = np.where(context > 0, main / np.maximum(context, 1), 0.0)
+        seen = dev > 0
+        codes, where = np.unique((bucket_of(context) << 20 | p1 << 10 | level(p2))[seen], return_inverse=True)
+        n = np.bincount(where, dev[seen], len(codes)).astype(np.int64)
+        sums = pd.DataFrame({"kind": SUMS, "block": -1, "shard": part["shard"].iloc[:1], "main": [codes.tobytes()], "dev": [n.tobytes()]})
+        return pd.concat([_answers(part, at, main + dev, None), sums])
+
+    told = words.filter(F.col("kind") == ANSWER)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, REQUEST).groupBy("shard").applyInPandas(add, ANSWERS)
+
+
+def histogram_of(bigrams: DataFrame) -> pd.DataFrame:
+    """(ctx, key, n): the buckets and packed levels of all shards; their number has a bound of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            if rest is not None:
-                b = pd.concat([rest, b])
-            k, c = b["key"].to_numpy(), b["ctx"].to_numpy()
-            open_ = (k == k[-1]) & (c == c[-1])
-            cut = len(b) - int(np.argmin(open_[::-1])) if not open_.all() else 0
-            if cut:
-                yield groups(b.iloc[:cut])
-            rest = b.iloc[cut:]
-        if rest is not None and len(rest):
-            yield groups(rest)
-        if histogram:
-            yield pd.DataFrame({"kind": WEIGHT, "block": 0, "key": [c & 0xFFFFF for c in histogram], "ctx": [c >> 20 for c in histogram], "n": list(histogram.values())}).astype({"ctx": "int32"})
-        yield pd.DataFrame({"kind": WORDS, "block": 0, "key": 0, "ctx": np.array([0, 1], np.int32), "n": words})
-
-    return requests.repartition("key").sortWithinPartitions("key", "ctx").mapInPandas(run, ANSWER)
+            for codes, n in zip(b["main"], b["dev"]):
+                yield pd.DataFrame({"code": np.frombuffer(codes, np.int64), "n": np.frombuffer(n, np.int64)})
+
+    rows = bigrams.filter(F.col("kind") == SUMS).select("main", "dev").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    code = rows["code"].to_numpy(np.int64)
+    return pd.DataFrame({"ctx": code >> 20, "key": code & 0xFFFFF, "n": rows["n"].to_numpy(np.int64)})
 
 
 def learn_weights(histogram: pd.DataFrame, buckets: int, main_words: int, rounds: int = 60) -> np.ndarray:
@@ -219,61 +247,49 @@ def learn_weights(histogram: pd.DataFrame, buckets: int, main_words: int, rounds
     return out / out.sum(axis=1, keepdims=True)
 
 
-@dataclass
-class Model:
-    contexts: dict[bytes, int]
-    context_counts: np.ndarray  # training tokens that follow each context
-    buckets: np.ndarray  # of each context
-    weights: np.ndarray
-    tokens: int
-    words: int
-
-    def score(self, block: Block, shared: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(n_known, sum of log10(c + 0.5), log10 probability) of each document of a block."""
-        one, two = (x.astype(np.float64) for x in block.counts(block.fold != HELD_OUT))
-        order = np.argsort(block.keys)
-        word = order[np.searchsorted(block.keys[order], shared["key"].to_numpy())]
-        ctx, n = shared["ctx"].to_numpy().astype(np.int64), shared["n"].to_numpy()
-        one[word[ctx < 0]] = n[ctx < 0]
-        two[np.searchsorted(block.bigrams, ctx[ctx >= 0] * len(block.keys) + word[ctx >= 0])] = n[ctx >= 0]
-        c = one[block.cur]
-        w = self.weights[np.where(block.has, self.buckets[np.maximum(block.ctx, 0)], 0)]
-        p = w[:, 0] / (self.words + 1) + w[:, 1] * c / max(1, self.tokens)
-        p[block.has] += w[block.has, 2] * two[block.at] / np.maximum(self.context_counts[block.ctx[block.has]], 1)
-        return tuple(np.add.reduceat(x, block.starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5), np.log10(p)))
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 4096) -> DataFrame:
+def weights_of(histogram: pd.DataFrame, main_words: int) -> np.ndarray:
+    """The weights of 65 buckets. One without held-out tokens has those of the bucket below; the first has no bigrams."""
+    learned = learn_weights(histogram, 65, main_words)
+    seen = set(histogram["ctx"].tolist())
+    for b in range(2, 65):
+        if b not in seen:
+            learned[b] = learned[b - 1]
+    return learned
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Null text counts as empty and has the end token alone; a null identifier counts as
-    empty text for the fold. Blocks are `block_docs` neighbouring identifiers; they
-    bound what a task holds if identifiers are nearly unique. Repeated rows stay; an
-    empty table gives an empty one; other columns are not read. Words are known by
-    their 64-bit hash.
+    empty text for the fold. A task holds the texts of a block, `block_chars` characters
+    or one longer text, or the requests of a shard. Repeated rows stay; an empty table gives an empty one; other columns
+    are not read. Words and bigrams are known by their 64-bit hash.
     """
-    rows = folds(docs, id_col, text_col, block_docs)
-    frequent, (main, dev) = frequent_contexts(rows)
-    starts = rows.agg(F.sum((F.col("fold") > HELD_OUT).cast("long")), F.sum((F.col("fold") == DEV).cast("long"))).first()
-    contexts = {w: i + 1 for i, (w, _, _) in enumerate(frequent)}
-    counts = np.array([(starts[0] or 0, starts[1] or 0), *((m, d) for _, m, d in frequent)], np.int64)
-    total = main + dev
-    buckets = 1 + np.floor(np.log2(np.maximum(counts.sum(axis=1) * CONTEXTS / max(1, total), 1))).astype(np.int64)
-    answers = settle(answer_counts(request_counts(rows, contexts), counts[:, 0].tolist(), main, buckets))
-    told = answers.filter(F.col("kind") != SHARED).groupBy("kind", "key", "ctx").agg(F.sum("n").alias("n")).toPandas()
-    size = dict(told[told["kind"] == WORDS][["ctx", "n"]].itertuples(index=False))
-    weights = learn_weights(told[told["kind"] == WEIGHT], int(buckets.max()) + 1, size.get(0, 0))
-    model = Model(contexts, counts.sum(axis=1), buckets, weights, total, int(size.get(1, 0)))
+    blocks = settle(token_blocks(folds(docs, id_col, text_col), block_chars))
+    sums = blocks.agg(F.coalesce(F.sum("n_main"), F.lit(0)), F.coalesce(F.sum("n_dev"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0))).first()
+    main_tokens, tokens = int(sums[0]), int(sums[0] + sums[1])
+    bits_for = lambda keys: max(0, int(np.ceil(np.log2(max(1, keys / shard_keys)))))
+    words = settle(count_words(blocks, bits_for(float(sums[2]))))
+    n_words = words_in(words)
+    bigrams = settle(count_bigrams(blocks, words, bits_for(float(tokens)), main_tokens))
+    weights = weights_of(histogram_of(bigrams), int(n_words[0]))
+    vocabulary = int(n_words[1])
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
-    def run(texts: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        if texts.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        block = Block(texts["text"].tolist(), texts["fold"].to_numpy(), model.contexts)
-        known, base, score = model.score(block, shared)
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["fold"] == HELD_OUT, "n_tokens": block.size, "n_known": known, "base_sum": base, "score": score})
-
-    shared = answers.filter(F.col("kind") == SHARED).select("block", "key", "ctx", "n")
-    scored = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, schema)
-    norm = float(np.log10(total + 0.5 * (model.words + 1)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = next(block.itertuples())
+        own, main, dev = _opened(block, answers[answers["of"] == 0])
+        one, at = main + dev, own.bigrams()[1]
+        two = np.frombuffer(b"".join(answers[answers["of"] == 1].sort_values("shard")["main"]), np.int64)[at]
+        c, context = one[own.cur], one[own.prev]
+        w = weights[bucket_of(context)]
+        p = w[:, 0] / (vocabulary + 1) + w[:, 1] * c / max(1, tokens) + w[:, 2] * two / np.maximum(context, 1)
+        starts = np.cumsum(own.sizes) - own.sizes
+        known, base, score = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5), np.log10(p)))
+        ids = pd.Series(np.frombuffer(row.ids, np.int64)).astype("Int64").mask(np.frombuffer(row.empty_ids, bool))
+        return pd.DataFrame({"doc_id": ids, "held_out": own.folds == HELD_OUT, "n_tokens": own.sizes, "n_known": known, "base_sum": base, "score": score})
+
+    told = words.filter(F.col("kind") == ANSWER).withColumn("of", F.lit(0)).unionByName(bigrams.filter(F.col("kind") == ANSWER).withColumn("of", F.lit(1)))
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, schema)
+    norm = float(np.log10(max(1.0, tokens + 0.5 * (vocabulary + 1))))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")

@@ -8,52 +8,74 @@ import pandas as pd
 from strandloom.llm import lm_score
 
 
+def fold_of(doc_id):
+    return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5
+
+
+def tokens_of(text):
+    return [*(text or "").encode().lower().split(), lm_score.END]
+
+
 def plain(rows):
     """Base columns by their definition."""
-    tokens = [(d, (t or "").encode().lower().split() + [b"<end>" * 3]) for d, t in rows]
-    fold = [zlib.crc32(str("" if d is None else d).encode()) % 5 for d, _ in rows]
-    c = Counter(w for (_, ws), f in zip(tokens, fold) if f != 1 for w in ws)
+    tokens = [(d, tokens_of(t)) for d, t in rows]
+    c = Counter(w for d, ws in tokens if fold_of(d) != 1 for w in ws)
     n, v = sum(c.values()), len(c)
-    return [(d, f == 1, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for (d, ws), f in zip(tokens, fold)]
+    return [(d, fold_of(d) == 1, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for d, ws in tokens]
+
+
+def estimates(rows):
+    """(unigrams, bigrams) of some texts."""
+    texts = [tokens_of(t) for _, t in rows]
+    return Counter(w for ws in texts for w in ws), Counter(x for ws in texts for x in zip([lm_score.END, *ws], ws))
+
 
+def bucket(n):
+    return 1 + int(math.log2(n)) if n else 0
 
-def slow_scores(rows, contexts, weights, buckets):
-    """The mixture by its definition, given the learned weights."""
-    tokens = [(d, [w for w in (t or "").encode().lower().split()] + [lm_score.END]) for d, t in rows]
-    train = [ws for d, ws in tokens if zlib.crc32(str("" if d is None else d).encode()) % 5 != 1]
-    one = Counter(w for ws in train for w in ws)
-    two = Counter(x for ws in train for x in zip([None, *ws], ws))
-    ctx = Counter(x for ws in train for x in [None, *ws[:-1]])
+
+def slow_scores(rows, weights):
+    """The mixture by its definition, given the learned weights: every word is a context."""
+    one, two = estimates([r for r in rows if fold_of(r[0]) != 1])
     n, v = sum(one.values()), len(one)
     out = []
-    for _, ws in tokens:
-        total = 0.0
-        for a, b in zip([None, *ws], ws):
-            k = 0 if a is None else contexts.get(a, -1)
-            w = weights[buckets[k] if k >= 0 else 0]
-            total += math.log10(w[0] / (v + 1) + w[1] * one[b] / n + (w[2] * two[a, b] / max(1, ctx[a]) if k >= 0 else 0))
+    for _, text in rows:
+        ws, total = tokens_of(text), 0.0
+        for a, b in zip([lm_score.END, *ws], ws):
+            w = weights[bucket(one[a])]
+            total += math.log10(w[0] / (v + 1) + w[1] * one[b] / n + w[2] * two[a, b] / max(1, one[a]))
         out.append(total)
     return out
 
 
+def slow_histogram(rows):
+    """Held-out tokens of the weights' fold by bucket and levels, against the other folds."""
+    one, two = estimates([r for r in rows if fold_of(r[0]) > 1])
+    n = sum(one.values())
+    step = lambda p: 1 + min(510, max(0, round(-lm_score.STEPS * math.log2(p)))) if p else 0
+    out = Counter()
+    for d, text in rows:
+        if fold_of(d) == 0:
+            ws = tokens_of(text)
+            for a, b in zip([lm_score.END, *ws], ws):
+                out[bucket(one[a]), step(one[b] / n) << 10 | step(two[a, b] / one[a] if one[a] else 0)] += 1
+    return out
+
+
 def test_documents_against_brute_force(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-3, None), (-4, ""), (-4, ""), (None, "the end"), (10**9, "the of the " * 20000)], "doc_id long, text string")
     rows = docs.unionByName(extra)
     kept = {}
-    learn = lm_score.learn_weights
-    monkeypatch.setattr(lm_score, "learn_weights", lambda *a: kept.setdefault("w", learn(*a)))
+    learn = lm_score.weights_of
+    monkeypatch.setattr(lm_score, "weights_of", lambda h, n: kept.setdefault("w", learn(kept.setdefault("h", h), n)))
     key = lambda r: (r[0] is None, r[0] or 0)
-    got = sorted((tuple(r) for r in lm_score.score_documents(rows, block_docs=64).collect()), key=key)
+    got = sorted((tuple(r) for r in lm_score.score_documents(rows.withColumn("block", rows.doc_id), block_chars=20000, shard_keys=2000).collect()), key=key)
     source = sorted(((r.doc_id, r.text) for r in rows.collect()), key=key)
     for g, w in zip(got, plain(source)):
         assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9)
-    frequent, (main, dev) = lm_score.frequent_contexts(lm_score.folds(rows, "doc_id", "text", 64))
-    train = [(d, t) for d, t in source if zlib.crc32(str("" if d is None else d).encode()) % 5 != 1]
-    counts = [len(train), *(m + d for _, m, d in frequent)]
-    buckets = [1 + int(math.log2(max(1, c * lm_score.CONTEXTS / (main + dev)))) for c in counts]
-    contexts = {w: i + 1 for i, (w, _, _) in enumerate(frequent)}
-    for g, s in zip(got, slow_scores(source, contexts, kept["w"], buckets)):
+    assert {(r.ctx, r.key): r.n for r in kept["h"].itertuples()} == slow_histogram(source)
+    for g, s in zip(got, slow_scores(source, kept["w"])):
         assert math.isclose(g[6], s, rel_tol=1e-9)
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)  # better than the base on held-out documents
@@ -67,3 +89,8 @@ def test_weights_reach_the_best_likelihood():
     best = (np.array([60, 30, 10]) * np.log(p @ w)).sum()
     for d in np.random.default_rng(1).dirichlet([1, 1, 1], 3000):
         assert (np.array([60, 30, 10]) * np.log(p @ d)).sum() <= best + 1e-6
+
+
+def test_a_bucket_without_held_out_tokens_has_the_weights_below():
+    w = lm_score.weights_of(pd.DataFrame({"ctx": [1, 3], "key": [17 << 10 | 9, 17 << 10 | 9], "n": [5.0, 5.0]}), 9)
+    assert (w[2] == w[1]).all() and (w[64] == w[3]).all() and np.allclose(w.sum(axis=1), 1)
