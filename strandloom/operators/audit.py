@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +92,124 @@ def candidate_rules() -> list[Rule]:
     ]
 
 
+def sequence_rules(sequences: dict[str, int]) -> list[Rule]:
+    """Length and alphabet of each sequence column with its width."""
+    return [Rule(f"length_{s}", F.length(s) != n) for s, n in sequences.items()] + [Rule(f"alphabet_{s}", ~S.has_alphabet(F.col(s))) for s in sequences]
+
+
+def centre_rules(sequences: dict[str, int]) -> list[Rule]:
+    return [Rule(f"centre_{s}", F.substring(s, n // 2, 2) != "CG") for s, n in sequences.items()]
+
+
+def value_rules(pair: tuple[str, str], tracks: Sequence[str]) -> list[Rule]:
+    """Features and flags, against their medians (`_fit_`), and the other strand's view of the pair."""
+    c, features = F.col, [*pair, *tracks]
+    some = lambda of: reduce(lambda x, y: x | y, of)
+    yes = lambda x: F.coalesce(x, F.lit(True))
+    known = lambda x: F.coalesce(x, F.lit(False))
+    a, b = pair
+    return [
+        Rule("feature_finite", some([c(f).isNull() | F.isnan(f) | (F.abs(f) == float("inf")) for f in features])),
+        Rule("flag_binary", some([yes(~c(f"{f}_Missing").isin(0, 1)) for f in features])),
+        Rule("flagged_not_imputed", some([yes((c(f"{f}_Missing") == 1) & (F.abs(c(f) - c(f"{f}_fit_")) > 2e-6)) for f in features])),
+        Rule("rc_first_value", F.abs(c(f"{a}_RC") - c(b)) > 2e-6),
+        Rule("rc_second_value", F.abs(c(f"{b}_RC") - c(a)) > 2e-6),
+        Rule("rc_flags", (c(f"{a}_RC_Missing") != c(f"{b}_Missing")) | (c(f"{b}_RC_Missing") != c(f"{a}_Missing"))),
+        Rule("negative_signal", some([known(c(f) < 0) for f in tracks]), "warning"),
+        Rule("extreme_base_signal", some([known(F.abs(f) > 25) for f in pair]), "warning"),
+    ]
+
+
+def with_medians(df: DataFrame, medians: DataFrame) -> DataFrame:
+    """df with each of the one row of medians as `_fit_`."""
+    return df.crossJoin(F.broadcast(medians.select(*(F.col(c).alias(f"{c}_fit_") for c in medians.columns))))
+
+
+def locus_table_rules(df: DataFrame, medians: DataFrame, pair: tuple[str, str], tracks: Sequence[str]) -> tuple[DataFrame, list[Rule]]:
+    """A table as assembly.locus_table makes it, with what the rules need, and all rules of a training file."""
+    c = F.col
+    widths = {"dna_5000": 5000, "dna_100": 100, "dna_100_RC": 100}
+    splits = df.groupBy("probe_id", "split").agg(F.count(F.lit(1)).alias("n_same_"))
+    across = splits.groupBy("probe_id").agg(F.count(F.lit(1)).alias("n_splits_"))
+    told = with_medians(df.join(splits, ["probe_id", "split"]).join(across, "probe_id"), medians)
+    rules = [
+        Rule("id_prefix", ~c("probe_id").startswith("cg")),
+        Rule("split_label", ~c("split").isin("train", "val", "test")),
+        Rule("split_of_chromosome", c("split") != S.split_of(c("chr"))),
+        Rule("duplicate_in_split", c("n_same_") > 1),
+        Rule("in_several_splits", c("n_splits_") > 1),
+        Rule("chromosome", ~c("chr").isin(*S.CHROMOSOMES)),
+        Rule("position", c("pos") < 0),
+        *sequence_rules(widths),
+        *centre_rules(widths),
+        Rule("slice", c("dna_100") != F.substring("dna_5000", 2451, 100)),
+        Rule("rc_equality", c("dna_100_RC") != S.reverse_complement(c("dna_100"))),
+        Rule("target_missing", c("beta").isNull() | c("m_value").isNull() | c("binary_state").isNull()),
+        Rule("beta_range", ~c("beta").between(0, 1)),
+        Rule("binary_domain", ~c("binary_state").isin(0, 1)),
+        Rule("binary_vs_beta", S.binary_state(c("beta")) != c("binary_state")),
+        Rule("m_vs_beta", F.abs(S.beta_to_m(c("beta")) - c("m_value")) > 1e-5),
+        *value_rules(pair, tracks),
+    ]
+    return told, rules
+
+
+def candidate_table_rules(df: DataFrame, medians: DataFrame, pair: tuple[str, str], tracks: Sequence[str], held_out: tuple[str, ...] = ("val", "test")) -> tuple[DataFrame, list[Rule]]:
+    """A table as assembly.candidate_table makes it, with places, both widths, a transcript and lists of identifiers as JSON; what the rules need, and all rules of a candidate file.
+
+    Columns beyond the table's: offset_ (its offset), pos0, pos1, distance, index_5000, dna_5000, mut_5000 and their `_RC`,
+    transcript, gene, strand, ref_codon, alt_codon, annotations, record_ids, case_ids, submitter_ids, occurrence.
+    """
+    c = F.col
+    widths = {f"{s}{end}": n for n, both in ((5000, ("dna_5000", "mut_5000")), (100, ("wt", "mut"))) for end in ("", "_RC") for s in both}
+    lists = {"n_annotations": "annotations", "n_records": "record_ids", "n_cases": "case_ids", "n_submitters": "submitter_ids"}
+    told = with_medians(with_uniqueness(df, "variant_id"), medians).withColumns({n: F.size(S.json_list(c(x))) for n, x in lists.items()}).withColumns({n: F.when(c(n) >= 0, c(n)) for n in lists})
+    at = c("index_5000").cast("int")
+    near = at - 2450
+
+    def changes(a: str, b: str, i: Column) -> Column:
+        """Not exactly one change, at i: a with b's letter there isn't b, or the letters are equal."""
+        letter = F.substring(b, i + 1, F.lit(1))
+        whole = F.concat(F.substring(a, F.lit(1), i), letter, F.substring(a, i + 2, F.length(a)))
+        return F.coalesce((whole != c(b)) | (F.substring(a, i + 1, F.lit(1)) == letter) | ~i.between(0, F.length(a) - 1), F.lit(True)) | (F.length(a) != F.length(b))
+
+    rules = [
+        Rule("duplicate_id", c("n_same_") > 1),
+        Rule("split_of_chromosome", c("split") != S.split_of(c("chr"))),
+        Rule("held_out", ~c("split").isin(*held_out)),
+        Rule("annotation_missing", (c("transcript") == "") | (c("gene") == "")),
+        Rule("strand", ~c("strand").isin("+", "-")),
+        Rule("codon_length", (F.length("ref_codon") != 3) | (F.length("alt_codon") != 3)),
+        Rule("annotations_list", c("n_annotations").isNull()),
+        Rule("no_annotation", c("n_annotations") < 1),
+        Rule("snv_bases", ~(c("ref").isin(*S.BASES) & c("alt").isin(*S.BASES)) | (c("ref") == c("alt"))),
+        Rule("coordinates_missing", reduce(lambda x, y: x | y, [c(x).isNull() for x in ("pos0", "pos1", "pos", "offset_", "distance", "index_5000")])),
+        Rule("pos0_of_pos1", c("pos0") != c("pos1") - 1),
+        Rule("offset_of_places", c("offset_") != c("pos0") - c("pos")),
+        Rule("distance", c("distance") != F.abs("offset_")),
+        Rule("index_of_offset", c("index_5000") != 2499 + c("offset_")),
+        Rule("index_bounds", ~c("index_5000").between(0, 4999)),
+        *sequence_rules(widths),
+        *centre_rules(widths),
+        *(Rule(f"rc_{s}", c(f"{s}_RC") != S.reverse_complement(c(s))) for s in ("dna_5000", "mut_5000", "wt", "mut")),
+        Rule("slice_wt", c("wt") != F.substring("dna_5000", 2451, 100)),
+        Rule("slice_mut", c("mut") != F.substring("mut_5000", 2451, 100)),
+        Rule("one_change", changes("dna_5000", "mut_5000", at)),
+        Rule("alleles_at_index", (F.substring("dna_5000", at + 1, F.lit(1)) != c("ref")) | (F.substring("mut_5000", at + 1, F.lit(1)) != c("alt"))),
+        Rule("one_change_100", changes("wt", "mut", near)),
+        Rule("trinucleotide", ~c("tri").rlike("^[ACGTN]{3}$")),
+        Rule("sbs96", ~c("sbs96").rlike(r"^[ACGTN]\[[CT]>[ACGT]\][ACGTN]$")),
+        Rule("record_list", c("n_records").isNull()),
+        Rule("no_record", c("n_records") < 1),
+        Rule("case_list", c("n_cases").isNull()),
+        Rule("submitter_list", c("n_submitters").isNull()),
+        Rule("occurrence_positive", c("occurrence") < 1),
+        Rule("occurrence_of_lists", c("occurrence") != F.greatest("n_cases", "n_submitters")),
+        *value_rules(pair, tracks),
+    ]
+    return told, rules
+
+
 def lead_rules() -> list[Rule]:
     """For a locked benchmark of leads (qval, maf, slope, n_same_)."""
     c = F.col

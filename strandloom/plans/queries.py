@@ -566,21 +566,6 @@ def density_grid(d: Derived) -> DataFrame:
 # Audits ------------------------------------------------------------------------
 
 
-@query()
-def locus_audit(d: Derived) -> DataFrame:
-    t = d.loci.join(metrics.probe_medians(d.normals), "part_key")
-    return audit.rule_totals(audit.with_uniqueness(t, "probe_id"), audit.locus_rules(), "probe_id")
-
-
-@query(
-    with_tables("in_window")
-    + """ SELECT rule, n FROM (SELECT count(*) FILTER ("offset" IN (0, 1)) AS protected_pair, count(*) FILTER (substr(mut, 50, 2) <> 'CG') AS mut_centre, count(*) FILTER ("offset" + 49 <= 0 OR "offset" + 49 >= 99) AS edge_context, count(*) FILTER (length(wt) <> 100) AS length, count(*) FILTER (substr(wt, 50, 2) <> 'CG') AS wt_centre FROM in_window) UNPIVOT (n FOR rule IN (protected_pair, mut_centre, edge_context, length, wt_centre))"""
-)
-def candidate_audit(d: Derived) -> DataFrame:
-    t = audit.rule_totals(audit.with_uniqueness(d.in_window, "variant_id"), audit.candidate_rules(), "variant_id")
-    return t.filter(F.col("rule").isin("protected_pair", "mut_centre", "edge_context", "length", "wt_centre")).select("rule", "n")
-
-
 @query(with_tables("leads") + " SELECT 0::bigint + count(*) FILTER (slope = 0) AS n_errors, count(*) FILTER (qval >= 0.05) AS n_warnings, CASE WHEN count(*) FILTER (slope = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM leads")
 def benchmark_verdict(d: Derived) -> DataFrame:
     return audit.verdict(audit.rule_totals(audit.with_uniqueness(d.leads, "lead_id"), audit.lead_rules(), "lead_id"))
@@ -941,3 +926,6 @@ def top_target_comparators(d: Derived) -> DataFrame:
 
 
 FLAGSHIP = "locus_split_summary"
+
+
+from . import tables  # noqa: E402,F401  registers more queries
