@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.settling import settle
+from ..operators.settling import settle, unsettle
 
-__all__ = ["SPACE", "settle", "squeeze", "text_or_empty", "words_of"]
+__all__ = ["SPACE", "settle", "squeeze", "text_or_empty", "unsettle", "words_of"]
 
 #: Regular expression of the white space that separates words, and of words.
 SPACE = r"[\x20\x09-\x0D]+"

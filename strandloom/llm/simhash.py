@@ -402,7 +402,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those that are similar."""
         pairs = settle(pairs.select("a", "b"))
-        sets = settle(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()).mapInPandas(sets_of, "key long, hashes binary"))
+        sets = settle(texts_of(pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct()).distinct()).mapInPandas(sets_of, "key long, hashes binary"))
         sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
         return settle(sided.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
 
