@@ -1,8 +1,7 @@
 """Chat formatting in budgeted, turn-aligned windows.
 
-Turns are split into chunks of `chunk_turns` turn numbers, so that no conversation,
-however long, has to be in one task. Inside a chunk the running (prefix) sum of turn
-tokens decides where a window ends. A window repeats the conversation's first system
+Prefix sums of turn tokens split conversations into chunks, so that none, however
+long, has to be in one task, and inside a chunk they decide where a window ends. A window repeats the conversation's first system
 turn and up to `history_turns` turns before it; only text of assistant turns that are
 new in a window is under its loss mask, so each is learned once.
 """
@@ -16,9 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
+from .common import settle
+
 #: What opens and closes a turn of each role; other roles carry their name.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 OTHER, NAME_END, OTHER_END = "[TURN]", "[/NAME]", "[/TURN]"
@@ -123,8 +125,23 @@ class _Chunk:
         return [row]
 
 
+def _chunks(rows: DataFrame, chunk_tokens: int, history_turns: int) -> DataFrame:
+    """(conv_id, turn, chunk, next_chunk): the chunk of each turn number, by the tokens before it in its conversation; the chunk after it, if that repeats it."""
+    numbers = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    run = settle(running(numbers, [F.col("conv_id"), F.col("turn")], {"turns_": F.col("n"), "tokens_": F.col("t")}))
+    start = run.groupBy("conv_id").agg(F.min(F.col("turns_") - F.col("n")).alias("turns0"), F.min(F.col("tokens_") - F.col("t")).alias("tokens0"))
+    placed = run.join(start.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).select(
+        "conv_id", "turn", F.floor((F.col("tokens_") - F.col("t") - F.col("tokens0")) / chunk_tokens).alias("chunk"), (F.col("turns_") - F.col("n") - F.col("turns0")).alias("before"), "n"
+    )
+    firsts = placed.groupBy("conv_id", "chunk").agg(F.min("before").alias("first"))
+    own = Window.partitionBy("conv_id").orderBy("chunk")  # a row for chunk_tokens of a conversation's tokens
+    after = firsts.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.lead("chunk").over(own).alias("next"), F.lead("first").over(own).alias("next_first"))
+    both = placed.join(after, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
+    return settle(both.select("conv_id", "turn", "chunk", F.when(F.col("before") + F.col("n") > F.col("next_first") - history_turns, F.col("next")).alias("next_chunk")))
+
+
 def format_windows(
-    turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128, chunk_turns: int = 256, tokens=count_tokens
+    turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128, chunk_tokens: int = 1 << 15, tokens=count_tokens
 ) -> DataFrame:
     """Windows of WINDOW_SCHEMA from rows (conv_id, turn, role, text); loss spans count code points.
 
@@ -132,24 +149,24 @@ def format_windows(
     go by role, then text, and repeated rows are turns of their own. A null conv_id
     is a conversation. A turn above the budget is a window alone (`over_budget`, as
     when the system turn leaves no room). The system turn repeats in all windows
-    after its own; history crosses a chunk border from the turn numbers next to it.
+    after its own. Prefix sums of tokens deal a conversation into chunks of `chunk_tokens`, at
+    whose borders windows end; history crosses them. Turns of equal number are one chunk's.
     An empty table gives an empty one; other columns are not read.
     """
     at = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.floor(at / chunk_turns).cast("long").alias("chunk"),
-        F.lit(2).alias("part"),
-        at.alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+    flat = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), at.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("tokens", tokens(F.col("text")))
-    carry = rows.filter(F.pmod("turn", F.lit(chunk_turns)) >= chunk_turns - history_turns).withColumns({"chunk": F.col("chunk") + 1, "part": F.lit(1)})
+    chunks = _chunks(flat, chunk_tokens, history_turns)
+    of = chunks.select(F.col("conv_id").alias("c"), F.col("turn").alias("at"), "chunk", "next_chunk")
+    placed = flat.join(of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("at")))
+    places = F.array(F.struct("chunk", F.lit(2).alias("part")), F.struct(F.col("next_chunk").alias("chunk"), F.lit(1).alias("part")))
+    own = placed.withColumn("place", F.explode(F.filter(places, lambda p: p["chunk"].isNotNull()))).select("conv_id", "place.*", "turn", "role", "text", "tokens")
     order = F.struct("chunk", "turn", "role", "text", "tokens")
-    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(order).alias("s"))
-    later = rows.select("conv_id", "chunk").distinct().alias("c").join(system.alias("y"), F.col("c.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("c.chunk") > F.col("s.chunk")))
+    system = placed.filter("role = 'system'").groupBy("conv_id").agg(F.min(order).alias("s"))
+    later = chunks.select("conv_id", "chunk").distinct().alias("c").join(system.alias("y"), F.col("c.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("c.chunk") > F.col("s.chunk")))
     again = later.select("c.conv_id", "c.chunk", F.lit(0).alias("part"), "s.turn", "s.role", "s.text", "s.tokens")
-    dealt = rows.unionByName(carry).unionByName(again).repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "part", "turn", "role", "text")
+    dealt = own.unionByName(again).repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "part", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in WINDOW_SCHEMA.split(", ")]

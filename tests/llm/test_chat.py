@@ -52,3 +52,23 @@ def test_conversations_read_back(spark, sf_dir):
     first = windows.filter("conv_id = -1 and chunk = 1 and window = 0").first()
     assert first.n_repeated >= 1  # history or system from the chunk before
     assert c.digest_windows(c.format_windows(df.limit(0))).count() == 0
+
+
+def test_windows_fill_the_budget_whatever_the_numbers_are(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(["word"] * rng.randint(3, 8))
+    sparse = [(1, 10 * t, ("user", "assistant")[t % 2], text()) for t in range(300)]
+    equal = [(2, t // 3, "user", f"{t} {text()}") for t in range(300)]
+    one = [(3, 0, "assistant", f"{t} {text()}") for t in range(50)] + [(3, 1, "assistant", "very " * 40000)]
+    df = spark.createDataFrame([(*r, 1) for r in sparse + equal + one], SCHEMA)
+    windows = [r.asDict() for r in c.format_windows(df, budget=256, chunk_tokens=700).orderBy("conv_id", "chunk", "window").collect()]
+    for conv, rows in ((1, sparse), (2, equal), (3, one)):
+        own = [w for w in windows if w["conv_id"] == conv]
+        total = sum(len(r[3].split()) for r in rows[:-1])
+        assert sum(w["n_new"] for w in own) == len(rows)
+        assert len(own) <= total / 150 + 2 + total / 350  # new tokens fill the windows, but the last of a chunk
+        assert all(w["tokens"] <= 256 or w["over_budget"] and w["n_new"] == 1 for w in own)
+        borders = [w for w in own if w["window"] == 0][1:]
+        assert all(w["n_repeated"] == 2 for w in borders if not w["over_budget"])
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in c.digest_windows(c.format_windows(df, budget=256, chunk_tokens=700)).collect()}
+    assert got == expected(sparse + equal + one)
