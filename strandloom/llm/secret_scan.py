@@ -43,6 +43,10 @@ BASE = (
 #: Kinds beyond the base ones.
 MORE = (Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"))
 RULES = (*BASE, *MORE)
+#: Unseen blobs up to this number (8 MB of addresses) are looked up without shuffling the versions.
+FEW = 1 << 18
+#: Parts of the versions of a blob in a join.
+SALTS = 16
 LEDGER_SCHEMA = "blob binary, rules array<string>, found array<struct<kind:string,start:int,end:int>>"
 
 
@@ -61,13 +65,18 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     that a third of the rows share costs one row for each map task. An empty table,
     or one that the ledger covers, gives an empty one; other columns are not read.
     """
-    blobs = versions.select(blob_of(text_col).alias("blob"), text_or_empty(text_col).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    addressed = versions.select(blob_of(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
     wanted = F.array(*(F.lit(r.name) for r in rules))
+    once = lambda of: of.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        todo = blobs.withColumn("rules", wanted)
+        todo = once(addressed).withColumn("rules", wanted)
     else:
+        # what is unseen is known by addresses alone; texts that the ledger covers aren't shuffled if the rest is small
         seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").select("blob", "text", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).filter(F.size("rules") > 0)
+        new = addressed.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules"))
+        new = settle(new.filter(F.size("rules") > 0))
+        few = new.count() <= FEW
+        todo = once(addressed.join(F.broadcast(new.select("blob")) if few else new.select("blob"), "blob", "left_semi")).join(new, "blob")
     by_name = {r.name: r for r in rules}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,8 +102,9 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
         .groupBy("blob")
         .agg(F.array_sort(F.collect_set("f")).alias("found"))
     )
-    paths = versions.select(F.col(path_col).alias("path"), blob_of(text_col).alias("blob"))
-    return paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
+    paths = versions.select(F.col(path_col).alias("path"), blob_of(text_col).alias("blob"), F.pmod(F.xxhash64(path_col), F.lit(SALTS)).cast("int").alias("salt"))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return paths.join(hits, ["blob", "salt"], "left").select("path", "blob", F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
 
 
 def span_digests(found: DataFrame) -> DataFrame:
@@ -114,7 +124,21 @@ def span_digests(found: DataFrame) -> DataFrame:
     return found.select("path", "found").mapInPandas(run, schema)
 
 
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> tuple[DataFrame, int]:
+    """(the ledger with what versions add to it, settled; the number of blobs that were scanned)."""
+    new = settle(scan_unseen(versions, ledger, rules, text_col))
+    return new if ledger is None else ledger.unionByName(new), new.count()
+
+
 def scan_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_scanned_again), one row for each row of docs (doc_id, text).
+
+    The documents are scanned into an empty ledger; then they come a second time, as the
+    next commit that leaves them as they are, and n_scanned_again tells how many blobs that scans: none.
+    Null text counts as empty and has no spans. Rows with a null identifier and repeated rows
+    stay; equal texts have equal findings; an empty table gives an empty one; other columns are not read.
+    """
     versions = docs.select(F.col("doc_id").alias("path"), "text")
-    ledger = settle(scan_unseen(versions))
-    return span_digests(findings_by_path(versions, ledger))
+    ledger, _ = update_ledger(versions)
+    ledger, again = update_ledger(versions, ledger)
+    return span_digests(findings_by_path(versions, ledger)).withColumn("n_scanned_again", F.lit(again).cast("long"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -102,3 +103,30 @@ def test_names_with_dots_and_hostile_runs():
     assert [text[a:b] for _, a, b in pii.find(text)[1]] == ["jane dot doe at example dot com"]
     for hostile in ("word dot " * 20000 + "x@y.z", "one dot " * 20000, "a@ dot " * 20000, "plus 1" * 20000):
         pii.find(hostile)
+
+
+def test_more_disguises_and_many_spans():
+    shown = lambda text: [text[a:b] for _, a, b in pii.find(text)[1]]
+    assert shown("write to jane   [at]  example.com now") == ["jane   [at]  example.com"]
+    assert shown("call +49 five, five, five 1 2 3 4 5 6 7 8") == ["+49 five, five, five 1 2 3 4 5 6 7 8"]
+    text = " ".join(f"a{i}@b{i}.org" for i in range(20000)) + " \uff11"
+    began = time.time()
+    assert len(pii.find(text)[0]) == 20000 and not pii.find(text)[1] and time.time() - began < 20
+
+
+def test_a_second_version_scans_what_is_new(spark):
+    schema = "path string, text string, blob int, found int"
+    old = spark.createDataFrame([("a", "password=abcdefgh1", 1, 1), ("b", None, 1, 1), ("b", None, 1, 1), (None, "x" * 300000 + " AKIA" + "A" * 20, 1, 1)], schema)
+    ledger, n = secret_scan.update_ledger(old, None, secret_scan.BASE)
+    assert n == 3
+    new = old.unionByName(spark.createDataFrame([("c", "token: 12345678", 2, 2), ("d", "password=abcdefgh1", 2, 2)], schema))
+    ledger, n = secret_scan.update_ledger(new, ledger, secret_scan.BASE)
+    assert n == 1
+    assert secret_scan.update_ledger(new, ledger, secret_scan.BASE)[1] == 0
+    assert secret_scan.update_ledger(new, ledger)[1] == 4  # two rules that no blob has seen
+    got = sorted((str(r.path), len(r.found)) for r in secret_scan.findings_by_path(new, ledger, secret_scan.BASE).collect())
+    assert got == [("None", 1), ("a", 1), ("b", 0), ("b", 0), ("c", 1), ("d", 1)]
+    docs = old.withColumn("doc_id", secret_scan.F.lit(1))
+    rows = secret_scan.scan_documents(docs).collect()
+    assert len(rows) == 4 and {r.n_scanned_again for r in rows} == {0}
+    assert secret_scan.scan_documents(docs.limit(0)).count() == 0
