@@ -98,9 +98,9 @@ DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _D = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![^\W_]){_D}(?:(?:[ \-]|\sdot\s){_D})*(?![^\W_])")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_]){_D}(?:(?:[ \-]{{1,3}}|,\s{{0,2}}|\.|\sdot\s){_D})*(?![^\W_])")
 _ONE = re.compile(rf"(?i){_D}")
-_AT = r"\s?(?:\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<\s?at\s?>|@)\s?"
+_AT = r"\s{0,3}(?:\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<\s?at\s?>|@)\s{0,3}"
 _DOT = r"\s?(?:\[\s?(?:dot|\.)\s?\]|\(\s?(?:dot|\.)\s?\)|\{\s?dot\s?\}|<\s?dot\s?>)\s?|\sdot\s"
 _NAME, _HOST = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 #: A marked `at` takes any dots; the bare word counts only together with a disguised dot: name at host dot top.
@@ -141,7 +141,8 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     """Each spelled digit of a run as a digit, with the separator before it (a spelled dot stays one)."""
     out, last = [], m.start()
     for w in _ONE.finditer(m.string, m.start(), m.end()):
-        dot = "." if "dot" in m.string[last : w.start()].lower() else ""
+        between = m.string[last : w.start()].lower()
+        dot = "." if "dot" in between or "." in between else ""
         out.append((last, w.end(), dot + DIGITS[w[0].lower()]))
         last = w.end()
     return out
@@ -166,7 +167,9 @@ def rewrite(text: str) -> Rewritten | None:
         mail: list[tuple[int, int, str]] = []
         last = 0
         for at in core.finditer(r.text):
-            start = at.start() - (at.start() > last and r.text[at.start() - 1].isspace())
+            start = at.start()
+            while start > max(last, at.start() - 3) and r.text[start - 1].isspace():
+                start -= 1
             while start > last and r.text[start - 1] in _LOCAL:
                 start -= 1
             if m := pattern.match(r.text, start):
@@ -211,13 +214,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     base = detect(text)
     if (r := rewrite(text)) is None:
         return base, []
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    # base spans of a kind don't overlap, and rewriting keeps their order: one pass finds what holds a span
+    held = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    at, last = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, (0, 0))
     added = []
     for kind, a, b in detect(r.text):
         a, b = r.starts[a], r.ends[b - 1]
-        if not any(x <= a and b <= y for x, y in taken[kind]):
+        own = held[kind]
+        while at[kind] < len(own) and own[at[kind]][0] <= a:
+            at[kind] += 1
+        x, y = own[at[kind] - 1] if at[kind] else (0, 0)
+        if b > y and not (last[kind][0] <= a and b <= last[kind][1]):
             added.append((kind, a, b))
-            taken[kind].append((a, b))
+            last[kind] = (a, b)
     return base, added
 
 
