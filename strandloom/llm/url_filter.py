@@ -9,7 +9,9 @@ hit, so that a digest collision changes nothing.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -21,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: The lists are the operator's parameters: ordered rules, and host names to block.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -37,31 +41,65 @@ def listed(rules: Iterable[tuple[str, str]] = RULES, hosts: Iterable[str] = BLOC
     return [Listed(k, v, "rule") for k, v in rules] + [Listed(h.lower(), "block", "list") for h in hosts]
 
 
-def write_index(entries: list[Listed], folder: str, digest=xxhash.xxh64_intdigest) -> list[str]:
+def digest64(key: bytes) -> int:
+    """As Spark's xxhash64 of the string."""
+    return xxhash.xxh64_intdigest(key, 42)
+
+
+def write_index(entries: list[Listed], folder: str, digest=digest64) -> list[str]:
     """The sorted digest array with offsets into the stored strings; returns the files. Where a key comes twice, its first entry holds."""
     first: dict[tuple[str, str], Listed] = {}
     for e in entries:
         first.setdefault((e.key, e.kind), e)
     rows = sorted(first.values(), key=lambda e: (digest(e.key.encode()), e.key, e.kind))
-    blobs = [f"{e.kind}\n{e.verdict}\n{e.key}".encode() for e in rows]
-    parts = {
-        "digests": np.array([digest(e.key.encode()) for e in rows], np.uint64),
-        "offsets": np.cumsum([0, *map(len, blobs)], dtype=np.int64),
-        "strings": np.frombuffer(b"".join(blobs), np.uint8),
-        "lengths": np.unique([len(e.key) - e.key.find("/") if "/" in e.key else 0 for e in rows]).astype(np.int64),
-    }
-    paths = []
-    for name, array in parts.items():
-        paths.append(os.path.join(folder, f"{name}.npy"))
-        np.save(paths[-1], array)
-    return paths
+    size = sum(len(_stored(e)) for e in rows)
+    return _write(((digest(e.key.encode()), e) for e in rows), len(rows), size, {_tail(e.key) for e in rows}, folder)
+
+
+def write_index_of(table: DataFrame, folder: str) -> list[str]:
+    """As write_index from a table (key, verdict, kind), of any size: Spark sorts it, and the driver's disk gets the rows one partition after another.
+
+    Of several verdicts of a key of one kind, the smallest holds; rows without a key or verdict are left out.
+    """
+    once = table.filter("key is not null and verdict is not null").groupBy("key", F.coalesce("kind", F.lit("list")).alias("kind")).agg(F.min("verdict").alias("verdict"))
+    digest = F.xxhash64("key")
+    rows = settle(once.withColumn("digest", digest).orderBy(digest.bitwiseXOR(F.lit(-(2**63))), "key", "kind"))
+    slash = F.locate("/", "key")
+    sizes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("key") + F.octet_length("verdict") + F.octet_length("kind") + 2)).first()
+    tails = rows.select(F.when(slash > 0, F.length("key") - slash + 1).otherwise(0).alias("n")).distinct().collect()  # as many as the longest path is long
+    ordered = rows.orderBy(F.col("digest").bitwiseXOR(F.lit(-(2**63))), "key", "kind")
+    stream = ((r.digest % 2**64, Listed(r.key, r.verdict, r.kind)) for r in ordered.toLocalIterator(prefetchPartitions=True))
+    return _write(stream, sizes[0], sizes[1] or 0, {r.n for r in tails}, folder)
+
+
+def _stored(e: Listed) -> bytes:
+    return f"{e.kind}\n{e.verdict}\n{e.key}".encode()
+
+
+def _tail(key: str) -> int:
+    return len(key) - key.find("/") if "/" in key else 0
+
+
+def _write(rows: Iterable[tuple[int, Listed]], n: int, size: int, tails: set[int], folder: str) -> list[str]:
+    files = {"digests": (np.uint64, n), "offsets": (np.int64, n + 1), "strings": (np.uint8, size), "lengths": (np.int64, len(tails))}
+    paths = {name: os.path.join(folder, f"{name}.npy") for name in files}
+    out = {name: np.lib.format.open_memmap(paths[name], "w+", kind, (m,)) if m else np.zeros(0, kind) for name, (kind, m) in files.items()}
+    out["lengths"][:] = sorted(tails)
+    at = 0
+    for i, (digest, e) in enumerate(rows):
+        blob = _stored(e)
+        out["digests"][i], out["strings"][at : at + len(blob)], at = digest, np.frombuffer(blob, np.uint8), at + len(blob)
+        out["offsets"][i + 1] = at
+    for name, array in out.items():
+        array.flush() if isinstance(array, np.memmap) else np.save(paths[name], array)
+    return list(paths.values())
 
 
 class Index:
     """The arrays, memory-mapped; `find` returns the entries of each key."""
 
-    def __init__(self, paths: list[str], digest=xxhash.xxh64_intdigest):
-        self.digests, self.offsets, self.strings, self.lengths = (np.load(p, mmap_mode="r") for p in paths)
+    def __init__(self, paths: list[str], digest=digest64):
+        self.digests, self.offsets, self.strings, self.lengths = (np.load(p, mmap_mode="r" if os.path.getsize(p) > 128 else None) for p in paths)
         self.digest = digest
 
     def find(self, keys: list[str]) -> list[list[Listed]]:
@@ -95,9 +133,11 @@ def judge(index: Index, hosts: Iterable[str], paths: Iterable[str]) -> list[tupl
     return out
 
 
-def ship_index(spark: SparkSession, entries: list[Listed]) -> list[str]:
-    """Write the arrays and have Spark hand them to every executor; returns the names for SparkFiles.get."""
-    paths = write_index(entries, folder := tempfile.mkdtemp(prefix="urls-"))
+def ship_index(spark: SparkSession, entries: list[Listed] | DataFrame) -> list[str]:
+    """Write the arrays and have Spark hand them to every executor; returns the names for SparkFiles.get. The driver's copy goes when it ends."""
+    folder = tempfile.mkdtemp(prefix="urls-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    paths = write_index_of(entries, folder) if isinstance(entries, DataFrame) else write_index(entries, folder)
     names = []
     for p in paths:
         name = f"{os.path.basename(folder)}-{os.path.basename(p)}"
@@ -107,11 +147,11 @@ def ship_index(spark: SparkSession, entries: list[Listed]) -> list[str]:
     return names
 
 
-def filter_urls(pages: DataFrame, entries: list[Listed] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, entries: list[Listed] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each row of pages.
 
-    `entries` is a list that the caller holds in memory, so its size is bounded by
-    the driver; it reaches the executors as files. Null urls and those without
+    `entries` is a list, or a table (key, verdict, kind) of any size that fits a disk; it
+    reaches the executors as files. Null urls and those without
     `://` have empty host and path and are allowed. Repeated rows stay; an empty
     table gives an empty one; other columns are not read.
     """

@@ -65,3 +65,13 @@ def test_digest_collisions_change_nothing(tmp_path, digest):
     paths = ["/en/1", "/fr/", "/de/", "", "", "/"]
     assert url_filter.judge(good, hosts, paths) == url_filter.judge(bad, hosts, paths)
     assert isinstance(good.digests, type(good.offsets)) and good.digests.filename  # memory-mapped
+
+
+def test_index_of_a_table_is_that_of_the_list(spark):
+    entries = url_filter.listed()
+    table = spark.createDataFrame([(*e, 5) for e in entries] + [(None, "block", "list", 5)], "key string, verdict string, kind string, extra int")
+    urls = ["https://a.example.org/es/x", "http://spam-farm.example.net", "x://com/de/1", None, "no url", "http://casino-win.example.com/" + "a" * 200000, "http://b.com/fr/", "http://b.com/fr/"]
+    pages = spark.createDataFrame([(i % 6, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows.collect())
+    assert key(url_filter.filter_urls(pages, table)) == key(url_filter.filter_urls(pages)) and url_filter.filter_urls(pages).count() == len(urls)
+    assert {r.verdict for r in url_filter.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
