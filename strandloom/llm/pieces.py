@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import text_or_empty
 
 #: Rows whose ids are Python numbers at a time.
 SLICE = 250
-#: Segments that a process remembers; those up to SHORT characters are searched at once, longer ones in chunks of LONG.
-MEMO, SHORT, LONG = 150_000, 64, 512
+#: Segments of up to LONG characters that a process remembers, twice; the search is fed so many characters at a time, and a text is cut into chunks.
+MEMO, LONG, CHUNK = 200_000, 64, 1 << 16
 
 
 def model_file() -> str:
@@ -42,23 +43,24 @@ class Pieces:
         """byte_ids: the ids of the 256 byte pieces, which stand for characters in no piece; skip: control pieces."""
         if len(byte_ids) != 256:
             raise ValueError("the vocabulary has no byte pieces, so not every text can be encoded reversibly")
-        self.byte_ids, self.memo = byte_ids, {}
+        self.byte_ids, self.memo, self.older = byte_ids, {}, {}
         self.raw = [p.replace("▁", " ").encode() for p, _ in pieces]
         for b, i in enumerate(byte_ids):
             self.raw[i] = bytes([b])
         self.scores = [s for _, s in pieces]
-        self.trie: dict = {}
         own = {i: p.replace("▁", " ") for i, (p, _) in enumerate(pieces) if i not in skip and i not in set(byte_ids) and p}
+        self.trie: dict = {}  # character -> (the same of what may follow, the piece that ends here or -1, its score)
         for i, p in own.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+            children = self.trie
+            for c in p[:-1]:
+                children = children.setdefault(c, ({}, -1, 0.0))[0]
+            children[p[-1]] = (children.get(p[-1], ({},))[0], i, self.scores[i])
+        self.singles = {p for p in own.values() if len(p) == 1}
         self.longest = max(map(len, own.values()), default=1)
         self.unknown = min([self.scores[i] for i in own], default=0.0) - 10
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in own.values()))
         rest = re.escape(" " + alone)
-        inner = any(" " in p.lstrip(" ") for p in own.values())
+        self.inner = inner = any(" " in p.lstrip(" ") for p in own.values())
         self.segments = re.compile(r"(?s).+" if inner else rf" *[^{rest}]+| +" + (f"|[{re.escape(alone)}]" if alone else ""))
 
     @classmethod
@@ -71,77 +73,55 @@ class Pieces:
         return cls([(m.id_to_piece(i), m.get_score(i)) for i in ids], [i for i in ids if m.is_byte(i)], skip)
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of the text that the chunks make up, as they are committed. Of equal scores the longer last piece wins."""
-        text, ended, feed = "", False, iter(chunks)
-        score, back, arc = [0.0], [0], [-1]  # by position since the last commit
-        i = reach = 0
+        """Ids of the text that the chunks make up, as they are committed. Of equal scores the longer last piece wins.
+
+        Every `stride` positions the ids before the last boundary that all paths share are committed.
+        """
+        trie, longest, singles, unknown, stride = self.trie, self.longest, self.singles, self.unknown, 4 * self.longest
+        feed, text, ended = iter(chunks), "", False
+        score, back, arc = [0.0], [0], [-1]  # by position since the last commit; arc -1: a character in no piece
+        i = 0
         while True:
-            while not ended and i + self.longest > len(text):
+            while not ended and len(text) < i + stride + longest:
                 more = next(feed, None)
                 ended, text = more is None, text + (more or "")
-            if i and reach <= i:  # no piece crosses this boundary: all paths meet here
+            stop = min(i + stride, len(text) if ended else len(text) - longest)
+            if (n := min(stop + longest, len(text)) + 1 - len(score)) > 0:
+                score += [-inf] * n
+                back += [0] * n
+                arc += [-1] * n
+            for i in range(i, stop):
+                children, j, here = trie, i, score[i]
+                for c in text[i : i + longest]:
+                    node = children.get(c)
+                    if node is None:
+                        break
+                    children, piece, s = node
+                    j += 1
+                    if piece >= 0:
+                        s += here
+                        if s > score[j]:
+                            score[j], back[j], arc[j] = s, i, piece
+                if text[i] not in singles and here + unknown > score[i + 1]:
+                    score[i + 1], back[i + 1], arc[i + 1] = here + unknown, i, -1
+            i = stop
+            if ended and i == len(text):
                 yield self._path(i, back, arc, text)
-                text, score, back, arc, i, reach = text[i:], [0.0], [0], [-1], 0, 0
-            elif i >= 4 * self.longest and i % self.longest == 0 and (cut := self._meet(i, reach, back, arc)):
+                return
+            if cut := self._meet(i, score, back):
                 yield self._path(cut, back, arc, text)
                 text, score, back, arc = text[cut:], score[cut:], [max(0, b - cut) for b in back[cut:]], arc[cut:]
-                i, reach = i - cut, reach - cut
-            if i == len(text):
-                return
-            node, j, here = self.trie, i, score[i]
-            n, single = len(text), False
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                if (piece := node.get("")) is not None:
-                    single |= j == i + 1
-                    self._relax(j, here + self.scores[piece], i, piece, score, back, arc)
-                    reach = max(reach, j)
-            if not single:
-                self._relax(i + 1, here + self.unknown, i, -1, score, back, arc)
-                reach = max(reach, i + 1)
-            i += 1
-
-    def _closed(self, seg: str) -> list[int]:
-        """The same search over a short text between two boundaries that all paths share."""
-        n, scores, trie = len(seg), self.scores, self.trie
-        score, back, arc = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        score[0] = 0.0
-        for i in range(n):
-            node, j, here, single = trie, i, score[i], False
-            for c in seg[i:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                piece = node.get("")
-                if piece is not None:
-                    if j == i + 1:
-                        single = True
-                    s = here + scores[piece]
-                    if s > score[j]:
-                        score[j], back[j], arc[j] = s, i, piece
-            if not single and here + self.unknown > score[i + 1]:
-                score[i + 1], back[i + 1], arc[i + 1] = here + self.unknown, i, -1
-        return self._path(n, back, arc, seg)
+                i -= cut
 
     @staticmethod
-    def _relax(j: int, s: float, i: int, piece: int, score: list, back: list, arc: list) -> None:
-        while len(score) <= j:
-            score.append(-np.inf)
-            back.append(0)
-            arc.append(-2)
-        if s > score[j]:
-            score[j], back[j], arc[j] = s, i, piece
-
-    @staticmethod
-    def _meet(i: int, reach: int, back: list, arc: list) -> int:
+    def _meet(i: int, score: list, back: list) -> int:
         """The last boundary that the best paths to all open positions share."""
-        ends = {j for j in range(i, min(reach, len(back) - 1) + 1) if arc[j] != -2}
+        ends = {j for j in range(i, len(score)) if score[j] > -inf}
         while len(ends) > 1:
             j = max(ends)
             ends.remove(j)
             ends.add(back[j])
-        return min(ends.pop(), i) if ends else 0
+        return min(ends.pop(), i)
 
     def _path(self, end: int, back: list, arc: list, text: str) -> list[int]:
         out: list[int] = []
@@ -154,21 +134,41 @@ class Pieces:
             end = start
         return out[::-1]
 
+    def _chunks(self, text: str) -> Iterator[str]:
+        """Parts of about CHUNK characters of the text, which end before a run of spaces: no piece crosses that."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > CHUNK and not self.inner:
+                cut = text.rfind(" ", at, at + CHUNK)
+                while cut > at and text[cut - 1] == " ":
+                    cut -= 1
+                if cut <= at:  # no run of spaces, but perhaps one at the start
+                    start = at + len(text[at : at + CHUNK]) - len(text[at : at + CHUNK].lstrip(" "))
+                    cut = text.find(" ", start)
+                end = cut if cut > at else end
+            yield text[at:end]
+            at = end
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         if not text:
             return out
         memo = self.memo
-        for seg in self.segments.findall(" " + text):
-            ids = memo.get(seg)
-            if ids is None:
-                if len(seg) > SHORT:
-                    ids = [x for part in self.stream(seg[k : k + LONG] for k in range(0, len(seg), LONG)) for x in part]
-                else:
+        for chunk in self._chunks(" " + text):
+            for seg in self.segments.findall(chunk):
+                ids = memo.get(seg)
+                if ids is None:
                     if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = memo[seg] = self._closed(seg)
-            out += ids
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
+                    ids = self.older.get(seg)
+                    if ids is None:
+                        parts = [*self.stream((seg,) if len(seg) <= LONG else (seg[k : k + LONG] for k in range(0, len(seg), LONG)))]
+                        ids = parts[0] if len(parts) == 1 else [*chain.from_iterable(parts)]
+                    if len(seg) <= LONG:
+                        memo[seg] = ids
+                out += ids
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
