@@ -26,7 +26,7 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), "residual")
 
 
 def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
