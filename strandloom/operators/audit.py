@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranks import running
 
 
 @dataclass(frozen=True)
@@ -45,53 +46,6 @@ def with_uniqueness(df: DataFrame, key: str, name: str = "n_same_") -> DataFrame
     return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
-def locus_rules(width: int = 100, features: tuple[str, ...] = ()) -> list[Rule]:
-    """For a locus table (probe_id, chr, pos, split, seq, beta, m_value, binary_state, n_same_) and features with their `_Missing` flags."""
-    mid = width // 2
-    c, beta = F.col, F.col("beta")
-    rules = [
-        Rule("id_prefix", ~c("probe_id").startswith("cg")),
-        Rule("duplicate_id", c("n_same_") > 1),
-        Rule("split_of_chromosome", c("split") != S.split_of(c("chr"))),
-        Rule("chromosome", ~c("chr").isin(*S.CHROMOSOMES)),
-        Rule("position", c("pos") < 0),
-        Rule("length", F.length("seq") != width),
-        Rule("alphabet", ~S.has_alphabet(c("seq"))),
-        Rule("cg_centre", F.substring("seq", mid, 2) != "CG"),
-        Rule("rc_equality", S.reverse_complement(S.reverse_complement(c("seq"))) != c("seq")),
-        Rule("beta_range", ~beta.between(0, 1)),
-        Rule("binary_domain", ~c("binary_state").isin(0, 1)),
-        Rule("binary_vs_beta", S.binary_state(beta) != c("binary_state")),
-        Rule("m_vs_beta", F.abs(S.beta_to_m(beta) - c("m_value")) > 1e-5),
-    ]
-    for f in features:
-        rules += [Rule(f"{f}_finite", c(f).isNull() | F.isnan(f)), Rule(f"{f}_flag", ~c(f"{f}_Missing").isin(0, 1)), Rule(f"{f}_negative", c(f) < 0, "warning")]
-    return rules
-
-
-def candidate_rules() -> list[Rule]:
-    """For in-window variants (wt, mut, offset, ref, alt, pos, split) with n_same_."""
-    c = F.col
-    i = c("offset") + 49
-    change = S.diff_positions(c("wt"), c("mut"))
-    return [
-        Rule("duplicate_id", c("n_same_") > 1),
-        Rule("held_out", ~c("split").isin("test", "val", "train")),
-        Rule("snv_bases", ~(c("ref").isin(*S.BASES) & c("alt").isin(*S.BASES)) | (c("ref") == c("alt"))),
-        Rule("length", (F.length("wt") != 100) | (F.length("mut") != 100)),
-        Rule("alphabet", ~(S.has_alphabet(c("wt")) & S.has_alphabet(c("mut")))),
-        Rule("wt_centre", F.substring("wt", 50, 2) != "CG"),
-        Rule("mut_centre", F.substring("mut", 50, 2) != "CG"),
-        Rule("protected_pair", c("offset").isin(0, 1)),
-        Rule("one_change", F.size(change) != 1),
-        Rule("change_at_index", F.get(change, F.lit(0)) != i),
-        Rule("ref_at_index", F.substring("wt", (i + 1).cast("int"), F.lit(1)) != c("ref")),
-        Rule("alt_at_index", F.substring("mut", (i + 1).cast("int"), F.lit(1)) != c("alt")),
-        Rule("rc_involution", S.reverse_complement(S.reverse_complement(c("mut"))) != c("mut")),
-        Rule("edge_context", S.trinucleotide(c("wt"), i) == "NNN", "warning"),
-    ]
-
-
 def sequence_rules(sequences: dict[str, int]) -> list[Rule]:
     """Length and alphabet of each sequence column with its width."""
     return [Rule(f"length_{s}", F.length(s) != n) for s, n in sequences.items()] + [Rule(f"alphabet_{s}", ~S.has_alphabet(F.col(s))) for s in sequences]
@@ -216,6 +170,34 @@ def lead_rules() -> list[Rule]:
     return [Rule("duplicate_id", c("n_same_") > 1), Rule("q_range", ~c("qval").between(0, 1)), Rule("maf_range", ~c("maf").between(0, 0.5)), Rule("slope_zero", c("slope") == 0), Rule("chromosome", ~c("chr").isin(*S.CHROMOSOMES)), Rule("significant", c("qval") >= 0.05, "warning")]
 
 
+def benchmark_rules() -> list[Rule]:
+    """For a locked benchmark: associations (lead_id, qval, slope, maf, pos0, pos1, offset_, chr, split, flag, ref, alt) of loci (probe_id, locus_pos), with n_same_. Any violation fails it."""
+    c = F.col
+    finite = lambda x: c(x).isNull() | F.isnan(x)
+    return [
+        Rule("duplicate_id", c("n_same_") > 1),
+        Rule("q_finite", finite("qval")),
+        Rule("q_range", ~c("qval").between(0, 1)),
+        Rule("not_significant", c("qval") >= 0.05),
+        Rule("slope_finite", finite("slope")),
+        Rule("slope_zero", c("slope") == 0),
+        Rule("maf_range", ~c("maf").between(0, 0.5)),
+        Rule("places_missing", reduce(lambda x, y: x | y, [c(x).isNull() for x in ("pos0", "pos1", "locus_pos", "offset_")])),
+        Rule("places_integral", (c("pos0") != F.floor("pos0")) | (c("pos1") != F.floor("pos1"))),
+        Rule("place_negative", c("locus_pos") < 0),
+        Rule("pos0_of_pos1", c("pos0") != c("pos1") - 1),
+        Rule("offset_of_places", c("offset_") != c("pos0") - c("locus_pos")),
+        Rule("outside_window", ~c("offset_").between(-499, 500)),
+        Rule("protected_pair", c("offset_").isin(0, 1)),
+        Rule("chromosome", ~c("chr").isin(*S.CHROMOSOMES)),
+        Rule("split_label", ~c("split").isin("train", "val", "test")),
+        Rule("split_of_chromosome", c("split") != S.split_of(c("chr"))),
+        Rule("flag_binary", ~c("flag").isin(0, 1)),
+        Rule("alleles", ~(c("ref").isin(*S.BASES) & c("alt").isin(*S.BASES)) | (c("ref") == c("alt"))),
+        Rule("locus_missing", c("probe_id") == ""),
+    ]
+
+
 def alignment(predictions: DataFrame, key: str, runs: list[str], truth: str, n_runs: int, within: float = 1e-10) -> DataFrame:
     """(n_keys, n_incomplete, n_truth_differs): every run has every key, with one truth."""
     per = predictions.groupBy(key).agg(F.countDistinct(*runs).alias("r_"), (F.max(truth) - F.min(truth)).alias("d_"))
@@ -233,8 +215,10 @@ def selection_audit(saved: DataFrame, expected: DataFrame, key: str, order: str)
     a = saved.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.min(order).alias("a_"))
     b = expected.groupBy(key).agg(F.min(order).alias("b_"))
     j = a.join(b, key, "full")
-    w = lambda c: F.row_number().over(Window.partitionBy(F.col(c).isNull()).orderBy(c))
-    placed = j.withColumns({"pa_": w("a_"), "pb_": w("b_")})
+    placed = j
+    for at, name in (("a_", "pa_"), ("b_", "pb_")):
+        in_order = running(j.filter(F.col(at).isNotNull()).select(key, at), [F.col(at), F.col(key)], {name: F.lit(1)})
+        placed = placed.join(in_order.select(key, name), key, "left")
     n = lambda c: F.count(F.when(c, 1))
     return placed.agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("n_saved"), n(F.col("b_").isNotNull()).alias("n_expected"), n(F.col("b_").isNull()).alias("n_unexpected"), n(F.col("a_").isNull()).alias("n_omitted"), F.coalesce(F.sum(F.col("n_") - 1), F.lit(0)).alias("n_duplicate"), (n(F.col("a_").isNull() | F.col("b_").isNull() | (F.col("pa_") != F.col("pb_"))) == 0).alias("same_order"))
 

@@ -251,3 +251,19 @@ def gain_panel(intervals: DataFrame, order: list[str], stratum: str = "stratum",
     """(place, stratum, change, low, high): gains as changes of the error, so signs and ends of the intervals swap; strata in a given order, others drop."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(stratum))
     return intervals.select(place.alias("place"), stratum, (-F.col(gain)).alias("change"), (-F.col("high")).alias("low"), (-F.col("low")).alias("high")).filter("place > 0")
+
+
+def consensus(df: DataFrame, key: str, run: str, effect: str, top: int) -> DataFrame:
+    """(key, n_runs, mean_rank, top<k>_frequency, mean_effect, sign_consistency) over runs; ranks are by absolute effect inside a run, ties at their smallest.
+
+    Ranks are counted over the distinct values of all runs in ranges, so no run is sorted in one task.
+    """
+    marked = df.withColumn("by_", -F.abs(effect))
+    values = marked.groupBy(run, "by_").agg(F.count(F.lit(1)).alias("n_"))
+    counted = running(values, [F.col(run), F.col("by_")], {"upto_": F.col("n_")})
+    first = counted.groupBy(run).agg(F.min(F.col("upto_") - F.col("n_")).alias("start_"))
+    rank = counted.join(F.broadcast(first), run).select(run, "by_", (F.col("upto_") - F.col("n_") - F.col("start_") + 1).alias("r_"))
+    x = F.col(effect)
+    up, down, moved = (F.count(F.when(c, 1)) for c in (x > 0, x < 0, x != 0))
+    steady = F.when(moved == 0, 1.0).otherwise(F.greatest(up, down) / moved)
+    return marked.join(rank, [run, "by_"]).groupBy(key).agg(F.count(F.lit(1)).alias("n_runs"), F.avg("r_").alias("mean_rank"), F.avg((F.col("r_") <= top).cast("double")).alias(f"top{top}_frequency"), F.avg(x).alias("mean_effect"), steady.alias("sign_consistency"))

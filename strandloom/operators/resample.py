@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
 from .metrics import guarded_corr
-from .ranks import average_rank, global_average_rank
+from .ranks import average_rank, global_average_rank, running
 
 
 def numbered(df: DataFrame, block: str) -> DataFrame:
@@ -123,3 +123,66 @@ def within_set_permutation_p(df: DataFrame, set_col: str, id_col: str, replicate
     null, seen = auc(F.col("s_"), F.col("k_")), auc(F.col("o_"), F.col("p_"))
     exceed = F.count(F.when(null >= seen, 1))
     return sums.agg(F.max(seen).alias("observed"), exceed.alias("exceed"), ((exceed + 1) / (replicates + 1)).alias("p"))
+
+
+def weighted_auc_ap(rows: DataFrame, keys: list[str], y: str, by: str, weight: str) -> DataFrame:
+    """(keys, auc, ap): the ROC area and the average precision by descending score, ties together, of rows counted `weight` times; null without both classes."""
+    v = rows.groupBy(*keys, by).agg(F.sum(F.when(F.col(y) == 1, F.col(weight)).otherwise(0)).cast("double").alias("p_"), F.sum(F.when(F.col(y) == 1, 0).otherwise(F.col(weight))).cast("double").alias("q_"))
+    down = Window.partitionBy(*keys).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = v.withColumns({"tp_": F.sum("p_").over(down), "fp_": F.sum("q_").over(down)})
+    p, q = F.sum("p_"), F.sum("q_")
+    # a negative loses to the positives above it, and half to those beside it
+    wins = F.sum(F.col("q_") * (F.col("tp_") - F.col("p_") / 2))
+    ap = F.sum(F.when(F.col("p_") > 0, F.col("p_") * F.col("tp_") / (F.col("tp_") + F.col("fp_"))).otherwise(0.0))
+    return run.groupBy(*keys).agg(F.when((p > 0) & (q > 0), wins / (p * q)).alias("auc"), F.when(p > 0, ap / p).alias("ap"))
+
+
+def set_bootstrap(df: DataFrame, set_col: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
+    """(replicate, auc, ap, wins): matched sets drawn whole; AUC and average precision by |score|, and the share of drawn sets whose positive lies above the median of the others."""
+    a = F.abs(score)
+    per = df.groupBy(set_col).agg(F.max(F.when(F.col(y) == 1, a)).alias("top_"), F.median(F.when(F.col(y) == 0, a)).alias("mid_"))
+    sets = numbered(per, set_col)
+    drawn = draws(sets.select("i"), replicates, seed).join(F.broadcast(sets), "i")
+    known = F.col("top_").isNotNull() & F.col("mid_").isNotNull()
+    wins = drawn.groupBy("replicate").agg((F.sum(F.when(known & (F.col("top_") > F.col("mid_")), F.col("times")).otherwise(0)) / F.sum(F.when(known, F.col("times")))).alias("wins"))
+    rows = df.select(set_col, F.col(y).alias("y_"), a.alias("a_")).join(drawn.select("replicate", set_col, "times"), set_col)
+    return weighted_auc_ap(rows, ["replicate"], "y_", "a_", "times").join(wins, "replicate")
+
+
+def within_set_permutation_ap(df: DataFrame, set_col: str, id_col: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
+    """(observed, exceed, p) of the average precision by |score| when one row of each set, by hash, is the positive.
+
+    A replicate is the picks, one row of each set; negatives are counted once for all replicates, so nothing is copied by replicate but the picks.
+    """
+    w = Window.partitionBy(set_col)
+    rows = df.select(set_col, id_col, F.col(y).alias("y_"), F.abs(score).alias("a_")).withColumn("i_", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
+    sets = rows.groupBy(set_col).agg(F.first("n_").alias("n_"))
+    pick = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(set_col).cast("string")) % F.col("n_")
+    picks = sets.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(set_col, "replicate", pick.alias("i_"))
+    chosen = picks.join(rows.select(set_col, "i_", "a_"), [set_col, "i_"]).select("replicate", "a_")
+    seen = rows.filter("y_ = 1").select(F.lit(-1).alias("replicate"), "a_")
+    positives = chosen.unionByName(seen).groupBy("replicate", "a_").agg(F.count(F.lit(1)).cast("double").alias("p_"))
+    # how many of all rows lie at or above each value: counted over the values in ranges
+    values = rows.groupBy("a_").agg(F.count(F.lit(1)).alias("n_"))
+    above = running(values, [-F.col("a_")], {"above_": F.col("n_")}).select("a_", "above_")
+    down = Window.partitionBy("replicate").orderBy(F.col("a_").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    at = positives.join(above, "a_").withColumn("tp_", F.sum("p_").over(down))
+    ap = at.groupBy("replicate").agg(F.round(F.sum(F.col("p_") * F.col("tp_") / F.col("above_")) / F.sum("p_"), 12).alias("ap"))
+    both = ap.crossJoin(F.broadcast(ap.agg(F.max(F.when(F.col("replicate") < 0, F.col("ap"))).alias("o_"))))
+    exceed = F.count(F.when((F.col("replicate") >= 0) & (F.col("ap") >= F.col("o_")), 1))
+    return both.agg(F.max("o_").alias("observed"), exceed.alias("exceed"), ((exceed + 1) / (replicates + 1)).alias("p"))
+
+
+def leave_one_out_metrics(df: DataFrame, cluster: str, a: str, b: str, y: str) -> DataFrame:
+    """(n_left_out, worst_ and best_ rho, concordance, auc) over the clusters, each left out once; auc is of y by |a|.
+
+    Each cluster's absence is a copy of the other rows, ranked by itself: clusters are few.
+    """
+    out = df.select(F.col(cluster).alias("left_out")).distinct()
+    rows = F.broadcast(out).join(df.select(F.col(cluster).alias("c_"), F.col(a).alias("a_"), F.col(b).alias("b_"), F.col(y).alias("y_")), F.col("left_out") != F.col("c_"))
+    ranked = rows.select("*", average_rank(F.col("a_"), ["left_out"]).alias("ra_"), average_rank(F.col("b_"), ["left_out"]).alias("rb_"), average_rank(F.abs("a_"), ["left_out"]).alias("r_"))
+    p, n = F.sum("y_"), F.count(F.lit(1))
+    same = F.avg((F.signum("a_") == F.signum("b_")).cast("double"))
+    auc = F.when((p > 0) & (p < n), (F.sum(F.when(F.col("y_") == 1, F.col("r_"))) - p * (p + 1) / 2.0) / (p * (n - p)))
+    m = ranked.groupBy("left_out").agg(guarded_corr(F.col("ra_"), F.col("rb_")).alias("rho"), same.alias("concordance"), auc.alias("auc"))
+    return m.agg(F.count(F.lit(1)).alias("n_left_out"), *(f(k).alias(f"{name}_{k}") for k in ("rho", "concordance", "auc") for f, name in ((F.min, "worst"), (F.max, "best"))))

@@ -566,11 +566,6 @@ def density_grid(d: Derived) -> DataFrame:
 # Audits ------------------------------------------------------------------------
 
 
-@query(with_tables("leads") + " SELECT 0::bigint + count(*) FILTER (slope = 0) AS n_errors, count(*) FILTER (qval >= 0.05) AS n_warnings, CASE WHEN count(*) FILTER (slope = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM leads")
-def benchmark_verdict(d: Derived) -> DataFrame:
-    return audit.verdict(audit.rule_totals(audit.with_uniqueness(d.leads, "lead_id"), audit.lead_rules(), "lead_id"))
-
-
 @query(with_tables("predictions") + ", k AS (SELECT part_key, count(DISTINCT (seed, model)) AS r, max(truth) - min(truth) AS e FROM predictions GROUP BY 1) SELECT count(*) AS n_keys, count(*) FILTER (r <> 9) AS n_incomplete, count(*) FILTER (e > 1e-10) AS n_truth_differs FROM k")
 def run_alignment(d: Derived) -> DataFrame:
     return audit.alignment(d.predictions, "part_key", ["seed", "model"], "truth", 9)
@@ -851,20 +846,6 @@ def model_comparison(d: Derived) -> DataFrame:
     return rounded(t.agg(F.count(F.lit(1)).alias("n"), metrics.guarded_corr(F.col("ra"), F.col("rb")).alias("signed_rho"), metrics.guarded_corr(F.col("qa"), F.col("qb")).alias("absolute_rho"), metrics.concordance(F.col("a"), F.col("b"))[0].alias("sign_agreement"), F.avg(change).alias("mean_rank_change"), F.max(change).alias("max_rank_change")))
 
 
-@query(
-    with_tables("predictions")
-    + """, k AS (SELECT part_key, seed || '-' || model AS run, rank() OVER (PARTITION BY seed, model ORDER BY abs(pred - truth) DESC) AS r, pred - truth AS x FROM predictions), c AS (SELECT part_key, count(*) AS n_runs, round(avg(r), 6) AS mean_rank, round(avg(CASE WHEN r <= 20 THEN 1.0::double ELSE 0 END), 6) AS top20_frequency, round(avg(x), 6) AS mean_effect FROM k GROUP BY 1)
-SELECT *, row_number() OVER (ORDER BY mean_rank, part_key) AS consensus_rank FROM c ORDER BY mean_rank, part_key LIMIT 100"""
-)
-def run_consensus(d: Derived) -> DataFrame:
-    """The report's hundred candidates with the best mean rank over all runs."""
-    x = F.col("pred") - F.col("truth")
-    k = d.predictions.select("part_key", x.alias("x"), F.rank().over(Window.partitionBy("seed", "model").orderBy(F.abs(x).desc())).alias("r"))
-    c = rounded(k.groupBy("part_key").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("r").alias("mean_rank"), F.avg((F.col("r") <= 20).cast("double")).alias("top20_frequency"), F.avg("x").alias("mean_effect")))
-    best = c.orderBy("mean_rank", "part_key").limit(100)
-    return best.withColumn("consensus_rank", F.row_number().over(Window.orderBy("mean_rank", "part_key")))
-
-
 @query(
     _CAND
     + """, b AS (SELECT CASE WHEN distance <= 12 THEN '0-12' WHEN distance <= 25 THEN '13-25' ELSE '26-50' END AS bin, cpg_effect, delta FROM cand) SELECT bin, cpg_effect, count(*) AS n, round(avg(abs(delta)), 6) AS mean_abs, round(median(abs(delta)), 6) AS median_abs, round(avg(CASE WHEN delta > 0 THEN 1.0::double ELSE 0 END), 6) AS positive_fraction FROM b GROUP BY 1, 2"""
@@ -898,21 +879,6 @@ def screened_pool(d: Derived) -> DataFrame:
     return s.join(n, "chr", "left").select("chr", "n_screened", "n_marked", "first_pos", "last_pos", "n_loci")
 
 
-@query(
-    with_tables("leads", "loci")
-    + """, x AS (SELECT lead_id, qval, 'chr' || (1 + lead_id % 22) AS vchr, lead_id % 1200 - 600 AS off, l.chr AS lchr, l.probe_id FROM leads LEFT JOIN loci l ON l.part_key = lead_id % (SELECT count(*) FROM part)),
-r AS (SELECT CASE WHEN probe_id IS NULL THEN 'no_locus' WHEN vchr <> lchr THEN 'other_chromosome' WHEN NOT off BETWEEN -499 AND 500 THEN 'outside_window' WHEN off IN (0, 1) THEN 'protected' WHEN qval >= 0.05 AND qval < 0.5 THEN 'unclear_association' ELSE 'kept' END AS reason FROM x) SELECT reason, count(*) AS n FROM r GROUP BY 1"""
-)
-def lead_eligibility(d: Derived) -> DataFrame:
-    n = d.table("part").agg(F.count(F.lit(1)).alias("n_"))
-    k = F.col("lead_id")
-    ids = d.leads.crossJoin(F.broadcast(n)).select("lead_id", "qval", (k % F.col("n_")).alias("part_key"), F.concat(F.lit("chr"), 1 + k % 22, F.lit("_"), 700 + k % 1200, F.lit("_A_G_b38")).alias("variant"))
-    x = ids.join(d.loci.select("part_key", "probe_id", F.col("chr").alias("lchr")), "part_key", "left").withColumn("v", S.variant_id_fields(F.col("variant")))
-    off = F.col("v.pos1") - 1300
-    reasons = [("no_locus", F.col("probe_id").isNull()), ("other_chromosome", F.col("v.chr") != F.col("lchr")), ("outside_window", ~off.between(-499, 500)), ("protected", off.isin(0, 1)), ("unclear_association", S.q_class(F.col("qval")).isNull())]
-    return cohort.funnel(x.withColumn("reason", cohort.first_reason(reasons)))
-
-
 @query(
     _CAND
     + """, tt AS (SELECT uid, delta, distance, cpg_effect, sbs6 FROM cand ORDER BY abs(delta) DESC, uid LIMIT 5) SELECT tt.uid, c.uid AS c_uid, c.delta AS c_delta FROM tt JOIN cand c ON c.uid <> tt.uid AND c.cpg_effect = tt.cpg_effect AND c.sbs6 = tt.sbs6 AND abs(c.distance - tt.distance) <= 100"""
@@ -928,4 +894,4 @@ def top_target_comparators(d: Derived) -> DataFrame:
 FLAGSHIP = "locus_split_summary"
 
 
-from . import tables  # noqa: E402,F401  registers more queries
+from . import eligibility, tables  # noqa: E402,F401  they register more queries
