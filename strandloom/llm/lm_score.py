@@ -14,7 +14,8 @@ blocks and answers with arrays of the same order, from which the block scores it
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.settling import shared_dir
 from .common import settle, text_or_empty, words_of
 
 END = b""  # the token after the last word, and the context before the first; no word is empty
@@ -40,6 +42,28 @@ ANSWERS = "kind int, block long, shard long, main binary, dev binary"
 ANSWER, SUMS = 0, 1
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, compressed by planes of their bytes."""
+    return zstandard.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8")[:, 0] if len(planes) else np.zeros(0, np.uint64)
+
+
+def counts_in(column: Iterable[bytes]) -> np.ndarray:
+    """The counts of several arrays, one after another."""
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x in column)])
+
+
+def by_block(blocks: DataFrame, parts: int) -> DataFrame:
+    """blocks, written once in buckets of their numbers, so that answers come to them without shuffling them."""
+    spark, name = blocks.sparkSession, f"strandloom_blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(parts, "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def folds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, fold)."""
     doc_id = F.col(id_col).cast("long")
@@ -128,23 +152,26 @@ def sharded(block: int, keys: np.ndarray, main: np.ndarray, dev: np.ndarray, tol
     """Rows of REQUEST: the block's keys, in order, cut by their first bits."""
     shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]])
-    part = lambda x, kind: [x[a:z].astype(kind).tobytes() for a, z in zip(cuts, cuts[1:])]
-    return pd.DataFrame({"shard": shard[cuts[:-1]], "block": block, "keys": part(keys, np.uint64), "main": part(main, np.int32), "dev": part(dev, np.int32), "told": part(told, np.int64)})
+    part = lambda x: [packed(x[a:z]) for a, z in zip(cuts, cuts[1:])]
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[cuts[:-1][cuts[:-1] < len(keys)]] = keys[cuts[:-1][cuts[:-1] < len(keys)]]
+    return pd.DataFrame({"shard": shard[cuts[:-1]], "block": block, "keys": part(steps), "main": part(main), "dev": part(dev), "told": part(told)})
 
 
-def _sum_up(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each requested key among the distinct ones, their main, their dev, what was told of them: its maximum)."""
-    keys, main, dev, told = (np.frombuffer(b"".join(part[c]), kind) for c, kind in (("keys", np.uint64), ("main", np.int32), ("dev", np.int32), ("told", np.int64)))
-    unique, at = np.unique(keys, return_inverse=True)
+def _sum_up(part: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each requested key of each row among the distinct ones, their main, their dev, what was told of them: its maximum)."""
+    keys = [np.cumsum(unpacked(k)) for k in part["keys"]]
+    main, dev, told = (counts_in(part[c]) for c in ("main", "dev", "told"))
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     most = np.zeros(len(unique), np.int64)
     if told.any():
         np.maximum.at(most, at[told > 0], told[told > 0])
-    return at, np.bincount(at, main, len(unique)).astype(np.int64), np.bincount(at, dev, len(unique)).astype(np.int64), most
+    places = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    return places, np.bincount(at, main, len(unique)).astype(np.int64), np.bincount(at, dev, len(unique)).astype(np.int64), most
 
 
-def _answers(part: pd.DataFrame, at: np.ndarray, main: np.ndarray, dev: np.ndarray | None) -> pd.DataFrame:
-    ends = np.cumsum([0, *(len(k) // 8 for k in part["keys"])])
-    own = lambda x: [x[at[a:z]].tobytes() for a, z in zip(ends, ends[1:])] if x is not None else None
+def _answers(part: pd.DataFrame, places: list[np.ndarray], main: np.ndarray, dev: np.ndarray | None) -> pd.DataFrame:
+    own = lambda x: [packed(x[at]) for at in places] if x is not None else None
     return pd.DataFrame({"kind": ANSWER, "block": part["block"], "shard": part["shard"], "main": own(main), "dev": own(dev)})
 
 
@@ -160,7 +187,7 @@ def count_words(blocks: DataFrame, bits: int) -> DataFrame:
     def add(part: pd.DataFrame) -> pd.DataFrame:
         at, main, dev, _ = _sum_up(part)
         words = np.array([(main > 0).sum(), (main + dev > 0).sum()], np.int64)
-        sums = pd.DataFrame({"kind": SUMS, "block": -1, "shard": part["shard"].iloc[:1], "main": [words.tobytes()], "dev": None})
+        sums = pd.DataFrame({"kind": SUMS, "block": -1, "shard": part["shard"].iloc[:1], "main": [packed(words)], "dev": None})
         return pd.concat([_answers(part, at, main, dev), sums])
 
     return blocks.mapInPandas(ask, REQUEST).groupBy("shard").applyInPandas(add, ANSWERS)
@@ -171,7 +198,7 @@ def words_in(words: DataFrame) -> tuple[int, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame(np.frombuffer(b"".join(b["main"]), np.int64).reshape(-1, 2), columns=["main", "train"])
+            yield pd.DataFrame(counts_in(b["main"]).reshape(-1, 2), columns=["main", "train"])
 
     sums = words.filter(F.col("kind") == SUMS).select("main").mapInPandas(run, "main long, train long").agg(F.sum("main"), F.sum("train")).first()
     return int(sums[0] or 0), int(sums[1] or 0)
@@ -190,7 +217,7 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 def _opened(block: pd.DataFrame, answers: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray]:
     """(block, main and dev counts of its words)."""
     own, told = Block(next(block.itertuples())), answers.sort_values("shard")
-    return own, *(own.by_word(np.frombuffer(b"".join(told[c]), np.int64)) for c in ("main", "dev"))
+    return own, *(own.by_word(counts_in(told[c])) for c in ("main", "dev"))
 
 
 def count_bigrams(blocks: DataFrame, words: DataFrame, bits: int, main_tokens: int) -> DataFrame:
@@ -210,7 +237,7 @@ def count_bigrams(blocks: DataFrame, words: DataFrame, bits: int, main_tokens: i
         seen = dev > 0
         codes, where = np.unique((bucket_of(context) << 20 | p1 << 10 | level(p2))[seen], return_inverse=True)
         n = np.bincount(where, dev[seen], len(codes)).astype(np.int64)
-        sums = pd.DataFrame({"kind": SUMS, "block": -1, "shard": part["shard"].iloc[:1], "main": [codes.tobytes()], "dev": [n.tobytes()]})
+        sums = pd.DataFrame({"kind": SUMS, "block": -1, "shard": part["shard"].iloc[:1], "main": [packed(codes)], "dev": [packed(n)]})
         return pd.concat([_answers(part, at, main + dev, None), sums])
 
     told = words.filter(F.col("kind") == ANSWER)
@@ -223,7 +250,7 @@ def histogram_of(bigrams: DataFrame) -> pd.DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for codes, n in zip(b["main"], b["dev"]):
-                yield pd.DataFrame({"code": np.frombuffer(codes, np.int64), "n": np.frombuffer(n, np.int64)})
+                yield pd.DataFrame({"code": unpacked(codes).astype(np.int64), "n": unpacked(n).astype(np.int64)})
 
     rows = bigrams.filter(F.col("kind") == SUMS).select("main", "dev").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     code = rows["code"].to_numpy(np.int64)
@@ -265,7 +292,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or one longer text, or the requests of a shard. Repeated rows stay; an empty table gives an empty one; other columns
     are not read. Words and bigrams are known by their 64-bit hash.
     """
-    blocks = settle(token_blocks(folds(docs, id_col, text_col), block_chars))
+    blocks = by_block(token_blocks(folds(docs, id_col, text_col), block_chars), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sums = blocks.agg(F.coalesce(F.sum("n_main"), F.lit(0)), F.coalesce(F.sum("n_dev"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0))).first()
     main_tokens, tokens = int(sums[0]), int(sums[0] + sums[1])
     bits_for = lambda keys: max(0, int(np.ceil(np.log2(max(1, keys / shard_keys)))))
@@ -280,7 +307,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         row = next(block.itertuples())
         own, main, dev = _opened(block, answers[answers["of"] == 0])
         one, at = main + dev, own.bigrams()[1]
-        two = np.frombuffer(b"".join(answers[answers["of"] == 1].sort_values("shard")["main"]), np.int64)[at]
+        two = counts_in(answers[answers["of"] == 1].sort_values("shard")["main"])[at]
         c, context = one[own.cur], one[own.prev]
         w = weights[bucket_of(context)]
         p = w[:, 0] / (vocabulary + 1) + w[:, 1] * c / max(1, tokens) + w[:, 2] * two / np.maximum(context, 1)
