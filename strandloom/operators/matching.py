@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,11 +61,11 @@ def choose_tiers(candidates: DataFrame, least: int = 20, tiers: tuple[Tier, ...]
 
 
 def comparators(candidates: DataFrame, chosen: DataFrame, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """(uid, c_uid, c_delta): the pairs of the chosen tiers, at most `most` of a target by the order of a hash. Targets of the last tier, which is all rows, have none here.
+    """(uid, c_uid, c_delta): the pairs of the chosen tiers, of a target the first `most` in its bucket by the order of a hash. Targets of the last tier, which is all rows, have none here.
 
     A target with n comparators, over twice `most`, meets one of 2**level hash buckets
-    of them, which holds two to four times `most` on average; so pairs grow with the
-    targets, not with the square of a group.
+    of them, which holds two to four times `most` on average, and those of a bucket share it; so pairs grow with the
+    targets, not with the square of a group. A bucket may by chance hold fewer than `most`.
     """
     parts = []
     bucket = lambda uid, level: F.pmod(hash32(F.lit("bucket"), F.col(uid).cast("string")), F.pow(F.lit(2.0), level).cast("long"))
@@ -87,7 +89,7 @@ def comparators(candidates: DataFrame, chosen: DataFrame, most: int = 1000, tier
 
 
 def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """(uid, tier, n, below_least, mean, sd, percentile, tail) of candidates (uid, delta, distance and the tiers' fields).
+    """(uid, tier, n, below_least, mean, median, sd, percentile, tail) of candidates (uid, delta, distance and the tiers' fields).
 
     n counts the comparators used. Targets without a tier of their own are held against all other rows by sums and
     ranks of the whole table, so their pairs are never made.
@@ -97,7 +99,7 @@ def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers:
     pairs = comparators(candidates, chosen, most, tiers).join(candidates.select("uid", "delta"), "uid")
     a, o = F.abs("c_delta"), F.abs("delta")
     n, less, tied = F.count(F.lit(1)), F.count(F.when(a < o, 1)), F.count(F.when(a == o, 1))
-    own = pairs.groupBy("uid").agg(n.alias("n"), F.avg("c_delta").alias("mean"), F.stddev_samp("c_delta").alias("sd"), (100.0 * (less + 0.5 * tied) / n).alias("percentile"), ((1.0 + F.count(F.when(a >= o, 1))) / (n + 1.0)).alias("tail"))
+    own = pairs.groupBy("uid").agg(n.alias("n"), F.avg("c_delta").alias("mean"), F.median("c_delta").alias("median"), F.stddev_samp("c_delta").alias("sd"), (100.0 * (less + 0.5 * tied) / n).alias("percentile"), ((1.0 + F.count(F.when(a >= o, 1))) / (n + 1.0)).alias("tail"))
     total = candidates.agg(F.count(F.lit(1)).alias("t_"), F.sum("delta").alias("s_"), F.sum(F.col("delta") * F.col("delta")).alias("q_"))
     cells = candidates.groupBy(F.abs("delta").alias("a_")).agg(F.count(F.lit(1)).alias("c_"))
     below = running(cells, [F.col("a_")], {"r_": F.col("c_")}).select("a_", "c_", (F.col("r_") - F.col("c_")).alias("l_"))
@@ -105,8 +107,13 @@ def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers:
     m = F.col("t_") - 1
     mean = (F.col("s_") - F.col("delta")) / m
     var = (F.col("q_") - F.col("delta") * F.col("delta") - m * mean * mean) / (m - 1)
-    whole = rest.select(
-        "uid", m.alias("n"), F.when(m > 0, mean).alias("mean"), F.when(m > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"),
+    # the median of the others, by the places of values in the whole table without the target's own
+    places = settle(running(candidates.select("uid", "delta"), [F.col("delta"), F.col("uid")], {"at_": F.lit(1)}))
+    half = lambda up: F.floor((m + (2 if up else 1)) / 2)  # noqa: E731  of m others, the lower and upper middle, from 1
+    asked = rest.select("uid", m.alias("m_"), F.explode(F.array(half(False), half(True))).alias("want_")).join(places.select("uid", "at_"), "uid")
+    middles = asked.select("uid", (F.col("want_") + (F.col("at_") <= F.col("want_")).cast("int")).alias("at_")).join(places.select("at_", F.col("delta").alias("mid_")), "at_").groupBy("uid").agg(F.avg("mid_").alias("median"))
+    whole = rest.join(middles, "uid", "left").select(
+        "uid", m.alias("n"), F.when(m > 0, mean).alias("mean"), F.when(m > 0, F.col("median")).alias("median"), F.when(m > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"),
         F.when(m > 0, 100.0 * (F.col("l_") + 0.5 * (F.col("c_") - 1)) / m).alias("percentile"), F.when(m > 0, (1.0 + m - F.col("l_")) / (m + 1.0)).alias("tail"),
     )
     names = F.array(*(F.lit(t.name) for t in tiers), F.lit(ALL))
@@ -139,53 +146,97 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.join(labels.withColumnRenamed("c_", "component"), "p")
 
 
-def assign(edges: Iterable[tuple[int, int, float]], unmatched: float) -> list[tuple[int, int, float]]:
-    """The cheapest matching of p to q where each p may stay unmatched at a price: shortest augmenting paths, one p at a time."""
-    of: dict[int, list[tuple[int, float]]] = {}
-    for p, q, c in sorted(edges):
-        of.setdefault(p, []).append((q, c))
-    taken: dict = {}  # q -> p; a p's own dummy is ("none", p)
-    price: dict = {}  # dual of each q
-    dual: dict[int, float] = {}
+def match_edges(positives: DataFrame, negatives: DataFrame, caliper: float) -> DataFrame:
+    """(p, q, cost, match_tier) of leads (lead_id, chr, maf, distance, beta, ref, alt, sbs6, titv) of one chromosome within a caliper of allele frequency.
+
+    The cost is 4 times the frequencies' difference in calipers, the distances' in 500 bases, the betas' in 0.5, and 0, 0.2, 0.5 or 0.8 for the
+    same substitution, its class, its kind or none of these, which name the tier.
+    """
+    names = ["distance", "beta", "ref", "alt", "sbs6", "titv"]
+    edges = caliper_edges(positives, negatives, caliper)
+    for side, df in (("p", positives), ("q", negatives)):
+        edges = edges.join(df.select(F.col("lead_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
+    same = lambda *of: reduce(lambda x, y: x & y, [F.col(f"p_{c}") == F.col(f"q_{c}") for c in of])
+    levels = [("O1_exact_substitution", 0.0, same("ref", "alt")), ("O2_SBS6", 0.2, same("sbs6")), ("O3_TiTv", 0.5, same("titv")), ("O4_chromosome_only", 0.8, F.lit(True))]
+    pick = lambda k: reduce(lambda out, x: out.when(x[2], x[k]), levels[1:], F.when(levels[0][2], levels[0][k]))
+    apart = lambda c, scale: F.abs(F.col(f"p_{c}") - F.col(f"q_{c}")) / scale
+    return edges.select("p", "q", (4.0 * F.col("cost") + apart("distance", 500.0) + apart("beta", 0.5) + pick(1)).alias("cost"), pick(0).alias("match_tier"))
+
+
+def solved(edges: Iterable[tuple[int, int, float]], unmatched: float) -> tuple[dict[int, tuple[int, float]], dict[int, float]]:
+    """({p: (q, cost)}, {p: dual}) of the cheapest matching where each p may stay unmatched at a price: shortest augmenting paths, one p at a time.
+
+    The duals u of p and v <= 0 of q have u + v <= cost for every edge.
+    """
+    of: dict[int, list[tuple[float, tuple[int, int]]]] = {}
+    for p, q, c in edges:
+        of.setdefault(p, [(unmatched, (1, p))]).append((c, (0, q)))  # (1, p): a partner of p's own, for staying unmatched
+    holder: dict[tuple[int, int], int] = {}
+    held: dict[int, tuple[int, int]] = {}
+    u: dict[int, float] = dict.fromkeys(of, 0.0)
+    v: dict[tuple[int, int], float] = {}
     for start in sorted(of):
-        best, came, done = {}, {}, set()
+        heap: list[tuple[float, tuple[int, int], int]] = []
+        done: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], int] = {}
         p, base = start, 0.0
         while True:
-            for q, c in [*of[p], (("none", p), unmatched)]:
-                if q in done:
-                    continue
-                d = base + c - dual.get(p, 0.0) - price.get(q, 0.0)
-                if d < best.get(q, float("inf")) - 1e-15:
-                    best[q], came[q] = d, p
-            q = min((x for x in best if x not in done), key=lambda x: (best[x], str(x)))
-            done.add(q)
-            base = best[q]
-            if q not in taken:
+            for c, q in of[p]:
+                if q not in done:
+                    heapq.heappush(heap, (base + c - u[p] - v.get(q, 0.0), q, p))
+            while True:
+                base, q, by = heapq.heappop(heap)
+                if q not in done:
+                    break
+            done[q], came[q] = base, by
+            if q not in holder:
                 break
-            p = taken[q]
-        dual[start] = dual.get(start, 0.0) + base
-        for x in done - {q}:
-            dual[taken[x]] = dual.get(taken[x], 0.0) + base - best[x]
-            price[x] = price.get(x, 0.0) - (base - best[x])
+            p = holder[q]
+        u[start] += base
+        for x, d in done.items():
+            if x in holder:
+                u[holder[x]] += base - d
+                v[x] = v.get(x, 0.0) - (base - d)
         while True:
             p = came[q]
-            back = next((x for x, y in taken.items() if y == p and x != q), None)
-            taken[q] = p
+            before = held.get(p)
+            holder[q], held[p] = p, q
             if p == start:
                 break
-            q = back
-            del taken[back]
-    cost = {(p, q): c for p, qs in of.items() for q, c in qs}
-    return sorted((p, q, cost[p, q]) for q, p in taken.items() if not isinstance(q, tuple))
+            q = before
+    cost = {(p, q): c for p, some in of.items() for c, q in some}
+    return {p: (q[1], cost[p, q]) for p, q in held.items() if not q[0]}, u
 
 
-def optimal_matching(edges: DataFrame, unmatched: float = 100.0) -> DataFrame:
-    """(p, q, cost) of the cheapest matching of edges (p, q, cost). Components are solved apart, which is exact, since nothing joins them."""
+def assign(edges: Iterable[tuple[int, int, float]], unmatched: float) -> list[tuple[int, int, float]]:
+    return sorted((p, q, c) for p, (q, c) in solved(edges, unmatched)[0].items())
+
+
+def optimal_matching(edges: DataFrame, unmatched: float = 100.0, first: int = 32) -> DataFrame:
+    """(p, q, cost) of the cheapest matching of edges (p, q, cost).
+
+    Components are solved apart, which is exact, since nothing joins them, on the `first`
+    cheapest edges of each p. A p whose dual is no more than the last of those proves that its
+    other edges can't improve the matching; the others get four times as many, until all are proven.
+    """
+    of = Window.partitionBy("p").orderBy("cost", "q")
+    ranked = settle(edges.select("p", "q", "cost", F.row_number().over(of).alias("nth_"), F.count(F.lit(1)).over(Window.partitionBy("p")).alias("all_")))
+    wanted = settle(ranked.select("p").distinct().withColumn("k_", F.lit(first)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(assign(pdf[["p", "q", "cost"]].itertuples(index=False, name=None), unmatched), columns=["p", "q", "cost"])
+        pairs, duals = solved(pdf[["p", "q", "cost"]].itertuples(index=False, name=None), unmatched)
+        rows = [(p, *pairs.get(p, (None, None)), u) for p, u in duals.items()]
+        return pd.DataFrame(rows, columns=["p", "q", "cost", "dual"]).astype({"q": "Int64"})
 
-    return components(edges).groupBy("component").applyInPandas(solve, "p long, q long, cost double")
+    while True:
+        kept = ranked.join(wanted, "p").filter("nth_ <= k_")
+        got = settle(components(kept.select("p", "q", "cost")).groupBy("component").applyInPandas(solve, "p long, q long, cost double, dual double"))
+        last = kept.filter("nth_ = k_ and k_ < all_").select("p", F.col("cost").alias("last_"))
+        open_ = settle(got.join(last, "p").filter("dual > last_").select("p"))
+        if open_.isEmpty():
+            return got.filter("q is not null").select("p", "q", "cost")
+        more = open_.withColumn("more_", F.lit(True))
+        wanted = settle(wanted.join(more, "p", "left").select("p", F.when(F.col("more_"), F.col("k_") * 4).otherwise(F.col("k_")).alias("k_")))
 
 
 def pair_rows(matched: DataFrame) -> DataFrame:

@@ -273,21 +273,6 @@ def spliced_transcripts(d: Derived) -> DataFrame:
     return c.select("tx", F.length("cds").cast("long").alias("cds_length"), F.substring("cds", 1, 3).alias("first_codon"), F.sha2("cds", 256).alias("cds_sha256"))
 
 
-@query()
-def coding_consequences(d: Derived) -> DataFrame:
-    """Each transcript lies on its own stretch of a chromosome; variants are drawn inside."""
-    seg = _segments(d).withColumn("len", F.length("seq").cast("long"))
-    seg = cohort.segment_offsets(seg, ["tx"], ["k"])
-    total = seg.groupBy("tx").agg(F.sum("len").alias("t_"))
-    at = seg.join(total, "tx").withColumn("base", F.col("tx") * 1000 + 1)
-    spans = at.select("tx", F.concat(F.lit("chr"), 1 + F.col("tx") % 22).alias("chr"), (F.col("base") + F.col("before")).alias("start"), (F.col("base") + F.col("before") + F.col("len") - 1).alias("end"), "strand", F.when(F.col("strand") == "+", F.col("before")).otherwise(F.col("t_") - F.col("before") - F.col("len")).alias("before"))
-    cds = cohort.splice(_segments(d), "tx", "k", "seq", "strand")
-    k = F.col("o_orderkey")
-    v = d.table("orders").select(k.alias("variant_id"), k.alias("tx_"), F.concat(F.lit("chr"), 1 + k % 22).alias("chr")).join(total.withColumnRenamed("tx", "tx_"), "tx_").withColumn("pos1", F.col("tx_") * 1000 + 1 + h(F.col("variant_id"), "at") % F.col("t_"))
-    every = v.select("variant_id", "chr", "pos1", F.explode(F.array(*map(F.lit, "ACGT"))).alias("ref"))
-    return cohort.consequences(every.withColumn("alt", F.translate("ref", "ACGT", "CGTA")), spans, cds)
-
-
 @query(
     with_tables("variants")
     + """ SELECT variant_id, CASE substr(chr, 4) WHEN 'X' THEN 23 WHEN 'Y' THEN 24 ELSE cast(substr(chr, 4) AS int) END AS chr_order, chr || ':' || pos1 || ':' || least(ref, alt) || ':' || greatest(ref, alt) AS locus_key, chr || ':' || cast(floor(pos1 / 100000) AS bigint) AS block, chr AS parsed_chr, pos1 AS parsed_pos, ref AS parsed_ref, alt AS parsed_alt FROM variants"""
@@ -719,22 +704,11 @@ def comparator_tiers(d: Derived) -> DataFrame:
     return c.select(names[F.col("k")].alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def matched_background(d: Derived) -> DataFrame:
-    return rounded(matching.background(_candidates(d)))
-
-
 @query(with_tables("leads") + ", e AS (SELECT p.lead_id AS p, q.lead_id AS q, round(abs(p.maf - q.maf) / 0.01, 6) AS cost FROM leads p JOIN leads q ON p.chr = q.chr AND p.qval < 0.05 AND q.qval >= 0.5 AND abs(p.maf - q.maf) <= 0.01) SELECT p, q, cost FROM e")
 def caliper_edges(d: Derived) -> DataFrame:
     return rounded(matching.caliper_edges(d.leads.filter("qval < 0.05"), d.leads.filter("qval >= 0.5"), 0.01))
 
 
-@query()
-def optimal_matching(d: Derived) -> DataFrame:
-    e = matching.caliper_edges(d.leads.filter("qval < 0.05"), d.leads.filter("qval >= 0.5"), 0.01)
-    return rounded(matching.optimal_matching(e.select("p", "q", F.round("cost", 9).alias("cost"))))
-
-
 @query(with_tables("leads") + ", m AS (SELECT cluster, max(CASE WHEN lead_id % 2 = 0 THEN maf END) AS a, max(CASE WHEN lead_id % 2 = 1 THEN maf END) AS b FROM leads GROUP BY 1) SELECT 'maf' AS feature, round(avg(a), 6) AS mean_positive, round(avg(b), 6) AS mean_negative, round(avg(a - b), 6) AS mean_difference, round(avg(a - b) / sqrt((var_samp(a) + var_samp(b)) / 2), 6) AS smd, round(median(abs(a - b)), 6) AS median_abs_difference FROM m")
 def balance_table(d: Derived) -> DataFrame:
     of = lambda k: F.max(F.when(F.col("lead_id") % 2 == k, F.col("maf")))
@@ -781,14 +755,6 @@ def external_hits(d: Derived) -> DataFrame:
     return d.leads.filter("qval < 0.05").join(d.table("orders").select(F.col("o_custkey").alias("lead_id")), "lead_id", "left_semi").select("lead_id", "chr", "maf")
 
 
-@query()
-def motif_deltas(d: Derived) -> DataFrame:
-    """Two fixed motifs as rows (motif, offset, base, score)."""
-    rows = [(m, o, b, (2.0 if b == w[o] else -1.0)) for m, w in (("cpg_box", "TCGA"), ("e_box", "CACGTG")) for o in range(len(w)) for b in "ACGT"]
-    motifs = d.spark.createDataFrame(rows, "motif string, offset int, base string, score double")
-    return cohort.motif_scan(d.in_window.select("variant_id", "wt", "mut"), motifs, "variant_id", "wt", "mut").select("variant_id", "motif", "ref_score", "alt_score", "delta")
-
-
 def _cg_scorer(b):
     """A stand-in model: the share of C and G, and of CG pairs."""
     import pandas as pd
@@ -879,19 +845,7 @@ def screened_pool(d: Derived) -> DataFrame:
     return s.join(n, "chr", "left").select("chr", "n_screened", "n_marked", "first_pos", "last_pos", "n_loci")
 
 
-@query(
-    _CAND
-    + """, tt AS (SELECT uid, delta, distance, cpg_effect, sbs6 FROM cand ORDER BY abs(delta) DESC, uid LIMIT 5) SELECT tt.uid, c.uid AS c_uid, c.delta AS c_delta FROM tt JOIN cand c ON c.uid <> tt.uid AND c.cpg_effect = tt.cpg_effect AND c.sbs6 = tt.sbs6 AND abs(c.distance - tt.distance) <= 100"""
-)
-def top_target_comparators(d: Derived) -> DataFrame:
-    """The report's five largest effects with all their comparators in one tier."""
-    c = _candidates(d)
-    top = ranks.top_k(c, 5, F.abs("delta"), "uid").select("uid", F.lit(0).alias("k"))
-    tier = (matching.TIERS[3],)
-    return matching.comparators(c, top, most=2**31 - 1, tiers=tier)
-
-
 FLAGSHIP = "locus_split_summary"
 
 
-from . import eligibility, tables  # noqa: E402,F401  they register more queries
+from . import backgrounds, eligibility, tables  # noqa: E402,F401  they register more queries
