@@ -848,4 +848,4 @@ def screened_pool(d: Derived) -> DataFrame:
 FLAGSHIP = "locus_split_summary"
 
 
-from . import backgrounds, eligibility, tables  # noqa: E402,F401  they register more queries
+from . import backgrounds, eligibility, files, tables  # noqa: E402,F401  they register more queries

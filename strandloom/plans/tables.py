@@ -47,12 +47,12 @@ def _features_sql(of: str) -> str:
     rows = " UNION ALL ".join(f"SELECT probe_id, chr, '{f}' AS feature, '{t}' AS track, greatest(pos + {a}, 0) AS a, pos + {z} AS z FROM {of}" for f, t, a, z in windows)
     pivot = ", ".join(f"max(CASE WHEN feature = '{f}' THEN v END) AS {f}" for f, *_ in windows)
     return f""", fw AS ({rows}), fm AS (SELECT probe_id, feature, sum(value * (least(z, "end") - greatest(a, "start"))) / sum(least(z, "end") - greatest(a, "start")) AS v
-  FROM fw LEFT JOIN signals s ON s.chr = fw.chr AND s.track = fw.track AND s."start" < z AND s."end" > a AND value IS NOT NULL GROUP BY 1, 2), fv AS (SELECT probe_id, {pivot} FROM fm GROUP BY 1)"""
+  FROM fw LEFT JOIN signals s ON s.chr = fw.chr AND s.track = fw.track AND s."start" < z AND s."end" > a AND value IS NOT NULL GROUP BY 1, 2), fv AS MATERIALIZED (SELECT probe_id, {pivot} FROM fm GROUP BY 1)"""
 
 
 def _medians_sql(of: str) -> str:
     pooled = f"(SELECT coalesce(median(v), 0) FROM (SELECT click_1 AS v FROM {of} WHERE split = 'train' UNION ALL SELECT click_2 FROM {of} WHERE split = 'train'))"
-    return "med AS (SELECT " + ", ".join(f"{pooled} AS {f}" if f.startswith("click") else f"(SELECT coalesce(median({f}), 0) FROM {of} WHERE split = 'train') AS {f}" for f in FEATURES) + ")"
+    return "med AS MATERIALIZED (SELECT " + ", ".join(f"{pooled} AS {f}" if f.startswith("click") else f"(SELECT coalesce(median({f}), 0) FROM {of} WHERE split = 'train') AS {f}" for f in FEATURES) + ")"
 
 
 def _filled_sql(of: str) -> str:
@@ -68,7 +68,7 @@ _LOCI = with_tables("loci", "normals", "signals") + _WIDE + (
 kept AS (SELECT wide.*, beta, log2(least(greatest(beta, 0.0001), 0.9999) / (1 - least(greatest(beta, 0.0001), 0.9999))) AS m_value, CASE WHEN beta > 0.5 THEN 1 ELSE 0 END AS binary_state
   FROM wide JOIN tm USING (part_key) WHERE pos - 2499 >= 0 AND pos + 2501 <= 1000000 AND substr(dna_5000, 2500, 2) = 'CG')"""
     + _features_sql("kept")
-    + ", x AS (SELECT kept.*, fv.* EXCLUDE (probe_id) FROM kept JOIN fv USING (probe_id)), "
+    + ", x AS MATERIALIZED (SELECT kept.*, fv.* EXCLUDE (probe_id) FROM kept JOIN fv USING (probe_id)), "
     + _medians_sql("x")
 )
 
@@ -83,7 +83,7 @@ def candidates_of(d: Derived) -> DataFrame:
     return assembly.candidate_table(d.in_window.drop("mut", "part_key"), d.signals, BASE_TRACK, TRACKS, loci)
 
 
-_CANDIDATES = """, ok AS (SELECT *, cast("offset" + 49 AS int) AS index FROM in_window WHERE "offset" NOT IN (0, 1) AND substr(mut, 50, 2) = 'CG' AND substr(reverse(translate(mut, 'ACGT', 'TGCA')), 50, 2) = 'CG'),
+_CANDIDATES = """, ok AS MATERIALIZED (SELECT *, cast("offset" + 49 AS int) AS index FROM in_window WHERE "offset" NOT IN (0, 1) AND substr(mut, 50, 2) = 'CG' AND substr(reverse(translate(mut, 'ACGT', 'TGCA')), 50, 2) = 'CG'),
 t0 AS (SELECT *, CASE WHEN index <= 0 OR index >= 99 THEN 'NNN' ELSE substr(wt, cast(index AS bigint), 3) END AS tri,
   index - 1 >= 0 AND substr(wt, cast(index AS bigint), 2) = 'CG' AS w1, index < 99 AND substr(wt, cast(index + 1 AS bigint), 2) = 'CG' AS w2, index - 1 >= 0 AND substr(mut, cast(index AS bigint), 2) = 'CG' AS m1, index < 99 AND substr(mut, cast(index + 1 AS bigint), 2) = 'CG' AS m2 FROM ok),
 t1 AS (SELECT *, CASE WHEN tri = 'NNN' THEN tri WHEN ref IN ('A', 'G') THEN reverse(translate(tri, 'ACGT', 'TGCA')) ELSE tri END AS ctri,
@@ -95,9 +95,9 @@ _CANDIDATE_SQL = (
     with_tables("in_window", "signals")
     + _CANDIDATES
     + _features_sql("loci")
-    + ", fl AS (SELECT fv.*, split FROM fv JOIN loci USING (probe_id)), "
+    + ", fl AS MATERIALIZED (SELECT fv.*, split FROM fv JOIN loci USING (probe_id)), "
     + _medians_sql("fl")
-    + ", x AS (SELECT kept.*, fv.* EXCLUDE (probe_id) FROM kept JOIN fv USING (probe_id))"
+    + ", x AS MATERIALIZED (SELECT kept.*, fv.* EXCLUDE (probe_id) FROM kept JOIN fv USING (probe_id))"
 )
 
 
@@ -327,7 +327,7 @@ def _extra_sql() -> str:
 z AS (SELECT y.* EXCLUDE ({', '.join(FEATURES)}), {_filled_sql('y').replace('round(', '(').replace(', 6)', ')')}, {_extra_sql()} FROM y, med),
 made AS (SELECT *, {_RC.format('mut_5000')} AS mut_5000_RC FROM z)"""
     + _planted_sql("made", "variant_id", CANDIDATE_FAULTS, *_CANDIDATE_PLANT, "bad")
-    + ", told AS (SELECT *, count(*) OVER (PARTITION BY variant_id) AS n_same_, "
+    + ", told AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY variant_id) AS n_same_, "
     + ", ".join(f"CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN json_array_length({c}) END AS {n}" for n, c in _LISTS.items())
     + " FROM bad)"
     + _rules_sql(_CANDIDATE_RULES, "told")

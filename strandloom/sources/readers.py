@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import scalars as S
+from ..operators.checked import unique
 
 
 def delimited(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, sep: str = "\t") -> DataFrame:
@@ -152,13 +153,26 @@ def sample_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.coalesce(F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")), *under)).alias("sample"))
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions in folders seed=/model=, one read; a probe may come once in a run."""
+def predictions(spark: SparkSession, path: str, seeds: list[int] | None = None, models: list[str] | None = None) -> DataFrame:
+    """Predictions in folders seed=/model=, one read of the folders asked for; fails where a probe comes twice in a run, and at once where a run asked for isn't there."""
     df = spark.read.parquet(path)
     missing = {"probe_id", "truth", "pred", "seed", "model"} - set(df.columns)
     if missing:
         raise ValueError(f"missing {sorted(missing)}")
-    return df
+    for column, asked in (("seed", seeds), ("model", models)):
+        df = df.filter(F.col(column).isin(*asked)) if asked is not None else df
+    if seeds is not None and models is not None:
+        there = {(r.seed, r.model) for r in df.select("seed", "model").distinct().collect()}  # as many as there are folders
+        if lost := {(s, m) for s in seeds for m in models} - there:
+            raise ValueError(f"runs without predictions: {sorted(lost)}")
+    return unique(df, ["probe_id", "seed", "model"], "predictions")
+
+
+def loci(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
+    """Loci in folders split=, tagged by it; fails where a probe comes twice, in one split or in two."""
+    df = spark.read.parquet(path)
+    df = df.filter(F.col("split").isin(*splits)) if splits is not None else df
+    return unique(df, ["probe_id"], "loci")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

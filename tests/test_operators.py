@@ -229,3 +229,52 @@ def test_best_seed(spark):
     df = spark.createDataFrame(rows, "seq string, a double, m_value double")
     seed, model = ml.best_seed(df, df, ["a"], [1, 2])
     assert seed in (1, 2) and 0 <= ml.fusion_share(model) <= 1
+
+
+def test_checked_joins_fail_on_broken_promises(spark):
+    from strandloom.operators import checked
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, a string")
+    b = spark.createDataFrame([(1, 5), (2, None)], "k int, b int")
+    twice = b.unionByName(b)
+    assert checked.many_to_one(a, b, ["k"]).count() == 3
+    assert checked.complete(a, b, ["k"], []).count() == 3
+    assert checked.one_to_one(a.dropDuplicates(["k"]), b, ["k"]).count() == 2
+    for broken in (
+        lambda: checked.many_to_one(a, twice, ["k"]),
+        lambda: checked.one_to_one(a, b, ["k"]),
+        lambda: checked.complete(a, b, ["k"]),
+        lambda: checked.complete(a, b.filter("k = 1"), ["k"], []),
+        lambda: checked.masked_out(a, b.select("k", F.lit(True).alias("m")).filter("k = 2"), "k", "m"),
+    ):
+        with pytest.raises(Exception):
+            broken().collect()
+    masks = b.select("k", (F.col("k") == 2).alias("m"))
+    assert [r.a for r in checked.masked_out(a, masks, "k", "m").collect()] == ["x"] and checked.masked_out(a, masks, "k", "m", True).count() == 3
+    assert checked.without_nulls(b, ["b"]).count() == 1 and checked.without_nulls(b, []).count() == 2
+    assert [r.n_null for r in checked.null_report(b, ["b"]).collect()] == [1]
+    assert {r.id for r in checked.with_id(a, ["nope", "a"], ["k"]).collect()} == {"x", "y", "z"}
+    assert {r.id for r in checked.with_id(a, ["nope"], ["k", "a"]).collect()} == {"1|x", "2|y", "2|z"}
+
+
+def test_matching_is_the_cheapest_on_few_edges(spark):
+    """Against all assignments; with one edge at first, so that proofs fail and edges are added."""
+    import itertools
+    import random
+
+    from strandloom.operators import matching
+
+    rng = random.Random(11)
+    for _ in range(3):
+        cost = {(p, 100 + q): round(rng.random() * 8, 6) for p in range(6) for q in range(6) if rng.random() < 0.7}
+        best = min(sum(cost.get((p, 100 + q), 100.0) if q < 6 else 100.0 for p, q in enumerate(pick)) for pick in itertools.permutations(range(7), 6))
+        edges = spark.createDataFrame([(p, q, c) for (p, q), c in cost.items()], "p long, q long, cost double")
+        got = matching.optimal_matching(edges, first=1).collect()
+        assert len({r.q for r in got}) == len(got) and abs(sum(r.cost for r in got) + 100.0 * (6 - len(got)) - best) < 1e-6
+
+
+def test_set_bootstrap_without_both_classes(spark):
+    from strandloom.operators import resample
+
+    one = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.7)], "s int, y int, score double")
+    assert {(r.auc, r.wins) for r in resample.set_bootstrap(one, "s", 3).collect()} == {(None, None)}
