@@ -69,12 +69,22 @@ def nearest(points: DataFrame, others: DataFrame, point: str = "pos", pos: str =
     return points.join(near, (F.col(key) == F.col("k_")) & (F.col(point).cast("long") == F.col("p_")), "left").drop("k_", "p_")
 
 
-def merge_intervals(intervals: DataFrame, start: str = "start", end: str = "end", keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """Closed intervals merged where they overlap or touch (the next starts one after the end)."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    top = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.filter(F.col(start) <= F.col(end)).withColumn("top_", top).select(*keys, start, end, F.sum(F.when(F.col("top_").isNull() | (F.col(start) > F.col("top_") + 1), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island_"))
-    return marked.groupBy(*keys, "island_").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island_")
+def merge_intervals(intervals: DataFrame, start: str = "start", end: str = "end", keys: tuple[str, ...] = ("chr",), bucket: int = 1 << 16) -> DataFrame:
+    """Closed intervals merged where they overlap or touch (the next starts one after the end).
+
+    Runs inside buckets of the start; the furthest end and the number of islands of earlier
+    buckets are carried over, so no key has to be sorted in one task.
+    """
+    at = [*keys, "b_"]
+    rows = intervals.filter(F.col(start) <= F.col(end)).select(*keys, start, end).withColumn("b_", F.floor(F.col(start) / bucket))
+    earlier = Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = rows.groupBy(*at).agg(F.max(end).alias("end_")).select(*at, F.max("end_").over(earlier).alias("top0_"))
+    w = Window.partitionBy(*at).orderBy(start, end)
+    top = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("top0_"))  # nulls don't count
+    marked = rows.join(furthest, at).withColumn("top_", top).withColumn("new_", (F.col("top_").isNull() | (F.col(start) > F.col("top_") + 1)).cast("long"))
+    islands = marked.groupBy(*at).agg(F.sum("new_").alias("n_")).select(*at, F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("island0_"))
+    placed = marked.join(islands, at).withColumn("island_", F.col("island0_") + F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.groupBy(*keys, "island_").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island_")
 
 
 def inside_merged(points: DataFrame, merged: DataFrame, flag: str, point: str = "pos", key: str = "chr") -> DataFrame:
@@ -83,12 +93,12 @@ def inside_merged(points: DataFrame, merged: DataFrame, flag: str, point: str =
     return points.join(hit, [key, point], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def interval_mean(windows: DataFrame, track: DataFrame, start: str = "start", end: str = "end", value: str = "value", id_col: str = "id", key: str = "chr", width: int = 1000) -> DataFrame:
+def interval_mean(windows: DataFrame, track: DataFrame, start: str = "start", end: str = "end", value: str = "value", id_col: str = "id", key: str = "chr", width: int = 1000, contig_length: Column | None = None) -> DataFrame:
     """(id, mean): the mean over a half-open window's bases that intervals [start, end) cover, weighted by overlap; null if none.
 
-    Interval bases at negative positions don't count. Both sides meet in bins.
+    Interval bases at negative positions don't count, nor those from `contig_length` on (a column of windows). Both sides meet in bins.
     """
-    left = windows.select(F.col(id_col).alias("id_"), F.col(key).alias("k_"), F.greatest(F.col(start), F.lit(0)).alias("a_"), F.col(end).alias("z_"))
+    left = windows.select(F.col(id_col).alias("id_"), F.col(key).alias("k_"), F.greatest(F.col(start), F.lit(0)).alias("a_"), (F.col(end) if contig_length is None else F.least(F.col(end), contig_length)).alias("z_"))
     right = track.filter(F.col(value).isNotNull()).select(F.col(key).alias("k_"), F.col(start).alias("s_"), F.col(end).alias("e_"), F.col(value).alias("v_"))
     l = left.filter("z_ > a_").withColumn("bin_", F.explode(bins(F.col("a_"), F.col("z_") - 1, width)))
     r = right.filter("e_ > s_").withColumn("bin_", F.explode(bins(F.col("s_"), F.col("e_") - 1, width)))

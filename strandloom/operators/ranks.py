@@ -30,6 +30,13 @@ def running(df: DataFrame, by: list[Column], sums: dict[str, Column]) -> DataFra
     return run.drop("range_", *own, *(f"{c}start_" for c in own))
 
 
+def number_in(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the place of each row inside its keys, from 1, in an order without ties; counted in ranges, so no key is sorted in one task."""
+    run = running(df, [*map(F.col, keys), *order], {name: F.lit(1)})
+    first = run.groupBy(*keys).agg((F.min(name) - 1).alias("before_"))
+    return run.join(first, keys).withColumn(name, F.col(name) - F.col("before_")).drop("before_")
+
+
 def global_average_rank(df: DataFrame, by: str, out: str = "rank") -> DataFrame:
     """As average_rank over the whole table, without sorting it in one task: distinct values are counted and summed in order."""
     counts = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n_"))

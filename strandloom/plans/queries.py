@@ -84,13 +84,13 @@ def samples_per_participant(d: Derived) -> DataFrame:
 
 @query(
     with_tables("loci", "signals")
-    + """, w AS (SELECT probe_id, chr, greatest(pos - 2000, 0) AS a, pos + 2000 AS z FROM loci)
+    + """, w AS (SELECT probe_id, chr, greatest(pos - 2000, 0) AS a, least(pos + 2000, 1000000) AS z FROM loci)
 SELECT probe_id, round(sum(value * (least(z, "end") - greatest(a, "start"))) / sum(CASE WHEN value IS NULL THEN NULL ELSE least(z, "end") - greatest(a, "start") END), 6) AS mean_signal
 FROM w LEFT JOIN signals s ON s.chr = w.chr AND s."start" < z AND s."end" > a AND value IS NOT NULL GROUP BY 1"""
 )
 def interval_mean_signal(d: Derived) -> DataFrame:
     w = d.loci.select("probe_id", "chr", (F.col("pos") - 2000).alias("start"), (F.col("pos") + 2000).alias("end"))
-    return intervals.interval_mean(w, d.signals, id_col="probe_id").select("probe_id", r6("mean").alias("mean_signal"))
+    return intervals.interval_mean(w, d.signals, id_col="probe_id", contig_length=F.lit(1_000_000)).select("probe_id", r6("mean").alias("mean_signal"))
 
 
 _SIGNAL_SQL = (
@@ -340,13 +340,13 @@ def orientation_augmented(d: Derived) -> DataFrame:
 round(100.0::double * (rank() OVER (ORDER BY effect) + (count(*) OVER (PARTITION BY effect) - 1) / 2.0::double - 1) / (count(*) OVER () - 1), 6) AS percentile, count(*) OVER (PARTITION BY cluster) AS cluster_size, bool_or(qval < 0.05) OVER (PARTITION BY cluster) AS cluster_has_significant FROM leads"""
 )
 def lead_ranks(d: Derived) -> DataFrame:
-    by_chr = Window.partitionBy("chr")
     t = ranks.global_average_rank(d.leads, "effect", "average_rank")
     n = d.leads.agg(F.count(F.lit(1)).alias("n_"))
-    c = d.leads.select("cluster").distinct().withColumn("cluster_rank", F.row_number().over(Window.orderBy("cluster")))
-    t = t.crossJoin(F.broadcast(n)).join(c, "cluster")
+    c = ranks.running(d.leads.select("cluster").distinct(), [F.col("cluster")], {"cluster_rank": F.lit(1)})
+    t = ranks.number_in(t.crossJoin(F.broadcast(n)).join(c, "cluster").withColumn("a_", -F.abs("effect")), ["chr"], [F.col("a_"), F.col("lead_id")], "positional_rank")
+    t = t.join(t.groupBy("chr", "a_").agg(F.min("positional_rank").alias("competition_rank")), ["chr", "a_"])
     return t.select(
-        "lead_id", F.rank().over(by_chr.orderBy(F.abs("effect").desc())).alias("competition_rank"), F.row_number().over(by_chr.orderBy(F.abs("effect").desc(), "lead_id")).alias("positional_rank"), "cluster_rank", "average_rank",
+        "lead_id", "competition_rank", "positional_rank", "cluster_rank", "average_rank",
         r6(ranks.percentile_rank(F.col("average_rank"), F.col("n_"))).alias("percentile"), F.count(F.lit(1)).over(Window.partitionBy("cluster")).alias("cluster_size"), F.bool_or(F.col("qval") < 0.05).over(Window.partitionBy("cluster")).alias("cluster_has_significant"),
     )
 
@@ -747,7 +747,8 @@ def literature_screen(d: Derived) -> DataFrame:
     per = Window.partitionBy("variant_id")
     q = p.withColumns({"nearest": F.row_number().over(per.orderBy("dist", "o_probe_id")) == 1, "has_ext": F.bool_or("ext").over(per)}).filter(F.when(F.col("has_ext"), F.col("ext")).otherwise(F.col("nearest")))
     t = q.withColumn("tier", S.selection_tier(F.col("o_split"), F.col("ext")))
-    return t.select("variant_id", F.col("o_probe_id").alias("probe_id"), "tier", "effect", F.row_number().over(Window.partitionBy("tier").orderBy(F.col("effect").desc(), "variant_id", "o_probe_id")).alias("rank_in_tier"))
+    rows = t.select("variant_id", F.col("o_probe_id").alias("probe_id"), "tier", "effect")
+    return ranks.number_in(rows, ["tier"], [-F.col("effect"), F.col("variant_id"), F.col("probe_id")], "rank_in_tier")
 
 
 @query(with_tables("leads") + " SELECT lead_id, chr, maf FROM leads WHERE qval < 0.05 AND lead_id IN (SELECT o_custkey FROM orders)")
