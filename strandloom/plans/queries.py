@@ -325,10 +325,11 @@ def lead_classes(d: Derived) -> DataFrame:
 
 @query(
     with_tables("loci")
-    + """ SELECT probe_id, cast('0x' || substr(md5('42|3|' || probe_id), 1, 8) AS bigint) < 2147483648 AS rc, CASE WHEN cast('0x' || substr(md5('42|3|' || probe_id), 1, 8) AS bigint) < 2147483648 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM loci"""
+    + """ SELECT probe_id, cast('0x' || substr(md5('42|3|' || probe_id), 1, 8) AS bigint) < 2147483648 AS rc, CASE WHEN cast('0x' || substr(md5('42|3|' || probe_id), 1, 8) AS bigint) < 2147483648 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN cast('0x' || substr(md5('42|3|' || probe_id), 1, 8) AS bigint) < 2147483648 THEN pos + 1 ELSE pos END AS first, CASE WHEN cast('0x' || substr(md5('42|3|' || probe_id), 1, 8) AS bigint) < 2147483648 THEN pos ELSE pos + 1 END AS second FROM loci"""
 )
 def orientation_augmented(d: Derived) -> DataFrame:
-    return cohort.augmented(d.loci.select("probe_id", "seq"), "seq", [], "probe_id", 42, 3)
+    both = d.loci.select("probe_id", "seq", F.col("pos").alias("first"), (F.col("pos") + 1).alias("second"))
+    return cohort.augmented(both, "seq", [("first", "second")], "probe_id", 42, 3)
 
 
 # Ranks and sets ---------------------------------------------------------------
@@ -597,13 +598,14 @@ def block_bootstrap_errors(d: Derived) -> DataFrame:
 b AS (SELECT split, block, sum(g) AS g, count(*) AS c, row_number() OVER (PARTITION BY split ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY split) AS n FROM gp GROUP BY 1, 2), z AS (SELECT split, max(n) AS n FROM b GROUP BY 1),
 t AS (SELECT split, r.r AS replicate, cast('0x' || substr(md5('42|' || split || '|' || r.r || '|' || dd.d), 1, 8) AS bigint) % n AS i, count(*) AS times FROM z, range(0, 50) r(r), range(0, 100000) dd(d) WHERE dd.d < n GROUP BY 1, 2, 3),
 m AS (SELECT split, replicate, sum(times * g) / sum(times * c) AS m FROM t JOIN b USING (split, i) GROUP BY 1, 2)
-SELECT split, z.n AS n_blocks, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN z USING (split) GROUP BY 1, 2"""
+SELECT split, z.n AS n_blocks, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(min(gain), 6) AS gain FROM m JOIN z USING (split) JOIN (SELECT split, avg(g) AS gain FROM gp GROUP BY 1) USING (split) GROUP BY 1, 2"""
 )
 def stratum_bootstrap_gain(d: Derived) -> DataFrame:
     e = F.abs(F.col("pred") - F.col("truth"))
     of = lambda m: F.max(F.when(F.col("model") == m, e))
     g = d.predictions.filter("seed = 42").groupBy("part_key", "split", "chr", "pos").agg((of("sequence") - of("fusion")).alias("g")).withColumn("block", S.block_id(F.col("chr"), F.col("pos"), 100_000))
-    return rounded(resample.stratum_bootstrap(g, "split", "block", "g", REPLICATES))
+    intervals_of = resample.stratum_bootstrap(g, "split", "block", "g", REPLICATES)
+    return rounded(intervals_of.join(g.groupBy("split").agg(F.avg("g").alias("gain")), "split"))
 
 
 _AUC_BLOCKS = ", y AS (SELECT chr AS block, pred AS score, CASE WHEN truth > 0.5 THEN 1 ELSE 0 END AS y FROM predictions WHERE model = 'fusion' AND seed = 42)"
