@@ -270,10 +270,12 @@ def selection_tier(split: Column, external: Column) -> Column:
     )
 
 
-def gene_symbols(symbols: Column, title: Column) -> Column:
-    """Distinct symbols in order: the listed ones, then one in brackets in the title."""
+def gene_symbols(symbols: Column, title: Column, located: Column | None = None) -> Column:
+    """Distinct symbols in order: the listed ones, those of the record's locations, then one in brackets in the title."""
     named = F.regexp_extract(F.coalesce(title, F.lit("")), r"\(([A-Za-z0-9-]+)\)", 1)
-    return F.array_distinct(F.filter(F.concat(F.coalesce(symbols, F.array().cast("array<string>")), F.array(named)), lambda s: s.isNotNull() & (s != "")))
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(x, none) for x in (symbols, located) if x is not None]
+    return F.array_distinct(F.filter(F.concat(*lists, F.array(named)), lambda s: s.isNotNull() & (s != "")))
 
 
 def mentions_any(text: Column, terms: list[str]) -> Column:

@@ -233,3 +233,51 @@ SELECT round(min(o), 6) AS observed, count(*) FILTER (replicate >= 0 AND ap >= o
 )
 def within_set_permutation_ap(d: Derived) -> DataFrame:
     return rounded(resample.within_set_permutation_ap(_sets(d), "set_id", "lead_id", REPLICATES))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS k, ['G' || p_partkey % 5, 'G' || p_partkey % 3, 'L' || p_partkey % 2, 'G' || p_partkey % 5, 'G' || p_partkey % 7] AS names FROM part), u AS (SELECT k, unnest(names) AS name, unnest(range(1, 6)) AS nth FROM t),
+d AS (SELECT k, name, min(nth) AS nth FROM u GROUP BY 1, 2) SELECT k, string_agg(name, ',' ORDER BY nth) AS symbols FROM d GROUP BY 1"""
+)
+def gene_symbol_lists(d: Derived) -> DataFrame:
+    k = F.col("p_partkey")
+    g = lambda n, tag="G": F.concat(F.lit(tag), k % n)
+    names = S.gene_symbols(F.array(g(5), g(3)), F.concat(F.lit("NM_1("), g(7), F.lit("):c.1A>G")), F.array(g(2, "L"), g(5)))
+    return d.table("part").select(k.alias("k"), F.array_join(names, ",").alias("symbols"))
+
+
+@query(
+    with_tables("normals")
+    + """, a AS (SELECT part_key, median(beta) AS x FROM normals GROUP BY 1), p AS (SELECT part_key, participant, median(beta) AS b FROM normals GROUP BY 1, 2), b AS (SELECT part_key, median(b) AS y FROM p GROUP BY 1),
+e AS (SELECT part_key, round(abs(x - y), 6) AS difference FROM a JOIN b USING (part_key)) SELECT part_key, difference FROM e ORDER BY difference DESC, part_key LIMIT 100"""
+)
+def most_sensitive_loci(d: Derived) -> DataFrame:
+    """The report's hundred loci whose medians over samples and over participants differ most."""
+    j = metrics.probe_medians(d.normals).select("part_key", F.col("beta").alias("x")).join(metrics.participant_medians(d.normals).withColumnRenamed("beta", "y"), "part_key")
+    e = rounded(j.select("part_key", F.abs(F.col("x") - F.col("y")).alias("difference")))
+    return ranks.top_k(e, 100, F.col("difference"), "part_key")
+
+
+def _m(x: str) -> str:
+    return f"log2(least(greatest({x}, 0.0001), 0.9999) / (1 - least(greatest({x}, 0.0001), 0.9999)))"
+
+
+@query(
+    with_tables("predictions")
+    + f", e AS (SELECT model, seed, split, {_m('pred')} AS p, {_m('truth')} AS t FROM predictions) SELECT model, seed, split, count(*) AS n, round(avg(abs(p - t)), 6) AS mae, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse, round(avg(p - t), 6) AS mean_signed, round(median(abs(p - t)), 6) AS median_abs FROM e GROUP BY 1, 2, 3"
+)
+def model_errors_m_scale(d: Derived) -> DataFrame:
+    """Errors of each run and split on the scale of M values."""
+    return rounded(d.predictions.groupBy("model", "seed", "split").agg(*metrics.error_metrics(S.beta_to_m(F.col("pred")), S.beta_to_m(F.col("truth")))))
+
+
+@query(
+    with_tables("predictions")
+    + """, w AS (SELECT model, part_key, seed, pred FROM predictions) SELECT x.model, x.seed AS seed_a, y.seed AS seed_b, round(avg(abs(x.pred - y.pred)), 6) AS mae, round(max(abs(x.pred - y.pred)), 6) AS max_abs, round(corr(x.pred, y.pred), 6) AS pearson
+FROM w x JOIN w y ON x.model = y.model AND x.part_key = y.part_key AND x.seed < y.seed GROUP BY 1, 2, 3"""
+)
+def agreement_of_all_runs(d: Derived) -> DataFrame:
+    """Every two seeds of every model, locus by locus."""
+    x = d.predictions.select("model", "part_key", F.col("seed").alias("seed_a"), F.col("pred").alias("a"))
+    y = d.predictions.select("model", "part_key", F.col("seed").alias("seed_b"), F.col("pred").alias("b"))
+    return rounded(x.join(y, ["model", "part_key"]).filter("seed_a < seed_b").groupBy("model", "seed_a", "seed_b").agg(*metrics.orientation_agreement(F.col("a"), F.col("b"))))

@@ -83,7 +83,7 @@ def candidates_of(d: Derived) -> DataFrame:
     return assembly.candidate_table(d.in_window.drop("mut", "part_key"), d.signals, BASE_TRACK, TRACKS, loci)
 
 
-_CANDIDATES = """, ok AS MATERIALIZED (SELECT *, cast("offset" + 49 AS int) AS index FROM in_window WHERE "offset" NOT IN (0, 1) AND substr(mut, 50, 2) = 'CG' AND substr(reverse(translate(mut, 'ACGT', 'TGCA')), 50, 2) = 'CG'),
+_CANDIDATES = """, iw AS MATERIALIZED (SELECT * FROM in_window), ok AS MATERIALIZED (SELECT *, cast("offset" + 49 AS int) AS index FROM iw WHERE "offset" NOT IN (0, 1) AND substr(mut, 50, 2) = 'CG' AND substr(reverse(translate(mut, 'ACGT', 'TGCA')), 50, 2) = 'CG'),
 t0 AS (SELECT *, CASE WHEN index <= 0 OR index >= 99 THEN 'NNN' ELSE substr(wt, cast(index AS bigint), 3) END AS tri,
   index - 1 >= 0 AND substr(wt, cast(index AS bigint), 2) = 'CG' AS w1, index < 99 AND substr(wt, cast(index + 1 AS bigint), 2) = 'CG' AS w2, index - 1 >= 0 AND substr(mut, cast(index AS bigint), 2) = 'CG' AS m1, index < 99 AND substr(mut, cast(index + 1 AS bigint), 2) = 'CG' AS m2 FROM ok),
 t1 AS (SELECT *, CASE WHEN tri = 'NNN' THEN tri WHEN ref IN ('A', 'G') THEN reverse(translate(tri, 'ACGT', 'TGCA')) ELSE tri END AS ctri,
