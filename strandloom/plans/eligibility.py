@@ -236,7 +236,7 @@ def within_set_permutation_ap(d: Derived) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_partkey AS k, ['G' || p_partkey % 5, 'G' || p_partkey % 3, 'L' || p_partkey % 2, 'G' || p_partkey % 5, 'G' || p_partkey % 7] AS names FROM part), u AS (SELECT k, unnest(names) AS name, unnest(range(1, 6)) AS nth FROM t),
+    """WITH t AS (SELECT p_partkey AS k, ['G' || p_partkey % 5, 'G' || p_partkey % 3, 'L' || p_partkey % 2, 'G' || p_partkey % 5, 'G' || p_partkey % 7] AS names FROM part), u AS (SELECT k, unnest(names) AS name, unnest(range(5)) AS nth FROM t),
 d AS (SELECT k, name, min(nth) AS nth FROM u GROUP BY 1, 2) SELECT k, string_agg(name, ',' ORDER BY nth) AS symbols FROM d GROUP BY 1"""
 )
 def gene_symbol_lists(d: Derived) -> DataFrame:
