@@ -31,7 +31,9 @@ def complete(left: DataFrame, right: DataFrame, keys: list[str], needed: list[st
     needed = [c for c in right.columns if c not in keys] if needed is None else needed
     joined = many_to_one(left, right.withColumn("there_", F.lit(True)), keys, "left")
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("there_", *needed)])
-    return require(joined, ok, f"a row has no partner, or nulls, by {keys}").drop("there_")
+    # of a row number, which keeps its place, so that neither this test nor a later filter reaches the join, which it would make an inner one that drops what is missing
+    told = joined.withColumn("ok_", F.when(F.monotonically_increasing_id() >= 0, ok))
+    return require(told, F.col("ok_"), f"a row has no partner, or nulls, by {keys}").drop("there_", "ok_")
 
 
 def masked_out(rows: DataFrame, masks: DataFrame, key: str, mask: str, include_masked: bool = False) -> DataFrame:
