@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, lm_score, mixing, pieces, pii, quality, secret_scan, simhash, url_filter
+from . import chat_format, exact_dedup, language, lm_score, mixing, pieces, pii, quality, secret_scan, simhash, spelling, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,17 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op3_soft_mixing, op4_pii_deobfuscation, op5_simhash_pivots, op6_kneser_ney_bands, op7_deleted_interpolation, op8_content_sort, op9_url_digests, op10_streaming_viterbi)}
+def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_secret_ledger, op3_soft_mixing, op4_pii_deobfuscation, op5_simhash_pivots, op6_kneser_ney_bands, op7_deleted_interpolation, op8_content_sort, op9_url_digests, op10_streaming_viterbi, op11_jacobi_davidson, op12_partial_matching, op13_trie_frontier)}
 ORACLE_SQL = {"op8_content_sort": exact_dedup.ORACLE, "op9_url_digests": url_filter.ORACLE}
