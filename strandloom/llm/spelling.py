@@ -4,7 +4,9 @@ A word and one that is an edit away share the half before the edit or the half a
 so there are two tries, of words and of reversed words, each only below the middle of its
 words, where few share a node. Unary chains are one edge with a label. A node's number is
 a hash of its prefix; a candidate is spelled out by its edges and must be a word in the
-end, so equal hashes make no false pair. The frontier holds (word, near, position, node)
+end, so equal hashes make no false pair. Each node has 64 bits that tell which endings
+(by length, next and last character) lie below it; a state whose ending isn't among them
+ends at once. The frontier holds (word, near, position, node)
 after the edit: near is what the word becomes if the rest agrees, and each round joins the
 frontier with the edges by node and next character.
 """
@@ -30,9 +32,11 @@ _MIX, _TWIST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, n): results of SHORTEST code points or more with LEAST occurrences or more in all rows of docs (doc_id, text)."""
-    runs = F.regexp_extract_all(F.translate(F.col("text").cast("string"), UPPER, UPPER.lower()), F.lit(rf"[a-zÀ-ÿ]{{{SHORTEST},}}"), F.lit(0))
-    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_"), F.explode(runs).alias("run"))
-    h = F.crc32(F.concat_ws(":", "id_", "run").cast("binary"))
+    runs = F.regexp_extract_all(F.col("text").cast("string"), F.lit(rf"[A-Za-zÀ-ÿ]{{{SHORTEST},}}+"), F.lit(0))
+    run = F.col("raw_")  # lower() would lower other letters too, so it is for ASCII alone
+    lowered = F.when(F.length(run) == F.octet_length(run), F.lower(run)).otherwise(F.translate(run, UPPER, UPPER.lower()))
+    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_"), F.explode(runs).alias("raw_")).select("id_", lowered.alias("run"))
+    h = F.crc32(F.concat("id_", F.lit(":"), "run").cast("binary"))
     k = (F.col("h_") % F.length("run")).cast("int")
     cut = F.concat(F.substring(F.col("run"), F.lit(1), k), F.substring(F.col("run"), k + 2, F.length("run")))
     word = F.when(F.col("h_") % EVERY == 0, cut).otherwise(F.col("run"))
@@ -40,7 +44,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, back, depth, node, next) of words (id, word) and, with back 1, of their reverses: the prefixes from just before the middle on, and the code point that follows (0 at the end)."""
+    """(id, depth, node, next, below) of words (id, word): the prefixes from just before the middle on, the code point that follows (0 at the end) and the bit of the ending; negative ids (-1 - id) are of the reverses."""
     for batch in batches:
         words = sorted(zip(*(batch.column(i).to_pylist() for i in (1, 0))), key=lambda w: len(w[0]))
         at = 0
@@ -49,25 +53,32 @@ def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while end < len(words) and (end + 1 - at) * len(words[end][0]) <= BLOCK:
                 end += 1
             ids = np.array([i for _, i in words[at:end]])
-            yield from _levels([w for w, _ in words[at:end]], ids, 0)
-            yield from _levels([w[::-1] for w, _ in words[at:end]], ids, 1)
+            yield from _levels([w for w, _ in words[at:end]], ids, 1)
+            yield from _levels([w[::-1] for w, _ in words[at:end]], -1 - ids, 2)
             at = end
 
 
-def _levels(words: list[str], ids: np.ndarray, back: int) -> Iterator[pa.RecordBatch]:
+def _bit(left, follows, last):
+    """The bit of an ending of `left` code points; of none it is 0."""
+    return (left * 37 + follows * 11 + last * 5) % 64
+
+
+def _levels(words: list[str], ids: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
     sizes = np.array([len(w) for w in words])
     width = int(sizes.max())
     points = np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
-    h = np.full(len(words), back + 1, np.uint64)
+    h = np.full(len(words), seed, np.uint64)
+    last = points[np.arange(len(words)), sizes - 1].astype(np.int64)
     made: list[tuple[np.ndarray, ...]] = []
     rows = 0
     for depth in range(width + 1):
         here = np.flatnonzero(((sizes - 1) // 2 <= depth) & (depth <= sizes))
         follows = points[here, depth].astype(np.int32) if depth < width else np.zeros(len(here), np.int32)
-        made.append((ids[here], np.full(len(here), back, np.int32), np.full(len(here), depth, np.int32), h[here].view(np.int64), follows))
+        bit = np.where(sizes[here] > depth, _bit(sizes[here] - depth, follows.astype(np.int64), last[here]), 0)
+        made.append((ids[here], np.full(len(here), depth, np.int32), h[here].view(np.int64), follows, (np.uint64(1) << bit.astype(np.uint64)).view(np.int64)))
         rows += len(here)
         if rows >= 100_000 or depth == width:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["id", "back", "depth", "node", "next"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["id", "depth", "node", "next", "below"])
             made, rows = [], 0
         if depth < width:
             h = (h ^ points[:, depth]) * _MIX
@@ -76,14 +87,14 @@ def _levels(words: list[str], ids: np.ndarray, back: int) -> Iterator[pa.RecordB
 
 
 def paths(words: DataFrame) -> DataFrame:
-    """(word, back, path) of words (id, word) and of their reverses: path has (depth, node), rising, where other words leave the word or end on it, and the word's own end."""
-    steps = settle(words.select("id", "word").mapInArrow(prefixes, "id long, back int, depth int, node long, next int"))
-    forks = steps.groupBy("node").agg(F.min("next").alias("a_"), F.max("next").alias("b_")).filter("a_ <> b_").select("node")
-    inner = steps.filter("next <> 0").join(forks, "node")
-    each = inner.select("id", "back", "depth", "node").unionByName(steps.filter("next = 0").select("id", "back", "depth", "node"))
-    path = each.groupBy("id", "back").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("path"))
-    own = F.when(F.col("back") == 1, F.reverse("word")).otherwise(F.col("word"))
-    out = settle(path.join(words.select("id", "word"), "id").select(own.alias("word"), "back", "path"))
+    """(word, back, path) of words (id, word) and of their reverses: path has (depth, node, below), rising, where other words leave the word or end on it, and the word's own end."""
+    steps = settle(words.select("id", "word").mapInArrow(prefixes, "id long, depth int, node long, next int, below long"))
+    nodes = steps.groupBy("node").agg(F.min("next").alias("a_"), F.max("next").alias("b_"), F.bit_or("below").alias("below")).filter("a_ <> b_ or b_ = 0")
+    on = steps.select("id", "depth", "node", (F.col("next") == 0).alias("ends_")).join(nodes, "node").filter("ends_ or a_ <> b_")
+    path = on.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "below"))).alias("path"))
+    back = F.col("id") < 0
+    whole = path.select(F.when(back, -1 - F.col("id")).otherwise(F.col("id")).alias("id"), back.cast("int").alias("back"), "path").join(words.select("id", "word"), "id")
+    out = settle(whole.select(F.when(F.col("back") == 1, F.reverse("word")).otherwise(F.col("word")).alias("word"), "back", "path"))
     unsettle(steps)
     return out
 
@@ -94,24 +105,47 @@ def part(text: Column, start: Column, size: Column) -> Column:
 
 
 def edges(path: DataFrame) -> DataFrame:
-    """(node, first, label, child) between neighbours of the paths."""
+    """(node, first, label, child, below) between neighbours of the paths; below is of the child."""
     pairs = F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.get("path", i).alias("a"), F.get("path", i + 1).alias("b")))
     e = path.filter(F.size("path") > 1).select("word", F.explode(pairs).alias("e"))
     label = part(F.col("word"), F.col("e.a.depth"), F.col("e.b.depth") - F.col("e.a.depth"))
-    return e.select(F.col("e.a.node").alias("node"), label.alias("label"), F.col("e.b.node").alias("child")).distinct().select("node", F.substring("label", 1, 1).alias("first"), "label", "child")
+    return e.select(F.col("e.a.node").alias("node"), label.alias("label"), F.col("e.b.node").alias("child"), F.col("e.b.below").alias("below")).distinct().select("node", F.substring("label", 1, 1).alias("first"), "label", "child", "below")
+
+
+def leads_on(below: Column, text: Column, at: Column, size: Column) -> Column:
+    """Whether an ending like that of text, size code points long, from `at` on may lie below."""
+    code = lambda c: F.ascii(c).cast("long")
+    bit = _bit((size - at).cast("long"), code(part(text, at, F.lit(1))), code(F.right(text, F.lit(1))))
+    return F.getbit(below, F.when(at < size, bit).otherwise(0)) == 1
+
+
+def two_steps(edge: DataFrame) -> DataFrame:
+    """(node, second, first, label, child, below): edges by the second character that they lead to, their own or that of an edge after them; empty where a word may end after the first."""
+    one = F.length("label") == 1
+    long_ = edge.filter(~one).select("node", F.substring("label", 2, 1).alias("second"), "first", "label", "child", "below")
+    after = edge.select(F.col("node").alias("child"), F.col("first").alias("second"), F.col("label").alias("more"), F.col("child").alias("end_"), F.col("below").alias("below_"))
+    on = edge.filter(one).drop("below").join(after, "child").select("node", "second", "first", F.concat("label", "more").alias("label"), F.col("end_").alias("child"), F.col("below_").alias("below"))
+    ended = edge.filter(one & (F.getbit("below", F.lit(0)) == 1)).select("node", F.lit("").alias("second"), "first", "label", "child", "below")
+    return long_.unionByName(on).unionByName(ended)
 
 
 def edits(path: DataFrame, edge: DataFrame) -> DataFrame:
-    """(word, back, near, at, node): the frontier after its edit. At each fork from the middle of a word on, another character than the word's replaces it or comes in before it, and its edge's label agrees with what follows; near is the word so changed, of which the edges have spelled `at` code points."""
-    word, p, label, first = (F.col(c) for c in ("word", "p", "label", "first"))
-    forks = path.select("word", "back", F.explode("path").alias("f")).select("word", "back", F.col("f.depth").alias("p"), F.col("f.node").alias("node")).filter(F.col("p") >= F.floor(F.length("word") / 2))
-    met = forks.join(edge, "node").filter(first != part(word, p, F.lit(1)))
-    rest, size = F.substring(label, F.lit(2), F.length(label)), F.length(label)
-    near = lambda skip: F.concat(part(word, F.lit(0), p), first, part(word, p + skip, F.length(word)))
-    replaced = F.when((p < F.length(word)) & (rest == part(word, p + 1, size - 1)), near(1))
-    added = F.when(rest == part(word, p, size - 1), near(0))
-    made = met.select("word", "back", (p + size).alias("at"), F.col("child").alias("node"), F.explode(F.filter(F.array(replaced, added), lambda x: x.isNotNull())).alias("near"))
-    return made.filter(F.col("at") <= F.length("near")).select("word", "back", "near", "at", "node")
+    """(word, back, near, at, node): the frontier after its edit and the step behind it.
+
+    At each fork from the middle of a word on, another character than the word's replaces
+    it or comes in before it, and the edges agree with what follows; near is the word so
+    changed, of which the edges have spelled `at` code points.
+    """
+    word, p, own, label, first = (F.col(c) for c in ("word", "p", "own", "label", "first"))
+    forks = path.select("word", "back", F.length("word").alias("size"), F.explode("path").alias("f")).select("word", "back", "size", F.col("f.depth").alias("p"), F.col("f.node").alias("node")).filter("p >= floor(size / 2)")
+    # where the word goes on behind the edit: after its own character, or with it
+    goes = F.explode(F.when(p < F.col("size"), F.array(p + 1, p)).otherwise(F.array(p))).alias("own")
+    asked = forks.select("*", goes).withColumn("second", part(word, own, F.lit(1)))
+    met = asked.join(two_steps(edge), ["node", "second"]).filter(first != part(word, p, F.lit(1)))
+    more = F.length(label) - 1
+    agrees = (own + more <= F.col("size")) & leads_on(F.col("below"), word, own + more, F.col("size")) & (F.substring(label, F.lit(2), more) == part(word, own, more))
+    near = F.concat(part(word, F.lit(0), p), first, part(word, own, F.col("size")))
+    return met.filter(agrees).select("word", "back", near.alias("near"), (p + F.length(label)).alias("at"), F.col("child").alias("node"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -126,7 +160,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         if live.isEmpty():
             break
         near, at = F.col("near"), F.col("at")
-        met = live.withColumn("first", part(near, at, F.lit(1))).join(edge, ["node", "first"]).filter(part(near, at, F.length("label")) == F.col("label"))
+        met = live.withColumn("first", part(near, at, F.lit(1))).join(edge, ["node", "first"]).filter((part(near, at, F.length("label")) == F.col("label")) & leads_on(F.col("below"), near, at + F.length("label"), F.length("near")))
         frontier = settle(met.select("word", "back", "near", (at + F.length("label")).alias("at"), F.col("child").alias("node")))
         spent.append(frontier)
     every = ended[0]
