@@ -28,6 +28,8 @@ ORDER = 4
 PIECES, PIECE_BYTES = 512, 2048
 #: Languages whose trees are held at once.
 AT_ONCE = 4
+#: Languages whose numbers of pieces are broadcast.
+FEW = 1 << 16
 #: Bytes of text whose codes are looked up together.
 SLICE = 1 << 21
 UNKNOWN = "und"
@@ -42,7 +44,9 @@ def sample(labelled: DataFrame, pieces: int = PIECES, piece_bytes: int = PIECE_B
     """(lang, piece): of each language at most `pieces` pieces of its texts (doc_id, text, lang), the first by hash; pieces lie anywhere in a text."""
     raw = F.col("text").cast("binary")
     cut = labelled.select("lang", raw.alias("raw"), F.xxhash64("doc_id", "text").alias("own_"), F.ceil(F.octet_length("text") / piece_bytes).cast("int").alias("n_")).filter("n_ > 0")
-    sizes = cut.groupBy("lang").agg(F.sum("n_").alias("all_"))
+    sizes = settle(cut.groupBy("lang").agg(F.sum("n_").alias("all_")))
+    if sizes.count() <= FEW:  # else texts are dealt out by their language
+        sizes = F.broadcast(sizes)
     # twice as many as wanted pass by their hash; of those the first are taken
     drawn = F.pmod(F.xxhash64("own_", "at_"), F.lit(1 << 40))
     passed = cut.join(sizes, "lang").withColumn("at_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1))).withColumn("drawn_", drawn).filter(F.col("drawn_") * F.col("all_") < (2.0 * pieces + 64) * (1 << 40))
@@ -195,6 +199,7 @@ def identify(docs: DataFrame, pieces: int = PIECES, piece_bytes: int = PIECE_BYT
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold() != 1))
     grams, contexts = trees(labelled, pieces, piece_bytes)
+    contexts = settle(contexts)
     numbered = running(grams.select("lang").distinct(), [F.col("lang")], {"i": F.lit(1)}).withColumn("part", F.floor((F.col("i") - 1) / at_once))
     n_parts = (numbered.agg(F.max("part")).first()[0] or 0) + 1 if not numbered.isEmpty() else 0
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -202,9 +207,9 @@ def identify(docs: DataFrame, pieces: int = PIECES, piece_bytes: int = PIECE_BYT
     spark = docs.sparkSession
     for part in range(n_parts):
         of = numbered.filter(F.col("part") == part).select("lang")
-        g, c = grams.join(F.broadcast(of), "lang").toPandas(), contexts.join(F.broadcast(of), "lang").toPandas()
-        names = sorted(g.lang.unique())
-        shipped = spark.sparkContext.broadcast([Tree(g[g.lang == x], c[c.lang == x]) for x in names])
+        names = sorted(r.lang for r in of.collect())  # at_once of them
+        numbers = lambda table, lang: table.filter(F.col("lang") == lang).drop("lang").toArrow().to_pandas()
+        shipped = spark.sparkContext.broadcast([Tree(numbers(grams, x), numbers(contexts, x)) for x in names])
         judged = state.mapInArrow(_judge(names, shipped), state.schema)
         if part + 1 < n_parts:
             last, state = state, settle(judged)
