@@ -1,7 +1,8 @@
 """Bootstraps and permutations on counter-based hashes, so that any engine draws the same.
 
 Rows are summed to blocks (clusters, sets) first; replicates resample the sums and never
-touch rows again.
+touch rows again. Rank statistics of replicates are linear in the counts of the clusters
+(`replicates`).
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
-from .metrics import guarded_corr
-from .ranks import average_rank, global_average_rank, running
+from . import metrics
+from . import replicates as R
+from .ranks import global_average_rank, running
+from .settling import settle
 
 
 def numbered(df: DataFrame, block: str) -> DataFrame:
-    """df, one row for each block, with its number i from 0. Blocks are few: the genome's length over theirs."""
-    return df.withColumn("i", F.row_number().over(Window.orderBy(block)) - 1)
+    """df, one row for each block, with its number i from 0, in the order of the blocks."""
+    return df.join(R.numbered_clusters(df, block), block)
 
 
 def draws(blocks: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -28,10 +31,11 @@ def draws(blocks: DataFrame, replicates: int, seed: int) -> DataFrame:
     return grid.groupBy("replicate", i.alias("i")).agg(F.count(F.lit(1)).alias("times"))
 
 
-def block_bootstrap(df: DataFrame, block: str, sums: dict[str, Column], replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, sums): each sum over the rows of the drawn blocks."""
-    per = numbered(df.groupBy(block).agg(*(F.sum(c).alias(k) for k, c in sums.items())), block)
-    return draws(per.select("i"), replicates, seed).join(F.broadcast(per), "i").groupBy("replicate").agg(*(F.sum(F.col("times") * F.col(k)).alias(k) for k in sums))
+def block_bootstrap(df: DataFrame, block: str, sums: dict[str, Column], replicates: int, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, replicate, sums): each sum over the rows of the drawn blocks; all keys draw the same blocks."""
+    per = df.groupBy(*keys, block).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    names = settle(R.numbered_clusters(df, block))
+    return draws(names, replicates, seed).join(per.join(names, block), "i").groupBy(*keys, "replicate").agg(*(F.sum(F.col("times") * F.col(k)).alias(k) for k in sums))
 
 
 def stratum_bootstrap(df: DataFrame, stratum: str, block: str, gain: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -56,58 +60,85 @@ def interval(boot: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFra
 
 
 def auc_matrix(df: DataFrame, block: str, y: str = "y", score: str = "score") -> DataFrame:
-    """(i_block, j_block, wins): positives of block i that beat negatives of block j, ties a half.
+    """(i_block, j_block, wins): positives of block i that beat negatives of block j, ties a half."""
+    return R.wins(df.filter(F.col(y) == 1), df.filter(F.col(y) == 0), block, score)
 
-    Negatives are counted by (block, score) and placed at the distinct scores of the
-    positives alone; the running counts then serve all positives at once.
+
+def _ranked(df: DataFrame, keys: tuple[str, ...], cluster: str, names: DataFrame, x: Column, y: Column, label: Column) -> DataFrame:
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    return df.join(names, cluster).select(key.alias("key"), F.col("i").alias("c"), x.cast("double").alias("x"), y.cast("double").alias("y"), label.cast("double").alias("label"))
+
+
+def _unkeyed(got: DataFrame, df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """got with the columns of its key in place of it."""
+    if not keys:
+        return got.drop("key")
+    return got.withColumn("key", F.from_json("key", df.select(*keys).schema)).select("key.*", *(c for c in got.columns if c != "key"))
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, replicates: int, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, replicate, rho, rho_abs, concordance, auc) when clusters are drawn, each with its rows.
+
+    rho is Spearman's of a and b, rho_abs of their sizes, concordance the share of equal
+    signs, auc that of b above zero by a. All keys draw the same clusters.
     """
-    pos = df.filter(F.col(y) == 1).groupBy(F.col(block).alias("i_block"), F.col(score).alias("s_")).agg(F.count(F.lit(1)).alias("p_"))
-    neg = df.filter(F.col(y) == 0).groupBy(F.col(block).alias("j_block"), F.col(score).alias("s_")).agg(F.count(F.lit(1)).alias("n_"))
-    grid = pos.select("s_").distinct().crossJoin(F.broadcast(neg.select("j_block").distinct()))
-    dense = grid.unionByName(neg, allowMissingColumns=True).groupBy("j_block", "s_").agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("n_"))
-    w = Window.partitionBy("j_block").orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
-    below = dense.select("j_block", "s_", (F.coalesce(F.sum("n_").over(w), F.lit(0)) + F.col("n_") / 2.0).alias("b_"))
-    return pos.join(below, "s_").groupBy("i_block", "j_block").agg(F.sum(F.col("p_") * F.col("b_")).alias("wins"))
-
-
-def auc_bootstrap(df: DataFrame, block: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
-    """(replicate, auc) of resampled blocks: the quadratic form c'Mc over (c'p)(c'n)."""
-    counts = numbered(df.groupBy(block).agg(F.sum(F.col(y)).alias("p_"), F.sum(1 - F.col(y)).alias("q_")), block)
-    names = counts.select(F.col(block).alias("b_"), "i")
-    m = auc_matrix(df, block, y, score).join(F.broadcast(names), F.col("i_block") == F.col("b_")).select(F.col("i").alias("bi"), "j_block", "wins").join(F.broadcast(names), F.col("j_block") == F.col("b_")).select("bi", F.col("i").alias("bj"), "wins")
-    c = draws(counts.select("i"), replicates, seed)
-    size = c.join(F.broadcast(counts), "i").groupBy("replicate").agg(F.sum(F.col("times") * F.col("p_")).alias("p_"), F.sum(F.col("times") * F.col("q_")).alias("q_"))
-    left = c.select("replicate", F.col("i").alias("bi"), F.col("times").alias("ti")).join(m, "bi")
-    top = left.join(c.select("replicate", F.col("i").alias("bj"), F.col("times").alias("tj")), ["replicate", "bj"]).groupBy("replicate").agg(F.sum(F.col("ti") * F.col("tj") * F.col("wins")).alias("w_"))
-    return size.join(top, "replicate", "left").select("replicate", F.when(F.col("p_") * F.col("q_") > 0, F.coalesce("w_", F.lit(0.0)) / (F.col("p_") * F.col("q_"))).alias("auc"))
+    names = settle(R.numbered_clusters(df, cluster))
+    n = names.count()
+    times = settle(draws(names, replicates, seed))
+    of = lambda x, y: R.statistics(_ranked(df, keys, cluster, names, x, y, F.col(b) > 0), times, n, replicates)
+    sizes = of(F.abs(a), F.abs(b)).select("key", "replicate", F.col("rho").alias("rho_abs"))
+    return _unkeyed(of(F.col(a), F.col(b)).join(sizes, ["key", "replicate"]).select("key", "replicate", "rho", "rho_abs", "concordance", "auc"), df, keys)
+
+
+def auc_bootstrap(df: DataFrame, block: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, replicate, auc) of resampled blocks; null without both classes. All keys draw the same blocks."""
+    names = settle(R.numbered_clusters(df, block))
+    times = settle(draws(names, replicates, seed))
+    rows = _ranked(df.filter(F.col(y).isNotNull()), keys, block, names, F.col(score), F.col(score), F.col(y))
+    return _unkeyed(R.statistics(rows, times, names.count(), replicates).select("key", "replicate", "auc"), df, keys)
+
+
+def paired_bootstrap(df: DataFrame, model: str, block: str, replicates: int, seed: int = 42, keys: tuple[str, ...] = (), pred: str = "pred", truth: str = "truth", y: str = "y") -> DataFrame:
+    """(keys, model_a, model_b, metric, difference, n, low, high, p_not_negative) of all pairs of models: mae, rmse and auc of a less those of b, observed and over resampled blocks. All models and keys draw the same blocks."""
+    e, of = F.col(pred) - F.col(truth), (*keys, model)
+    sums = {"n_": F.lit(1), "e_": F.abs(e), "e2_": e * e}
+    errors = lambda t: t.withColumns({"mae": F.col("e_") / F.col("n_"), "rmse": F.sqrt(F.col("e2_") / F.col("n_"))})
+    observed = errors(df.groupBy(*of).agg(*(F.sum(c).alias(k) for k, c in sums.items())))
+    area = metrics.auc(df.select(*of, F.col(y).alias("y"), F.col(pred).alias("score")), keys=of).select(*of, "auc")
+    drawn = errors(block_bootstrap(df, block, sums, replicates, seed, of)).join(auc_bootstrap(df, block, replicates, seed, y, pred, of), [*of, "replicate"])
+    names = ["mae", "rmse", "auc"]
+    every = observed.join(area, list(of)).withColumn("replicate", F.lit(-1)).select(*of, "replicate", *names).unionByName(drawn.select(*of, "replicate", *names))
+    long_ = settle(every.unpivot([*of, "replicate"], names, "metric", "x"))
+    a, b = (long_.select(*keys, "replicate", "metric", F.col(model).alias(f"model_{k}"), F.col("x").alias(f"x_{k}")) for k in "ab")
+    both = a.join(b, [*keys, "replicate", "metric"]).filter("model_a < model_b").withColumn("d_", F.col("x_a") - F.col("x_b"))
+    pair = (*keys, "model_a", "model_b", "metric")
+    return both.filter("replicate < 0").select(*pair, F.col("d_").alias("difference")).join(interval(both.filter("replicate >= 0"), "d_", pair), list(pair))
 
 
 def cluster_bootstrap_spearman(df: DataFrame, cluster: str, a: str, b: str, replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, rho): rows follow their cluster, as often as it is drawn."""
-    names = numbered(df.select(cluster).distinct(), cluster).select(cluster, "i")
-    picked = draws(names.select("i"), replicates, seed).join(F.broadcast(names), "i").select(cluster, "replicate", "times")
-    rows = df.select(cluster, a, b).join(picked, cluster)
-    # ranks of weighted rows: rows before, and the middle of the ties
-    def rank(c):
-        per = Window.partitionBy("replicate").orderBy(c)
-        return F.sum("times").over(per.rangeBetween(Window.unboundedPreceding, 0)) - (F.sum("times").over(Window.partitionBy("replicate", c)) - 1) / 2.0
-
-    r = rows.select("replicate", F.col("times").cast("double").alias("w"), rank(a).alias("x"), rank(b).alias("y"))
-    s = {k: F.sum(v) for k, v in {"n": F.col("w"), "x": F.col("w") * F.col("x"), "y": F.col("w") * F.col("y"), "xx": F.col("w") * F.col("x") * F.col("x"), "yy": F.col("w") * F.col("y") * F.col("y"), "xy": F.col("w") * F.col("x") * F.col("y")}.items()}
-    vx, vy = s["n"] * s["xx"] - s["x"] * s["x"], s["n"] * s["yy"] - s["y"] * s["y"]
-    return r.groupBy("replicate").agg(F.when((vx > 0) & (vy > 0), (s["n"] * s["xy"] - s["x"] * s["y"]) / F.sqrt(vx * vy)).alias("rho"))
+    names = settle(R.numbered_clusters(df, cluster))
+    rows = _ranked(df, (), cluster, names, F.col(a), F.col(b), F.col(b) > 0)
+    return R.statistics(rows, settle(draws(names, replicates, seed)), names.count(), replicates).select("replicate", "rho")
 
 
 def sign_flip_p(df: DataFrame, cluster: str, effect: str, slope: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(observed, exceed, p): clusters change the sign of their effects together; rank correlation with the slope."""
-    grid = df.select(cluster, effect, slope).withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-    odd = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(cluster).cast("string")) % 2 == 1
-    flipped = grid.withColumn("e_", F.when((F.col("replicate") >= 0) & odd, -F.col(effect)).otherwise(F.col(effect)))
-    rho = flipped.select("replicate", average_rank(F.col("e_"), ["replicate"]).alias("x"), average_rank(F.col(slope), ["replicate"]).alias("y")).groupBy("replicate").agg(F.round(guarded_corr(F.col("x"), F.col("y")), 12).alias("r"))
-    observed = F.max(F.when(F.col("replicate") < 0, F.col("r")))
-    both = rho.crossJoin(F.broadcast(rho.agg(observed.alias("o"))))
-    exceed = F.count(F.when((F.col("replicate") >= 0) & (F.abs("r") >= F.abs("o")), 1))
-    return both.agg(F.max("o").alias("observed"), exceed.alias("exceed"), ((exceed + 1) / (replicates + 1)).alias("p"))
+    """(observed, exceed, p): clusters change the sign of their effects together; rank correlation with the slope.
+
+    Each row stands with its effect (cluster 2i) and with the opposite (2i + 1), of which a
+    replicate counts one; the first replicate counts all as they are.
+    """
+    names = settle(R.numbered_clusters(df, cluster))
+    n = names.count()
+    rows = _ranked(df, (), cluster, names, F.col(effect), F.col(slope), F.col(slope) > 0)
+    both = rows.withColumn("c", 2 * F.col("c")).unionByName(rows.withColumns({"c": 2 * F.col("c") + 1, "x": -F.col("x")}))
+    odd = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(cluster).cast("string")) % 2
+    flips = names.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    times = flips.select((F.col("replicate") + 1).alias("replicate"), (2 * F.col("i") + F.when(F.col("replicate") >= 0, odd).otherwise(0)).alias("i"), F.lit(1).alias("times"))
+    rho = R.statistics(both, settle(times), 2 * n, replicates + 1).select("replicate", F.round("rho", 12).alias("r"))
+    seen = rho.agg(F.max(F.when(F.col("replicate") == 0, F.col("r"))).alias("o"))
+    exceed = F.count(F.when((F.col("replicate") > 0) & (F.abs("r") >= F.abs("o")), 1))
+    return rho.crossJoin(F.broadcast(seen)).agg(F.max("o").alias("observed"), exceed.alias("exceed"), ((exceed + 1) / (replicates + 1)).alias("p"))
 
 
 def within_set_permutation_p(df: DataFrame, set_col: str, id_col: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
@@ -174,15 +205,9 @@ def within_set_permutation_ap(df: DataFrame, set_col: str, id_col: str, replicat
 
 
 def leave_one_out_metrics(df: DataFrame, cluster: str, a: str, b: str, y: str) -> DataFrame:
-    """(n_left_out, worst_ and best_ rho, concordance, auc) over the clusters, each left out once; auc is of y by |a|.
-
-    Each cluster's absence is a copy of the other rows, ranked by itself: clusters are few.
-    """
-    out = df.select(F.col(cluster).alias("left_out")).distinct()
-    rows = F.broadcast(out).join(df.select(F.col(cluster).alias("c_"), F.col(a).alias("a_"), F.col(b).alias("b_"), F.col(y).alias("y_")), F.col("left_out") != F.col("c_"))
-    ranked = rows.select("*", average_rank(F.col("a_"), ["left_out"]).alias("ra_"), average_rank(F.col("b_"), ["left_out"]).alias("rb_"), average_rank(F.abs("a_"), ["left_out"]).alias("r_"))
-    p, n = F.sum("y_"), F.count(F.lit(1))
-    same = F.avg((F.signum("a_") == F.signum("b_")).cast("double"))
-    auc = F.when((p > 0) & (p < n), (F.sum(F.when(F.col("y_") == 1, F.col("r_"))) - p * (p + 1) / 2.0) / (p * (n - p)))
-    m = ranked.groupBy("left_out").agg(guarded_corr(F.col("ra_"), F.col("rb_")).alias("rho"), same.alias("concordance"), auc.alias("auc"))
+    """(n_left_out, worst_ and best_ rho, concordance, auc) over the clusters, each left out once; auc is of y by |a|. The ranks without a cluster are those of all less what it had below."""
+    names = settle(R.numbered_clusters(df, cluster))
+    n = names.count()
+    rows = _ranked(df, (), cluster, names, F.col(a), F.col(b), F.col(y) == 1)
+    m = R.statistics(rows, None, n, n).select("replicate", "rho", "concordance").join(R.statistics(rows.withColumns({"x": F.abs("x"), "y": F.abs("x")}), None, n, n).select("replicate", "auc"), "replicate")
     return m.agg(F.count(F.lit(1)).alias("n_left_out"), *(f(k).alias(f"{name}_{k}") for k in ("rho", "concordance", "auc") for f, name in ((F.min, "worst"), (F.max, "best"))))

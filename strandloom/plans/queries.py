@@ -643,6 +643,47 @@ def cluster_bootstrap_rho(d: Derived) -> DataFrame:
     return rounded(resample.cluster_bootstrap_spearman(d.leads, "cluster", "effect", "slope", REPLICATES))
 
 
+_STATISTICS = ("rho", "rho_abs", "concordance", "auc")
+
+
+@query(
+    with_tables("leads")
+    + ", blk AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i FROM (SELECT DISTINCT cluster FROM leads)), "
+    + _draws_sql("blk")
+    + """, x AS (SELECT replicate, effect, slope FROM draws JOIN blk USING (i) JOIN leads USING (cluster), range(0, 1000) g(g) WHERE g.g < times),
+k AS (SELECT replicate, effect, slope, CASE WHEN slope > 0 THEN 1 ELSE 0 END AS y, """
+    + ", ".join(f"rank() OVER (PARTITION BY replicate ORDER BY {v}) + (count(*) OVER (PARTITION BY replicate, {v}) - 1) / 2.0::double AS {n}" for n, v in (("a", "effect"), ("b", "slope"), ("a2", "abs(effect)"), ("b2", "abs(slope)")))
+    + f""" FROM x), s AS (SELECT replicate, corr(a, b) AS rho, corr(a2, b2) AS rho_abs, avg(CASE WHEN sign(effect) = sign(slope) THEN 1.0::double ELSE 0 END) AS concordance,
+(sum(CASE WHEN y = 1 THEN a END) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * (count(*) - sum(y))) AS auc FROM k GROUP BY 1),
+u AS (UNPIVOT s ON {", ".join(_STATISTICS)} INTO NAME statistic VALUE x) SELECT statistic, count(x) AS n, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, round(avg(CASE WHEN x >= 0 THEN 1.0::double ELSE 0 END), 6) AS p_not_negative FROM u GROUP BY 1"""
+)
+def cluster_bootstrap_intervals(d: Derived) -> DataFrame:
+    boot = resample.cluster_bootstrap(d.leads, "cluster", "effect", "slope", REPLICATES)
+    return rounded(resample.interval(boot.unpivot(["replicate"], list(_STATISTICS), "statistic", "x"), "x", ("statistic",)))
+
+
+_RUN_SUMS = "sum(abs(pred - truth)) AS e, sum((pred - truth) * (pred - truth)) AS e2, count(*) AS c"
+_RUN_METRICS = "sum(times * e) / sum(times * c) AS mae, sqrt(sum(times * e2) / sum(times * c)) AS rmse"
+
+
+@query(
+    with_tables("predictions")
+    + ", y AS (SELECT *, CASE WHEN truth > 0.5 THEN 1 ELSE 0 END AS y FROM predictions), blk AS (SELECT chr, row_number() OVER (ORDER BY chr) - 1 AS i FROM (SELECT DISTINCT chr FROM y)), "
+    + _draws_sql("blk")
+    + f""", every AS (SELECT replicate, i, times FROM draws UNION ALL SELECT -1, i, 1 FROM blk), per AS (SELECT seed, model, i, {_RUN_SUMS}, sum(y) AS p, sum(1 - y) AS q FROM y JOIN blk USING (chr) GROUP BY 1, 2, 3),
+m AS (SELECT a.seed, a.model, ai.i AS bi, bi.i AS bj, sum(CASE WHEN a.pred > b.pred THEN 1.0::double WHEN a.pred = b.pred THEN 0.5 ELSE 0 END) AS w FROM y a JOIN blk ai ON ai.chr = a.chr JOIN y b ON b.seed = a.seed AND b.model = a.model AND a.y = 1 AND b.y = 0 JOIN blk bi ON bi.chr = b.chr GROUP BY 1, 2, 3, 4),
+s AS (SELECT seed, model, replicate, {_RUN_METRICS}, cast(sum(times * p) AS double) * sum(times * q) AS pq FROM every JOIN per USING (i) GROUP BY 1, 2, 3),
+t AS (SELECT seed, model, x.replicate, sum(x.times * z.times * w) AS w FROM m JOIN every x ON x.i = m.bi JOIN every z ON z.i = m.bj AND z.replicate = x.replicate GROUP BY 1, 2, 3),
+g AS (SELECT s.*, w / CASE WHEN pq > 0 THEN pq END AS auc FROM s LEFT JOIN t USING (seed, model, replicate)), u AS (UNPIVOT (SELECT seed, model, replicate, mae, rmse, auc FROM g) ON mae, rmse, auc INTO NAME metric VALUE x),
+dd AS (SELECT a.seed, a.model AS model_a, b.model AS model_b, a.metric, a.replicate, a.x - b.x AS x FROM u a JOIN u b ON a.seed = b.seed AND a.replicate = b.replicate AND a.metric = b.metric AND a.model < b.model)
+SELECT seed, model_a, model_b, metric, round(min(x) FILTER (replicate < 0), 6) AS difference, count(x) FILTER (replicate >= 0) AS n, round(quantile_cont(x, 0.025) FILTER (replicate >= 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (replicate >= 0), 6) AS high,
+round(avg(CASE WHEN x >= 0 THEN 1.0::double ELSE 0 END) FILTER (replicate >= 0), 6) AS p_not_negative FROM dd GROUP BY 1, 2, 3, 4"""
+)
+def paired_model_bootstrap(d: Derived) -> DataFrame:
+    p = d.predictions.withColumn("y", S.binary_state(F.col("truth")))
+    return rounded(resample.paired_bootstrap(p, "model", "chr", REPLICATES, keys=("seed",)))
+
+
 @query(
     with_tables("leads")
     + """, x AS (SELECT r.r AS replicate, CASE WHEN r.r >= 0 AND cast('0x' || substr(md5('42|' || r.r || '|' || cluster), 1, 8) AS bigint) % 2 = 1 THEN -effect ELSE effect END AS e, slope FROM leads, range(-1, 50) r(r)),
