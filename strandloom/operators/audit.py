@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .ranks import running
+from .settling import settle
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
 def rule_totals(df: DataFrame, rules: list[Rule], id_col: str, examples: int = 5) -> DataFrame:
     """(rule, severity, n, examples), rules without violations too. A null counts as a violation."""
     bad = F.filter(F.array(*(F.when(F.coalesce(r.violated, F.lit(True)), F.lit(i)) for i, r in enumerate(rules))), lambda x: x.isNotNull())
-    hits = df.select(F.col(id_col).cast("string").alias("id"), F.explode(bad).alias("i"))
+    hits = settle(df.select(F.col(id_col).cast("string").alias("id"), F.explode(bad).alias("i")))
     w = Window.partitionBy("i", "part_").orderBy("id")
     few = hits.withColumn("part_", F.pmod(F.hash("id"), F.lit(64))).withColumn("k_", F.row_number().over(w)).filter(F.col("k_") <= examples)  # of each of 64 parts, so no rule sorts in one task
     top = few.withColumn("k_", F.row_number().over(Window.partitionBy("i").orderBy("id"))).filter(F.col("k_") <= examples).groupBy("i").agg(F.array_sort(F.collect_list("id")).alias("examples"))

@@ -25,6 +25,7 @@ class Tier:
     within: int | None = None
 
 
+#: Names and bounds of the tiers.
 TIERS = (
     Tier("T1_same_gene_SBS96_CpG_distance25", ("gene", "sbs96", "cpg_effect"), 25),
     Tier("T2_SBS96_CpG_distance50", ("sbs96", "cpg_effect"), 50),
@@ -56,36 +57,78 @@ def tier_counts(candidates: DataFrame, tiers: tuple[Tier, ...] = TIERS) -> DataF
 
 def choose_tiers(candidates: DataFrame, least: int = 20, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
     """(uid, k, n): the first tier with `least` comparators and their number, else that of all rows (k = number of tiers, n null)."""
+    candidates = settle(candidates)
     first = tier_counts(candidates, tiers).filter(F.col("n") >= least).groupBy("uid").agg(F.min(F.struct("k", "n")).alias("f_"))
     return candidates.select("uid").join(first, "uid", "left").select("uid", F.coalesce("f_.k", F.lit(len(tiers))).alias("k"), F.col("f_.n").alias("n"))
 
 
-def comparators(candidates: DataFrame, chosen: DataFrame, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """(uid, c_uid, c_delta): the pairs of the chosen tiers, of a target the first `most` in its bucket by the order of a hash. Targets of the last tier, which is all rows, have none here.
+def _celled(candidates: DataFrame, tiers: tuple[Tier, ...]) -> DataFrame:
+    """candidates, once for each tier: (k, cell, within, uid, distance, delta), the cell being what the tier's rows share."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.to_json(F.struct(*t.same)).alias("cell"), F.lit(t.within).alias("within")) for k, t in enumerate(tiers)))).alias("t_")
+    return candidates.select("uid", "distance", "delta", each).select("t_.*", "uid", "distance", "delta")
+
+
+def _in_reach(cells: DataFrame, celled: DataFrame) -> DataFrame:
+    """cells (k, cell, within, distance, level_, ...) with each candidate (c_uid, c_delta, c_hash) of the cell within the tier's distance whose hash is among the first 2**-level_ of all; met in bins."""
+    at = F.floor(F.col("distance") / (F.col("within") + 1))
+    levels = cells.select("k", "cell", "level_").distinct()
+    other = celled.join(levels, ["k", "cell"]).select("k", "cell", "level_", F.col("uid").alias("c_uid"), F.col("distance").alias("c_distance"), F.col("delta").alias("c_delta"), hash32(F.lit("bucket"), F.col("uid").cast("string")).alias("c_hash"), at.alias("bin_"))
+    other = other.filter(F.col("c_hash") * F.pow(F.lit(2.0), "level_") < 2.0**32)
+    met = cells.withColumn("bin_", F.explode(F.sequence(at - 1, at + 1))).join(other, ["k", "cell", "level_", "bin_"])
+    return met.filter(F.abs(F.col("distance") - F.col("c_distance")) <= F.col("within"))
 
-    A target with n comparators, over twice `most`, meets one of 2**level hash buckets
-    of them, which holds two to four times `most` on average, and those of a bucket share it; so pairs grow with the
-    targets, not with the square of a group. A bucket may by chance hold fewer than `most`.
+
+def samples(celled: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(k, cell, distance, sample) for the cells of targets (k, cell, within, distance, n): the first `most` and one of all candidates in a cell's reach, by hash and uid, as (hash, uid, delta).
+
+    Targets of one cell share a sample, so rows grow with the cells. A cell reads the
+    candidates whose hash is small enough for twice as many to be expected; a cell that
+    gets too few reads eight times as many, until it has what there is.
     """
-    parts = []
-    bucket = lambda uid, level: F.pmod(hash32(F.lit("bucket"), F.col(uid).cast("string")), F.pow(F.lit(2.0), level).cast("long"))
-    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / (2.0 * most)))).cast("int") if "n" in chosen.columns else F.lit(0)
-    for k, t in enumerate(tiers):
-        width = t.within + 1
-        at = F.floor(F.col("distance") / width)
-        target = candidates.join(chosen.filter(F.col("k") == k).select("uid", level.alias("level_")), "uid").select("uid", "distance", *t.same, "level_")
-        target = target.withColumn("bucket_", bucket("uid", F.col("level_")))
-        levels = target.select(*t.same, "level_").distinct()
-        other = candidates.join(levels, list(t.same)).select(F.col("uid").alias("c_uid"), F.col("distance").alias("c_distance"), F.col("delta").alias("c_delta"), *t.same, "level_", at.alias("bin_"))
-        other = other.withColumn("bucket_", bucket("c_uid", F.col("level_")))
-        pairs = target.withColumn("bin_", F.explode(F.sequence(at - 1, at + 1))).join(other, [*t.same, "level_", "bucket_", "bin_"])
-        pairs = pairs.filter((F.col("uid") != F.col("c_uid")) & (F.abs(F.col("distance") - F.col("c_distance")) <= t.within))
-        parts.append(pairs.select("uid", "c_uid", "c_delta"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy("uid").orderBy(hash32(F.col("uid").cast("string"), F.col("c_uid").cast("string")), "c_uid")
-    return out.withColumn("nth_", F.row_number().over(w)).filter(F.col("nth_") <= most).drop("nth_")
+    of = ["k", "cell", "within", "distance"]
+    cells = targets.groupBy(*of).agg((F.max("n") + 1).alias("all_"))
+    open_ = settle(cells.withColumn("level_", F.greatest(F.lit(0), F.floor(F.log2(F.col("all_") / (2.0 * (most + 1))))).cast("int")))
+    out = None
+    while True:
+        first = F.slice(F.sort_array(F.collect_list(F.struct(F.col("c_hash").alias("h"), F.col("c_uid").alias("uid"), F.col("c_delta").alias("delta")))), 1, most + 1)
+        got = settle(_in_reach(open_, celled).groupBy(*of, "level_", "all_").agg(first.alias("sample")))
+        short = (F.size("sample") < F.least(F.col("all_"), F.lit(most + 1))) & (F.col("level_") > 0)
+        done = got.filter(~short).select("k", "cell", "distance", "sample")
+        out = done if out is None else out.unionByName(done)
+        # a cell may have got nothing at all
+        left = settle(open_.join(done.select("k", "cell", "distance"), ["k", "cell", "distance"], "left_anti").withColumn("level_", F.greatest(F.lit(0), F.col("level_") - 3)))
+        if left.isEmpty():
+            return out
+        open_ = left
+
+
+def sampled(candidates: DataFrame, chosen: DataFrame, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
+    """(uid, delta, others) of chosen targets (uid, k, n): the first `most` of all their comparators by hash and uid, as (hash, uid, delta). Targets of the last tier, which is all rows, have none here."""
+    celled = _celled(candidates, tiers)
+    targets = settle(celled.join(chosen.select("uid", "k", "n"), ["uid", "k"]))
+    met = targets.join(samples(celled, targets, most), ["k", "cell", "distance"])
+    return met.select("uid", "delta", F.slice(F.filter("sample", lambda x: x["uid"] != F.col("uid")), 1, most).alias("others"))
+
+
+def comparators(candidates: DataFrame, chosen: DataFrame, most: int | None = None, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
+    """(uid, c_uid, c_delta) of chosen targets (uid, k, and n if `most` is given): all comparators, or the first `most` by hash and uid. All of many targets are many pairs: for reports on a few."""
+    if most is not None:
+        return sampled(candidates, chosen, most, tiers).select("uid", F.explode("others").alias("o")).select("uid", F.col("o.uid").alias("c_uid"), F.col("o.delta").alias("c_delta"))
+    celled = _celled(candidates, tiers)
+    own = celled.join(chosen.select("uid", "k"), ["uid", "k"]).withColumn("level_", F.lit(0))
+    return _in_reach(own, celled).filter(F.col("uid") != F.col("c_uid")).select("uid", "c_uid", "c_delta")
+
+
+def sample_statistics(targets: DataFrame) -> DataFrame:
+    """(uid, n, mean, median, sd, percentile, tail) of targets (uid, delta, others), each against its own sample."""
+    x = F.transform("others", lambda o: o["delta"])
+    t = targets.select("uid", F.abs("delta").alias("o_"), x.alias("x"), F.size("others").alias("n")).filter("n > 0")
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda s, v: s + f(v))
+    t = t.withColumns({"mean": total(lambda v: v) / F.col("n"), "less_": F.size(F.filter("x", lambda v: F.abs(v) < F.col("o_"))), "tied_": F.size(F.filter("x", lambda v: F.abs(v) == F.col("o_"))), "sorted_": F.array_sort("x")})
+    middle = (F.get("sorted_", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("sorted_", F.floor(F.col("n") / 2).cast("int"))) / 2
+    sd = F.when(F.col("n") > 1, F.sqrt(total(lambda v: (v - F.col("mean")) * (v - F.col("mean"))) / (F.col("n") - 1)))
+    n = F.col("n").cast("long")
+    return t.select("uid", n.alias("n"), "mean", middle.alias("median"), sd.alias("sd"), (100.0 * (F.col("less_") + 0.5 * F.col("tied_")) / n).alias("percentile"), ((1.0 + n - F.col("less_")) / (n + 1.0)).alias("tail"))
 
 
 def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
@@ -96,10 +139,7 @@ def background(candidates: DataFrame, least: int = 20, most: int = 1000, tiers:
     """
     candidates = settle(candidates)
     chosen = settle(choose_tiers(candidates, least, tiers))
-    pairs = comparators(candidates, chosen, most, tiers).join(candidates.select("uid", "delta"), "uid")
-    a, o = F.abs("c_delta"), F.abs("delta")
-    n, less, tied = F.count(F.lit(1)), F.count(F.when(a < o, 1)), F.count(F.when(a == o, 1))
-    own = pairs.groupBy("uid").agg(n.alias("n"), F.avg("c_delta").alias("mean"), F.median("c_delta").alias("median"), F.stddev_samp("c_delta").alias("sd"), (100.0 * (less + 0.5 * tied) / n).alias("percentile"), ((1.0 + F.count(F.when(a >= o, 1))) / (n + 1.0)).alias("tail"))
+    own = sample_statistics(sampled(candidates, chosen, most, tiers))
     total = candidates.agg(F.count(F.lit(1)).alias("t_"), F.sum("delta").alias("s_"), F.sum(F.col("delta") * F.col("delta")).alias("q_"))
     cells = candidates.groupBy(F.abs("delta").alias("a_")).agg(F.count(F.lit(1)).alias("c_"))
     below = running(cells, [F.col("a_")], {"r_": F.col("c_")}).select("a_", "c_", (F.col("r_") - F.col("c_")).alias("l_"))

@@ -25,14 +25,12 @@ _NAMES = "CASE k " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enum
 
 
 def _pairs_sql(most: int, targets: str) -> str:
-    """pr: the first `most` comparators of each target in its tier and bucket, by hash; tiers one by one, so that they are joins on equal fields."""
+    """pr: the first `most` of all comparators of each target in its tier, by hash; tiers one by one, so that they are joins on equal fields."""
     parts = []
     for i, t in enumerate(matching.TIERS):
         same = " AND ".join(f"x.{f} = y.{f}" for f in t.same)
-        parts.append(f"SELECT x.uid, y.uid AS c_uid, y.delta AS c_delta, greatest(0, floor(log2(g.n / {2.0 * most}))) AS lv FROM {targets} g JOIN cand x ON x.uid = g.uid AND g.k = {i} JOIN cand y ON {same} AND x.uid <> y.uid AND abs(x.distance - y.distance) <= {t.within}")
-    bucket = lambda u: _MD5.format(f"'bucket|' || {u}") + " % cast(pow(2, lv) AS bigint)"
-    order = _MD5.format("uid || '|' || c_uid")
-    return f", p0 AS ({' UNION ALL '.join(parts)}), pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY {order}, c_uid) AS nth FROM p0 WHERE {bucket('uid')} = {bucket('c_uid')}) WHERE nth <= {most})"
+        parts.append(f"SELECT x.uid, y.uid AS c_uid, y.delta AS c_delta, y.hash FROM {targets} g JOIN cand x ON x.uid = g.uid AND g.k = {i} JOIN ch y ON {same} AND x.uid <> y.uid AND abs(x.distance - y.distance) <= {t.within}")
+    return f", ch AS (SELECT *, {_MD5.format("'bucket|' || uid")} AS hash FROM cand), p0 AS ({' UNION ALL '.join(parts)}), pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY hash, c_uid) AS nth FROM p0) WHERE nth <= {most})"
 
 
 @query(
@@ -60,7 +58,7 @@ def top_target_comparators(d: Derived) -> DataFrame:
     """The report's five largest effects with all comparators, each in its own tier."""
     c = _candidates(d)
     top = ranks.top_k(c, 5, F.abs("delta"), "uid").select("uid")
-    return matching.comparators(c, matching.choose_tiers(c).join(top, "uid"), most=2**31 - 1).select("uid", "c_uid", "c_delta")
+    return matching.comparators(c, matching.choose_tiers(c).join(top, "uid")).select("uid", "c_uid", "c_delta")
 
 
 _LEADS = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assembly, audit, metrics
+from ..operators.settling import settle
 from .derived import Derived, with_tables
 from .queries import query, rounded
 
@@ -156,10 +157,14 @@ def _any(conditions: list[str]) -> str:
     return "(" + " OR ".join(conditions) + ")"
 
 
-def _rules_sql(rules: dict[str, tuple[str, str]], of: str) -> str:
-    """(rule, severity, n) over a table: an unknown condition counts."""
-    rows = " UNION ALL ".join(f"SELECT '{name}' AS rule, '{severity}' AS severity, count(*) FILTER (coalesce({cond}, true)) AS n FROM {of}" for name, (severity, cond) in rules.items())
-    return f" SELECT rule, severity, n FROM ({rows})"
+def _rules_sql(rules: dict[str, tuple[str, str]], of: str, key: str | None = None) -> str:
+    """(rule, severity, n) over a table, and the five smallest keys as examples; an unknown condition counts."""
+    few = f", (SELECT coalesce(string_agg(e, ',' ORDER BY e), '') FROM (SELECT cast({key} AS varchar) AS e FROM {of} WHERE coalesce({{}}, true) ORDER BY 1 LIMIT 5)) AS examples" if key else ""
+    return " " + " UNION ALL ".join(f"SELECT '{name}' AS rule, '{severity}' AS severity, count(*) FILTER (coalesce({cond}, true)) AS n{few.replace('{}', cond)} FROM {of}" for name, (severity, cond) in rules.items())
+
+
+def _joined(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("examples", F.array_join("examples", ","))
 
 
 def _value_rules_sql(features: list[str]) -> dict[str, tuple[str, str]]:
@@ -205,15 +210,15 @@ _RAW = _filled_sql("x").replace("round(", "(").replace(", 6)", ")")
     _LOCI
     + f", made AS (SELECT probe_id, chr, pos, split, dna_5000, beta, m_value, binary_state, substr(dna_5000, 2451, 100) AS dna_100, {_RC.format('substr(dna_5000, 2451, 100)')} AS dna_100_RC, {_RAW} FROM x, med)"
     + _planted_sql("made", "cast(substr(probe_id, 3) AS bigint)", LOCUS_FAULTS, *_LOCUS_PLANT, "bad")
-    + ", told AS (SELECT *, count(*) OVER (PARTITION BY probe_id, split) AS n_same_, n_splits_ FROM bad JOIN (SELECT probe_id, count(DISTINCT split) AS n_splits_ FROM bad GROUP BY 1) USING (probe_id))"
-    + _rules_sql(_LOCUS_RULES, "told")
+    + ", told AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY probe_id, split) AS n_same_, n_splits_ FROM bad JOIN (SELECT probe_id, count(DISTINCT split) AS n_splits_ FROM bad GROUP BY 1) USING (probe_id))"
+    + _rules_sql(_LOCUS_RULES, "told", "probe_id")
 )
 def locus_audit(d: Derived) -> DataFrame:
-    made = loci_of(d)
+    made = settle(loci_of(d))
     pair = assembly.pair_of(BASE_TRACK)
     medians = metrics.fit_medians(assembly.signal_features(made, d.signals, BASE_TRACK, TRACKS).join(made.select("probe_id", "split"), "probe_id"), FEATURES, F.col("split") == "train", [pair])
-    bad = _planted(made, F.substring("probe_id", 3, 20).cast("long"), _both(LOCUS_FAULTS), *_LOCUS_PLANT)
-    return audit.rule_totals(*audit.locus_table_rules(bad, medians, pair, TRACKS), "probe_id").drop("examples")
+    bad = settle(_planted(made, F.substring("probe_id", 3, 20).cast("long"), _both(LOCUS_FAULTS), *_LOCUS_PLANT))
+    return _joined(audit.rule_totals(*audit.locus_table_rules(bad, medians, pair, TRACKS), "probe_id"))
 
 
 #: What candidates have besides the table: places, both widths, a transcript, lists of identifiers. Both engines read these alike.
@@ -330,13 +335,13 @@ made AS (SELECT *, {_RC.format('mut_5000')} AS mut_5000_RC FROM z)"""
     + ", told AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY variant_id) AS n_same_, "
     + ", ".join(f"CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN json_array_length({c}) END AS {n}" for n, c in _LISTS.items())
     + " FROM bad)"
-    + _rules_sql(_CANDIDATE_RULES, "told")
+    + _rules_sql(_CANDIDATE_RULES, "told", "variant_id")
 )
 def candidate_audit(d: Derived) -> DataFrame:
     wide = wide_loci(d).select("probe_id", "dna_5000")
-    made = candidates_of(d).withColumnRenamed("offset", "offset_").join(wide, "probe_id").withColumns({k: F.expr(v) for k, v in _EXTRA.items()})
+    made = settle(candidates_of(d)).withColumnRenamed("offset", "offset_").join(wide, "probe_id").withColumns({k: F.expr(v) for k, v in _EXTRA.items()})
     pair = assembly.pair_of(BASE_TRACK)
     made = assembly.with_other_strand(made, ["dna_5000", "mut_5000"], pair)
     medians = metrics.fit_medians(assembly.signal_features(d.loci, d.signals, BASE_TRACK, TRACKS).join(d.loci.select("probe_id", "split"), "probe_id"), FEATURES, F.col("split") == "train", [pair])
-    bad = _planted(made, F.col("variant_id"), _both(CANDIDATE_FAULTS), *_CANDIDATE_PLANT)
-    return audit.rule_totals(*audit.candidate_table_rules(bad, medians, pair, TRACKS), "variant_id").drop("examples")
+    bad = settle(_planted(made, F.col("variant_id"), _both(CANDIDATE_FAULTS), *_CANDIDATE_PLANT))
+    return _joined(audit.rule_totals(*audit.candidate_table_rules(bad, medians, pair, TRACKS), "variant_id"))

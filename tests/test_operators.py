@@ -164,16 +164,25 @@ def test_background_against_plain_loops(spark):
         assert g.percentile == pytest.approx(100 * ((a < abs(t.delta)).sum() + 0.5 * (a == abs(t.delta)).sum()) / len(c)) and g.tail == pytest.approx((1 + (a >= abs(t.delta)).sum()) / (len(c) + 1))
 
 
-def test_capped_comparators(spark):
-    rows = [(i, "a", "x", "p", "t", "created", i % 20, i / 1000) for i in range(400)]
+@pytest.mark.parametrize("most", [3, 20, 500])
+def test_capped_comparators(spark, most):
+    """Exactly the first by hash of all that a target has, however many these are."""
+    from hashlib import md5
+
+    rng = random.Random(8)
+    rows = [(i, "a", "x" if i % 40 else "y", "p", "t", "created", rng.choice([1, 30, i % 90]), i / 1000) for i in range(400)]
     c = spark.createDataFrame(rows, "uid long, gene string, sbs96 string, sbs6 string, titv string, cpg_effect string, distance long, delta double")
     chosen = matching.choose_tiers(c)
-    got = matching.comparators(c, chosen, most=20).collect()
+    tier = {r.uid: matching.TIERS[r.k] for r in chosen.collect()}
     by = {}
-    for r in got:
+    for r in matching.comparators(c, chosen, most=most).collect():
         by.setdefault(r.uid, set()).add(r.c_uid)
-    assert len(by) == 400 and all(len(v) == 20 and u not in v for u, v in by.items())
-    assert len({tuple(sorted(v)) for v in by.values()}) > 100  # each target has its own choice
+    place = lambda u: (int(md5(f"bucket|{u}".encode()).hexdigest()[:8], 16), u)
+    fields = ("uid", "gene", "sbs96", "sbs6", "titv", "cpg_effect", "distance")
+    for x in (dict(zip(fields, r)) for r in rows):
+        t = tier[x["uid"]]
+        all_ = [y["uid"] for y in (dict(zip(fields, r)) for r in rows) if y["uid"] != x["uid"] and abs(y["distance"] - x["distance"]) <= t.within and all(y[f] == x[f] for f in t.same)]
+        assert by[x["uid"]] == set(sorted(all_, key=place)[:most])
 
 
 def test_one_block_has_no_interval(spark):
