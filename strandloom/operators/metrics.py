@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .ranks import average_rank, global_average_rank, running
+from .ranks import by_keys, keyed_average_rank, percentiles, running
+from .settling import settle
 
 
 def probe_medians(normals: DataFrame, probe: str = "part_key") -> DataFrame:
@@ -24,7 +25,7 @@ def fit_medians(df: DataFrame, features: list[str], fit: Column, pooled: list[tu
     """One row of medians on the rows of `fit` alone; pooled features share one; without values 0."""
     group = {f: g for g in pooled for f in g}
     long_ = df.filter(fit).select(F.explode(F.array(*(F.struct(F.lit("+".join(group.get(f, (f,)))).alias("f"), F.col(f).alias("v")) for f in features))).alias("x")).select("x.*")
-    med = long_.groupBy("f").agg(F.median("v").alias("v"))
+    med = percentiles(long_, ["f"], "v", [0.5], ["v"])
     names = {f: "+".join(group.get(f, (f,))) for f in features}
     return med.agg(*(F.coalesce(F.max(F.when(F.col("f") == names[f], F.col("v"))), F.lit(0.0)).alias(f) for f in features))
 
@@ -45,21 +46,25 @@ def numeric_stats(x: Column) -> list[Column]:
     return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"), n(x == 0).alias("n_zero"), n(x < 0).alias("n_negative"), n(x.isNull()).alias("n_missing")]
 
 
-def error_metrics(pred: Column, truth: Column) -> list[Column]:
-    e = pred - truth
-    return [F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean_signed"), F.median(F.abs(e)).alias("median_abs")]
+def error_metrics(df: DataFrame, keys: list[str], pred: Column, truth: Column) -> DataFrame:
+    """(keys, n, mae, rmse, mean_signed, median_abs); the median by ranges of values, so no task holds a key's errors."""
+    e = F.col("e_")
+    rows = df.select(*keys, (pred - truth).alias("e_"), F.abs(pred - truth).alias("a_"))
+    sums = rows.groupBy(*keys).agg(F.count(e).alias("n"), F.avg("a_").alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean_signed"))
+    return by_keys(sums, percentiles(rows, keys, "a_", [0.5], ["median_abs"]), keys, "left")
 
 
 def grouped_errors(df: DataFrame, groupings: dict[str, Column], pred: str = "pred", truth: str = "truth", keys: tuple[str, ...] = ()) -> DataFrame:
     """Metrics by each of several groupings, in one pass; null strata drop."""
     g = F.explode(F.array(*(F.struct(F.lit(n).alias("grouping"), c.cast("string").alias("stratum")) for n, c in groupings.items()))).alias("g_")
-    return df.select(*keys, pred, truth, g).select(*keys, pred, truth, "g_.*").filter("stratum is not null").groupBy(*keys, "grouping", "stratum").agg(*error_metrics(F.col(pred), F.col(truth)))
+    rows = df.select(*keys, pred, truth, g).select(*keys, pred, truth, "g_.*").filter("stratum is not null")
+    return error_metrics(rows, [*keys, "grouping", "stratum"], F.col(pred), F.col(truth))
 
 
 def threshold_errors(df: DataFrame, coverage: str, thresholds: list[int], keys: tuple[str, ...] = (), pred: str = "pred", truth: str = "truth") -> DataFrame:
     """Metrics of the overlapping subsets with coverage at or above each threshold."""
     at = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(coverage) >= t)).alias("threshold")
-    return df.select(*keys, pred, truth, at).groupBy(*keys, "threshold").agg(*error_metrics(F.col(pred), F.col(truth)))
+    return error_metrics(df.select(*keys, pred, truth, at), [*keys, "threshold"], F.col(pred), F.col(truth))
 
 
 def right_closed_bin(x: Column, edges: list[int]) -> Column:
@@ -72,7 +77,7 @@ def right_closed_bin(x: Column, edges: list[int]) -> Column:
 def auc(df: DataFrame, y: str = "y", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, n, n_positive, auc): ties count a half; null if a class is empty."""
     rows = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumn("rank", average_rank(F.col(score), list(keys))) if keys else global_average_rank(rows, score)
+    ranked = keyed_average_rank(rows, list(keys), score)
     p, n = F.sum(y), F.count(F.lit(1))
     up = F.sum(F.when(F.col(y) == 1, F.col("rank"))) - p * (p + 1) / 2.0
     return ranked.groupBy(*keys).agg(n.alias("n"), p.alias("n_positive"), F.when((p > 0) & (p < n), up / (p * (n - p))).alias("auc"))
@@ -120,7 +125,7 @@ def guarded_corr(a: Column, b: Column) -> Column:
 def spearman(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, n, rho) with average ranks."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = rows.select(*keys, average_rank(F.col(a), list(keys)).alias("ra_"), average_rank(F.col(b), list(keys)).alias("rb_")) if keys else global_average_rank(global_average_rank(rows.select(a, b), a, "ra_"), b, "rb_")
+    ranked = keyed_average_rank(keyed_average_rank(rows.select(*keys, a, b), list(keys), a, "ra_"), list(keys), b, "rb_")
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), guarded_corr(F.col("ra_"), F.col("rb_")).alias("rho"))
 
 
@@ -144,12 +149,19 @@ def binomial_tails(df: DataFrame, k: str, n: str) -> DataFrame:
     return p.withColumns({"p_greater": F.least(tail, F.lit(1.0)), "p_two_sided": F.least(two, F.lit(1.0))}).drop("p_")
 
 
-def seed_summary(scores: DataFrame, uid: str = "uid", seed: str = "seed", delta: str = "delta", ks: tuple[int, ...] = (10, 20)) -> DataFrame:
-    """By candidate over seeds: mean, population SD, median, range, sign consistency, ranks and top-k frequencies."""
-    ranked = scores.withColumn("rank_", F.rank().over(Window.partitionBy(seed).orderBy(F.abs(delta).desc())))
+def seed_summary(scores: DataFrame, uid: str = "uid", seed: str = "seed", delta: str = "delta", ks: tuple[int, ...] = (10, 20), all_seeds: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """By candidate (uid and keys) over seeds: mean, population SD, median, range, sign consistency, ranks by the delta's size inside a seed (and keys) and top-k frequencies. With all_seeds an error unless each candidate has each seed of its keys once."""
+    scores = settle(scores.withColumn("by_", -F.abs(delta)))
+    if all_seeds:
+        seeds = scores.groupBy(*keys).agg(F.countDistinct(seed).alias("want_"))
+        each = scores.groupBy(*keys, uid).agg(F.count(F.lit(1)).alias("n_"), F.countDistinct(seed).alias("seeds_"))
+        wrong = by_keys(each, seeds, list(keys)).filter("n_ <> want_ or seeds_ <> want_").first()
+        if wrong is not None:
+            raise ValueError(f"candidate {wrong[uid]} has {wrong.n_} scores of {wrong.seeds_} seeds where {wrong.want_} are due")
+    ranked = keyed_average_rank(scores, [*keys, seed], "by_", "rank_", ties="first")
     d, r = F.col(delta), F.col("rank_")
     pos, neg = F.count(F.when(d > 0, 1)), F.count(F.when(d < 0, 1))
-    return ranked.groupBy(uid).agg(
+    return ranked.groupBy(*keys, uid).agg(
         F.countDistinct(seed).alias("n_seeds"), F.avg(d).alias("mean_delta"), F.stddev_pop(d).alias("sd_delta"), F.median(d).alias("median_delta"), F.min(d).alias("min_delta"), F.max(d).alias("max_delta"),
         F.when(pos + neg == 0, 1.0).otherwise(F.greatest(pos, neg) / (pos + neg)).alias("sign_consistency"), F.avg(F.abs(d)).alias("mean_abs_delta"), F.avg(r).alias("mean_rank"), F.stddev_pop(r).alias("sd_rank"), F.min(r).alias("best_rank"), F.max(r).alias("worst_rank"),
         *(F.avg((r <= k).cast("double")).alias(f"top{k}_frequency") for k in ks),
@@ -161,9 +173,10 @@ def orientation_agreement(fwd: Column, rc: Column) -> list[Column]:
     return [F.avg(d).alias("mae"), F.max(d).alias("max_abs"), guarded_corr(fwd, rc).alias("pearson")]
 
 
-def quantiles(x: Column, prefix: str, ps=(0.1, 0.25, 0.5, 0.75, 0.9)) -> list[Column]:
-    q = F.percentile(x, F.array(*map(F.lit, ps)))
-    return [F.avg(x).alias(f"{prefix}_mean"), *(q[i].alias(f"{prefix}_q{int(p * 100)}") for i, p in enumerate(ps)), F.avg((x > 0.5).cast("double")).alias(f"{prefix}_dominant")]
+def quantiles(df: DataFrame, keys: list[str], x: str, prefix: str, ps=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """(keys, mean, percentiles, share above one half), their names after the prefix."""
+    base = df.groupBy(*keys).agg(F.avg(x).alias(f"{prefix}_mean"), F.avg((F.col(x) > 0.5).cast("double")).alias(f"{prefix}_dominant"))
+    return by_keys(base, percentiles(df, keys, x, list(ps), [f"{prefix}_q{int(p * 100)}" for p in ps]), keys, "left")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -178,10 +191,13 @@ def multiplicity(df: DataFrame, entity: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("n_entities"), F.min("n_").alias("low"), F.max("n_").alias("high"), F.avg("n_").alias("mean"), F.median("n_").alias("median"), F.count(F.when(F.col("n_") > 1, 1)).alias("n_multiple"))
 
 
-def difference_distribution(d: Column, over: tuple[float, ...] = (0.01, 0.05)) -> list[Column]:
-    a = F.abs(d)
-    q = F.percentile(a, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    return [F.avg(a).alias("mean"), *(q[i].alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))), F.max(a).alias("max"), *(F.avg((a > t).cast("double")).alias(f"over_{str(t).replace('.', '_')}") for t in over)]
+def difference_distribution(df: DataFrame, d: Column, over: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
+    """One row of a difference's size: mean, percentiles, the largest, and shares beyond bounds."""
+    rows = df.select(F.abs(d).alias("a_"))
+    base = rows.agg(F.avg("a_").alias("mean"), F.max("a_").alias("max"), *(F.avg((F.col("a_") > t).cast("double")).alias(f"over_{str(t).replace('.', '_')}") for t in over))
+    none = base.sparkSession.range(1).select(F.lit("p").alias("p_"))  # a row, even where there are no values
+    q = percentiles(rows.withColumn("p_", F.lit("p")), ["p_"], "a_", [0.5, 0.9, 0.95, 0.99], ["p50", "p90", "p95", "p99"])
+    return base.crossJoin(F.broadcast(none.join(q, "p_", "left").drop("p_")))
 
 
 def balance(pairs: DataFrame, features: list[str]) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .cohort import rc_view
+from .settling import settle
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]  # rows to columns m, beta, prob
 
@@ -74,6 +77,105 @@ def fusion_share(model: PipelineModel) -> float:
     return float(a / max(a + b, 1e-12))
 
 
+@dataclass(frozen=True)
+class ContextHeads:
+    """A regression and a calibrated class over the same features."""
+
+    trees: PipelineModel
+    classes: PipelineModel
+    steps: IsotonicRegressionModel
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """df with m_context, raw_context (the class model's probability) and prob_context (calibrated)."""
+        scored = self.classes.transform(self.trees.transform(df).drop("context")).withColumn("raw_context", vector_to_array("probability")[1])
+        return self.steps.transform(scored).drop("context", "rawPrediction", "probability", "prediction")
+
+
+def fit_context_heads(train: DataFrame, val: DataFrame, features: list[str], seed: int = 42) -> ContextHeads:
+    """Trees for m_value and for binary_state on the training rows; the probabilities' steps (isotonic) on the validation rows, which the trees haven't seen."""
+    trees = Pipeline(stages=context_stages(features, seed)).fit(train)
+    classes = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="context"), GBTClassifier(featuresCol="context", labelCol="binary_state", maxIter=10, maxDepth=3, seed=seed)]).fit(train)
+    held = classes.transform(val).select(vector_to_array("probability")[1].alias("raw_context"), F.col("binary_state").cast("double").alias("binary_state"))
+    return ContextHeads(trees, classes, IsotonicRegression(featuresCol="raw_context", labelCol="binary_state", predictionCol="prob_context").fit(held))
+
+
+# A mixture with a weight for each row ------------------------------------------
+
+
+@dataclass(frozen=True)
+class Gate:
+    """Two experts' shares by a logistic function of the features, and the spread of each."""
+
+    features: tuple[str, ...]
+    middle: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray  # the constant first
+    spreads: tuple[float, float]
+    likelihoods: tuple[float, ...]  # of the rounds
+
+    def apply(self, df: DataFrame, a: str, b: str, share: str = "share", fused: str = "m_fusion") -> DataFrame:
+        """df with the share of expert a in each row, and the experts' mean by it; null where a feature is."""
+        z = F.lit(float(self.weights[0]))
+        for f, m, s, w in zip(self.features, self.middle, self.scale, self.weights[1:]):
+            z = z + float(w) * (F.col(f) - float(m)) / float(s)
+        return df.withColumn(share, 1 / (1 + F.exp(-z))).withColumn(fused, F.col(share) * F.col(a) + (1 - F.col(share)) * F.col(b))
+
+
+def _gate_sums(batches: Iterable[pd.DataFrame], features: list[str], middle: np.ndarray, scale: np.ndarray, weights: np.ndarray, spreads: tuple[float, float]) -> Iterator[pd.DataFrame]:
+    """(i, v): likelihood, expert a's total responsibility, both weighted squared errors, and the gate's gradient and curvature, summed over a task's rows."""
+    total = None
+    for b in batches:
+        x = np.column_stack([np.ones(len(b)), (b[features].to_numpy() - middle) / scale])
+        z = x @ weights
+        g = np.where(z > 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+        errors = [b["y_"].to_numpy() - b[k].to_numpy() for k in ("a_", "b_")]
+        logs = [-0.5 * (e / s) ** 2 - np.log(s) - 0.5 * np.log(2 * np.pi) + lg for e, s, lg in zip(errors, spreads, (-np.logaddexp(0, -z), -np.logaddexp(0, z)))]
+        whole = np.logaddexp(*logs)
+        r = np.exp(logs[0] - whole)
+        v = np.concatenate([[whole.sum(), r.sum(), (r * errors[0] ** 2).sum(), ((1 - r) * errors[1] ** 2).sum(), len(b)], x.T @ (r - g), (x.T @ (x * (g * (1 - g))[:, None])).reshape(-1), (x.T @ x).reshape(-1)])
+        total = v if total is None else total + v
+    if total is not None:
+        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+
+def fit_gate(df: DataFrame, features: list[str], a: str, b: str, y: str, rounds: int = 1000, tolerance: float = 1e-6, least: float = 1e-3) -> Gate:
+    """Expectation-maximisation of y ~ g N(a, s) + (1 - g) N(b, t), g a logistic function of the features.
+
+    A round is one pass of sums over the rows. The spreads take their weighted means; the
+    gate takes a Newton step, and where that made the likelihood fall, instead the step by
+    the bound of its curvature (a quarter of x'x), with which it can't. It ends when a
+    round adds less than `tolerance` to the mean log likelihood of a row; else RuntimeError.
+    Spreads stay above `least`. Rows with a null among these columns don't count.
+    """
+    names = [f"x{i}_" for i in range(len(features))]
+    rows = settle(df.select(*(F.col(f).cast("double").alias(n) for f, n in zip(features, names)), *(F.col(c).cast("double").alias(n) for c, n in ((a, "a_"), (b, "b_"), (y, "y_")))).dropna())
+    first = rows.agg(F.count(F.lit(1)), F.sqrt(F.avg((F.col("y_") - F.col("a_")) ** 2)), F.sqrt(F.avg((F.col("y_") - F.col("b_")) ** 2)), *(f(n) for n in names for f in (F.avg, F.stddev_pop))).first()
+    if not first[0]:
+        raise ValueError("no rows to fit the gate on")
+    middle, scale = np.array(first[3::2], float), np.array([s if s and s > 0 else 1.0 for s in first[4::2]])
+    p = len(features) + 1
+    weights, spreads = np.zeros(p), (max(first[1], least), max(first[2], least))
+    seen: list[float] = []
+    fallback = None
+    for _ in range(rounds):
+        got = rows.mapInPandas(lambda batches, w=weights, s=spreads: _gate_sums(batches, names, middle, scale, w, s), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        v = np.array([r.v for r in sorted(got)])
+        if seen and v[0] < seen[-1] - 1e-12 * abs(seen[-1]) and fallback is not None:
+            weights, spreads, fallback = *fallback, None
+            continue
+        gain = v[0] - seen[-1] if seen else np.inf
+        seen.append(float(v[0]))
+        if gain <= tolerance * v[4]:
+            return Gate(tuple(features), middle, scale, weights, spreads, tuple(seen))
+        share, n = v[1], v[4]
+        spreads = (max(float(np.sqrt(v[2] / max(share, 1e-300))), least), max(float(np.sqrt(v[3] / max(n - share, 1e-300))), least))
+        slope, curve, bound = v[5 : 5 + p], v[5 + p : 5 + p + p * p].reshape(p, p), v[5 + p + p * p :].reshape(p, p) / 4
+        ridge = 1e-9 * n * np.eye(p)
+        fallback = (weights + np.linalg.solve(bound + ridge, slope), spreads)
+        weights = weights + np.linalg.solve(curve + ridge, slope)
+    raise RuntimeError(f"the gate's likelihood still grows after {rounds} rounds")
+
+
 def classify(train: DataFrame, test: DataFrame, features: str, label: str) -> DataFrame:
     """test with prob of label 1, from a logistic regression on an array column."""
     from pyspark.ml.functions import array_to_vector

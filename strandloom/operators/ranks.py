@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,42 @@ def global_average_rank(df: DataFrame, by: str, out: str = "rank") -> DataFrame:
     return df.join(ranked.select(by, (F.col("r_") - (F.col("n_") - 1) / 2.0).alias(out)), by, "left")
 
 
+def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a with the columns of b, one row for each of its keys; null keys are keys too, and without keys b is one row."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
+    named = b.withColumnsRenamed({k: f"{k}_key_" for k in keys})
+    met = reduce(lambda x, y: x & y, [a[k].eqNullSafe(named[f"{k}_key_"]) for k in keys])
+    return a.join(named, met, how).drop(*(f"{k}_key_" for k in keys))
+
+
+def placed_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n_, below_, all_): the distinct values of each key, how often each is there, how many lie below, and how many there are. Values are counted first and put in order in ranges, so no task holds a key's values."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
+    run = settle(running(counts, [*map(F.col, keys), F.col(value)], {"upto_": F.col("n_")}))
+    of = run.groupBy(*keys).agg(F.min(F.col("upto_") - F.col("n_")).alias("start_"), F.sum("n_").alias("all_"))
+    return by_keys(run, of, keys).select(*keys, value, "n_", (F.col("upto_") - F.col("n_") - F.col("start_")).alias("below_"), "all_")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str]) -> DataFrame:
+    """(keys, names): exact percentiles of each key's values that are there, between two neighbours by their distance; keys without any have no row."""
+    v = placed_values(df, keys, value)
+    at = [F.lit(float(p)) * (F.col("all_") - 1) for p in shares]
+    holds = lambda place: (F.col("below_") <= place) & (place < F.col("below_") + F.col("n_"))
+    ends = [(F.max(F.when(holds(F.floor(a)), F.col(value))), F.max(F.when(holds(F.ceil(a)), F.col(value)))) for a in at]
+    asked = reduce(lambda x, y: x | y, [holds(f(a)) for a in at for f in (F.floor, F.ceil)])
+    got = v.filter(asked).groupBy(*keys).agg(F.max("all_").alias("all_"), *(e.cast("double").alias(f"{s}{i}_") for i, two in enumerate(ends) for s, e in zip("lh", two)))
+    rest = lambda a: a - F.floor(a)
+    return got.select(*keys, *(F.when(F.col(f"l{i}_") == F.col(f"h{i}_"), F.col(f"l{i}_")).otherwise(F.col(f"l{i}_") * (1 - rest(a)) + F.col(f"h{i}_") * rest(a)).alias(n) for i, (a, n) in enumerate(zip(at, names))))
+
+
+def keyed_average_rank(df: DataFrame, keys: list[str], by: str, out: str = "rank", ties: str = "average") -> DataFrame:
+    """df with the rank of `by` inside its keys, counted in ranges; ties at their mean, or with "first" at their smallest; null for null."""
+    v = placed_values(df, keys, by)
+    rank = F.col("below_") + (1 if ties == "first" else (F.col("n_") + 1) / 2.0)
+    return by_keys(df, v.select(*keys, by, rank.alias(out)), [*keys, by], "left")
+
+
 def percentile_rank(rank: Column, n: Column, convention: str = "from_zero") -> Column:
     """from_zero: 100 (r - 1) / (n - 1), 50 for one row; share: 100 r / n."""
     return F.when(n == 1, 50.0).otherwise(100.0 * (rank - 1) / (n - 1)) if convention == "from_zero" else 100.0 * rank / n
@@ -73,7 +111,10 @@ def top_k(df: DataFrame, k: int, by: Column, tie: str) -> DataFrame:
 
 def top_overlap(runs: DataFrame, k: int, run: str = "run", id_col: str = "id", score: str = "score") -> DataFrame:
     """(run_a, run_b, overlap, jaccard) of the top k by |score| of all pairs of runs."""
-    best = runs.withColumn("nth_", F.row_number().over(Window.partitionBy(run).orderBy(F.abs(score).desc(), id_col))).filter(F.col("nth_") <= k).select(run, id_col)
+    # of each of 64 parts of a run the first k, so no run sorts in one task
+    order = [F.abs(score).desc(), F.col(id_col)]
+    few = runs.withColumn("part_", F.pmod(F.xxhash64(id_col), F.lit(64))).withColumn("nth_", F.row_number().over(Window.partitionBy(run, "part_").orderBy(*order))).filter(F.col("nth_") <= k)
+    best = settle(few.withColumn("nth_", F.row_number().over(Window.partitionBy(run).orderBy(*order))).filter(F.col("nth_") <= k).select(run, id_col))
     a, b = best.select(F.col(run).alias("run_a"), id_col), best.select(F.col(run).alias("run_b"), id_col)
     both = a.join(b, id_col).filter("run_a < run_b").groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("overlap"))
     size = best.groupBy(run).agg(F.count(F.lit(1)).alias("n_"))

@@ -268,7 +268,7 @@ def _m(x: str) -> str:
 )
 def model_errors_m_scale(d: Derived) -> DataFrame:
     """Errors of each run and split on the scale of M values."""
-    return rounded(d.predictions.groupBy("model", "seed", "split").agg(*metrics.error_metrics(S.beta_to_m(F.col("pred")), S.beta_to_m(F.col("truth")))))
+    return rounded(metrics.error_metrics(d.predictions, ["model", "seed", "split"], S.beta_to_m(F.col("pred")), S.beta_to_m(F.col("truth"))))
 
 
 @query(

@@ -74,7 +74,7 @@ round(avg(CASE WHEN e > 0.01 THEN 1.0::double ELSE 0 END), 6) AS over_0_01, roun
 )
 def participant_sensitivity(d: Derived) -> DataFrame:
     j = metrics.probe_medians(d.normals).select("part_key", F.col("beta").alias("x")).join(metrics.participant_medians(d.normals).withColumnRenamed("beta", "y"), "part_key")
-    return rounded(j.agg(*metrics.difference_distribution(F.col("x") - F.col("y"))))
+    return rounded(metrics.difference_distribution(j, F.col("x") - F.col("y")))
 
 
 @query(with_tables("normals") + ", n AS (SELECT participant, count(*) AS c FROM (SELECT DISTINCT participant, sample_id FROM normals) GROUP BY 1) SELECT count(*) AS n_entities, min(c) AS low, max(c) AS high, round(avg(c), 6) AS mean, cast(median(c) AS double) AS median, count(*) FILTER (c > 1) AS n_multiple FROM n")
@@ -407,7 +407,7 @@ _METRICS = "count(*) AS n, round(avg(abs(pred - truth)), 6) AS mae, round(sqrt(a
 
 @query(with_tables("predictions") + f" SELECT model, seed, {_METRICS} FROM predictions GROUP BY 1, 2")
 def model_errors(d: Derived) -> DataFrame:
-    return rounded(d.predictions.groupBy("model", "seed").agg(*metrics.error_metrics(F.col("pred"), F.col("truth"))))
+    return rounded(metrics.error_metrics(d.predictions, ["model", "seed"], F.col("pred"), F.col("truth")))
 
 
 @query(with_tables("predictions") + f", g AS (SELECT *, unnest([{{'grouping': 'split', 'stratum': split}}, {{'grouping': 'chr', 'stratum': chr}}, {{'grouping': 'distance', 'stratum': CASE WHEN pos % 600 <= 50 THEN '0-50' WHEN pos % 600 <= 100 THEN '51-100' WHEN pos % 600 <= 250 THEN '101-250' WHEN pos % 600 <= 500 THEN '251-500' END}}]) AS x FROM predictions) SELECT model, x.grouping AS grouping, x.stratum AS stratum, {_METRICS} FROM g WHERE x.stratum IS NOT NULL GROUP BY 1, 2, 3")
@@ -431,7 +431,7 @@ def errors_by_coverage_threshold(d: Derived) -> DataFrame:
 @query(with_tables("predictions") + _COVERAGE + f" SELECT model, CASE WHEN coverage <= 20 THEN '(0,20]' WHEN coverage <= 28 THEN '(20,28]' WHEN coverage <= 35 THEN '(28,35]' ELSE '(35,200]' END AS bin, {_METRICS} FROM p GROUP BY 1, 2")
 def errors_by_coverage_bin(d: Derived) -> DataFrame:
     b = metrics.right_closed_bin(F.col("coverage"), [0, 20, 28, 35, 200])
-    return rounded(_covered(d).withColumn("bin", b).groupBy("model", "bin").agg(*metrics.error_metrics(F.col("pred"), F.col("truth"))))
+    return rounded(metrics.error_metrics(_covered(d).withColumn("bin", b), ["model", "bin"], F.col("pred"), F.col("truth")))
 
 
 _AUC_SQL = "round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * (count(*) - sum(y))), 6) AS auc"
@@ -497,13 +497,24 @@ def seed_summary(d: Derived) -> DataFrame:
     return rounded(metrics.seed_summary(s))
 
 
+@query(
+    with_tables("predictions")
+    + """, dl AS (SELECT part_key AS uid, model, seed, pred - truth AS delta FROM predictions), k AS (SELECT *, rank() OVER (PARTITION BY model, seed ORDER BY abs(delta) DESC) AS r FROM dl)
+SELECT model, uid, count(DISTINCT seed) AS n_seeds, round(avg(delta), 6) AS mean_delta, round(median(delta), 6) AS median_delta, round(avg(r), 6) AS mean_rank, min(r) AS best_rank, round(avg(CASE WHEN r <= 10 THEN 1.0::double ELSE 0 END), 6) AS top10_frequency FROM k GROUP BY 1, 2"""
+)
+def seed_summary_by_model(d: Derived) -> DataFrame:
+    """Each model's candidates over its seeds; an error unless all seeds are there."""
+    s = d.predictions.select(F.col("part_key").alias("uid"), "model", "seed", (F.col("pred") - F.col("truth")).alias("delta"))
+    return rounded(metrics.seed_summary(s, keys=("model",)).select("model", "uid", "n_seeds", "mean_delta", "median_delta", "mean_rank", "best_rank", "top10_frequency"))
+
+
 @query(
     with_tables("predictions")
     + f""", e AS (SELECT part_key, model, avg(pred) AS pred, min(truth) AS truth FROM predictions GROUP BY 1, 2) SELECT model, {_METRICS} FROM e GROUP BY 1"""
 )
 def ensemble_errors(d: Derived) -> DataFrame:
     e = d.predictions.groupBy("part_key", "model").agg(F.avg("pred").alias("pred"), F.min("truth").alias("truth"))
-    return rounded(e.groupBy("model").agg(*metrics.error_metrics(F.col("pred"), F.col("truth"))))
+    return rounded(metrics.error_metrics(e, ["model"], F.col("pred"), F.col("truth")))
 
 
 @query(with_tables("predictions") + ", w AS (SELECT part_key, max(CASE WHEN seed = 42 THEN pred END) AS a, max(CASE WHEN seed = 43 THEN pred END) AS b FROM predictions WHERE model = 'sequence' GROUP BY 1) SELECT round(avg(abs(a - b)), 6) AS mae, round(max(abs(a - b)), 6) AS max_abs, round(corr(a, b), 6) AS pearson FROM w")
@@ -515,7 +526,7 @@ def run_agreement(d: Derived) -> DataFrame:
 @query(with_tables("predictions") + ", g AS (SELECT model, pred / greatest(pred + truth, 1e-12) AS s FROM predictions) SELECT model, round(avg(s), 6) AS share_mean, round(quantile_cont(s, 0.1), 6) AS share_q10, round(quantile_cont(s, 0.25), 6) AS share_q25, round(quantile_cont(s, 0.5), 6) AS share_q50, round(quantile_cont(s, 0.75), 6) AS share_q75, round(quantile_cont(s, 0.9), 6) AS share_q90, round(avg(CASE WHEN s > 0.5 THEN 1.0::double ELSE 0 END), 6) AS share_dominant FROM g GROUP BY 1")
 def gate_shares(d: Derived) -> DataFrame:
     g = d.predictions.withColumn("s", S.gate_share(F.col("pred"), F.col("truth")))
-    return rounded(g.groupBy("model").agg(*metrics.quantiles(F.col("s"), "share")))
+    return rounded(metrics.quantiles(g, ["model"], "s", "share"))
 
 
 @query(with_tables("predictions") + ", m AS (SELECT seed, model, avg(abs(pred - truth)) AS e FROM predictions GROUP BY 1, 2), p AS (SELECT seed, max(CASE WHEN model = 'sequence' THEN e END) - max(CASE WHEN model = 'fusion' THEN e END) AS gain FROM m GROUP BY 1) SELECT round(avg(gain), 6) AS mean_gain, round(stddev_samp(gain), 6) AS sd_gain, count(*) AS n_seeds FROM p")
@@ -889,7 +900,7 @@ def screened_pool(d: Derived) -> DataFrame:
     return s.join(n, "chr", "left").select("chr", "n_screened", "n_marked", "first_pos", "last_pos", "n_loci")
 
 
-FLAGSHIP = "locus_split_summary"
+FLAGSHIP = "locus_table"
 
 
 from . import backgrounds, eligibility, files, tables  # noqa: E402,F401  they register more queries

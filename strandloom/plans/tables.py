@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assembly, audit, metrics
+from ..functions import scalars as S
+from ..operators import assembly, audit, metrics, ml
 from ..operators.settling import settle
 from .derived import Derived, with_tables
 from .queries import query, rounded
@@ -345,3 +346,36 @@ def candidate_audit(d: Derived) -> DataFrame:
     medians = metrics.fit_medians(assembly.signal_features(d.loci, d.signals, BASE_TRACK, TRACKS).join(d.loci.select("probe_id", "split"), "probe_id"), FEATURES, F.col("split") == "train", [pair])
     bad = settle(_planted(made, F.col("variant_id"), _both(CANDIDATE_FAULTS), *_CANDIDATE_PLANT))
     return _joined(audit.rule_totals(*audit.candidate_table_rules(bad, medians, pair, TRACKS), "variant_id"))
+
+
+# Models of the locus table ------------------------------------------------------
+
+
+def _heads(d: Derived) -> tuple[DataFrame, ml.ContextHeads]:
+    """The table with its flags as numbers, and both heads over all features and flags."""
+    t = settle(loci_of(d))
+    names = [*FEATURES, *(f"{f}_Missing" for f in FEATURES)]
+    return t, ml.fit_context_heads(t.filter("split = 'train'"), t.filter("split = 'val'"), names)
+
+
+@query()
+def context_heads(d: Derived) -> DataFrame:
+    """(split, n, mae, brier, brier_raw, auc) of the regression and of the class, raw and calibrated, by split."""
+    t, heads = _heads(d)
+    scored = settle(heads.apply(t).select("split", "beta", "binary_state", "m_context", "prob_context", "raw_context"))
+    y = F.col("binary_state")
+    errors = scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(S.m_to_beta(F.col("m_context")) - F.col("beta"))).alias("mae"), *(F.avg((F.col(p) - y) * (F.col(p) - y)).alias(n) for n, p in (("brier", "prob_context"), ("brier_raw", "raw_context"))))
+    return rounded(errors.join(metrics.auc(scored, "binary_state", "prob_context", ("split",)).select("split", "auc"), "split"))
+
+
+@query()
+def fusion_gate(d: Derived) -> DataFrame:
+    """(split, n, errors of both experts and of their mixture, the context's share: mean, percentiles, dominance), by split; the gate is fitted on the training rows."""
+    t, heads = _heads(d)
+    k = ml.kmers(t, "dna_100")
+    sequence = ml.Pipeline(stages=ml.sequence_stages()).fit(k.filter("split = 'train'"))
+    scored = settle(sequence.transform(ml.kmers(heads.apply(t), "dna_100")).select("split", "beta", "m_value", "m_context", "m_sequence", *FEATURES, *(f"{f}_Missing" for f in FEATURES)))
+    gate = ml.fit_gate(scored.filter("split = 'train'"), [*FEATURES, *(f"{f}_Missing" for f in FEATURES)], "m_context", "m_sequence", "m_value")
+    out = settle(gate.apply(scored, "m_context", "m_sequence").select("split", "beta", "m_context", "m_sequence", "m_fusion", "share"))
+    errors = out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.abs(S.m_to_beta(F.col(f"m_{m}")) - F.col("beta"))).alias(f"mae_{m}") for m in ("context", "sequence", "fusion")))
+    return rounded(errors.join(metrics.quantiles(out, ["split"], "share", "share"), "split"))

@@ -29,7 +29,7 @@ def test_query_equals_sql(name, spark, sf_dir, con):
 
 def test_entry(spark):
     df = entry_point.entry(spark)
-    assert df.count() == 3 and "mean_beta" in df.columns
+    assert df.count() > 100 and {"m_value", "dna_100", "split"} <= set(df.columns)
 
 
 def test_registry():
