@@ -138,12 +138,13 @@ def _gate_sums(batches: Iterable[pd.DataFrame], features: list[str], middle: np.
         yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
 
-def fit_gate(df: DataFrame, features: list[str], a: str, b: str, y: str, rounds: int = 1000, tolerance: float = 1e-6, least: float = 1e-3) -> Gate:
+def fit_gate(df: DataFrame, features: list[str], a: str, b: str, y: str, rounds: int = 1000, tolerance: float = 1e-5, least: float = 1e-3) -> Gate:
     """Expectation-maximisation of y ~ g N(a, s) + (1 - g) N(b, t), g a logistic function of the features.
 
     A round is one pass of sums over the rows. The spreads take their weighted means; the
     gate takes a Newton step, and where that made the likelihood fall, instead the step by
-    the bound of its curvature (a quarter of x'x), with which it can't. It ends when a
+    the bound of its curvature (a quarter of x'x), with which it can't. Each third round
+    goes on as far as the two before it point, and back if the likelihood fell. It ends when a
     round adds less than `tolerance` to the mean log likelihood of a row; else RuntimeError.
     Spreads stay above `least`. Rows with a null among these columns don't count.
     """
@@ -154,25 +155,36 @@ def fit_gate(df: DataFrame, features: list[str], a: str, b: str, y: str, rounds:
         raise ValueError("no rows to fit the gate on")
     middle, scale = np.array(first[3::2], float), np.array([s if s and s > 0 else 1.0 for s in first[4::2]])
     p = len(features) + 1
-    weights, spreads = np.zeros(p), (max(first[1], least), max(first[2], least))
+    # the gate's weights and the logarithms of both spreads
+    at = np.concatenate([np.zeros(p), np.log([max(first[1], least), max(first[2], least)])])
     seen: list[float] = []
-    fallback = None
+    safe = None
+    trail: list[np.ndarray] = []
     for _ in range(rounds):
+        weights, spreads = at[:p], tuple(map(float, np.exp(at[p:])))
         got = rows.mapInPandas(lambda batches, w=weights, s=spreads: _gate_sums(batches, names, middle, scale, w, s), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         v = np.array([r.v for r in sorted(got)])
-        if seen and v[0] < seen[-1] - 1e-12 * abs(seen[-1]) and fallback is not None:
-            weights, spreads, fallback = *fallback, None
+        if seen and not v[0] >= seen[-1] - 1e-12 * abs(seen[-1]) and safe is not None:
+            at, safe, trail = safe, None, []
             continue
         gain = v[0] - seen[-1] if seen else np.inf
         seen.append(float(v[0]))
         if gain <= tolerance * v[4]:
             return Gate(tuple(features), middle, scale, weights, spreads, tuple(seen))
         share, n = v[1], v[4]
-        spreads = (max(float(np.sqrt(v[2] / max(share, 1e-300))), least), max(float(np.sqrt(v[3] / max(n - share, 1e-300))), least))
+        wide = np.log([max(float(np.sqrt(v[2] / max(share, 1e-300))), least), max(float(np.sqrt(v[3] / max(n - share, 1e-300))), least)])
         slope, curve, bound = v[5 : 5 + p], v[5 + p : 5 + p + p * p].reshape(p, p), v[5 + p + p * p :].reshape(p, p) / 4
         ridge = 1e-9 * n * np.eye(p)
-        fallback = (weights + np.linalg.solve(bound + ridge, slope), spreads)
-        weights = weights + np.linalg.solve(curve + ridge, slope)
+        safe = np.concatenate([weights + np.linalg.solve(bound + ridge, slope), wide])
+        trail.append(at)
+        at = np.concatenate([weights + np.linalg.solve(curve + ridge, slope), wide])
+        if len(trail) == 3:  # two steps tell where they lead
+            step = trail[1] - trail[0]
+            turn = trail[2] - trail[1] - step
+            far = max(1.0, float(np.linalg.norm(step) / max(np.linalg.norm(turn), 1e-300)))
+            if far > 1 and np.isfinite(far):
+                at = trail[0] + 2 * far * step + far * far * turn
+            trail = []
     raise RuntimeError(f"the gate's likelihood still grows after {rounds} rounds")
 
 
