@@ -42,22 +42,31 @@ def masked_out(rows: DataFrame, masks: DataFrame, key: str, mask: str, include_m
     return told if include_masked else told.filter(~F.col(mask))
 
 
+def _missing(df: DataFrame, column: str) -> Column:
+    """Null, or a number that is NaN or infinite."""
+    odd = F.isnan(column) | (F.abs(column) == float("inf")) if dict(df.dtypes)[column] in ("double", "float") else F.lit(False)
+    return F.col(column).isNull() | F.coalesce(odd, F.lit(False))
+
+
 def without_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that have a value, and no NaN, in all of the columns."""
-    kinds = dict(df.dtypes)
-    ok = [F.col(c).isNotNull() & ((~F.isnan(c)) if kinds[c] in ("double", "float") else F.lit(True)) for c in columns]
-    return df.filter(reduce(lambda a, b: a & b, ok, F.lit(True)))
+    """Rows that have a value, finite if it is a number, in all of the columns."""
+    return df.filter(~reduce(lambda a, b: a | b, [_missing(df, c) for c in columns], F.lit(False)))
 
 
 def null_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n_null, n_rows, n_kept): nulls of each column, all rows, and those that without_nulls keeps."""
-    kinds = dict(df.dtypes)
-    missing = {c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in columns}
+    """(column, n_null, n_rows, n_kept): missing values of each column, all rows, and those that without_nulls keeps."""
+    missing = {c: _missing(df, c) for c in columns}
     any_missing = reduce(lambda a, b: a | b, missing.values(), F.lit(False))
     n = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~any_missing, 1)).alias("n_kept"), *(F.count(F.when(m, 1)).alias(c) for c, m in missing.items()))
     return n.unpivot(["n_rows", "n_kept"], columns, "column", "n_null").select("column", "n_null", "n_rows", "n_kept")
 
 
+def masks_by_split(probes: DataFrame, manifest: DataFrame, key: str, mask: str, split: str = "split") -> DataFrame:
+    """(split, n_rows, n_missing, n_masked) of probes against a manifest; an error if it has a key twice."""
+    joined = many_to_one(probes.select(split, key), manifest.select(key, mask, F.lit(True).alias("there_")), [key], "left")
+    return joined.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("there_").isNull(), 1)).alias("n_missing"), F.count(F.when(F.col(mask), 1)).alias("n_masked"))
+
+
 def first_present(df: DataFrame, columns: list[str]) -> Column:
     """The first of the columns that df has and that isn't empty in the row."""
     there = [c for c in columns if c in df.columns]

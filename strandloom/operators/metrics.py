@@ -135,6 +135,15 @@ def concordance(a: Column, b: Column) -> list[Column]:
     return [F.avg(same.cast("double")).alias("concordance"), F.count(F.when(same, 1)).alias("n_same"), F.count(F.when(both, 1)).alias("n_nonzero"), F.count(F.when(both & same, 1)).alias("n_nonzero_same")]
 
 
+def response(df: DataFrame, keys: list[str], predicted: str, observed: str) -> DataFrame:
+    """(keys, n, rho, rho_abs, concordance, mean_abs, median_abs, positive_fraction) of predicted effects against observed ones, by keys."""
+    rows = settle(df.select(*keys, predicted, observed, F.abs(predicted).alias("p_abs_"), F.abs(observed).alias("o_abs_")))
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), concordance(F.col(predicted), F.col(observed))[0], F.avg("p_abs_").alias("mean_abs"), F.avg((F.col(predicted) > 0).cast("double")).alias("positive_fraction"))
+    out = by_keys(base, spearman(rows, predicted, observed, tuple(keys)).drop("n"), keys, "left")
+    out = by_keys(out, spearman(rows, "p_abs_", "o_abs_", tuple(keys)).drop("n").withColumnRenamed("rho", "rho_abs"), keys, "left")
+    return by_keys(out, percentiles(rows, keys, "p_abs_", [0.5], ["median_abs"]), keys, "left")
+
+
 def binomial_tails(df: DataFrame, k: str, n: str) -> DataFrame:
     """df with p_greater = P(X >= k) and p_two_sided, X binomial (n, 1/2)."""
     i = F.sequence(F.lit(0), F.col(n))

@@ -141,15 +141,21 @@ def sign_flip_p(df: DataFrame, cluster: str, effect: str, slope: str, replicates
     return rho.crossJoin(F.broadcast(seen)).agg(F.max("o").alias("observed"), exceed.alias("exceed"), ((exceed + 1) / (replicates + 1)).alias("p"))
 
 
+def _picks(rows: DataFrame, set_col: str, replicates: int, seed: int) -> DataFrame:
+    """(set, replicate, i_): the place, from 0, of the row that each set takes in each replicate."""
+    sets = rows.groupBy(set_col).agg(F.first("n_").alias("n_"))
+    pick = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(set_col).cast("string")) % F.col("n_")
+    return sets.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(set_col, "replicate", pick.alias("i_"))
+
+
 def within_set_permutation_p(df: DataFrame, set_col: str, id_col: str, replicates: int, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
-    """(observed, exceed, p) of the AUC by |score| when one row of each set, by hash, is the positive."""
+    """(observed, exceed, p) of the AUC by |score| when one row of each set, by hash, is the positive. Ranks are made once; a replicate is the picks, one row of each set."""
     w = Window.partitionBy(set_col)
     ranked = global_average_rank(df.withColumn("a_", F.abs(score)), "a_", "r_")
-    rows = ranked.select(set_col, id_col, y, "r_").withColumn("i_", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
+    rows = settle(ranked.select(set_col, id_col, y, "r_").withColumn("i_", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("n_", F.count(F.lit(1)).over(w)))
     total = rows.agg(F.count(F.lit(1)).alias("t_"), F.countDistinct(set_col).alias("k_"), F.sum(F.when(F.col(y) == 1, F.col("r_"))).alias("o_"), F.sum(y).alias("p_"))
-    grid = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(set_col).cast("string")) % F.col("n_")
-    sums = grid.filter(F.col("i_") == pick).groupBy("replicate").agg(F.sum("r_").alias("s_")).crossJoin(F.broadcast(total))
+    chosen = _picks(rows, set_col, replicates, seed).join(rows.select(set_col, "i_", "r_"), [set_col, "i_"])
+    sums = chosen.groupBy("replicate").agg(F.sum("r_").alias("s_")).crossJoin(F.broadcast(total))  # one row
     auc = lambda s, k: (s - k * (k + 1) / 2.0) / (k * (F.col("t_") - k))
     null, seen = auc(F.col("s_"), F.col("k_")), auc(F.col("o_"), F.col("p_"))
     exceed = F.count(F.when(null >= seen, 1))
@@ -173,7 +179,7 @@ def set_bootstrap(df: DataFrame, set_col: str, replicates: int, seed: int = 42,
     a = F.abs(score)
     per = df.groupBy(set_col).agg(F.max(F.when(F.col(y) == 1, a)).alias("top_"), F.median(F.when(F.col(y) == 0, a)).alias("mid_"))
     sets = numbered(per, set_col)
-    drawn = draws(sets.select("i"), replicates, seed).join(F.broadcast(sets), "i")
+    drawn = draws(sets.select("i"), replicates, seed).join(sets, "i")
     known = F.col("top_").isNotNull() & F.col("mid_").isNotNull()
     wins = drawn.groupBy("replicate").agg((F.sum(F.when(known & (F.col("top_") > F.col("mid_")), F.col("times")).otherwise(0)) / F.sum(F.when(known, F.col("times")))).alias("wins"))
     rows = df.select(set_col, F.col(y).alias("y_"), a.alias("a_")).join(drawn.select("replicate", set_col, "times"), set_col)
@@ -187,10 +193,7 @@ def within_set_permutation_ap(df: DataFrame, set_col: str, id_col: str, replicat
     """
     w = Window.partitionBy(set_col)
     rows = df.select(set_col, id_col, F.col(y).alias("y_"), F.abs(score).alias("a_")).withColumn("i_", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
-    sets = rows.groupBy(set_col).agg(F.first("n_").alias("n_"))
-    pick = hash32(F.lit(str(seed)), F.col("replicate").cast("string"), F.col(set_col).cast("string")) % F.col("n_")
-    picks = sets.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(set_col, "replicate", pick.alias("i_"))
-    chosen = picks.join(rows.select(set_col, "i_", "a_"), [set_col, "i_"]).select("replicate", "a_")
+    chosen = _picks(rows, set_col, replicates, seed).join(rows.select(set_col, "i_", "a_"), [set_col, "i_"]).select("replicate", "a_")
     seen = rows.filter("y_ = 1").select(F.lit(-1).alias("replicate"), "a_")
     positives = chosen.unionByName(seen).groupBy("replicate", "a_").agg(F.count(F.lit(1)).cast("double").alias("p_"))
     # how many of all rows lie at or above each value: counted over the values in ranges

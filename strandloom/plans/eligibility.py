@@ -33,23 +33,23 @@ def one_to_one_targets(d: Derived) -> DataFrame:
     return checked.one_to_one(d.loci.select("part_key", "probe_id"), t, ["part_key"]).select("probe_id", "n")
 
 
-_HOLES = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS kind FROM events"
+_HOLES = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'infinity'::double ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS kind FROM events"
 
 
 @query(
-    f"""WITH t AS ({_HOLES}) SELECT 'value' AS "column", count(*) FILTER (value IS NULL) AS n_null, count(*) AS n_rows, count(*) FILTER (value IS NOT NULL AND kind IS NOT NULL) AS n_kept FROM t
-UNION ALL SELECT 'kind', count(*) FILTER (kind IS NULL), count(*), count(*) FILTER (value IS NOT NULL AND kind IS NOT NULL) FROM t"""
+    f"""WITH t AS ({_HOLES}) SELECT 'value' AS "column", count(*) FILTER (value IS NULL OR NOT isfinite(value)) AS n_null, count(*) AS n_rows, count(*) FILTER (isfinite(value) AND kind IS NOT NULL) AS n_kept FROM t
+UNION ALL SELECT 'kind', count(*) FILTER (kind IS NULL), count(*), count(*) FILTER (isfinite(value) AND kind IS NOT NULL) FROM t"""
 )
 def null_report(d: Derived) -> DataFrame:
     k = F.col("event_id")
-    t = d.table("events").select("event_id", F.when(k % 5 != 0, F.col("value")).alias("value"), F.when(k % 7 != 0, F.col("event_type")).alias("kind"))
+    t = d.table("events").select("event_id", F.when((k % 5 != 0) & (k % 11 == 0), float("inf")).when(k % 5 != 0, F.col("value")).alias("value"), F.when(k % 7 != 0, F.col("event_type")).alias("kind"))
     return checked.null_report(t, ["value", "kind"])
 
 
-@query(f"WITH t AS ({_HOLES}) SELECT event_id, value, kind FROM t WHERE value IS NOT NULL AND kind IS NOT NULL")
+@query(f"WITH t AS ({_HOLES}) SELECT event_id, value, kind FROM t WHERE isfinite(value) AND kind IS NOT NULL")
 def rows_without_nulls(d: Derived) -> DataFrame:
     k = F.col("event_id")
-    t = d.table("events").select("event_id", F.when(k % 5 != 0, F.col("value")).alias("value"), F.when(k % 7 != 0, F.col("event_type")).alias("kind"))
+    t = d.table("events").select("event_id", F.when((k % 5 != 0) & (k % 11 == 0), float("inf")).when(k % 5 != 0, F.col("value")).alias("value"), F.when(k % 7 != 0, F.col("event_type")).alias("kind"))
     return checked.without_nulls(t, ["value", "kind"])
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, cohort, intervals, matching, metrics, ml, ranks, resample
-from .derived import Derived, h, with_tables
+from ..operators import audit, checked, cohort, intervals, matching, metrics, ml, ranks, resample
+from .derived import Derived, h, h_sql, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -580,6 +580,16 @@ def selection_audit(d: Derived) -> DataFrame:
     return audit.selection_audit(saved, expected, "k", "o")
 
 
+@query(
+    with_tables("loci")
+    + """ SELECT split, count(*) AS n_rows, count(*) FILTER (p_partkey IS NULL) AS n_missing, count(*) FILTER (p_size > 25) AS n_masked FROM loci LEFT JOIN (SELECT * FROM part WHERE p_partkey % 13 <> 0) ON p_partkey = part_key GROUP BY 1"""
+)
+def masks_by_split(d: Derived) -> DataFrame:
+    """Loci of each split against a manifest that lacks some of them."""
+    manifest = d.table("part").filter("p_partkey % 13 <> 0").select(F.col("p_partkey").alias("part_key"), (F.col("p_size") > 25).alias("masked"))
+    return checked.masks_by_split(d.loci, manifest, "part_key", "masked")
+
+
 # Resampling --------------------------------------------------------------------
 
 REPLICATES = 50
@@ -867,6 +877,19 @@ def model_comparison(d: Derived) -> DataFrame:
     return rounded(t.agg(F.count(F.lit(1)).alias("n"), metrics.guarded_corr(F.col("ra"), F.col("rb")).alias("signed_rho"), metrics.guarded_corr(F.col("qa"), F.col("qb")).alias("absolute_rho"), metrics.concordance(F.col("a"), F.col("b"))[0].alias("sign_agreement"), F.avg(change).alias("mean_rank_change"), F.max(change).alias("max_rank_change")))
 
 
+@query(
+    with_tables("leads")
+    + f""", b AS (SELECT CASE WHEN dist <= 50 THEN '0-50' WHEN dist <= 100 THEN '51-100' WHEN dist <= 250 THEN '101-250' ELSE '251-500' END AS bin, effect, slope FROM (SELECT *, {h_sql("lead_id", "dist")} % 500 AS dist FROM leads)),
+k AS (SELECT *, """
+    + ", ".join(f"rank() OVER (PARTITION BY bin ORDER BY {v}) + (count(*) OVER (PARTITION BY bin, {v}) - 1) / 2.0::double AS {n}" for n, v in (("a", "effect"), ("b", "slope"), ("a2", "abs(effect)"), ("b2", "abs(slope)")))
+    + """ FROM b) SELECT bin, count(*) AS n, round(corr(a, b), 6) AS rho, round(corr(a2, b2), 6) AS rho_abs, round(avg(CASE WHEN sign(effect) = sign(slope) THEN 1.0::double ELSE 0 END), 6) AS concordance, round(avg(abs(effect)), 6) AS mean_abs,
+round(median(abs(effect)), 6) AS median_abs, round(avg(CASE WHEN effect > 0 THEN 1.0::double ELSE 0 END), 6) AS positive_fraction FROM k GROUP BY 1"""
+)
+def lead_response_by_distance(d: Derived) -> DataFrame:
+    """Predicted effects against observed slopes by the distance of variant and locus."""
+    return rounded(metrics.response(d.leads.withColumn("bin", S.distance_bin(h(F.col("lead_id"), "dist") % 500)), ["bin"], "effect", "slope"))
+
+
 @query(
     _CAND
     + """, b AS (SELECT CASE WHEN distance <= 12 THEN '0-12' WHEN distance <= 25 THEN '13-25' ELSE '26-50' END AS bin, cpg_effect, delta FROM cand) SELECT bin, cpg_effect, count(*) AS n, round(avg(abs(delta)), 6) AS mean_abs, round(median(abs(delta)), 6) AS median_abs, round(avg(CASE WHEN delta > 0 THEN 1.0::double ELSE 0 END), 6) AS positive_fraction FROM b GROUP BY 1, 2"""
