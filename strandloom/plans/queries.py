@@ -590,6 +590,31 @@ def masks_by_split(d: Derived) -> DataFrame:
     return checked.masks_by_split(d.loci, manifest, "part_key", "masked")
 
 
+_RECORDS = "r AS (SELECT c_custkey AS record_id, CASE WHEN c_custkey % 4 = 0 THEN 'http://example.org/' || c_custkey WHEN c_custkey % 4 = 1 THEN '  ' END AS url FROM customer), p AS (SELECT o_custkey AS record_id, string_agg(DISTINCT cast(o_orderkey AS varchar), ',' ORDER BY cast(o_orderkey AS varchar)) AS ids FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1), e AS (SELECT record_id, coalesce(ids, '') AS publication_ids, coalesce(trim(url) <> '', false) AS has_url FROM r LEFT JOIN p USING (record_id))"
+
+
+def _published(d: Derived) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    records = d.table("customer").select(k.alias("record_id"), F.when(k % 4 == 0, F.concat(F.lit("http://example.org/"), k)).when(k % 4 == 1, "  ").alias("url"))
+    return cohort.published(records, d.table("orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").cast("string").alias("publication_id")))
+
+
+@query(f"WITH {_RECORDS} SELECT record_id, publication_ids FROM e WHERE publication_ids <> '' OR has_url")
+def published_records(d: Derived) -> DataFrame:
+    return _published(d)[0].select("record_id", F.array_join("publication_ids", ",").alias("publication_ids"))
+
+
+@query(f"WITH {_RECORDS} SELECT CASE WHEN publication_ids <> '' THEN 'publication' WHEN has_url THEN 'url' ELSE 'none' END AS evidence, count(*) AS n FROM e GROUP BY 1")
+def published_evidence(d: Derived) -> DataFrame:
+    return _published(d)[1]
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (contains(lower(coalesce(text, '')), 'password') OR contains(lower(coalesce(text, '')), 'licen')) AS n_mentioning FROM documents GROUP BY 1")
+def term_mentions(d: Derived) -> DataFrame:
+    """Documents of each language that mention one of two terms."""
+    return d.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(S.mentions_any(F.col("text"), ["password", "licen"]), 1)).alias("n_mentioning"))
+
+
 # Resampling --------------------------------------------------------------------
 
 REPLICATES = 50
@@ -629,6 +654,12 @@ def stratum_bootstrap_gain(d: Derived) -> DataFrame:
     return rounded(intervals_of.join(g.groupBy("split").agg(F.avg("g").alias("gain")), "split"))
 
 
+@query("SELECT CASE stratum WHEN 'test' THEN 1 WHEN 'val' THEN 2 END AS place, stratum, -gain AS change, -high AS low, -low AS high FROM (SELECT split AS stratum, gain, low, high FROM (" + ORACLE_SQL["stratum_bootstrap_gain"] + ")) WHERE stratum IN ('test', 'val')")
+def gain_panel(d: Derived) -> DataFrame:
+    """The figure's rows: gains as changes of the error, in its order of strata."""
+    return metrics.gain_panel(stratum_bootstrap_gain(d).withColumnRenamed("split", "stratum"), ["test", "val"])
+
+
 _AUC_BLOCKS = ", y AS (SELECT chr AS block, pred AS score, CASE WHEN truth > 0.5 THEN 1 ELSE 0 END AS y FROM predictions WHERE model = 'fusion' AND seed = 42)"
 
 
