@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import audit, cohort, intervals, metrics
+from .settling import settle
 
 #: A locus is seen from so many bases before its first one to so many behind it.
 WIDE, NEAR = (-2499, 2501), (-49, 51)
@@ -53,10 +54,12 @@ def locus_table(loci: DataFrame, targets: DataFrame, signals: DataFrame, base_tr
     p = F.col("pos")
     seen = loci.withColumn("reason_", cohort.window_reason(F.lit(contig_length), p + WIDE[0], p + WIDE[1], F.col("dna_5000"))).filter("reason_ is null").drop("reason_")
     once = targets.groupBy("probe_id").agg(F.count(F.lit(1)).alias("n_"), *(F.first(c).alias(c) for c in ("beta", "m_value", "binary_state")))
-    joined = seen.join(audit.require(once, F.col("n_") == 1, "a locus has several targets").drop("n_"), "probe_id")
+    joined = settle(seen.join(audit.require(once, F.col("n_") == 1, "a locus has several targets").drop("n_"), "probe_id"))
     pair = pair_of(base_track)
-    valued = joined.join(signal_features(joined, signals, base_track, tracks), "probe_id")
-    filled = metrics.impute(valued, locus_features(base_track, tracks), F.col("split") == "train", [pair])
+    # the sequences are read once more: features and medians come from places alone
+    places = joined.select("probe_id", "chr", "pos", "split")
+    features = settle(signal_features(places, signals, base_track, tracks).join(places.select("probe_id", "split"), "probe_id"))
+    filled = metrics.impute(joined.join(features.drop("split"), "probe_id"), locus_features(base_track, tracks), F.col("split") == "train", [pair], features)
     return with_other_strand(filled.withColumn("dna_100", S.centered_crop(F.col("dna_5000"), 100)), ["dna_100"], pair)
 
 

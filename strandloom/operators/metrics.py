@@ -30,9 +30,9 @@ def fit_medians(df: DataFrame, features: list[str], fit: Column, pooled: list[tu
     return med.agg(*(F.coalesce(F.max(F.when(F.col("f") == names[f], F.col("v"))), F.lit(0.0)).alias(f) for f in features))
 
 
-def impute(df: DataFrame, features: list[str], fit: Column, pooled: list[tuple[str, ...]] = ()) -> DataFrame:
-    """df with 0/1 `_Missing` indicators and features filled by fit_medians."""
-    med = fit_medians(df, features, fit, pooled).select(*(F.col(f).alias(f"{f}_med_") for f in features))
+def impute(df: DataFrame, features: list[str], fit: Column, pooled: list[tuple[str, ...]] = (), of: DataFrame | None = None) -> DataFrame:
+    """df with 0/1 `_Missing` indicators and features filled by fit_medians, of df's rows or of those of another table."""
+    med = fit_medians(df if of is None else of, features, fit, pooled).select(*(F.col(f).alias(f"{f}_med_") for f in features))
     out = df.crossJoin(F.broadcast(med))  # one row
     return out.withColumns({f"{f}_Missing": F.col(f).isNull().cast("int") for f in features}).withColumns({f: F.coalesce(f, f"{f}_med_") for f in features}).drop(*(f"{f}_med_" for f in features))
 
