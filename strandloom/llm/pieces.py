@@ -25,8 +25,10 @@ from .common import text_or_empty
 
 #: Rows whose ids are Python numbers at a time.
 SLICE = 250
-#: Segments of up to LONG characters that a process remembers, twice; the search is fed so many characters at a time, and a text is cut into chunks.
-MEMO, LONG, CHUNK = 200_000, 64, 1 << 16
+#: Segments of up to LONG characters that a process remembers, twice; the search is fed FEED characters at a time, and a text is cut into chunks.
+MEMO, LONG, FEED, CHUNK = 200_000, 64, 256, 1 << 16
+#: Ends before a run of spaces.
+BORDER = re.compile(r"(?s)[^ ](?= )")
 
 
 def model_file() -> str:
@@ -78,21 +80,23 @@ class Pieces:
         Every `stride` positions the ids before the last boundary that all paths share are committed.
         """
         trie, longest, singles, unknown, stride = self.trie, self.longest, self.singles, self.unknown, 4 * self.longest
-        feed, text, ended = iter(chunks), "", False
-        score, back, arc = [0.0], [0], [-1]  # by position since the last commit; arc -1: a character in no piece
-        i = 0
+        feed, text, ended = iter(chunks), "", False  # text: what lies from i on
+        score, back, arc = [0.0], [0], [-1]  # by position; an arc below 0 is a character in no piece
+        heirs: list[int] = []  # how many searched positions come from each, and the sum of these
+        sums: list[int] = []
+        root = i = 0  # root: the last boundary before which all ids are committed
         while True:
-            while not ended and len(text) < i + stride + longest:
+            while not ended and len(text) < stride + longest:
                 more = next(feed, None)
                 ended, text = more is None, text + (more or "")
-            stop = min(i + stride, len(text) if ended else len(text) - longest)
-            if (n := min(stop + longest, len(text)) + 1 - len(score)) > 0:
+            step = min(stride, len(text) if ended else len(text) - longest)
+            if (n := i + min(step + longest, len(text)) + 1 - len(score)) > 0:
                 score += [-inf] * n
                 back += [0] * n
                 arc += [-1] * n
-            for i in range(i, stop):
+            for k, i in enumerate(range(i, i + step)):
                 children, j, here = trie, i, score[i]
-                for c in text[i : i + longest]:
+                for c in text[k : k + longest]:
                     node = children.get(c)
                     if node is None:
                         break
@@ -102,51 +106,63 @@ class Pieces:
                         s += here
                         if s > score[j]:
                             score[j], back[j], arc[j] = s, i, piece
-                if text[i] not in singles and here + unknown > score[i + 1]:
-                    score[i + 1], back[i + 1], arc[i + 1] = here + unknown, i, -1
-            i = stop
-            if ended and i == len(text):
-                yield self._path(i, back, arc, text)
+                if text[k] not in singles and here + unknown > score[i + 1]:
+                    score[i + 1], back[i + 1], arc[i + 1] = here + unknown, i, -1 - ord(text[k])
+            if ended and step == len(text):
+                yield self._path(root, len(score) - 1, back, arc)
                 return
-            if cut := self._meet(i, score, back):
-                yield self._path(cut, back, arc, text)
-                text, score, back, arc = text[cut:], score[cut:], [max(0, b - cut) for b in back[cut:]], arc[cut:]
-                i -= cut
-
-    @staticmethod
-    def _meet(i: int, score: list, back: list) -> int:
-        """The last boundary that the best paths to all open positions share."""
-        ends = {j for j in range(i, len(score)) if score[j] > -inf}
-        while len(ends) > 1:
-            j = max(ends)
-            ends.remove(j)
-            ends.add(back[j])
-        return min(ends.pop(), i)
-
-    def _path(self, end: int, back: list, arc: list, text: str) -> list[int]:
+            i, text = i + 1, text[step:]
+            cut = self._meet(root, i, step, score, back, heirs, sums)
+            if cut > root:
+                yield self._path(root, cut, back, arc)
+                root = cut
+            if root > 4096 and 2 * root > i:  # what is committed goes, at a cost below its own length
+                back, sums = [max(0, b - root) for b in back[root:]], [s - root * h for s, h in zip(sums[root:], heirs[root:])]
+                score, arc, heirs = score[root:], arc[root:], heirs[root:]
+                i, root = i - root, 0
+
+    def _meet(self, root: int, i: int, step: int, score: list, back: list, heirs: list, sums: list) -> int:
+        """The last boundary, from root on, that the best paths to all open positions (i and later) share.
+
+        The paths are a tree. Searched positions that lead to no open one leave it, each
+        once, so that a text costs time linear in its length even where paths never meet.
+        """
+        last = len(heirs)
+        heirs += [0] * (i - last)
+        sums += [0] * (i - last)
+        for p in range(max(last, root + 1), i):
+            heirs[back[p]] += 1
+            sums[back[p]] += p
+        ends = [j for j in range(i, len(score)) if score[j] > -inf]
+        if len(ends) == 1:
+            return ends[0]
+        held = {back[j] for j in ends}  # an arc is at most `longest` long, so a position that is released lies close
+        for p in range(i - 1, max(root, i - step - self.longest - 1), -1):
+            while heirs[p] == 0 and p not in held and p > root:
+                heirs[p] = -1  # has left
+                heirs[back[p]] -= 1
+                sums[back[p]] -= p
+                p = back[p]
+        while heirs[root] == 1 and root not in held:
+            root = sums[root]
+        return root
+
+    def _path(self, start: int, end: int, back: list, arc: list) -> list[int]:
         out: list[int] = []
-        while end:
-            start = back[end]
+        while end > start:
             if arc[end] >= 0:
                 out.append(arc[end])
             else:
-                out += [self.byte_ids[b] for b in reversed(text[start:end].encode())]
-            end = start
+                out += [self.byte_ids[b] for b in reversed(chr(-1 - arc[end]).encode())]
+            end = back[end]
         return out[::-1]
 
     def _chunks(self, text: str) -> Iterator[str]:
-        """Parts of about CHUNK characters of the text, which end before a run of spaces: no piece crosses that."""
+        """Parts of CHUNK characters of the text or more, which end before a run of spaces: no piece crosses that."""
         at = 0
         while at < len(text):
-            end = len(text)
-            if end - at > CHUNK and not self.inner:
-                cut = text.rfind(" ", at, at + CHUNK)
-                while cut > at and text[cut - 1] == " ":
-                    cut -= 1
-                if cut <= at:  # no run of spaces, but perhaps one at the start
-                    start = at + len(text[at : at + CHUNK]) - len(text[at : at + CHUNK].lstrip(" "))
-                    cut = text.find(" ", start)
-                end = cut if cut > at else end
+            border = None if self.inner else BORDER.search(text, at + CHUNK - 1)
+            end = border.end() if border else len(text)
             yield text[at:end]
             at = end
 
@@ -164,7 +180,7 @@ class Pieces:
                         memo = self.memo
                     ids = self.older.get(seg)
                     if ids is None:
-                        parts = [*self.stream((seg,) if len(seg) <= LONG else (seg[k : k + LONG] for k in range(0, len(seg), LONG)))]
+                        parts = [*self.stream((seg,) if len(seg) <= LONG else (seg[k : k + FEED] for k in range(0, len(seg), FEED)))]
                         ids = parts[0] if len(parts) == 1 else [*chain.from_iterable(parts)]
                     if len(seg) <= LONG:
                         memo[seg] = ids

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -48,6 +49,32 @@ def test_chunks_don_t_matter_and_the_window_stays_short(vocabulary):
         assert len(parts) > 5
 
 
+@pytest.mark.parametrize("letters", ["ab", "a ", " ", "the ingé\n", "aé"])
+def test_texts_whose_paths_meet_late_or_never(vocabulary, letters):
+    rng = random.Random(7)
+    for n in (1, 64, 70, 300, 1500):
+        text = "".join(rng.choices(letters, k=n))
+        want = slow(vocabulary, " " + text)
+        assert vocabulary.encode(text) == want
+        for size in (1, 64, 500):
+            assert [x for part in vocabulary.stream((" " + text)[k : k + size] for k in range(0, n + 1, size)) for x in part] == want
+
+
+@pytest.mark.parametrize("unit", [" ", "a", "eyJ", "\U0001f600"])
+def test_a_million_of_one_character_take_seconds(vocabulary, unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    ids = vocabulary.encode(text)
+    assert time.process_time() - began < 15  # a search that walks back over the open text takes hours
+    assert vocabulary.decode(ids) == text
+
+
+def test_a_run_of_spaces_beyond_a_chunk_is_searched_whole(vocabulary):
+    text = "x" + " " * (pieces.CHUNK + 70) + "y z"
+    assert vocabulary.encode(text) == [x for part in vocabulary.stream([" " + text]) for x in part]
+    assert ["".join(vocabulary._chunks(t)) for t in (text, " " * 200_000, "a" * 200_000)] == [text, " " * 200_000, "a" * 200_000]
+
+
 def test_edges(vocabulary):
     assert vocabulary.encode(None) == vocabulary.encode("") == [] and vocabulary.decode([]) == ""
     for text in (" ", "   ", "\n", "a" * 100_000, " x" * 50_000, "▁▁"):
