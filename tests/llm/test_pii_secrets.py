@@ -130,3 +130,16 @@ def test_a_second_version_scans_what_is_new(spark):
     rows = secret_scan.scan_documents(docs).collect()
     assert len(rows) == 4 and {r.n_scanned_again for r in rows} == {0}
     assert secret_scan.scan_documents(docs.limit(0)).count() == 0
+
+
+def test_jwt_is_the_plain_pattern_s_and_linear():
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    rules = tuple(r for r in secret_scan.RULES if r.kind == "jwt")
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choices(["eyJ", "a", ".", ".", " ", "x-", "eyJb.", "é"], k=rng.randint(1, 14)))
+        assert secret_scan.scan(text, rules) == [("jwt", *m.span()) for m in plain.finditer(text)], text
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, "eyJ" * 350_000 + ".eyJ", "a" * 1_000_000):
+        began = time.process_time()
+        assert secret_scan.scan(text, rules) == []
+        assert time.process_time() - began < 5
