@@ -53,7 +53,7 @@ def write_index(entries: list[Listed], folder: str, digest=digest64) -> list[str
         first.setdefault((e.key, e.kind), e)
     rows = sorted(first.values(), key=lambda e: (digest(e.key.encode()), e.key, e.kind))
     size = sum(len(_stored(e)) for e in rows)
-    return _write(((digest(e.key.encode()), e) for e in rows), len(rows), size, {_tail(e.key) for e in rows}, folder)
+    return _write(((digest(e.key.encode()), e) for e in rows), len(rows), size, {_tail(e.key) for e in rows}, max(map(_labels, (e.key for e in rows)), default=0), folder)
 
 
 def write_index_of(table: DataFrame, folder: str) -> list[str]:
@@ -65,11 +65,11 @@ def write_index_of(table: DataFrame, folder: str) -> list[str]:
     digest = F.xxhash64("key")
     rows = settle(once.withColumn("digest", digest).orderBy(digest.bitwiseXOR(F.lit(-(2**63))), "key", "kind"))
     slash = F.locate("/", "key")
-    sizes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("key") + F.octet_length("verdict") + F.octet_length("kind") + 2)).first()
+    sizes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("key") + F.octet_length("verdict") + F.octet_length("kind") + 2), F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\.")))).first()
     tails = rows.select(F.when(slash > 0, F.length("key") - slash + 1).otherwise(0).alias("n")).distinct().collect()  # as many as the longest path is long
     ordered = rows.orderBy(F.col("digest").bitwiseXOR(F.lit(-(2**63))), "key", "kind")
     stream = ((r.digest % 2**64, Listed(r.key, r.verdict, r.kind)) for r in ordered.toLocalIterator(prefetchPartitions=True))
-    return _write(stream, sizes[0], sizes[1] or 0, {r.n for r in tails}, folder)
+    return _write(stream, sizes[0], sizes[1] or 0, {r.n for r in tails}, sizes[2] or 0, folder)
 
 
 def _stored(e: Listed) -> bytes:
@@ -80,11 +80,15 @@ def _tail(key: str) -> int:
     return len(key) - key.find("/") if "/" in key else 0
 
 
-def _write(rows: Iterable[tuple[int, Listed]], n: int, size: int, tails: set[int], folder: str) -> list[str]:
-    files = {"digests": (np.uint64, n), "offsets": (np.int64, n + 1), "strings": (np.uint8, size), "lengths": (np.int64, len(tails))}
+def _labels(key: str) -> int:
+    return key.partition("/")[0].count(".") + 1
+
+
+def _write(rows: Iterable[tuple[int, Listed]], n: int, size: int, tails: set[int], labels: int, folder: str) -> list[str]:
+    files = {"digests": (np.uint64, n), "offsets": (np.int64, n + 1), "strings": (np.uint8, size), "lengths": (np.int64, len(tails)), "labels": (np.int64, 1)}
     paths = {name: os.path.join(folder, f"{name}.npy") for name in files}
     out = {name: np.lib.format.open_memmap(paths[name], "w+", kind, (m,)) if m else np.zeros(0, kind) for name, (kind, m) in files.items()}
-    out["lengths"][:] = sorted(tails)
+    out["lengths"][:], out["labels"][:] = sorted(tails), labels
     at = 0
     for i, (digest, e) in enumerate(rows):
         blob = _stored(e)
@@ -99,8 +103,8 @@ class Index:
     """The arrays, memory-mapped; `find` returns the entries of each key."""
 
     def __init__(self, paths: list[str], digest=digest64):
-        self.digests, self.offsets, self.strings, self.lengths = (np.load(p, mmap_mode="r" if os.path.getsize(p) > 128 else None) for p in paths)
-        self.digest = digest
+        self.digests, self.offsets, self.strings, self.lengths, labels = (np.load(p, mmap_mode="r" if os.path.getsize(p) > 128 else None) for p in paths)
+        self.labels, self.digest = int(labels[0]), digest
 
     def find(self, keys: list[str]) -> list[list[Listed]]:
         probes = np.fromiter((self.digest(k.encode()) for k in keys), np.uint64, len(keys))
@@ -114,9 +118,9 @@ class Index:
         return out
 
     def keys(self, host: str, path: str) -> list[str]:
-        """The keys that would fit: the host and each parent domain, with the path's prefixes of the listed lengths."""
+        """The keys that would fit: the host and each parent domain of no more labels than a listed one has, with the path's prefixes of the listed lengths."""
         tails = [path[:n] for n in self.lengths if n <= len(path)]
-        labels = host.split(".")
+        labels = host.rsplit(".", self.labels)[-self.labels :]
         return [".".join(labels[i:]) + t for i in range(len(labels)) for t in tails] if host else []
 
 

@@ -75,3 +75,12 @@ def test_index_of_a_table_is_that_of_the_list(spark):
     key = lambda rows: sorted(tuple(map(str, r)) for r in rows.collect())
     assert key(url_filter.filter_urls(pages, table)) == key(url_filter.filter_urls(pages)) and url_filter.filter_urls(pages).count() == len(urls)
     assert {r.verdict for r in url_filter.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
+
+
+def test_hosts_of_many_labels_cost_as_few_probes_as_any(tmp_path):
+    index = url_filter.Index(url_filter.write_index(url_filter.listed(), str(tmp_path)))
+    host = "a." * 100_000
+    assert len(index.keys(host + "example.org", "/es/x")) <= index.labels * len(index.lengths) and index.labels == 3
+    assert url_filter.judge(index, [host + "example.org", host + "spam-farm.example.net", host[:-1], "", "b.spam-farm.example.net"], ["/es/x", "/", "/", "/", ""]) == [("example.org/es/", "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "block")]
+    (tmp_path / "none").mkdir()
+    assert url_filter.judge(url_filter.Index(url_filter.write_index([], str(tmp_path / "none"))), [host], ["/"]) == [(None, "allow")]
