@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.settling import shared_dir
@@ -116,12 +116,53 @@ def sequence_records(d: Derived) -> DataFrame:
     return lines.select(F.concat(F.lit(">"), part[0]).alias("head"), part[1].alias("seq"))
 
 
-@query("SELECT 'present' AS status, count(*) AS n FROM (SELECT DISTINCT o_orderstatus FROM orders) UNION ALL SELECT 'required_missing', 1 UNION ALL SELECT 'optional_missing', 1")
+_CONTIGS = """, placed AS (SELECT part_key, 'ctg' || part_key // 50 AS contig, seq, 100 * (row_number() OVER (PARTITION BY part_key // 50 ORDER BY part_key) - 1) AS place FROM loci),
+contigs AS (SELECT contig, string_agg(seq, '' ORDER BY place) AS seq FROM placed GROUP BY 1)"""
+
+
+def _contigs(d: Derived) -> tuple[DataFrame, str]:
+    """(part_key, contig, at), and a folder of FASTA files of contigs: the sequences of 50 keys in a row."""
+    group = F.floor(F.col("part_key") / 50)
+    placed = d.loci.select("part_key", F.concat(F.lit("ctg"), group).alias("contig"), "seq", (100 * (F.row_number().over(Window.partitionBy(group).orderBy("part_key")) - 1)).cast("long").alias("at"))
+    path = scratch(d, "contigs")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.lower("seq").alias("s")))), lambda x: x["s"])
+    writers.indexed_fasta(placed.groupBy("contig").agg(F.array_join(parts, "").alias("seq")), path, "contig", "seq")
+    return placed.drop("seq"), path
+
+
+@query(
+    with_tables("loci")
+    + _CONTIGS
+    + """, c AS (SELECT contig AS chrom, seq, unnest(range(2, 7)) AS i FROM contigs) SELECT chrom, i AS chunk_id, i * 50 AS start, substr(seq, i * 50 + 1, 50) AS seq FROM c WHERE length(seq) > greatest(i * 50, 120)"""
+)
+def ranged_sequences(d: Derived) -> DataFrame:
+    """Of each contig only the chunks of 50 bases are read that touch the bases from 120 to 330."""
+    return readers.fasta(d.spark, _contigs(d)[1], 50, 5000, [(None, 120, 330)])
+
+
+@query(
+    with_tables("in_window")
+    + _CONTIGS
+    + """, w AS (SELECT variant_id, contig, place + 44 + "offset" AS low FROM in_window JOIN placed USING (part_key)) SELECT variant_id, contig AS chr, low, low + 11 AS high, CASE WHEN low >= 0 AND low + 11 <= length(seq) THEN substr(seq, low + 1, 11) END AS seq FROM w JOIN contigs USING (contig)"""
+)
+def sequence_around_variants(d: Derived) -> DataFrame:
+    """Five bases on both sides of each variant, from the chunks of an indexed FASTA; null where they leave the contig."""
+    placed, path = _contigs(d)
+    low = F.col("at") + 44 + F.col("offset")
+    wanted = d.in_window.join(placed, "part_key").select("variant_id", F.col("contig").alias("chr"), low.alias("low"), (low + 11).alias("high"))
+    return readers.genome_slices(readers.fasta(d.spark, path, 200, 5000), wanted, 200)
+
+
+@query(
+    """WITH f AS (SELECT o_orderstatus AS name, string_agg(cast(o_orderkey AS varchar), chr(10) ORDER BY o_orderkey) || chr(10) AS body FROM orders GROUP BY 1)
+SELECT name, true AS required, strlen(body) AS size, sha256(body) AS sha256, 'present' AS status FROM f
+UNION ALL SELECT 'lost', true, NULL, NULL, 'required_missing' UNION ALL SELECT 'spare', false, NULL, NULL, 'optional_missing'"""
+)
 def package_of_files(d: Derived) -> DataFrame:
-    """A file for each order status; the package asks for two more."""
+    """A file for each order status, its keys in order; the package asks for two more."""
     path = scratch(d, "package")
-    d.table("orders").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")).repartition("o_orderstatus").write.partitionBy("o_orderstatus").text(path)
+    d.table("orders").select("o_orderstatus", "o_orderkey", F.col("o_orderkey").cast("string").alias("value")).repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey").drop("o_orderkey").write.partitionBy("o_orderstatus").text(path)
     files = writers.file_manifest(d.spark, path).filter(F.col("size") > 0)
     per = files.select(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("path"), "size", "sha256")
     items = d.table("orders").select(F.col("o_orderstatus").alias("name")).distinct().withColumn("required", F.lit(True)).unionByName(d.spark.createDataFrame([("lost", True), ("spare", False)], "name string, required boolean"))
-    return writers.package_manifest(items, per).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return writers.package_manifest(items, per).select("name", "required", "size", "sha256", "status")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import scalars as S
 from ..operators.checked import unique
+from .storage import file_system, open_file
 
 
 def delimited(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, sep: str = "\t") -> DataFrame:
@@ -59,8 +63,20 @@ def first_attribute(key: str, default: str = "") -> Column:
     return F.coalesce(F.get(F.element_at("attributes", key), F.lit(0)), F.lit(default))
 
 
+def fasta(spark: SparkSession, path: str, chunk: int = 10_000, chunks: int = 100, regions: Iterable[tuple[str | None, int, int | None]] | None = None) -> DataFrame:
+    """(chrom, chunk_id, start, seq) of an indexed FASTA file, or of all `.fa` files of a folder with an index `.fai` each.
+
+    Of `regions` (contig or None for each, low, high or None for its end), only the bytes of chunks that lie in one in part
+    are read, each chunk once; without regions, all. They are asked for here and not by filters, as
+    Spark 4.1 keeps the filters that it pushed to a Python source for every later plan of the same DataFrame.
+    """
+    spark.dataSource.register(FastaSource)
+    asked = {} if regions is None else {"regions": json.dumps(list(regions))}
+    return spark.read.format("fasta_chunks").options(path=path, chunk=chunk, chunks=chunks, **asked).load()
+
+
 class FastaSource(DataSource):
-    """Format `fasta_chunks`: (chrom, chunk_id, start, seq), upper-cased, one partition for each `chunks` chunks of a contig in the .fai index. Options: path, chunk (bases in a row), chunks."""
+    """Format `fasta_chunks`: (chrom, chunk_id, start, seq), upper-cased, one partition for each `chunks` chunks asked for of a file. Options: path, chunk (bases in a row), chunks, regions (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,35 +86,90 @@ class FastaSource(DataSource):
         return "chrom string, chunk_id long, start long, seq string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _FastaReader(self.options["path"], int(self.options.get("chunk", 10_000)), int(self.options.get("chunks", 100)))
+        return _FastaReader(self.options["path"], int(self.options.get("chunk", 10_000)), int(self.options.get("chunks", 100)), json.loads(self.options.get("regions", "null")))
+
+
+class Contig(NamedTuple):
+    """A line of an index: `bases` of a line of `width` bytes."""
+
+    chrom: str
+    length: int
+    offset: int
+    bases: int
+    width: int
+
+    def byte(self, base: int) -> int:
+        return self.offset + base // self.bases * self.width + base % self.bases
+
 
+class _Ranges(InputPartition):
+    """Chunks [first, last) of contigs of one file."""
 
-class _Range(InputPartition):
-    def __init__(self, chrom, first, last, length, offset, bases, width):
-        self.chrom, self.first, self.last, self.length, self.offset, self.bases, self.width = chrom, first, last, length, offset, bases, width
+    def __init__(self, path: str, ranges: list[tuple[Contig, int, int]]):
+        self.path, self.ranges = path, ranges
 
 
 class _FastaReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int, chunks: int):
+    def __init__(self, path: str, chunk: int, chunks: int, regions: list | None):
         self.path, self.chunk, self.chunks = path, chunk, chunks
+        self.regions: dict[str | None, list] | None = None if regions is None else {}
+        for chrom, low, high in regions or ():
+            self.regions.setdefault(chrom, []).append((low, high))
+
+    def _spans(self, contig: Contig) -> Iterator[tuple[int, int]]:
+        """Ranges of the contig's chunks that are asked for, in order and apart."""
+        asked = [(0, None)] if self.regions is None else [*self.regions.get(None, []), *self.regions.get(contig.chrom, [])]
+        done = 0
+        for low, high in sorted((max(0, low), contig.length if high is None else min(high, contig.length)) for low, high in asked):
+            first, last = max(done, low // self.chunk), -(-high // self.chunk)
+            if low < high and first < last:
+                yield first, last
+                done = last
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        with open(self.path + ".fai") as index:
-            for line in index:
-                chrom, length, offset, bases, width = line.split("\t")[:5]
-                n = -(-int(length) // self.chunk)
-                out += [_Range(chrom, i, min(n, i + self.chunks), int(length), int(offset), int(bases), int(width)) for i in range(0, n, self.chunks)]
-        return out
-
-    def read(self, p: _Range) -> Iterator[tuple]:
-        at = lambda base: p.offset + base // p.bases * p.width + base % p.bases
-        with open(self.path, "rb") as f:
-            for i in range(p.first, p.last):
-                start, end = i * self.chunk, min(p.length, (i + 1) * self.chunk)
-                f.seek(at(start))
-                raw = f.read(at(end - 1) + 1 - at(start))
-                yield p.chrom, i, start, raw.replace(b"\n", b"").replace(b"\r", b"").decode().upper()
+        for path in fasta_files(self.path):
+            ranges: list[tuple[Contig, int, int]] = []
+            room = self.chunks
+            for contig in _index(path):
+                for at, end in self._spans(contig):
+                    while at < end:
+                        to = min(end, at + room)
+                        ranges.append((contig, at, to))
+                        room, at = room - (to - at), to
+                        if not room:
+                            out.append(_Ranges(path, ranges))
+                            ranges, room = [], self.chunks
+            if ranges:
+                out.append(_Ranges(path, ranges))
+        return out or [_Ranges(self.path, [])]
+
+    def read(self, p: _Ranges) -> Iterator[tuple]:
+        if not p.ranges:
+            return
+        with open_file(p.path) as f:
+            for contig, first, last in p.ranges:
+                for i in range(first, last):
+                    start, end = i * self.chunk, min(contig.length, (i + 1) * self.chunk)
+                    f.seek(contig.byte(start))
+                    raw = f.read(contig.byte(end - 1) + 1 - contig.byte(start))
+                    yield contig.chrom, i, start, raw.replace(b"\n", b"").replace(b"\r", b"").decode().upper()
+
+
+def fasta_files(path: str) -> list[str]:
+    """The file itself, or the `.fa` files of a folder."""
+    files, at = file_system(path)
+    if files.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(i.base_name for i in files.get_file_info(fs.FileSelector(at)) if i.base_name.endswith(".fa"))
+    return [f"{path.rstrip('/')}/{name}" for name in names]
+
+
+def _index(path: str) -> Iterator[Contig]:
+    with open_file(path + ".fai") as index:
+        for line in index.read().decode().splitlines():
+            chrom, *numbers = line.split("\t")[:5]
+            yield Contig(chrom, *map(int, numbers))
 
 
 def genome_slices(genome: DataFrame, wanted: DataFrame, chunk: int, low: str = "low", high: str = "high", key: str = "chr") -> DataFrame:

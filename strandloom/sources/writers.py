@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .storage import digest, file_system
 
 
 def csv(df: DataFrame, path: str) -> None:
@@ -36,9 +42,51 @@ def by_split(df: DataFrame, path: str, split: str = "split", chrom: str = "chr",
     df.withColumn("o_", order).repartitionByRange(split, "o_", pos).sortWithinPartitions(split, "o_", pos, tie).drop("o_").write.mode("overwrite").partitionBy(split).parquet(path)
 
 
+def indexed_fasta(df: DataFrame, path: str, id_col: str, seq: str, bases: int = 60) -> None:
+    """A folder of FASTA files, one for each partition of df that isn't empty, with an index `.fai` each; lines have `bases` bases. The folder must be new.
+
+    A task writes its files under names of its own and renames them when they are whole, so
+    a task that runs again replaces them by equal ones. Sequences are ASCII; a null one is empty.
+    """
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq")).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = file_system(path)
+        own = f"{folder}/.{uuid.uuid4().hex}"
+        name, at = None, 0
+        with files.open_output_stream(own + ".fa") as out, files.open_output_stream(own + ".fai") as index:
+            for b in batches:
+                for i, text, part in zip(b["id"], b["seq"], b["part"]):
+                    name = f"{folder}/part-{part:05d}.fa"
+                    head, raw = f">{i}\n".encode(), text.encode("ascii")
+                    lines = b"".join(raw[k : k + bases] + b"\n" for k in range(0, len(raw), bases))
+                    index.write(f"{i}\t{len(raw)}\t{at + len(head)}\t{bases}\t{bases + 1}\n".encode())
+                    out.write(head + lines)
+                    at += len(head) + len(lines)
+        if name is None:
+            files.delete_file(own + ".fa")
+            files.delete_file(own + ".fai")
+        else:
+            files.move(own + ".fai", name + ".fai")
+            files.move(own + ".fa", name)
+        yield from ()
+
+    files, folder = file_system(path)
+    files.create_dir(folder)
+    if files.get_file_info(fs.FileSelector(folder)):
+        raise ValueError(f"{path} isn't empty")
+    rows.mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) of all files below a path; a file must fit a row (2 GB)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of all files below a path, of any size: Spark lists them (but those of no bytes, as in any scan), and tasks stream them through the hash."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(sha256=[digest(p) for p in b["path"]])
+
+    return listed.mapInPandas(run, "path string, size long, sha256 string")
 
 
 def embed_records(manifest: DataFrame, records: DataFrame) -> DataFrame:

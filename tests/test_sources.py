@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -46,9 +47,8 @@ def test_fasta_round_trip_and_slices(spark, tmp_path):
         text, at = text + block, at + len(block)
     (tmp_path / "g.fa").write_text(text)
     (tmp_path / "g.fa.fai").write_text(index)
-    spark.dataSource.register(readers.FastaSource)
-    genome = spark.read.format("fasta_chunks").option("path", str(tmp_path / "g.fa")).option("chunk", "50").option("chunks", "2").load()
-    assert genome.rdd.getNumPartitions() == 4
+    genome = readers.fasta(spark, str(tmp_path / "g.fa"), 50, 2)
+    assert genome.rdd.getNumPartitions() == 3  # five chunks and one, in twos
     whole = {}
     for r in sorted(genome.collect(), key=lambda r: (r.chrom, r.chunk_id)):
         whole[r.chrom] = whole.get(r.chrom, "") + r.seq
@@ -58,6 +58,24 @@ def test_fasta_round_trip_and_slices(spark, tmp_path):
     assert got == {(c, a, z): (seqs[c].upper()[a:z] if a >= 0 and z <= len(seqs[c]) else None) for c, a, z in [("chr1", 0, 5), ("chr1", 45, 160), ("chr2", 10, 30), ("chr2", -1, 3), ("chr2", 3, 20)]}
 
 
+def test_fasta_regions_choose_the_ranges_that_are_read(spark, tmp_path):
+    seqs = {f"c{i}": "acgtn" * (i * 3) for i in range(7)}  # c0 is empty
+    df = spark.createDataFrame(list(seqs.items()), "name string, seq string").repartition(3, "name")
+    folder = str(tmp_path / "contigs")
+    writers.indexed_fasta(df, folder, "name", "seq", 7)
+    rows = [(c, i, 10 * i, s.upper()[10 * i : 10 * i + 10]) for c, s in seqs.items() for i in range(-(-len(s) // 10))]
+    for regions in (None, [], [("c3", 0, None)], [("c5", 11, 12), ("c6", 35, 51)], [("c5", 5, 31), ("c5", 8, 12), ("c5", 39, 40), ("c5", -4, 3)], [("c0", 0, None), ("none", 0, 9), ("c1", 15, 99), ("c1", 7, 7)], [("c6", 88, 1000)], [(None, 12, 25), ("c4", 50, 51)]):
+        hit = lambda c, i: regions is None or any(k in (None, c) and max(a, 10 * i) < min(len(seqs[c]) if z is None else z, 10 * i + 10, len(seqs[c])) for k, a, z in regions)  # noqa: B023, E731
+        assert sorted(map(tuple, readers.fasta(spark, folder, 10, 4, regions).collect())) == [r for r in rows if hit(*r[:2])], regions
+    assert readers.fasta(spark, folder, 10, 4, [("c3", 0, None)]).rdd.getNumPartitions() == 2 and readers.fasta(spark, folder, 10, 4, [("c6", 3, 33)]).rdd.getNumPartitions() == 1
+    genome = readers.fasta(spark, folder, 10, 4)  # filters of one plan don't reach another
+    assert genome.filter("chrom = 'c3'").union(genome.filter("chrom = 'c4'")).groupBy("chrom").count().count() == 2 and genome.count() == len(rows)
+    one = sorted((tmp_path / "contigs").glob("*.fa"))[0]
+    assert readers.fasta(spark, str(one), 10, 4).count() > 0
+    writers.indexed_fasta(df.limit(0), str(tmp_path / "none"), "name", "seq")
+    assert readers.fasta(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_variant_documents(spark, tmp_path):
     hits = [
         {"ssm_id": "s1", "genomic_dna_change": "chr1:g.5C>T", "chromosome": "chr1", "start_position": 5, "reference_allele": "C", "tumor_allele": "T", "occurrence": [{"case": {"case_id": "c2", "id": None, "submitter_id": "b"}}, {"case": {"case_id": None, "id": "c1", "submitter_id": "a"}}]},
@@ -113,6 +131,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
     (tmp_path / "m").mkdir()
     (tmp_path / "m/x.txt").write_text("abc")
+    (tmp_path / "n").mkdir()
+    big, odd = tmp_path / "n/a b%20.bin", tmp_path / "n/empty.gz"
+    big.write_bytes(bytes(range(251)) * 20_000)
+    odd.write_bytes(b"")
+    found = {r["path"].rpartition("/")[2]: (r["size"], r.sha256) for r in writers.file_manifest(spark, str(tmp_path / "n")).collect()}
+    assert found == {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in (big,)}
     files = writers.file_manifest(spark, str(tmp_path / "m"))
     row = files.first()
     assert (row["size"], row.sha256) == (3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")
