@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import audit
 from ..operators.settling import shared_dir
 from ..sources import readers, writers
 from .derived import Derived, with_tables
@@ -76,13 +77,7 @@ def spdi_records(d: Derived) -> DataFrame:
     return readers.spdi_variants(records, _accessions(d))
 
 
-@query(
-    with_tables("variants")
-    + """, s AS (SELECT CASE WHEN variant_id % 11 = 0 THEN 'unresolved' WHEN variant_id % 4 = 1 THEN CASE WHEN variant_id % 3 = 0 THEN 'ambiguous' ELSE 'one' END WHEN variant_id % 3 = 0 THEN 'resolved' ELSE 'one' END AS x, variant_id % 11 = 0 AS none, variant_id % 4 = 1 AS two, variant_id % 3 = 0 AS free FROM variants),
-r AS (SELECT CASE WHEN none THEN 'unresolved' WHEN NOT free THEN 'resolved' WHEN two THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN none THEN 1 WHEN two AND free THEN 2 ELSE 1 END AS n, NOT none AND two AND NOT free AS also FROM s)
-SELECT status, cast(sum(n) AS bigint) AS n FROM (SELECT status, n FROM r UNION ALL SELECT 'other_allele', 1 FROM r WHERE also) GROUP BY 1"""
-)
-def seed_placements(d: Derived) -> DataFrame:
+def _seeds(d: Derived) -> tuple[DataFrame, DataFrame]:
     """Seeds against placements: some have two alleles, some none, some expect one."""
     k = F.col("variant_id")
     third = F.translate("ref", "ACGT", "TTAC")
@@ -90,7 +85,22 @@ def seed_placements(d: Derived) -> DataFrame:
     alleles = F.when(k % 4 == 1, F.array(allele(F.col("ref")), allele(F.col("alt")), allele(third))).otherwise(F.array(allele(F.col("ref")), allele(F.col("alt"))))
     records = d.variants.filter("variant_id % 11 <> 0").select(k.alias("rsid"), F.array(F.struct(F.concat(F.lit("NC_"), F.substring("chr", 4, 2)).alias("seq_id"), F.lit(True).alias("is_ptlp"), F.lit(False).alias("refseq_chromosome"), alleles.alias("alleles"))).alias("placements"))
     seeds = d.variants.select(k.alias("rsid"), F.when(k % 3 != 0, F.col("alt")).alias("expected_alt"))
-    return readers.resolve_seeds(seeds, readers.placements(records, _accessions(d)))[1]
+    return readers.resolve_seeds(seeds, readers.placements(records, _accessions(d)))
+
+
+@query(
+    with_tables("variants")
+    + """, s AS (SELECT CASE WHEN variant_id % 11 = 0 THEN 'unresolved' WHEN variant_id % 4 = 1 THEN CASE WHEN variant_id % 3 = 0 THEN 'ambiguous' ELSE 'one' END WHEN variant_id % 3 = 0 THEN 'resolved' ELSE 'one' END AS x, variant_id % 11 = 0 AS none, variant_id % 4 = 1 AS two, variant_id % 3 = 0 AS free FROM variants),
+r AS (SELECT CASE WHEN none THEN 'unresolved' WHEN NOT free THEN 'resolved' WHEN two THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN none THEN 1 WHEN two AND free THEN 2 ELSE 1 END AS n, NOT none AND two AND NOT free AS also FROM s)
+SELECT status, cast(sum(n) AS bigint) AS n FROM (SELECT status, n FROM r UNION ALL SELECT 'other_allele', 1 FROM r WHERE also) GROUP BY 1"""
+)
+def seed_placements(d: Derived) -> DataFrame:
+    return _seeds(d)[1]
+
+
+@query(with_tables("variants") + " SELECT variant_id AS rsid, CASE WHEN variant_id % 3 <> 0 THEN alt END AS expected_alt, chr, pos1, ref, alt FROM variants WHERE variant_id % 11 <> 0 AND NOT (variant_id % 4 = 1 AND variant_id % 3 = 0)")
+def resolved_seeds(d: Derived) -> DataFrame:
+    return _seeds(d)[0]
 
 
 @query(with_tables("predictions") + " SELECT probe_id, seed, model, round(truth, 6) AS truth, round(pred, 6) AS pred FROM predictions WHERE seed IN (42, 43) AND model IN ('fusion', 'sequence')")
@@ -160,9 +170,65 @@ UNION ALL SELECT 'lost', true, NULL, NULL, 'required_missing' UNION ALL SELECT '
 )
 def package_of_files(d: Derived) -> DataFrame:
     """A file for each order status, its keys in order; the package asks for two more."""
+    items = d.table("orders").select(F.col("o_orderstatus").alias("name")).distinct().withColumn("required", F.lit(True)).unionByName(d.spark.createDataFrame([("lost", True), ("spare", False)], "name string, required boolean"))
+    return writers.package_manifest(items, _status_files(d)).select("name", "required", "size", "sha256", "status")
+
+
+def _status_files(d: Derived) -> DataFrame:
+    """The manifest (path, size, sha256) of a file for each order status; its path is the status."""
     path = scratch(d, "package")
     d.table("orders").select("o_orderstatus", "o_orderkey", F.col("o_orderkey").cast("string").alias("value")).repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey").drop("o_orderkey").write.partitionBy("o_orderstatus").text(path)
     files = writers.file_manifest(d.spark, path).filter(F.col("size") > 0)
-    per = files.select(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("path"), "size", "sha256")
-    items = d.table("orders").select(F.col("o_orderstatus").alias("name")).distinct().withColumn("required", F.lit(True)).unionByName(d.spark.createDataFrame([("lost", True), ("spare", False)], "name string, required boolean"))
-    return writers.package_manifest(items, per).select("name", "required", "size", "sha256", "status")
+    return files.select(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("path"), "size", "sha256")
+
+
+@query(
+    """WITH f AS (SELECT o_orderstatus AS path, string_agg(cast(o_orderkey AS varchar), chr(10) ORDER BY o_orderkey) || chr(10) AS body, '{"n":' || count(*) || ',"status":"' || o_orderstatus || '"}' AS record FROM orders GROUP BY 1)
+SELECT path, strlen(body) AS size, sha256(body) AS sha256, record, sha256(record) AS record_sha256 FROM f"""
+)
+def files_with_records(d: Derived) -> DataFrame:
+    """Manifest rows with a JSON record of each file, and the record's digest."""
+    counted = d.table("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    records = counted.select(F.col("o_orderstatus").alias("path"), F.to_json(F.struct("n", F.col("o_orderstatus").alias("status"))).alias("record"))
+    return writers.embed_records(_status_files(d), records).withColumn("record_sha256", F.sha2("record", 256))
+
+
+@query(with_tables("loci") + " SELECT probe_id, pos FROM loci")
+def renamed_columns(d: Derived) -> DataFrame:
+    """Three files that call the probe by three names."""
+    names, out = ("probeID", "IlmnID", "Name"), []
+    for i, name in enumerate(names):
+        path = scratch(d, f"{name}.csv")
+        writers.csv(d.loci.filter(F.col("part_key") % 3 == i).select(F.col("probe_id").alias(name), "pos"), path)
+        df = readers.delimited(d.spark, path, f"{name} string, pos long", None, ",")
+        out.append(df.select(readers.first_present(df, names).alias("probe_id"), "pos"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT 's' || s_suppkey AS sample FROM supplier")
+def selected_samples(d: Derived) -> DataFrame:
+    """Lists of up to 100 samples, a file each: as a JSON list, or in an object under one of four keys."""
+    path = scratch(d, "samples")
+    lists = d.table("supplier").groupBy(F.floor(F.col("s_suppkey") / 100).alias("list")).agg(F.collect_list(F.concat(F.lit("s"), "s_suppkey")).alias("x"))
+    text = F.to_json("x")
+    for i, key in enumerate(("samples", "selected_samples", "columns", "sample_columns")):
+        text = F.when(F.col("list") % 5 == i, F.to_json(F.struct(F.col("x").alias(key)))).otherwise(text)
+    lists.select("list", text.alias("value")).write.partitionBy("list").text(path)
+    return readers.sample_list(d.spark, path)
+
+
+@query("""SELECT 'region' AS "table", cast(5 AS bigint) AS wanted, count(*) AS n, count(*) = 5 AS ok FROM region UNION ALL SELECT 'nation', 25, count(*), count(*) = 25 FROM nation UNION ALL SELECT 'lineitem', 1, count(*), count(*) = 1 FROM lineitem""")
+def table_counts(d: Derived) -> DataFrame:
+    """Row counts that tables must have; the last one is wrong."""
+    wanted = {"region": 5, "nation": 25, "lineitem": 1}
+    return audit.count_contract({name: d.table(name) for name in wanted}, wanted)
+
+
+@query(with_tables("in_window") + """ SELECT variant_id, probe_id AS cpg_id, way FROM in_window, (VALUES ('flag'), ('keys')) w(way) WHERE "offset" NOT IN (0, 1)""")
+def variants_off_the_pair(d: Derived) -> DataFrame:
+    """Variants that don't change the locus's own pair: by a flag in several spellings, and without the flag by keys."""
+    k, pair = F.col("variant_id"), F.col("offset").isin(0, 1)
+    rows = d.in_window.select("variant_id", F.col("probe_id").alias("cpg_id"), F.when(pair, F.when(k % 2 == 0, "TRUE").otherwise("1")).when(k % 3 == 0, " False ").when(k % 3 == 1, "0").otherwise("no").alias("on_pair"), pair.alias("hit"))
+    by_flag = writers.filtered_derivative(rows, "on_pair").withColumn("way", F.lit("flag"))
+    by_keys = writers.filtered_derivative(rows.drop("on_pair"), "on_pair", rows.filter(~F.col("hit"))).withColumn("way", F.lit("keys"))
+    return by_flag.select("variant_id", "cpg_id", "way").unionByName(by_keys.select("variant_id", "cpg_id", "way"))
