@@ -70,9 +70,14 @@ def candidate_table(candidates: DataFrame, signals: DataFrame, base_track: str,
     """
     changed = candidates.withColumns({"mut": S.substitute(F.col("wt"), F.col("offset") + 49, F.col("alt")), "index": (F.col("offset") + 49).cast("int")})
     kept = changed.withColumn("reason_", cohort.candidate_reason()).filter("reason_ is null").drop("reason_")
+    return described(kept, signals, base_track, tracks, loci, ["wt", "mut"])
+
+
+def described(kept: DataFrame, signals: DataFrame, base_track: str, tracks: Sequence[str], loci: DataFrame, sequences: Sequence[str]) -> DataFrame:
+    """Candidates (probe_id, chr, pos, ref, alt, wt, mut, index) with their context, the features of the locus with 0/1 `_Missing` flags, filled as in candidate_table, and the other strand's view of `sequences`."""
     pair, names = pair_of(base_track), locus_features(base_track, tracks)
     valued = cohort.annotate_change(kept, index=F.col("index")).join(signal_features(kept, signals, base_track, tracks, "probe_id"), "probe_id")
     medians = metrics.fit_medians(loci, names, F.col("split") == "train", [pair]).select(*(F.col(f).alias(f"{f}_med_") for f in names))
     flagged = valued.crossJoin(F.broadcast(medians))  # one row
     filled = flagged.withColumns({f"{f}_Missing": F.col(f).isNull().cast("int") for f in names}).withColumns({f: F.coalesce(f, f"{f}_med_") for f in names}).drop(*medians.columns)
-    return with_other_strand(filled, ["wt", "mut"], pair)
+    return with_other_strand(filled, sequences, pair)

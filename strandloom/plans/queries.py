@@ -957,4 +957,4 @@ def screened_pool(d: Derived) -> DataFrame:
 FLAGSHIP = "locus_table"
 
 
-from . import backgrounds, eligibility, files, tables  # noqa: E402,F401  they register more queries
+from . import backgrounds, chains, eligibility, files, tables  # noqa: E402,F401  they register more queries
