@@ -32,7 +32,8 @@ def rule_totals(df: DataFrame, rules: list[Rule], id_col: str, examples: int = 5
     w = Window.partitionBy("i", "part_").orderBy("id")
     few = hits.withColumn("part_", F.pmod(F.hash("id"), F.lit(64))).withColumn("k_", F.row_number().over(w)).filter(F.col("k_") <= examples)  # of each of 64 parts, so no rule sorts in one task
     top = few.withColumn("k_", F.row_number().over(Window.partitionBy("i").orderBy("id"))).filter(F.col("k_") <= examples).groupBy("i").agg(F.array_sort(F.collect_list("id")).alias("examples"))
-    names = df.sparkSession.createDataFrame([(i, r.name, r.severity) for i, r in enumerate(rules)], "i int, rule string, severity string")
+    named = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity")) for i, r in enumerate(rules)))
+    names = df.sparkSession.range(1, numPartitions=1).select(F.inline(named))  # no Python worker for literals
     counts = hits.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     return names.join(counts, "i", "left").join(top, "i", "left").select("rule", "severity", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 

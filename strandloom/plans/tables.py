@@ -23,11 +23,16 @@ def _long(k: Column, tag: str) -> Column:
 
 
 def wide_loci(d: Derived) -> DataFrame:
-    """Loci with a sequence of 5,000 bases around the stored one; every seventh lies too near to the contig's start."""
+    """Loci with a sequence of 5,000 bases around the stored one; every seventh lies too near to the contig's start.
+
+    The rows are few bytes until they get their sequences, so a small file would be one task: they are dealt out before. Written once,
+    as filters on the sequence would otherwise make it anew, and in the tasks before the deal.
+    """
     k = F.col("part_key")
+    dealt = d.loci.repartition(4 * d.spark.sparkContext.defaultParallelism, "part_key")
     left, right = (_long(k, s) for s in _SIDES)
     near = F.when(k % 7 == 0, F.col("pos") % 5000).otherwise(F.col("pos"))
-    return d.loci.withColumn("pos", near).withColumn("dna_5000", F.concat(left, "seq", right)).drop("seq", "part_key")
+    return settle(dealt.withColumn("pos", near).withColumn("dna_5000", F.concat(left, "seq", right)).drop("seq", "part_key"))
 
 
 def _targets(d: Derived) -> DataFrame:
