@@ -23,7 +23,8 @@ def pair_of(track: str) -> tuple[str, str]:
 def signal_features(loci: DataFrame, signals: DataFrame, base_track: str, tracks: Sequence[str], id_col: str = "probe_id") -> DataFrame:
     """(id, features): means of the signals (track, chr, start, end, value) at the first and second base of each locus (id, chr, pos; 0-based) for `base_track`, over NEAR for `tracks`; null without a signal.
 
-    All windows of all tracks meet the signals in one join. Repeated ids have equal places.
+    All windows of all tracks meet the signals in one join. Repeated ids have equal places. A contig that a track
+    doesn't have is looked for with `chr` taken off or put before its name.
     """
     p = F.col("pos")
     first, second = pair_of(base_track)
@@ -31,7 +32,9 @@ def signal_features(loci: DataFrame, signals: DataFrame, base_track: str, tracks
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(t).alias("track"), a.alias("start"), z.alias("end")) for f, t, a, z in windows)))
     asked = loci.select(F.col(id_col).alias("id_"), "chr", "pos").distinct().select("id_", "chr", each.alias("w")).select("id_", "chr", "w.*")
     place = F.concat_ws("|", "chr", "track")
-    means = intervals.interval_mean(asked.select(F.struct("id_", "feature").alias("id"), place.alias("place"), "start", "end"), signals.withColumn("place", place), key="place", width=10_000)
+    placed = signals.withColumn("place", place)
+    named = intervals.named_as(asked.select(F.struct("id_", "feature").alias("id"), place.alias("place"), "start", "end"), placed, "place")
+    means = intervals.interval_mean(named, placed, key="place", width=10_000)
     return means.groupBy(F.col("id.id_").alias(id_col)).agg(*(F.max(F.when(F.col("id.feature") == f, F.col("mean"))).alias(f) for f, *_ in windows))
 
 

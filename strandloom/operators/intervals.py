@@ -93,6 +93,16 @@ def inside_merged(points: DataFrame, merged: DataFrame, flag: str, point: str =
     return points.join(hit, [key, point], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def named_as(df: DataFrame, known: DataFrame, key: str = "chr") -> DataFrame:
+    """df with `key` as `known` spells it: a name that is there stays; else `chr` is taken off or put before it, where that name is there; others (and nulls) stay."""
+    c = F.col(key)
+    other = F.when(c.startswith("chr"), c.substr(F.lit(4), F.length(c))).otherwise(F.concat(F.lit("chr"), c))
+    spelled = F.explode(F.array(F.struct(F.lit(0).alias("nth"), c.alias("name")), F.struct(F.lit(1).alias("nth"), other.alias("name")))).alias("o_")
+    names = df.select(key).distinct().select(c.alias("from_"), spelled)
+    best = names.join(known.select(c.alias("there_")).distinct(), F.col("o_.name") == F.col("there_")).groupBy("from_").agg(F.min("o_")["name"].alias("as_"))
+    return df.join(best, c == F.col("from_"), "left").withColumn(key, F.coalesce("as_", key)).drop("from_", "as_")
+
+
 def interval_mean(windows: DataFrame, track: DataFrame, start: str = "start", end: str = "end", value: str = "value", id_col: str = "id", key: str = "chr", width: int = 1000, contig_length: Column | None = None) -> DataFrame:
     """(id, mean): the mean over a half-open window's bases that intervals [start, end) cover, weighted by overlap; null if none.
 
