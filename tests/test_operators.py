@@ -287,3 +287,19 @@ def test_set_bootstrap_without_both_classes(spark):
 
     one = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.7)], "s int, y int, score double")
     assert {(r.auc, r.wins) for r in resample.set_bootstrap(one, "s", 3).collect()} == {(None, None)}
+
+
+def test_motif_scan_shuffles_nothing(spark):
+    rnd = random.Random(5)
+    rows = [(i, "".join(rnd.choices("ACGTN", k=rnd.randrange(12))), "".join(rnd.choices("ACGTN", k=rnd.randrange(12)))) for i in range(200)] + [(200, None, "ACG"), (201, "NNN", "ACG")]
+    score = {("x", o, b): 1.0 * rnd.randrange(-4, 5) for o in range(3) for b in "ACGT"} | {("y", 1, "G"): 2.0}
+
+    def best(s, m, width):
+        sums = [[score[m, o, s[at + o]] for o in range(width) if (m, o, s[at + o]) in score] for at in range(len(s or "") - width + 1)]
+        return max((sum(x) for x in sums if x), default=None)
+
+    motifs = spark.createDataFrame([(m, o, b, v) for (m, o, b), v in score.items()], "motif string, offset int, base string, score double")
+    got = cohort.motif_scan(spark.createDataFrame(rows, "id long, r string, a string"), motifs, "id", "r", "a", letters_at_once=50)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(i, m, x, y) for i, r, a in rows for m, w in (("x", 3), ("y", 2)) for x, y in [(best(r, m, w), best(a, m, w))] if x is not None and y is not None and abs(y - x) > 1}
+    assert {tuple(x)[:4] for x in got.collect()} == want and len(want) > 20
