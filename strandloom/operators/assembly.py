@@ -38,8 +38,8 @@ def signal_features(loci: DataFrame, signals: DataFrame, base_track: str, tracks
     return means.groupBy(F.col("id.id_").alias(id_col)).agg(*(F.max(F.when(F.col("id.feature") == f, F.col("mean"))).alias(f) for f, *_ in windows))
 
 
-def with_other_strand(df: DataFrame, sequences: Sequence[str], pair: tuple[str, str]) -> DataFrame:
-    """df with each sequence's reverse complement (`_RC`), and the pair's values and flags in the other order (`_RC`)."""
+def with_other_strand(df: DataFrame, sequences: Sequence[str], pair: tuple[str, str] | tuple[()] = ()) -> DataFrame:
+    """df with each sequence's reverse complement (`_RC`), and the pair's values and flags, if one is given, in the other order (`_RC`)."""
     swap = dict(zip(pair, reversed(pair)))
     return df.withColumns({f"{s}_RC": S.reverse_complement(F.col(s)) for s in sequences} | {f"{a}_RC{end}": F.col(f"{b}{end}") for a, b in swap.items() for end in ("", "_Missing")})
 

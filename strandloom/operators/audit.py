@@ -114,12 +114,13 @@ def candidate_table_rules(df: DataFrame, medians: DataFrame, pair: tuple[str, st
     """A table as assembly.candidate_table makes it, with places, both widths, a transcript and lists of identifiers as JSON; what the rules need, and all rules of a candidate file.
 
     Columns beyond the table's: offset_ (its offset), pos0, pos1, distance, index_5000, dna_5000, mut_5000 and their `_RC`,
-    transcript, gene, strand, ref_codon, alt_codon, annotations, record_ids, case_ids, submitter_ids, occurrence.
+    transcript, gene, strand, ref_codon, alt_codon, annotations, record_ids, case_ids, submitter_ids, occurrence. Where df has the
+    number of rows of its variant as n_same_, its sequences needn't be shuffled to count them.
     """
     c = F.col
     widths = {f"{s}{end}": n for n, both in ((5000, ("dna_5000", "mut_5000")), (100, ("wt", "mut"))) for end in ("", "_RC") for s in both}
     lists = {"n_annotations": "annotations", "n_records": "record_ids", "n_cases": "case_ids", "n_submitters": "submitter_ids"}
-    told = with_medians(with_uniqueness(df, "variant_id"), medians).withColumns({n: F.size(S.json_list(c(x))) for n, x in lists.items()}).withColumns({n: F.when(c(n) >= 0, c(n)) for n in lists})
+    told = with_medians(df if "n_same_" in df.columns else with_uniqueness(df, "variant_id"), medians).withColumns({n: F.size(S.json_list(c(x))) for n, x in lists.items()}).withColumns({n: F.when(c(n) >= 0, c(n)) for n in lists})
     at = c("index_5000").cast("int")
     near = at - 2450
 

@@ -3,7 +3,7 @@
 import math
 import random
 
-from strandloom.operators import intervals
+from strandloom.operators import audit, intervals, matching
 from strandloom.plans.derived import Derived
 
 
@@ -38,3 +38,10 @@ def test_loci_are_never_broadcast(spark, sf_dir):
     for df in (d.in_window, d.loci.select("probe_id", "chr").join(d.loci.select("probe_id", "split"), "probe_id")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_candidate_rules_shuffle_no_sequences(spark):
+    cols = ["annotations", "record_ids", "case_ids", "submitter_ids"]
+    df = spark.createDataFrame([(1, 1, *["[]"] * 4)], "variant_id long, n_same_ long, " + ", ".join(f"{c} string" for c in cols))
+    told, _ = audit.candidate_table_rules(df, spark.createDataFrame([(0.5,)], "a double"), ("a", "b"), ["c"])
+    assert "Window" not in told._jdf.queryExecution().optimizedPlan().toString()
