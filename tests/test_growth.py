@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from strandloom.operators import audit, intervals, matching
 from strandloom.plans.derived import Derived
 
@@ -45,3 +47,22 @@ def test_candidate_rules_shuffle_no_sequences(spark):
     df = spark.createDataFrame([(1, 1, *["[]"] * 4)], "variant_id long, n_same_ long, " + ", ".join(f"{c} string" for c in cols))
     told, _ = audit.candidate_table_rules(df, spark.createDataFrame([(0.5,)], "a double"), ("a", "b"), ["c"])
     assert "Window" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_targets_of_a_cell_share_one_copy_of_its_sample(spark):
+    import numpy as np
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(3), rnd.choice([rnd.gauss(0, 1), 0.5, -0.5])) for i in range(300)]
+    tier = (matching.Tier("t", ("kind",), 1),)
+    df = spark.createDataFrame([(u, "a", d, x) for u, d, x in rows], "uid long, kind string, distance long, delta double")
+    got = {r["uid"]: r for r in matching.sample_statistics(df, matching.choose_tiers(df, 20, tier), 40, tier).collect()}
+    hashes = {r["uid"]: r["h"] for r in df.select("uid", matching.hash32(F.lit("bucket"), F.col("uid").cast("string")).alias("h")).collect()}
+    for u, d, x in rows:
+        near = sorted((hashes[v], v, y) for v, e, y in rows if v != u and abs(d - e) <= 1)[:40]
+        y = np.array([n[2] for n in near])
+        less, tied = (np.abs(y) < abs(x)).sum(), (np.abs(y) == abs(x)).sum()
+        want = (len(y), y.mean(), np.median(y), y.std(ddof=1), 100 * (less + 0.5 * tied) / len(y), (1 + len(y) - less) / (len(y) + 1))
+        assert np.allclose(got[u][1:], want, atol=1e-12)
+    source = matching.sample_statistics(df, matching.choose_tiers(df, 20, tier), 40, tier)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in source and "lambda" not in source.split("Join")[0]  # samples meet blocks, not targets
