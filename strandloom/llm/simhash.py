@@ -11,7 +11,8 @@ other. A task returns a spanning forest of its links, not the pairs.
 
 `similar_documents` finds texts by the Jaccard similarity of their shingles. Such pairs
 differ in many bits, so wide fingerprints are compared where they agree in sampled
-bits, in as many samples as a bound of missed pairs asks for, and survivors are
+bits, in as many samples as a bound of missed pairs asks for. Members of a bucket are
+its pivots there, as only those have some texts near and others far; survivors are
 verified by their shingles.
 """
 
@@ -24,7 +25,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, text_or_empty, words_of
@@ -35,8 +36,9 @@ PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, 16, dtype=np.uint64)
 WIDE, BOUND = 4, 56
 #: Rows from which on a bucket is crowded; its texts get fingerprints of FINE words, which may differ in FINE_BOUND bits: 155 +- 12 at 0.8.
 CROWD, FINE, FINE_BOUND = 64, 16, 190
-#: Rows of a crowded bucket that a task compares with as many others.
-GROUP = 8192
+#: Rows of a crowded bucket, and bytes of their shingles' hashes, that a task compares with as many others; the rows that are its pivots.
+GROUP, GROUP_BYTES, PIVOT_ROWS = 8192, 1 << 23, 8
+CELL = ["t", "bucket", "i", "j"]
 _TIE = np.random.default_rng(20240301).integers(0, 2, 64 * FINE).astype(bool)
 _ODD = np.random.default_rng(20240302).integers(0, 2**63, (2, FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Wanted texts up to this number (4 MB of hashes) are looked up without shuffling the others.
@@ -295,59 +297,143 @@ def _neighbours(dealt: DataFrame) -> DataFrame:
     return dealt.drop("root").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long, d int").distinct()
 
 
+def _whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches, cut so that rows that agree in `by` come together."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = b.iloc[-1]
+        at = int(np.argmax((b[by] == last[by]).to_numpy().all(axis=1)))
+        if held and (at or (held[-1].iloc[-1][by] != last[by]).any()):
+            yield pd.concat([*held, b.iloc[:at]])
+            held = []
+        elif at:
+            yield b.iloc[:at]
+        held.append(b.iloc[at:])
+    if held:
+        yield pd.concat(held)
+
+
 def _across(dealt: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that isn't crowded, within BOUND, that have different roots."""
-    rest = dealt.join(crowded, ["t", "bucket"], "left_anti")
-    x, y = (rest.select("t", "bucket", *(F.col(c).alias(f"{c}_{side}") for c in dealt.columns[2:])) for side in "xy")
-    d = sum(F.bit_count(F.col(f"w{k}_x").bitwiseXOR(F.col(f"w{k}_y"))) for k in range(WIDE))
-    met = x.join(y, ["t", "bucket"]).filter((F.col("root_x") < F.col("root_y")) & (d <= BOUND))
-    return met.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+    """Pairs (a, b) of a bucket that isn't crowded, within BOUND, that have different roots.
 
+    A bucket's first rows are its pivots: a pair whose distances to one of them differ by over BOUND is discarded uncompared.
+    """
+    rest = dealt.join(crowded, ["t", "bucket"], "left_anti").repartition("t", "bucket").sortWithinPartitions("t", "bucket", "root")
 
-def _across_crowded(members: DataFrame, fine: DataFrame, masks: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of a crowded bucket (t, bucket, key, root) that have different roots, within both bounds in fine (key, words).
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _whole(batches, ["t", "bucket"]):
+            t, bucket, key, root = (part[c].to_numpy() for c in ("t", "bucket", "key", "root"))
+            w = part[[f"w{k}" for k in range(WIDE)]].to_numpy(np.int64).view(np.uint64)
+            first = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (bucket[1:] != bucket[:-1])) + 1])
+            size = np.diff(np.append(first, len(part)))
+            start, end = np.repeat(first, size), np.repeat(first + size, size)
+            c = [np.bitwise_count(w ^ w[np.minimum(start + k, end - 1)]).sum(axis=1, dtype=np.int16) for k in range(3)]
+            at = np.arange(len(part))
+            for step in range(1, int(size.max())):
+                at = at[at + step < end[at]]
+                i, j = at, at + step
+                keep = root[i] != root[j]
+                for x in c:
+                    keep &= np.abs(x[i] - x[j]) <= BOUND
+                i, j = i[keep], j[keep]
+                near = np.bitwise_count(w[i] ^ w[j]).sum(axis=1, dtype=np.int16) <= BOUND
+                x, y = key[i[near]], key[j[near]]
+                if len(x):
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    Only the first sample in which a pair agrees tells of it. A bucket is dealt into groups of about GROUP rows, and each two groups meet in a task.
+    return rest.mapInPandas(run, "a long, b long").distinct()
+
+
+def _met(w: np.ndarray, group: np.ndarray, label: np.ndarray, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of pairs of a cell of a crowded bucket that are within both bounds and differ in a bit of each of the masks; not those that have one label or, where the cell has two groups, one group.
+
+    Rows in even steps of the cell are its pivots: a pair whose distances to one of them differ by over FINE_BOUND is discarded uncompared. label may change between steps.
+    """
+    n = len(w)
+    two = bool((group != group[0]).any())
+    c = np.stack([np.bitwise_count(w ^ w[p]).sum(axis=1, dtype=np.int16) for p in np.unique(np.linspace(0, n - 1, PIVOT_ROWS).astype(int))])
+    for at in range(n - 1):
+        j = at + 1 + np.flatnonzero((label[at + 1 :] != label[at]) & (~two | (group[at + 1 :] != group[at])))
+        for x in c:
+            j = j[np.abs(x[j] - x[at]) <= FINE_BOUND]
+        j = j[np.bitwise_count(w[j, :WIDE] ^ w[at, :WIDE]).sum(axis=1, dtype=np.int16) <= BOUND]
+        j = j[np.bitwise_count(w[j] ^ w[at]).sum(axis=1, dtype=np.int16) <= FINE_BOUND]
+        if len(j) and len(masks):
+            j = j[((w[j, None, :WIDE] ^ w[at, :WIDE]) & masks).any(axis=2).all(axis=1)]
+        if len(j):
+            yield np.full(len(j), at), j
+
+
+def _celled(rows: DataFrame, size: Column) -> DataFrame:
+    """rows (t, bucket, key, root, ...) of crowded buckets with (own, i, j): a bucket is dealt into groups by the sum of size, and each two groups meet in a cell."""
+    sizes = rows.groupBy("t", "bucket").agg(F.greatest(F.ceil(F.sum(size)), F.lit(1)).cast("int").alias("n_"))
+    own = F.pmod(F.xxhash64("key"), F.col("n_")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("other")
+    dealt = rows.join(sizes, ["t", "bucket"]).select(*rows.columns, own.alias("own"), other)
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other").repartition(*CELL).sortWithinPartitions(*CELL, "root")
+
+
+def _partnered(members: DataFrame, fine: DataFrame, masks: np.ndarray) -> DataFrame:
+    """The rows of members (t, bucket, key, root) of crowded buckets that have a partner of another root within both bounds, with their fine words.
+
+    Only the first sample in which a pair agrees tells of it. A cell has at most about two groups of GROUP rows.
     """
-    sizes = members.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("key"), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    dealt = members.join(sizes, ["t", "bucket"]).join(fine, "key").select("t", "bucket", "key", "root", "words", own.alias("own"), other)
-    cells = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "root")
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for parts in _whole(batches, CELL):
+            for _, part in parts.groupby(CELL, sort=False):
+                w = np.frombuffer(b"".join(part["words"]), np.uint64).reshape(len(part), FINE)
+                has = np.zeros(len(part), bool)
+                for i, j in _met(w, part["own"].to_numpy(), part["root"].to_numpy(), masks[: part["t"].iloc[0]]):
+                    has[i[0]] = True
+                    has[j] = True
+                if has.any():
+                    yield part.loc[has, ["t", "bucket", "key", "root", "words"]]
+
+    cells = _celled(members.join(fine, "key"), F.lit(1 / GROUP))
+    return cells.mapInPandas(run, "t short, bucket long, key long, root long, words binary").dropDuplicates(["t", "bucket", "key"])
+
+
+def _forest_of_similar(rows: DataFrame, masks: np.ndarray, similarity: float) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the similar pairs of rows (_partnered, with hashes of the shingles), for each cell.
+
+    Pairs are verified where they meet, and none that the cell's edges already join is looked at, so a cell gives fewer rows than it
+    has, however many of its pairs are similar or nearly so. A cell holds the hashes of at most about two groups of GROUP_BYTES.
+    """
+
+    def edges(part: pd.DataFrame) -> pd.DataFrame:
         w = np.frombuffer(b"".join(part["words"]), np.uint64).reshape(len(part), FINE)
-        key, root, own = (part[c].to_numpy() for c in ("key", "root", "own"))
-        one_group = part["i"].iloc[0] == part["j"].iloc[0]
-        found = []
-        for at in range(0, len(part), 64):
-            rows = slice(at, at + 64)
-            meet = np.flatnonzero(root > root[at])  # rows are in the order of their roots
-            d = np.bitwise_count(w[rows, None, 0] ^ w[None, meet, 0]).astype(np.int16)
-            for k in range(1, FINE):
-                d += np.bitwise_count(w[rows, None, k] ^ w[None, meet, k])
-            i, j = np.nonzero((d <= FINE_BOUND) & (root[rows, None] < root[None, meet]) & (one_group | (own[rows, None] != own[None, meet])))
-            i, j = at + i, meet[j]
-            differ = w[i, :WIDE] ^ w[j, :WIDE]
-            keep = np.bitwise_count(differ).sum(axis=1) <= BOUND
-            for mask in masks[: part["t"].iloc[0]]:
-                keep &= (differ & mask).any(axis=1)
-            found.append(np.stack([key[i[keep]], key[j[keep]]], axis=1))
-        ends = np.concatenate(found)
-        return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+        size = part["hashes"].str.len().to_numpy() // 8
+        ends = np.cumsum(size)
+        distinct, ids = np.unique(np.frombuffer(b"".join(part["hashes"]), np.uint64), return_inverse=True)
+        mine = np.zeros(len(distinct), bool)
+        key = part["key"].to_numpy()
+        label = np.unique(part["root"].to_numpy(), return_inverse=True)[1]
+        a: list[int] = []
+        b: list[int] = []
+        for i, j in _met(w, part["own"].to_numpy(), label, masks[: part["t"].iloc[0]]):
+            x = i[0]
+            own = ids[ends[x] - size[x] : ends[x]]
+            mine[own] = True
+            shared = np.concatenate([[0], np.cumsum(mine[np.concatenate([ids[ends[y] - size[y] : ends[y]] for y in j])])])
+            mine[own] = False
+            upto = np.cumsum(size[j])
+            both = shared[upto] - shared[upto - size[j]]
+            for y in j[both >= similarity * (size[x] + size[j] - both)]:
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    a.append(min(key[x], key[y]))
+                    b.append(max(key[x], key[y]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            for _, part in b.groupby(["t", "bucket", "i", "j"], sort=False):
-                if held and tuple(held[0].iloc[0][["t", "bucket", "i", "j"]]) != tuple(part.iloc[0][["t", "bucket", "i", "j"]]):
-                    yield pairs(pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield pairs(pd.concat(held))
+        for parts in _whole(batches, CELL):
+            for _, part in parts.groupby(CELL, sort=False):
+                yield edges(part)
 
-    return cells.mapInPandas(run, "a long, b long")
+    return _celled(rows, F.greatest(F.length("hashes") / GROUP_BYTES, F.lit(1 / GROUP))).mapInPandas(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, missed: float = 1e-3) -> DataFrame:
@@ -358,7 +444,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets of equal size, meets in no bucket with a probability of `missed`, and has more than BOUND
     different bits with 3e-3 (at 0.8). First each text's nearest neighbour in the
     order of a bucket is tried; what that joins needs no more pairs, and of the rest all
-    pairs of a bucket are, those of crowded buckets by finer fingerprints. component_id is a group's smallest identifier, nulls last; it may
+    pairs of a bucket are that its pivots don't discard, those of crowded buckets by finer
+    fingerprints and in the task where they meet, which gives back a forest. component_id is a group's smallest identifier, nulls last; it may
     be of any type that has an order. Texts without words are alike. Repeated rows
     and null identifiers stay; an empty table gives an empty one; other columns are not read.
     """
@@ -425,12 +512,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = edges.unionByName(verified(crossing(near, roots)))
     roots = settle(components(edges))
     dealt = _dealt(rooted(once, roots), masks)
-    pairs = _across(dealt, crowded)
+    edges = edges.unionByName(verified(_across(dealt, crowded)))
     if not crowded.isEmpty():
-        members = settle(dealt.join(crowded, ["t", "bucket"]).select("t", "bucket", "key", "root"))
+        members = dealt.join(crowded, ["t", "bucket"]).select("t", "bucket", "key", "root")
+        several = members.groupBy("t", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("t", "bucket")
+        members = settle(members.join(several, ["t", "bucket"]))
         fine = settle(texts_of(members.select("key").distinct()).mapInPandas(fine_words, "key long, words binary"))
-        pairs = pairs.unionByName(_across_crowded(members, fine, masks)).distinct()
-    edges = edges.unionByName(verified(pairs))
+        partnered = settle(_partnered(members, fine, masks))
+        sets = texts_of(partnered.select("key").distinct()).mapInPandas(sets_of, "key long, hashes binary")
+        edges = edges.unionByName(settle(_forest_of_similar(partnered.join(sets, "key"), masks, similarity)))
     roots = settle(components(edges))
     placed = settle(rows.select(id_col, "text_hash").join(rooted(signed.select("text_hash", "key"), roots).drop("key"), "text_hash").select(id_col, "root"))
     least = placed.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"))).alias("least"))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from strandloom.llm import simhash
 from strandloom.llm.common import words_of
 
@@ -21,6 +22,15 @@ def groups(texts):
     return top
 
 
+def joined(n, edges):
+    """Smallest position that each of n positions reaches by edges."""
+    top = list(range(n))
+    for i, j in edges:
+        a, b = sorted((top[i], top[j]))
+        top = [a if t == b else t for t in top]
+    return top
+
+
 def near_texts():
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(900)]
@@ -49,3 +59,31 @@ def test_many_near_copies(spark):
     texts = [" ".join("x" if i == at else w for i, w in enumerate(words)) for at in rng.sample(range(400), 150)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {0}
+
+
+def test_a_crowded_bucket_gives_a_forest_and_not_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in range(300):  # most pairs have a similarity of 0.7 to 0.8
+        at = set(rng.sample(range(400), 6))
+        texts.append(" ".join(f"x{n}" if i in at else w for i, w in enumerate(base)))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    rows = [(0, 7, i, i, bytearray(simhash.wide_fingerprint(h, simhash.FINE).tobytes()), bytearray(h.tobytes())) for i, h in enumerate(sets)]
+    rows = spark.createDataFrame(rows, "t short, bucket long, key long, root long, words binary, hashes binary").cache()
+    partnered = simhash._partnered(rows.select("t", "bucket", "key", "root"), rows.select("key", "words"), simhash._masks(8, 2))
+    assert partnered.count() == len(texts)
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    w = np.array([simhash.wide_fingerprint(h, simhash.FINE) for h in sets])
+    apart = np.bitwise_count(w[:, None] ^ w[None])
+    near = (apart[:, :, : simhash.WIDE].sum(axis=2) <= simhash.BOUND) & (apart.sum(axis=2) <= simhash.FINE_BOUND)
+    links = [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1))) if alike(a, b)]
+    top = joined(len(texts), links)
+    for size in (1 << 23, 1 << 18):  # one cell, several cells
+        monkeypatch.setattr(simhash, "GROUP_BYTES", size)
+        edges = simhash._forest_of_similar(rows, simhash._masks(8, 2), 0.8)
+        found = [(r.a, r.b) for r in edges.collect()]
+        cells = max(1, -(-sum(h.nbytes for h in sets) // size))
+        assert 0 < len(found) < len(texts) * cells
+        assert set(found) <= set(links)
+        assert joined(len(texts), found) == top
