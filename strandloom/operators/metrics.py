@@ -145,17 +145,20 @@ def response(df: DataFrame, keys: list[str], predicted: str, observed: str) -> D
 
 
 def binomial_tails(df: DataFrame, k: str, n: str) -> DataFrame:
-    """df with p_greater = P(X >= k) and p_two_sided, X binomial (n, 1/2)."""
-    i = F.sequence(F.lit(0), F.col(n))
-    terms = F.aggregate(
-        i, F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("p")),
-        lambda s, j: F.struct((s["c"] + F.log((F.col(n) - j).cast("double")) - F.log((j + 1).cast("double"))).alias("c"), F.concat(s["p"], F.array(F.exp(s["c"] - F.col(n) * F.log(F.lit(2.0))))).alias("p")), lambda s: s["p"],
-    )
-    p = df.withColumn("p_", terms)
-    tail = F.aggregate(F.slice("p_", F.col(k) + 1, F.size("p_")), F.lit(0.0), lambda s, x: s + x)
-    own = F.element_at("p_", (F.col(k) + 1).cast("int"))
-    two = F.aggregate(F.filter("p_", lambda x: x <= own * (1 + 1e-7)), F.lit(0.0), lambda s, x: s + x)
-    return p.withColumns({"p_greater": F.least(tail, F.lit(1.0)), "p_two_sided": F.least(two, F.lit(1.0))}).drop("p_")
+    """df with p_greater = P(X >= k) and p_two_sided, X binomial (n, 1/2). The chances are added up as they are made, so a row costs time linear in n; a k outside 0 to n is an error."""
+    i, wide = F.sequence(F.lit(0), F.col(n)), F.log(F.lit(2.0)) * F.col(n)
+    step = lambda c, j: c + F.log((F.col(n) - j).cast("double")) - F.log((j + 1).cast("double"))
+    own = F.exp(F.aggregate(i, F.lit(0.0), lambda c, j: F.when(j < F.col(k), step(c, j)).otherwise(c)) - wide)
+    own = F.when((F.col(k) < 0) | (F.col(k) > F.col(n)), F.raise_error(F.lit(f"{k} is not between 0 and {n}")).cast("double")).otherwise(own)
+
+    def add(s: Column, j: Column) -> Column:
+        p = F.exp(s["c"] - wide)
+        return F.struct(step(s["c"], j).alias("c"), s["own"].alias("own"), (s["tail"] + F.when(j >= F.col(k), p).otherwise(0.0)).alias("tail"), (s["two"] + F.when(p <= s["own"] * (1 + 1e-7), p).otherwise(0.0)).alias("two"))
+
+    # the own chance starts with the sums, as a column it could be made again for each term
+    sums = F.aggregate(i, F.struct(F.lit(0.0).alias("c"), own.alias("own"), F.lit(0.0).alias("tail"), F.lit(0.0).alias("two")), add)
+    p = df.withColumn("p_", F.when(F.col(k).isNotNull(), sums))
+    return p.withColumns({"p_greater": F.least(F.col("p_.tail"), F.lit(1.0)), "p_two_sided": F.least(F.col("p_.two"), F.lit(1.0))}).drop("p_")
 
 
 def seed_summary(scores: DataFrame, uid: str = "uid", seed: str = "seed", delta: str = "delta", ks: tuple[int, ...] = (10, 20), all_seeds: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:

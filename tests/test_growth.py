@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import audit, intervals, matching
+from strandloom.operators import audit, intervals, matching, metrics
 from strandloom.plans.derived import Derived
 
 
@@ -66,3 +66,16 @@ def test_targets_of_a_cell_share_one_copy_of_its_sample(spark):
         assert np.allclose(got[u][1:], want, atol=1e-12)
     source = matching.sample_statistics(df, matching.choose_tiers(df, 20, tier), 40, tier)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in source and "lambda" not in source.split("Join")[0]  # samples meet blocks, not targets
+
+
+def test_binomial_tails_of_many_trials(spark):
+    """Linear in the trials: chances in an array that is copied for each of them take minutes here."""
+    n = 200_000
+    got = metrics.binomial_tails(spark.createDataFrame([(n // 2 + 100, n), (3, 3), (0, 0)], "k long, n long"), "k", "n").collect()
+    tail, term = 0, math.comb(n, n // 2 + 100)
+    for j in range(n // 2 + 100, n // 2 + 8000):
+        tail += term
+        term = term * (n - j) // (j + 1)
+    assert abs(got[0].p_greater - (tail >> (n - 64)) / 2**64) < 1e-6 and abs(got[0].p_two_sided - 2 * got[0].p_greater) < 1e-6
+    assert [(round(r.p_greater, 12), round(r.p_two_sided, 12)) for r in got[1:]] == [(0.125, 0.25), (1.0, 1.0)]
+    assert "concat(" not in metrics.binomial_tails(spark.range(1).selectExpr("id AS k", "id AS n"), "k", "n")._jdf.queryExecution().optimizedPlan().toString()
