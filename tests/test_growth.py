@@ -68,6 +68,19 @@ def test_targets_of_a_cell_share_one_copy_of_its_sample(spark):
     assert "collect_list" in source and "lambda" not in source.split("Join")[0]  # samples meet blocks, not targets
 
 
+def test_counts_of_intervals_without_pairs(spark):
+    rnd = random.Random(11)
+    iv = [(rnd.choice("ab"), s := rnd.randrange(-50, 900), s + rnd.randrange(-3, 300)) for _ in range(300)] + [(None, 1, 5), ("a", None, 5), ("a", 7, None)]
+    points = [(i, rnd.choice(["a", "b", "z", None]), rnd.choice([None, *range(-60, 1200, 7)])) for i in range(400)]
+    got = intervals.count_containing(spark.createDataFrame(points, "id long, chr string, pos long"), spark.createDataFrame(iv, "chr string, start long, end long"), "n", width=64)
+    want = {i: sum(k == c and None not in (k, s, e, p) and s <= p <= e for c, s, e in iv) for i, k, p in points}
+    assert {r.id: r.n for r in got.collect()} == want
+    one = spark.range(2000).selectExpr("id", "'a' AS chr", "5L AS pos", "0L AS start", "9L AS end")
+    assert intervals.count_containing(one, one, "n").filter("n = 2000").count() == 2000
+    joins = [x for x in intervals.count_containing(one, one, "n")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 2 and all("start" not in x and "end" not in x for x in joins)
+
+
 def test_binomial_tails_of_many_trials(spark):
     """Linear in the trials: chances in an array that is copied for each of them take minutes here."""
     n = 200_000
