@@ -268,14 +268,11 @@ def _dealt(once: DataFrame, masks: np.ndarray) -> DataFrame:
 
 
 def _neighbours(dealt: DataFrame) -> DataFrame:
-    """Pairs (a, b, d) next to each other in a bucket in the order of fingerprints, within BOUND; a crowded bucket may go through many tasks.
-
-    Rows with d = -1 name the crowded buckets: t, bucket.
-    """
+    """Pairs (a, b, d) next to each other in a bucket in the order of fingerprints, within BOUND; a crowded bucket may go through many tasks."""
     order = ["t", "bucket", "w0", "key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, length = None, 0
+        last = None
         for b in batches:
             if not len(b):
                 continue
@@ -287,12 +284,7 @@ def _neighbours(dealt: DataFrame) -> DataFrame:
             same = (t[1:] == t[:-1]) & (bucket[1:] == bucket[:-1])
             at = np.flatnonzero(same & (key[1:] != key[:-1]) & (d <= BOUND))
             x, y = key[at], key[at + 1]
-            first = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            run_length = np.diff(np.append(first, len(joined)))
-            run_length[0] += max(0, length - 1)
-            length = int(run_length[-1])
-            crowded = first[run_length >= CROWD]
-            yield pd.DataFrame({"a": np.concatenate([np.minimum(x, y), t[crowded]]), "b": np.concatenate([np.maximum(x, y), bucket[crowded]]), "d": np.concatenate([d[at], np.full(len(crowded), -1)]).astype(np.int32)})
+            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": d[at]})
 
     return dealt.drop("root").repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long, d int").distinct()
 
@@ -366,12 +358,18 @@ def _met(w: np.ndarray, group: np.ndarray, label: np.ndarray, masks: np.ndarray)
             yield np.full(len(j), at), j
 
 
+def _groups(size: Column) -> Column:
+    """n_: the groups of a bucket, by the sum of size."""
+    return F.greatest(F.ceil(F.sum(size)), F.lit(1)).cast("int").alias("n_")
+
+
 def _celled(rows: DataFrame, size: Column) -> DataFrame:
-    """rows (t, bucket, key, root, ...) of crowded buckets with (own, i, j): a bucket is dealt into groups by the sum of size, and each two groups meet in a cell."""
-    sizes = rows.groupBy("t", "bucket").agg(F.greatest(F.ceil(F.sum(size)), F.lit(1)).cast("int").alias("n_"))
+    """rows (t, bucket, key, root, ...) of crowded buckets with (own, i, j): a bucket is dealt into n_ groups, by the sum of size where rows don't have that column, and each two groups meet in a cell."""
+    if "n_" not in rows.columns:
+        rows = rows.join(rows.groupBy("t", "bucket").agg(_groups(size)), ["t", "bucket"])
     own = F.pmod(F.xxhash64("key"), F.col("n_")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("other")
-    dealt = rows.join(sizes, ["t", "bucket"]).select(*rows.columns, own.alias("own"), other)
+    dealt = rows.select(*rows.columns, own.alias("own"), other).drop("n_")
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other").repartition(*CELL).sortWithinPartitions(*CELL, "root")
 
 
@@ -392,8 +390,7 @@ def _partnered(members: DataFrame, fine: DataFrame, masks: np.ndarray) -> DataFr
                 if has.any():
                     yield part.loc[has, ["t", "bucket", "key", "root", "words"]]
 
-    cells = _celled(members.join(fine, "key"), F.lit(1 / GROUP))
-    return cells.mapInPandas(run, "t short, bucket long, key long, root long, words binary").dropDuplicates(["t", "bucket", "key"])
+    return _celled(members.join(fine, "key"), F.lit(1 / GROUP)).mapInPandas(run, "t short, bucket long, key long, root long, words binary").dropDuplicates(["t", "bucket", "key"])
 
 
 def _forest_of_similar(rows: DataFrame, masks: np.ndarray, similarity: float) -> DataFrame:
@@ -458,16 +455,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
             keys = np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), np.uint64, len(b)).view(np.int64)
             w = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(len(b), WIDE).view(np.int64)
-            yield pd.DataFrame({"text_hash": b["text_hash"], "key": keys} | {c: w[:, k] for k, c in enumerate(wide)})
+            yield pd.DataFrame({"text_hash": b["text_hash"], "set_": keys} | {c: w[:, k] for k, c in enumerate(wide)})
 
-    signed = settle(rows.select("text", "text_hash").mapInPandas(sign, "text_hash long, key long, " + ", ".join(f"{c} long" for c in wide)).dropDuplicates(["text_hash"]))
-    once = settle(signed.groupBy("key").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in wide)))
+    signed = settle(rows.select("text", "text_hash").mapInPandas(sign, "text_hash long, set_ long, " + ", ".join(f"{c} long" for c in wide)).dropDuplicates(["text_hash"]))
+    # texts of one set of shingles are one node, known by a text of theirs, so that its text is found without another join
+    once = settle(signed.groupBy("set_").agg(F.min("text_hash").alias("key"), *(F.first(c).alias(c) for c in wide)))
     masks = _masks(*sampling(once.count(), similarity, missed))
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text): a text of each of the keys."""
-        wanted = settle(keys.join(once.select("key", "text_hash"), "key"))
-        return rows.select("text", "text_hash").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "text_hash").dropDuplicates(["text_hash"]).select("key", "text")
+        wanted = settle(keys.select(F.col("key").alias("text_hash")))
+        return rows.select("text", "text_hash").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "text_hash").dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("key"), "text")
 
     def fine_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -504,24 +502,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return of.join(roots, F.col("key") == F.col("node"), "left").select(*of.columns, F.coalesce("root", "key").alias("root"))
 
     own = once.withColumn("root", F.col("key"))
-    found = settle(_neighbours(_dealt(own, masks)))
-    near, crowded = found.filter("d >= 0"), settle(found.filter("d < 0").select(F.col("a").cast("short").alias("t"), F.col("b").alias("bucket")).distinct())
+    near = settle(_neighbours(_dealt(own, masks)))
     best = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")).unionByName(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
     edges = verified(best.distinct())
     roots = settle(components(edges))
     edges = edges.unionByName(verified(crossing(near, roots)))
     roots = settle(components(edges))
     dealt = _dealt(rooted(once, roots), masks)
-    edges = edges.unionByName(verified(_across(dealt, crowded)))
-    if not crowded.isEmpty():
-        members = dealt.join(crowded, ["t", "bucket"]).select("t", "bucket", "key", "root")
-        several = members.groupBy("t", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("t", "bucket")
-        members = settle(members.join(several, ["t", "bucket"]))
+    of = dealt.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("rows_"), F.min("root").alias("low"), F.max("root").alias("high"), _groups(F.lit(1 / GROUP)))
+    crowded = settle(of.filter(F.col("rows_") >= CROWD))
+    edges = edges.unionByName(verified(_across(dealt, crowded.select("t", "bucket"))))
+    several = crowded.filter("low < high").select("t", "bucket", "n_")  # buckets of one root have no pair to try
+    if not several.isEmpty():
+        members = settle(dealt.join(several, ["t", "bucket"]).select("t", "bucket", "key", "root", "n_"))
         fine = settle(texts_of(members.select("key").distinct()).mapInPandas(fine_words, "key long, words binary"))
         partnered = settle(_partnered(members, fine, masks))
         sets = texts_of(partnered.select("key").distinct()).mapInPandas(sets_of, "key long, hashes binary")
         edges = edges.unionByName(settle(_forest_of_similar(partnered.join(sets, "key"), masks, similarity)))
     roots = settle(components(edges))
-    placed = settle(rows.select(id_col, "text_hash").join(rooted(signed.select("text_hash", "key"), roots).drop("key"), "text_hash").select(id_col, "root"))
+    placed = settle(rows.select(id_col, "text_hash").join(rooted(signed.select("text_hash", "set_").join(once.select("set_", "key"), "set_"), roots).drop("key", "set_"), "text_hash").select(id_col, "root"))
     least = placed.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"))).alias("least"))
     return placed.join(least, "root").select(id_col, F.col("least.id").alias("component_id"))

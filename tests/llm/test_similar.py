@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -87,3 +88,29 @@ def test_a_crowded_bucket_gives_a_forest_and_not_pairs(spark, monkeypatch):
         assert 0 < len(found) < len(texts) * cells
         assert set(found) <= set(links)
         assert joined(len(texts), found) == top
+
+
+def rows_of_joins(spark, on):
+    """Rows that all inner joins of the session on these fields have made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    total, runs = 0, store.executionsList()
+    for i in range(runs.size()):
+        id_ = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(id_), store.planGraph(id_).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and " Inner" in node.desc() and re.sub(r"#\d+L?", "", node.desc()).split(" ", 1)[1].startswith(f"{on}, {on}"):
+                metrics = node.metrics()
+                for m in (metrics.apply(k) for k in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_rows_of_crowded_buckets_of_one_root_are_not_joined(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(400)]
+    texts = [" ".join("x" if i == at else w for i, w in enumerate(words)) for at in rng.sample(range(400), 200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = rows_of_joins(spark, "[t, bucket]")
+    assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {0}
+    assert rows_of_joins(spark, "[t, bucket]") - before < len(texts)
