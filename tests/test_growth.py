@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandloom.operators import audit, intervals, matching, metrics
+from strandloom.plans import queries
 from strandloom.plans.derived import Derived
 
 
@@ -92,3 +93,9 @@ def test_binomial_tails_of_many_trials(spark):
     assert abs(got[0].p_greater - (tail >> (n - 64)) / 2**64) < 1e-6 and abs(got[0].p_two_sided - 2 * got[0].p_greater) < 1e-6
     assert [(round(r.p_greater, 12), round(r.p_two_sided, 12)) for r in got[1:]] == [(0.125, 0.25), (1.0, 1.0)]
     assert "concat(" not in metrics.binomial_tails(spark.range(1).selectExpr("id AS k", "id AS n"), "k", "n")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_screened_pairs_are_not_shuffled_by_variant(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries.ranks, "number_in", lambda rows, *_: rows)
+    plan = queries.QUERIES["literature_screen"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" in plan
