@@ -95,6 +95,15 @@ def test_binomial_tails_of_many_trials(spark):
     assert "concat(" not in metrics.binomial_tails(spark.range(1).selectExpr("id AS k", "id AS n"), "k", "n")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_of_leads_are_not_joined_again(spark):
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice("ab"), rnd.choice([0.1, 0.11, round(rnd.random() / 5, 4)]), 1, 0.5, "A", "G", "T>C", "transition") for i in range(200)]
+    df = spark.createDataFrame(rows, "lead_id long, chr string, maf double, distance long, beta double, ref string, alt string, sbs6 string, titv string")
+    got = matching.match_edges(df.filter("lead_id < 80"), df.filter("lead_id >= 80"), 0.01)
+    assert sorted((r.p, r.q) for r in got.collect()) == sorted((x[0], y[0]) for x in rows[:80] for y in rows[80:] if x[1] == y[1] and abs(x[2] - y[2]) <= 0.01)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_screened_pairs_are_not_shuffled_by_variant(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries.ranks, "number_in", lambda rows, *_: rows)
     plan = queries.QUERIES["literature_screen"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
