@@ -13,20 +13,38 @@ from strandloom.llm import exact_dedup, mixing, pieces, quality, simhash
 from strandloom.llm.common import settle
 
 
+#: Rows of a file have numbers below this.
+_FILE_ROWS = 1 << 40
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number of each row (row_): identifiers may repeat or be null, so verdicts are of rows.
 
-    It is a hash of the row's file and place there, so that a table in files needs no
-    copy; any other is settled first.
+    It is made of the number of the row's file, in the order of their names, and its place
+    there, so that a table in files needs no copy; any other is settled first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = settle(docs)
-    return docs.select(*docs.columns, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_"))
+    path = F.col("_metadata.file_path").alias("file_")
+    names = sorted(r.file_ for r in docs.select(path).distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "n_ long, file_ string")
+    rows = docs.select(*docs.columns, path, F.col("_metadata.row_index").alias("at_"))
+    # a row for each file, whose names the driver has
+    return rows.join(F.broadcast(files), "file_").select(*docs.columns, (F.col("n_") * _FILE_ROWS + F.col("at_") + 1).alias("row_"))
 
 
 def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The numbered rows whose number is in kept (row_), without it."""
-    return rows.join(kept.select("row_"), "row_", "left_semi").drop("row_")
+    """The numbered rows whose number is in kept (row_), without it.
+
+    Numbers kept are sent as bits, 32,768 to a bitmap, so a table of a hundred million rows sends 13 MB and no text is shuffled.
+    """
+    block, place = F.bitmap_bucket_number("row_"), F.bitmap_bit_position("row_")
+    tasks = 4 * kept.sparkSession.sparkContext.defaultParallelism
+    dealt = kept.select(block.alias("block_"), place.alias("place_")).repartition(tasks, "block_")
+    bits = dealt.groupBy("block_").agg(F.bitmap_construct_agg("place_").alias("bits_"))
+    byte = F.conv(F.hex(F.substring("bits_", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("block_", block).join(F.broadcast(bits), "block_")
+    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("block_", "bits_", "row_")
 
 
 def _ordered() -> F.Column:

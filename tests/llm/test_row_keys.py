@@ -34,3 +34,22 @@ def test_a_table_in_files_is_not_copied(spark, sf_dir):
     rows = corpus_pipeline._numbered(docs)
     assert sorted(rows.inputFiles()) == sorted(docs.inputFiles())
     assert rows.select("row_").distinct().count() == docs.count()
+
+
+def test_rows_are_picked_without_a_shuffle_of_texts(spark, tmp_path):
+    """All of 70,000 rows in two files, some of them once; rows at the borders of bitmaps are among them."""
+    spark.range(70_000).selectExpr("id doc_id", "cast(id as string) text").repartition(2).write.parquet(str(tmp_path / "docs"))
+    rows = corpus_pipeline._numbered(spark.read.parquet(str(tmp_path / "docs")))
+    assert rows.select("row_").distinct().count() == 70_000
+    near = "(row_ & 32767) in (0, 1, 2, 32766, 32767) or doc_id % 7 = 3"
+    kept = rows.filter(near)
+    got = corpus_pipeline._only(rows, kept.select("row_").union(kept.select("row_")))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in kept.collect())
+    assert corpus_pipeline._only(rows, rows.select("row_")).count() == 70_000 and corpus_pipeline._only(rows, rows.select("row_").limit(0)).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = corpus_pipeline._only(rows, kept)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
