@@ -54,16 +54,18 @@ def locus_table(loci: DataFrame, targets: DataFrame, signals: DataFrame, base_tr
     Features without a signal have the median of the train split; the two bases share
     one. More than one target of a locus is an error.
     """
-    p = F.col("pos")
+    p, made = F.col("pos"), ("beta", "m_value", "binary_state")
     seen = loci.withColumn("reason_", cohort.window_reason(F.lit(contig_length), p + WIDE[0], p + WIDE[1], F.col("dna_5000"))).filter("reason_ is null").drop("reason_")
-    once = targets.groupBy("probe_id").agg(F.count(F.lit(1)).alias("n_"), *(F.first(c).alias(c) for c in ("beta", "m_value", "binary_state")))
-    joined = settle(seen.join(audit.require(once, F.col("n_") == 1, "a locus has several targets").drop("n_"), "probe_id"))
-    pair = pair_of(base_track)
-    # the sequences are read once more: features and medians come from places alone
-    places = joined.select("probe_id", "chr", "pos", "split")
-    features = settle(signal_features(places, signals, base_track, tracks).join(places.select("probe_id", "split"), "probe_id"))
-    filled = metrics.impute(joined.join(features.drop("split"), "probe_id"), locus_features(base_track, tracks), F.col("split") == "train", [pair], features)
-    return with_other_strand(filled.withColumn("dna_100", S.centered_crop(F.col("dna_5000"), 100)), ["dna_100"], pair)
+    once = targets.groupBy("probe_id").agg(F.count(F.lit(1)).alias("n_"), *(F.first(c).alias(c) for c in made))
+    pair, names = pair_of(base_track), locus_features(base_track, tracks)
+    # targets, features and medians come from places alone; the sequences are moved once, to their values
+    places = settle(seen.select("probe_id", "chr", "pos", "split").join(audit.require(once, F.col("n_") == 1, "a locus has several targets").drop("n_"), "probe_id"))
+    features = settle(signal_features(places, signals, base_track, tracks))
+    filled = metrics.impute(features.join(places.select("probe_id", *made).distinct(), "probe_id"), names, F.col("split") == "train", [pair], features.join(places.select("probe_id", "split"), "probe_id"))
+    valued = with_other_strand(filled, [], pair)
+    cropped = with_other_strand(seen.withColumn("dna_100", S.centered_crop(F.col("dna_5000"), 100)), ["dna_100"])
+    # by hash, so that sequences aren't sorted
+    return cropped.join(valued.hint("shuffle_hash"), "probe_id").select(*loci.columns, *made, *names, *(f"{f}_Missing" for f in names), "dna_100", "dna_100_RC", *(f"{f}_RC{end}" for f in pair for end in ("", "_Missing")))
 
 
 def candidate_table(candidates: DataFrame, signals: DataFrame, base_track: str, tracks: Sequence[str], loci: DataFrame) -> DataFrame:
