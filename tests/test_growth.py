@@ -108,3 +108,13 @@ def test_screened_pairs_are_not_shuffled_by_variant(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries.ranks, "number_in", lambda rows, *_: rows)
     plan = queries.QUERIES["literature_screen"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" in plan
+
+
+def test_locus_rules_join_no_sequences(spark):
+    names = ["dna_5000", "dna_100", "dna_100_RC"]
+    df = spark.createDataFrame([("cg1", "train", "chr1", 5, *["ACGT"] * 3)], "probe_id string, split string, chr string, pos long, " + ", ".join(f"{n} string" for n in names))
+    told, rules = audit.locus_table_rules(df, spark.createDataFrame([(0.5,)], "a double"), ("a", "b"), ["c"])
+    assert not set(names) & set(told.columns)
+    by_name = {r.name: r.violated for r in rules}
+    row = told.select(*(by_name[n].alias(n) for n in ("length_dna_100", "alphabet_dna_100", "slice"))).first()
+    assert tuple(row) == (True, False, True)
