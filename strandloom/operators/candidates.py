@@ -11,21 +11,30 @@ from . import cohort, intervals
 from .settling import settle
 
 
-def unique_substitutions(rows: DataFrame) -> DataFrame:
-    """(variant_id, chr, pos1, ref, alt, n_cases): each change of one base into another once, with the number of its different cases (case_id). Other changes and rows with a null drop."""
+def unique_substitutions(rows: DataFrame, chunk: int | None = None, parts: int | None = None) -> DataFrame:
+    """(variant_id, chr, pos1, ref, alt, n_cases): each change of one base into another once, with the number of its different cases (case_id). Other changes and rows with a null drop.
+
+    With `chunk` and `parts` rows are dealt by (chr, chunk) alone, with the chunk's number as `chunk_id`: they are
+    shuffled once, and meet a genome in `parts` buckets of both where they are.
+    """
     c = F.col
     ok = rows.filter(c("chr").isNotNull() & c("pos1").isNotNull() & c("ref").isin(*S.BASES) & c("alt").isin(*S.BASES) & (c("ref") != c("alt")))
-    one = ok.groupBy("chr", "pos1", "ref", "alt").agg(F.countDistinct("case_id").alias("n_cases"))
+    keys = ["chr", "pos1", "ref", "alt"]
+    if chunk and parts:
+        ok = ok.select(*keys, "case_id", F.floor((c("pos1") - 1) / chunk).alias("chunk_id")).repartition(parts, "chr", "chunk_id")
+        keys = ["chr", "chunk_id", *keys[1:]]
+    one = ok.groupBy(*keys).agg(F.countDistinct("case_id").alias("n_cases"))
     return one.select(F.concat_ws("_", "chr", c("pos1").cast("string"), "ref", "alt").alias("variant_id"), *one.columns)
 
 
 def with_base(variants: DataFrame, genome: DataFrame, chunk: int, name: str = "base") -> DataFrame:
-    """variants (chr, pos1) with the genome's base in capitals, from chunk rows (chrom, chunk_id, start, seq); null off the contig. The sequence is cut where it is met, so it isn't shuffled with the variants."""
+    """variants (chr, pos1, and perhaps chunk_id, which is left out) with the genome's base in capitals, from chunk rows (chrom, chunk_id, start, seq); null off the contig. The sequence is cut where it is met, so it isn't shuffled with the variants."""
     chunks = genome.select(F.col("chrom").alias("k_"), F.col("chunk_id").alias("i_"), F.col("start").alias("s_"), F.col("seq").alias("q_"))
     at = F.col("pos1") - 1
-    met = variants.join(chunks, (F.col("chr") == F.col("k_")) & (F.floor(at / chunk) == F.col("i_")), "left")
+    number = F.col("chunk_id") if "chunk_id" in variants.columns else F.floor(at / chunk)
+    met = variants.join(chunks, (F.col("chr") == F.col("k_")) & (number == F.col("i_")), "left")
     base = F.upper(F.substring("q_", (at - F.col("s_") + 1).cast("int"), F.lit(1)))
-    return met.select(*variants.columns, F.when(base != "", base).alias(name))
+    return met.select(*(x for x in variants.columns if x != "chunk_id"), F.when(base != "", base).alias(name))
 
 
 def transcript_models(lines: DataFrame, genome: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -33,21 +42,26 @@ def transcript_models(lines: DataFrame, genome: DataFrame, chunk: int) -> tuple[
 
     Tags of all lines are united; of kinds and supports that differ the largest counts, a missing support is `NA`. Only
     protein-coding transcripts without `cds_start_NF` whose first segment has phase 0 (or none) have a model, and only
-    if all their segments lie on the contig. Repeated lines count once.
+    if all their segments lie on the contig; the segments may be of some that don't. Repeated lines count once.
+    Lines that are dealt by tx aren't shuffled.
     """
-    minus = F.col("strand") == "-"
-    seg = lines.select("tx", "chr", "start", "end", "strand", "phase", "kind", "support", "tags").withColumn("at_", F.when(minus, -F.col("start")).otherwise(F.col("start")))
+    c = F.col
+    at = F.when(c("strand") == "-", -c("start")).otherwise(c("start"))
+    seg = lines.select("tx", "chr", "start", "end", "strand", "phase", "kind", "support", "tags").withColumn("at_", at)
     tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags"))))
-    of = seg.groupBy("tx").agg(F.max("kind").alias("kind"), F.coalesce(F.max("support"), F.lit("NA")).alias("support"), tags.alias("tags"), F.min_by(F.coalesce("phase", F.lit(".")), "at_").alias("phase_"))
+    parts = F.collect_set(F.struct("chr", "start", "end", "strand", "at_"))
+    of = seg.groupBy("tx").agg(F.max("kind").alias("kind"), F.coalesce(F.max("support"), F.lit("NA")).alias("support"), tags.alias("tags"), F.min_by(F.coalesce("phase", F.lit(".")), "at_").alias("phase_"), parts.alias("parts_"))
     cut = F.exists("tags", lambda t: F.lower(t) == "cds_start_nf")
-    usable = of.filter((F.col("kind") == "protein_coding") & ~cut & F.col("phase_").isin("0", ".")).drop("phase_")
-    own = seg.select("tx", "chr", "start", "end", "strand", "at_", (F.col("end") - F.col("start") + 1).alias("len")).distinct().join(usable.select("tx"), "tx")
-    placed = settle(cohort.segment_offsets(own, ["tx"], ["at_"]))
-    read = genome_slices(genome, placed.select("*", (F.col("start") - 1).alias("low_"), F.col("end").alias("high_")), chunk, "low_", "high_")
+    usable = of.filter((c("kind") == "protein_coding") & ~cut & c("phase_").isin("0", ".")).drop("phase_")
+    length = F.aggregate("parts_", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["end"] - x["start"] + 1, F.lit(0)))
+    own = usable.select("tx", "kind", "support", "tags", length.alias("cds_length"), F.posexplode("parts_").alias("nth_", "p_")).filter("cds_length >= 3")
+    own = own.select("*", "p_.*").drop("p_").withColumn("len", c("end") - c("start") + 1)
+    placed = settle(cohort.segment_offsets(own, ["tx"], ["at_"]).drop("at_", "len"), "zstd")
+    read = genome_slices(genome, placed.select("tx", "chr", "start", "strand", (c("start") - 1).alias("low_"), c("end").alias("high_")), chunk, "low_", "high_")
     spliced = cohort.splice(read, "tx", "start", "seq", "strand")
-    total = placed.groupBy("tx").agg(F.sum("len").alias("cds_length"))
-    whole = settle(spliced.join(total, "tx").filter((F.length("cds") == F.col("cds_length")) & (F.col("cds_length") >= 3)).join(usable, "tx"))
-    return placed.drop("at_", "len").join(whole.select("tx"), "tx"), whole
+    told = placed.filter("nth_ = 0").select("tx", "cds_length", "kind", "support", "tags")
+    whole = spliced.join(told, "tx").filter(F.length("cds") == c("cds_length")).select("tx", "cds", "n_segments", "cds_length", "kind", "support", "tags")
+    return placed.select("tx", "chr", "start", "end", "strand", "before"), settle(whole, "zstd")
 
 
 def synonymous_choice(variants: DataFrame, segments: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -69,16 +83,20 @@ def traced(variants: DataFrame, lines: DataFrame, genome: DataFrame, chunk: int,
     """
     c = F.col
     middle = width // 2 - 1
-    based = settle(with_base(variants, genome, chunk))
+    based = settle(with_base(variants, genome, chunk), "zstd")
     valid = based.filter(c("base") == c("ref"))
-    chosen = settle(synonymous_choice(valid.select("variant_id", "chr", "pos1", "ref", "alt"), *transcript_models(lines, genome, chunk)))
-    points = valid.join(chosen.select("variant_id"), "variant_id").select("variant_id", "chr", (c("pos1") - 1).alias("v_"), "alt")
-    near = intervals.nearest(points, probes, point="v_").select("variant_id", "chr", "alt", c("near_id").alias("probe_id"), c("near_pos").alias("pos"), (c("v_") - c("near_pos")).alias("offset"))
+    chosen = synonymous_choice(valid.select("variant_id", "chr", "pos1", "ref", "alt"), *transcript_models(lines, genome, chunk))
+    read = settle(valid.join(chosen, "variant_id", "left"), "zstd")
+    points = read.filter("tx is not null").withColumn("v_", c("pos1") - 1)
+    near = intervals.nearest(points, probes, point="v_").withColumns({"probe_id": c("near_id"), "pos": c("near_pos"), "offset": c("v_") - c("near_pos")}).drop("v_", "near_id", "near_pos", "distance")
     near = settle(near.withColumns({"low_": c("pos") - middle, "high_": c("pos") - middle + width}))
-    inside = near.filter(F.abs("offset") <= middle).filter(~c("offset").isin(0, 1))
-    windows = genome_slices(genome, inside, chunk, "low_", "high_").withColumn("wt", F.upper("seq")).withColumn("index", (c("offset") + middle).cast("int"))
-    windows = windows.select("variant_id", "index", "wt", S.substitute(c("wt"), c("index"), c("alt")).alias("mut"))
-    found = chosen.join(near.select("variant_id", "probe_id", "pos", "offset"), "variant_id").join(windows, "variant_id", "left")
+    # rows that were lost go on as they are, so that only those with a window have sequences, which are where they were cut
+    has_window = F.coalesce((F.abs("offset") <= middle) & ~c("offset").isin(0, 1), F.lit(False))
+    windows = genome_slices(genome, near.filter(has_window), chunk, "low_", "high_").withColumn("wt", F.upper("seq")).withColumn("index", (c("offset") + middle).cast("int"))
+    windows = windows.drop("seq").withColumn("mut", S.substitute(c("wt"), c("index"), c("alt")))
+    found = windows
+    for lost in (near.filter(~has_window), read.filter("tx is null"), based.filter(~F.coalesce(c("base") == c("ref"), F.lit(False)))):
+        found = found.unionByName(lost, allowMissingColumns=True)
     centred = lambda s: F.substring(s, middle + 1, 2) == "CG"
     reason = cohort.first_reason(
         [
@@ -93,7 +111,8 @@ def traced(variants: DataFrame, lines: DataFrame, genome: DataFrame, chunk: int,
             ("rc_not_cg_centred", ~centred(S.reverse_complement(c("mut")))),
         ]
     )
-    return settle(based.join(found, "variant_id", "left").withColumn("reason", reason))
+    made = ("tx", "codon", "alt_codon", "amino", "n_transcripts", "transcripts", "probe_id", "pos", "offset", "index", "wt", "mut")
+    return found.select(*based.columns, *made, reason.alias("reason"))
 
 
 def candidate_id() -> Column:

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assembly, candidates
-from ..operators.settling import settle
+from ..operators.settling import settle, settle_in
 from .backgrounds import _AMINO
 from .derived import Derived, h, h_sql, with_tables
 from .queries import query, rounded
-from .tables import _RC, _WIDE, BASE_TRACK, TRACKS, _features_sql, _filled_sql, _medians_sql, wide_loci
+from .tables import _RC, _WIDE, BASE_TRACK, TRACKS, _features_sql, _filled_sql, _medians_sql, wide_sequence
 
 CHUNK = 5000
 _TAGS = ("MANE_Select", "Ensembl_canonical", "appris_principal_1", "basic", "CCDS", "cds_start_NF")
 
 
-def _genome(d: Derived) -> DataFrame:
-    """The 5,000 bases of each locus, one behind the other on its chromosome."""
-    k = d.loci.select("probe_id", F.floor(F.col("part_key") / 22).alias("chunk_id"))
-    return wide_loci(d).join(k, "probe_id").select(F.col("chr").alias("chrom"), "chunk_id", (F.col("chunk_id") * CHUNK).alias("start"), F.col("dna_5000").alias("seq"))
+def _parts(d: Derived) -> int:
+    """Buckets of the genome: 8,192 chunks (41 MB) to one where it is large."""
+    return max(4 * d.spark.sparkContext.defaultParallelism, d.table("part").count() // 8192)
+
+
+def _genome(d: Derived, parts: int) -> DataFrame:
+    """The 5,000 bases of each locus, one behind the other on its chromosome. Written once, where they are made, in buckets of (chrom, chunk_id)."""
+    k = d.loci.select(F.col("chr").alias("chrom"), F.floor(F.col("part_key") / 22).alias("chunk_id"), "part_key", "seq").repartition(parts, "chrom", "chunk_id")
+    return settle_in(k.select("chrom", "chunk_id", (F.col("chunk_id") * CHUNK).alias("start"), wide_sequence().alias("seq")), parts, "chrom", "chunk_id")
 
 
 def _probes(d: Derived) -> DataFrame:
@@ -31,7 +36,7 @@ def _probes(d: Derived) -> DataFrame:
 def _with_length(d: Derived, df: DataFrame, key: str) -> DataFrame:
     """df with chr and the contig's length `size_`, by a key."""
     sizes = d.loci.groupBy("chr").agg((F.count(F.lit(1)) * CHUNK).alias("size_"))
-    return df.withColumn("chr", F.concat(F.lit("chr"), 1 + F.col(key) % 22)).join(sizes, "chr")
+    return df.withColumn("chr", F.concat(F.lit("chr"), 1 + F.col(key) % 22)).join(F.broadcast(sizes), "chr")  # a row for each of 22
 
 
 def _raw(d: Derived) -> DataFrame:
@@ -46,7 +51,8 @@ def _raw(d: Derived) -> DataFrame:
 def _lines(d: Derived) -> DataFrame:
     """Line items as coding segments of their order, 90 bases apart."""
     c = F.col
-    of = d.table("lineitem").groupBy(c("l_orderkey").alias("tx"), c("l_linenumber").alias("nth")).agg(F.max("l_quantity").cast("long").alias("n"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    dealt = d.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey").repartition("l_orderkey")
+    of = dealt.groupBy(c("l_orderkey").alias("tx"), c("l_linenumber").alias("nth")).agg(F.max("l_quantity").cast("long").alias("n"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     start = h(c("tx"), "tx") % c("size_") + 90 * (c("nth") - 1) + 1
     tag = F.when(c("p") % 24 == 0, _TAGS[5]).otherwise(F.array(*map(F.lit, _TAGS[:5]))[(c("p") % 5).cast("int")])
     return _with_length(d, of, "tx").select(
@@ -56,7 +62,8 @@ def _lines(d: Derived) -> DataFrame:
 
 
 def _traced(d: Derived) -> DataFrame:
-    return candidates.traced(candidates.unique_substitutions(_raw(d)), _lines(d), settle(_genome(d)), CHUNK, _probes(d))
+    parts = _parts(d)
+    return candidates.traced(candidates.unique_substitutions(_raw(d), CHUNK, parts), _lines(d), _genome(d, parts), CHUNK, _probes(d))
 
 
 _CHAIN = (

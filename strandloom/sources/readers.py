@@ -173,14 +173,24 @@ def _index(path: str) -> Iterator[Contig]:
 
 
 def genome_slices(genome: DataFrame, wanted: DataFrame, chunk: int, low: str = "low", high: str = "high", key: str = "chr") -> DataFrame:
-    """wanted with `seq` of [low, high), from chunk rows: the few chunks that a slice touches are joined by number and cut. Null beyond the contig."""
-    ids = F.explode(F.sequence(F.floor(F.col("a_") / chunk), F.floor((F.col("z_") - 1) / chunk))).alias("chunk_id")
-    asked = wanted.select(F.col(key).alias("k_"), F.col(low).alias("a_"), F.col(high).alias("z_")).distinct().filter("z_ > a_ and a_ >= 0")
-    hit = asked.select("*", ids).join(genome.select(F.col("chrom").alias("k_"), "chunk_id", "start", "seq"), ["k_", "chunk_id"])
-    part = F.substring("seq", (F.greatest(F.col("a_"), F.col("start")) - F.col("start") + 1).cast("int"), (F.least(F.col("z_"), F.col("start") + chunk) - F.greatest(F.col("a_"), F.col("start"))).cast("int"))
+    """wanted with `seq` of [low, high), from chunk rows: the few chunks that a slice touches are joined by number and cut. Null beyond the contig.
+
+    A slice of one chunk is cut where it meets it, so only pieces of the others are shuffled; nor is a genome in buckets of (chrom, chunk_id).
+    """
+    c = F.col
+    first, last = F.floor(c(low) / chunk), F.floor((c(high) - 1) / chunk)
+    alone = F.coalesce((c(high) > c(low)) & (c(low) >= 0) & (first == last), F.lit(False))
+    chunks = genome.select(c("chrom").alias("k_"), c("chunk_id").alias("i_"), c("start").alias("s_"), c("seq").alias("q_"))
+    cut = F.substring("q_", (c(low) - c("s_") + 1).cast("int"), (c(high) - c(low)).cast("int"))
+    one = wanted.filter(alone).join(chunks, (c(key) == c("k_")) & (first == c("i_")), "left").select(*wanted.columns, F.when(F.length(cut) == c(high) - c(low), cut).alias("seq"))
+    rest = wanted.filter(~alone)
+    ids = F.explode(F.sequence(F.floor(c("a_") / chunk), F.floor((c("z_") - 1) / chunk))).alias("chunk_id")
+    asked = rest.select(c(key).alias("k_"), c(low).alias("a_"), c(high).alias("z_")).distinct().filter("z_ > a_ and a_ >= 0")
+    hit = asked.select("*", ids).join(genome.select(c("chrom").alias("k_"), "chunk_id", "start", "seq"), ["k_", "chunk_id"])
+    part = F.substring("seq", (F.greatest(c("a_"), c("start")) - c("start") + 1).cast("int"), (F.least(c("z_"), c("start") + chunk) - F.greatest(c("a_"), c("start"))).cast("int"))
     whole = hit.groupBy("k_", "a_", "z_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", part.alias("s")))), lambda x: x["s"]), "").alias("seq"))
-    whole = whole.withColumn("seq", F.when(F.length("seq") == F.col("z_") - F.col("a_"), F.col("seq")))
-    return wanted.join(whole, (F.col(key) == F.col("k_")) & (F.col(low) == F.col("a_")) & (F.col(high) == F.col("z_")), "left").drop("k_", "a_", "z_")
+    whole = whole.withColumn("seq", F.when(F.length("seq") == c("z_") - c("a_"), c("seq")))
+    return one.unionByName(rest.join(whole, (c(key) == c("k_")) & (c(low) == c("a_")) & (c(high) == c("z_")), "left").drop("k_", "a_", "z_"))
 
 
 def variant_hits(hits: DataFrame) -> DataFrame:

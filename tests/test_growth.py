@@ -5,9 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import audit, intervals, matching, metrics
-from strandloom.plans import queries
+from strandloom.operators import audit, candidates, intervals, matching, metrics
+from strandloom.plans import chains, queries
 from strandloom.plans.derived import Derived
+from strandloom.sources import readers
 
 
 def test_interval_means_without_pairs(spark):
@@ -141,3 +142,34 @@ def test_wide_sequences_are_not_translated_by_expressions(spark):
     one = spark.createDataFrame([(1, 1, *["[]"] * 4)], "variant_id long, n_same_ long, " + ", ".join(f"{c} string" for c in cols))
     rules = audit.candidate_table_rules(one, spark.createDataFrame([(0.5,)], "a double"), ("a", "b"), ["c"])[1]
     assert not [r.name for r in rules if "5000" in r.name and "index" not in r.name and "_faults" not in str(r.violated) and "run(" not in str(r.violated)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_genome_in_buckets_is_not_shuffled(spark, sf_dir):
+    """Variants come to it in the one shuffle that counts their cases, slices in one."""
+    d = Derived(spark, sf_dir)
+    genome, raw = chains._genome(d, 8), chains._raw(d)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        based = candidates.with_base(candidates.unique_substitutions(raw, chains.CHUNK, 8), genome, chains.CHUNK)
+        plan = _plan(based)
+        assert "Bucketed: true" in plan and "Bucketed: false" not in plan
+        assert len([x for x in plan.split("\n") if "Exchange hashpartitioning" in x and ("pos1" in x or "chunk_id" in x)]) == 1
+        plain = candidates.with_base(candidates.unique_substitutions(raw), genome.select("*"), chains.CHUNK)
+        assert sorted(based.collect()) == sorted(plain.select(based.columns).collect())
+        wanted = spark.createDataFrame([("chr1", 10, 60), ("chr1", 4990, 5010), ("chr1", 0, 5000), ("chr1", -1, 4), ("chr1", 7, 7), ("chr1", 0, 10**7), ("chr99", 1, 2), (None, 1, 2), ("chr1", None, 2)], "chr string, low long, high long")
+        sliced = readers.genome_slices(genome, wanted, chains.CHUNK)
+        assert "Bucketed: true" in _plan(sliced) and "Bucketed: false" not in _plan(sliced)
+        assert {(r.chr, r.low, r.high): len(r.seq or "") for r in sliced.collect()} == {("chr1", 10, 60): 50, ("chr1", 4990, 5010): 20, ("chr1", 0, 5000): 5000, **{x: 0 for x in [("chr1", -1, 4), ("chr1", 7, 7), ("chr1", 0, 10**7), ("chr99", 1, 2), (None, 1, 2), ("chr1", None, 2)]}}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_lost_candidates_have_no_sequences_to_move(spark, sf_dir):
+    """Sequences of windows are met by slices alone: no other join or window has them."""
+    losses = queries.QUERIES["candidate_losses"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_id" not in "".join(line for line in losses.split("\n") if "Join" in line)
