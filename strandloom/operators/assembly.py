@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -78,10 +79,15 @@ def candidate_table(candidates: DataFrame, signals: DataFrame, base_track: str,
     return described(kept, signals, base_track, tracks, loci, ["wt", "mut"])
 
 
-def described(kept: DataFrame, signals: DataFrame, base_track: str, tracks: Sequence[str], loci: DataFrame, sequences: Sequence[str]) -> DataFrame:
-    """Candidates (probe_id, chr, pos, ref, alt, wt, mut, index) with their context, the features of the locus with 0/1 `_Missing` flags, filled as in candidate_table, and the other strand's view of `sequences`."""
+def described(kept: DataFrame, signals: DataFrame, base_track: str, tracks: Sequence[str], loci: DataFrame, sequences: Sequence[str], features: DataFrame | None = None, made: dict[str, Column] | None = None) -> DataFrame:
+    """Candidates (probe_id, chr, pos, ref, alt, wt, mut, index) with their context, the features of the locus with 0/1 `_Missing` flags, filled as in candidate_table, and the other strand's view of `sequences`.
+
+    `features` has one row for each probe where they are known. Columns in `made` are made of those before them, so they aren't moved with a candidate.
+    """
     pair, names = pair_of(base_track), locus_features(base_track, tracks)
-    valued = cohort.annotate_change(kept, index=F.col("index")).join(signal_features(kept, signals, base_track, tracks, "probe_id"), "probe_id")
+    whole = lambda df: reduce(lambda x, m: x.withColumn(*m), (made or {}).items(), df)
+    context = cohort.annotate_change(whole(kept), index=F.col("index")).drop(*(made or {}))
+    valued = whole(context.join(signal_features(kept, signals, base_track, tracks, "probe_id") if features is None else features, "probe_id"))
     medians = metrics.fit_medians(loci, names, F.col("split") == "train", [pair]).select(*(F.col(f).alias(f"{f}_med_") for f in names))
     flagged = valued.crossJoin(F.broadcast(medians))  # one row
     filled = flagged.withColumns({f"{f}_Missing": F.col(f).isNull().cast("int") for f in names}).withColumns({f: F.coalesce(f, f"{f}_med_") for f in names}).drop(*medians.columns)

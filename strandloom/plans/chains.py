@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import assembly, candidates
 from ..operators.settling import settle, settle_in
 from .backgrounds import _AMINO
@@ -128,8 +129,8 @@ _SEQS = ("wt", "mut", "wt_100", "mut_100")
 )
 def candidates_from_raw(d: Derived) -> DataFrame:
     """Raw variants that pass every step, with the transcript chosen, both windows on both strands, context and features of the locus."""
-    kept = _traced(d).filter("reason is null").drop("reason", "base", "transcripts").join(_probes(d).select("probe_id", "split"), "probe_id")
-    cropped = kept.withColumns({f"{s}_100": F.substring(s, 2451, 100) for s in ("wt", "mut")})
-    loci = assembly.signal_features(_probes(d), d.signals, BASE_TRACK, TRACKS).join(_probes(d).select("probe_id", "split"), "probe_id")
-    full = assembly.described(cropped, d.signals, BASE_TRACK, TRACKS, settle(loci), _SEQS)
+    kept = _traced(d).filter("reason is null").drop("reason", "base", "transcripts", "mut")
+    loci = settle(assembly.signal_features(_probes(d), d.signals, BASE_TRACK, TRACKS).join(_probes(d).select("probe_id", "split"), "probe_id"))
+    made = {"mut": S.substitute(F.col("wt"), F.col("index"), F.col("alt"))} | {f"{s}_100": F.substring(s, 2451, 100) for s in ("wt", "mut")}
+    full = assembly.described(kept, d.signals, BASE_TRACK, TRACKS, loci, _SEQS, loci, made)
     return rounded(full.select(candidates.candidate_id().alias("candidate_id"), *(c for c in full.columns if c != "variant_id")))

@@ -171,5 +171,7 @@ def test_a_genome_in_buckets_is_not_shuffled(spark, sf_dir):
 
 def test_lost_candidates_have_no_sequences_to_move(spark, sf_dir):
     """Sequences of windows are met by slices alone: no other join or window has them."""
+    kept = queries.QUERIES["candidates_from_raw"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mut#" not in "".join(line for line in kept.split("\n") if "Join" in line)
     losses = queries.QUERIES["candidate_losses"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "variant_id" not in "".join(line for line in losses.split("\n") if "Join" in line)
