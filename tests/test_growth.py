@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import audit, candidates, intervals, matching, metrics
+from strandloom.operators import audit, candidates, intervals, matching, metrics, ranks
 from strandloom.plans import chains, queries
 from strandloom.plans.derived import Derived
 from strandloom.sources import readers
@@ -175,3 +175,27 @@ def test_lost_candidates_have_no_sequences_to_move(spark, sf_dir):
     assert "mut#" not in "".join(line for line in kept.split("\n") if "Join" in line)
     losses = queries.QUERIES["candidate_losses"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "variant_id" not in "".join(line for line in losses.split("\n") if "Join" in line)
+
+
+def test_places_in_groups_are_counted_on_one_shuffle(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(4), i, str(rnd.random())) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, g long, i long, s string").withColumn("part_", F.floor(F.col("i") / 100))
+    order = [-F.col("g"), F.col("i")]
+    groups = {"g": F.col("g").desc(), "part_": F.col("part_")}
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[0] or "", -r[1], r[2])):
+        want[r[2]] = 1 + sum(1 for q in rows if q[0] == r[0] and (-q[1], q[2]) < (-r[1], r[2]))
+    for parts in (None, 3):
+        got = ranks.number_in(df, ["k"], order, "n", groups, parts)
+        assert {r.i: r.n for r in got.collect()} == want
+        plan = _plan(got)
+        assert "ReusedExchange" in plan
+        assert "rangepartitioning" not in plan
+
+
+def test_screened_pairs_are_not_sorted_by_variant(spark, sf_dir):
+    """All pairs give numbers alone to their variant: the smallest struct of a group is found by sorting its rows."""
+    plan = _plan(queries.QUERIES["literature_screen"](spark, sf_dir))
+    sorted_ = [x for x in plan.split("\n") if "SortAggregate(key=[variant_id" in x and "dist" in x]
+    assert not sorted_ and "HashAggregate(key=[variant_id" in plan.replace("keys=", "key=") and "rangepartitioning" not in plan
